@@ -148,6 +148,112 @@ def q_wide_sum(spark, sf_dir):
     return A.monthly_wide_volume(fx.enriched, fx.slices)
 
 
+# ---------------------------------------------------------------------------
+# report datasets (P0-P15) and label columns
+# ---------------------------------------------------------------------------
+
+
+def q_activity_period(spark, sf_dir):
+    return R.activity_series(Fixture(spark, sf_dir).monthly_activity(), "token_volume", PERIOD_START, PERIOD_END)
+
+
+def q_user_series(spark, sf_dir):
+    return R.user_series(Fixture(spark, sf_dir).monthly_activity())
+
+
+def q_adoption_cumulative(spark, sf_dir):
+    return R.adoption_cumulative(Fixture(spark, sf_dir).monthly_adoption(), PERIOD_START, PERIOD_END)
+
+
+def q_histogram_shares(spark, sf_dir):
+    return R.histogram_shares(Fixture(spark, sf_dir).histogram())
+
+
+def q_bucket_order(spark, sf_dir):
+    return R.bucket_order(Fixture(spark, sf_dir).month_buckets())
+
+
+def q_bucket_month_totals(spark, sf_dir):
+    fx = Fixture(spark, sf_dir)
+    return R.bucket_month_totals(fx.month_buckets(), R.scales_of(fx.slices))
+
+
+def q_bucket_month_shares(spark, sf_dir):
+    return R.bucket_month_shares(Fixture(spark, sf_dir).month_buckets())
+
+
+USERS = ("address", "outgoing_volume")
+FUNDERS = ("funded_by_address", "newly_funded_addresses")
+
+
+def _overall(fx: Fixture, users: bool) -> DataFrame:
+    address, value = USERS if users else FUNDERS
+    top_list = fx.top_users() if users else fx.funded_by()
+    return R.top_addresses_overall(top_list, address, value, TOP_N, R.scales_of(fx.slices))
+
+
+def _windows(fx: Fixture, users: bool) -> DataFrame:
+    address, value = USERS if users else FUNDERS
+    top_list = fx.top_users() if users else fx.funded_by()
+    return R.window_totals(top_list, address, value, TOP_N, WINDOW_MONTHS, R.scales_of(fx.slices))
+
+
+def q_top_users_overall(spark, sf_dir):
+    return _overall(Fixture(spark, sf_dir), True)
+
+
+def q_top_funders_overall(spark, sf_dir):
+    return _overall(Fixture(spark, sf_dir), False)
+
+
+def q_users_windows(spark, sf_dir):
+    return _windows(Fixture(spark, sf_dir), True)
+
+
+def q_funders_windows(spark, sf_dir):
+    return _windows(Fixture(spark, sf_dir), False)
+
+
+def q_users_stack(spark, sf_dir):
+    fx = Fixture(spark, sf_dir)
+    return R.window_stack(_windows(fx, True), USERS[1], STACK_TOP_N, TOP_N, R.scales_of(fx.slices))
+
+
+def q_users_matrix(spark, sf_dir):
+    return R.window_matrix(_windows(Fixture(spark, sf_dir), True), USERS[1])
+
+
+def q_users_bubbles(spark, sf_dir):
+    fx = Fixture(spark, sf_dir)
+    return R.window_bubbles(_windows(fx, True), _overall(fx, True), USERS[1])
+
+
+def q_users_yearly(spark, sf_dir):
+    fx = Fixture(spark, sf_dir)
+    return R.yearly_top(fx.top_users(), *USERS, TOP_N, R.scales_of(fx.slices))
+
+
+def q_funders_yearly(spark, sf_dir):
+    fx = Fixture(spark, sf_dir)
+    return R.yearly_top(fx.funded_by(), *FUNDERS, TOP_N, R.scales_of(fx.slices))
+
+
+def q_address_lookup(spark, sf_dir):
+    return R.address_lookup(_overall(Fixture(spark, sf_dir), True), USERS[1])
+
+
+def q_number_labels(spark, sf_dir):
+    return R.number_labels(Fixture(spark, sf_dir).monthly_activity())
+
+
+def q_address_labels(spark, sf_dir):
+    return R.address_labels(Fixture(spark, sf_dir).top_users(), "address", "user_rank")
+
+
+def q_window_labels(spark, sf_dir):
+    return R.window_labels(Fixture(spark, sf_dir).monthly_activity())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_slice": q_token_slice,
     "eoa_slice": q_eoa_slice,
@@ -163,4 +269,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "size_histogram": q_size_histogram,
     "monthly_size_buckets": q_monthly_size_buckets,
     "wide_sum": q_wide_sum,
+    "activity_period": q_activity_period,
+    "user_series": q_user_series,
+    "adoption_cumulative": q_adoption_cumulative,
+    "histogram_shares": q_histogram_shares,
+    "bucket_order": q_bucket_order,
+    "bucket_month_totals": q_bucket_month_totals,
+    "bucket_month_shares": q_bucket_month_shares,
+    "top_users_overall": q_top_users_overall,
+    "top_funders_overall": q_top_funders_overall,
+    "users_windows": q_users_windows,
+    "funders_windows": q_funders_windows,
+    "users_stack": q_users_stack,
+    "users_matrix": q_users_matrix,
+    "users_bubbles": q_users_bubbles,
+    "users_yearly": q_users_yearly,
+    "funders_yearly": q_funders_yearly,
+    "address_lookup": q_address_lookup,
+    "number_labels": q_number_labels,
+    "address_labels": q_address_labels,
+    "window_labels": q_window_labels,
 }
