@@ -73,7 +73,8 @@ def scale_exact(raw: Column, decimals: Column) -> Column:
     (the registry check enforces the latter).
     """
     text = raw.cast("string")
-    padded = F.lpad(text, decimals + 1, "0")
+    # lpad truncates longer strings, so pad only up to at least the text length
+    padded = F.lpad(text, F.greatest(F.length(text), decimals + 1), "0")
     whole_len = F.length(padded) - decimals
     shifted = F.concat(
         F.substring(padded, F.lit(1), whole_len), F.lit("."), F.substring(padded, whole_len + 1, decimals)

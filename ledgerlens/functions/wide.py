@@ -20,7 +20,9 @@ WIDTH = LIMB_DIGITS * LIMBS  # 78 digits hold 2**256 - 1
 
 def limb(amount_text: Column, index: int) -> Column:
     """Limb ``index`` (0 = most significant) of a non-negative integer text."""
-    padded = F.lpad(F.trim(amount_text), WIDTH, "0")
+    text = F.trim(amount_text)
+    # lpad truncates longer strings; wider input than 78 digits is not a uint256
+    padded = F.when(F.length(text) <= WIDTH, F.lpad(text, WIDTH, "0"))
     return F.substring(padded, index * LIMB_DIGITS + 1, LIMB_DIGITS).cast("decimal(38,0)")
 
 

@@ -1,0 +1,70 @@
+"""Report datasets on hand-made result rows (FIXTURES §4)."""
+
+import datetime as dt
+from decimal import Decimal
+
+from ledgerlens.operators import reports as R
+from tests.helpers import rows
+
+SERIES = ("tok", "all")
+
+
+def buckets(spark, labels, month=dt.date(2024, 1, 1)):
+    data = [(*SERIES, month, b, 1, 1.0, Decimal(1)) for b in labels]
+    return spark.createDataFrame(data, "symbol string, transfer_filter string, month date, size_bucket string, "
+                                       "transfer_count long, bucket_volume double, raw_bucket_volume decimal(38,0)")
+
+
+def order(spark, labels):
+    got = R.bucket_order(buckets(spark, labels)).collect()
+    return [r["size_bucket"] for r in sorted(got, key=lambda r: r["bucket_position"])]
+
+
+def test_bucket_order_old_top_bucket(spark):
+    assert order(spark, [">=100000", "1-10", "<0.01"]) == ["<0.01", "1-10", ">=100000"]
+
+
+def test_bucket_order_split_top_buckets(spark):
+    labels = [">=100000", ">=10000000", "<0.01", "100000-1000000"]
+    assert order(spark, labels) == ["<0.01", "100000-1000000", ">=10000000", ">=100000"]
+
+
+def test_bucket_order_unknown_last_alphabetical(spark):
+    assert order(spark, ["zzz", "1-10", "abc"]) == ["1-10", "abc", "zzz"]
+
+
+def test_period_inclusive_start_exclusive_end(spark):
+    months = [dt.date(2024, m, 1) for m in range(1, 7)]
+    df = spark.createDataFrame([(*SERIES, m, 1) for m in months],
+                               "symbol string, transfer_filter string, month date, newly_adopted_addresses long")
+    got = rows(R.adoption_cumulative(df, "2024-02-01", "2024-05-01"), "month", "cumulative_adoption")
+    assert got == [(dt.date(2024, 2, 1), 1), (dt.date(2024, 3, 1), 2), (dt.date(2024, 4, 1), 3)]
+    no_month = spark.createDataFrame([(*SERIES, "x", 1)], "symbol string, transfer_filter string, b string, c long")
+    assert R.filter_period(no_month, "2024-01-01", "2024-02-01").count() == 1
+
+
+def test_zero_month_total_gives_zero_share(spark):
+    data = [(*SERIES, dt.date(2024, 1, 1), "1-10", 0, 0.0, Decimal(0)),
+            (*SERIES, dt.date(2024, 1, 1), "<0.01", 0, 0.0, Decimal(0))]
+    df = spark.createDataFrame(data, "symbol string, transfer_filter string, month date, size_bucket string, "
+                                     "transfer_count long, bucket_volume double, raw_bucket_volume decimal(38,0)")
+    got = rows(R.bucket_month_shares(df), "size_bucket", "count_share", "volume_share")
+    assert got == [("1-10", 0.0, 0.0), ("<0.01", 0.0, 0.0)]
+
+
+def test_top_addresses_sum_and_tie_break(spark):
+    data = [(*SERIES, dt.date(2024, 1, 1), "bb", 5), (*SERIES, dt.date(2024, 2, 1), "bb", 5),
+            (*SERIES, dt.date(2024, 1, 1), "aa", 10), (*SERIES, dt.date(2025, 1, 1), "cc", 3)]
+    df = spark.createDataFrame(data, "symbol string, transfer_filter string, month date, "
+                                     "funded_by_address string, newly_funded_addresses long")
+    overall = rows(R.top_addresses_overall(df, "funded_by_address", "newly_funded_addresses", 2),
+                   "rank", "address", "newly_funded_addresses", "address_label")
+    assert overall == [(1, "0xaa", 10, "#01  0xaa"), (2, "0xbb", 10, "#02  0xbb")]
+    yearly = rows(R.yearly_top(df, "funded_by_address", "newly_funded_addresses", 1), "year", "rank", "address")
+    assert yearly == [(2024, 1, "0xaa"), (2025, 1, "0xcc")]
+    windows = R.window_totals(df, "funded_by_address", "newly_funded_addresses", 2, 12)
+    assert rows(windows, "window_label", "address", "rank", "newly_funded_addresses") == [
+        ("2024", "0xaa", 1, 10), ("2024", "0xbb", 2, 10)]
+    stack = R.window_stack(windows, "newly_funded_addresses", stack_top_n=1, top_n=2)
+    assert rows(stack, "window_label", "series_label", "newly_funded_addresses") == [
+        ("2024", "#01 0xaa", 10), ("2024", "Other top addresses", 10)]

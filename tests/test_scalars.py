@@ -1,0 +1,112 @@
+"""F1-F17 on hand-made values with literal expected output."""
+
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlens.functions import scalars as S
+
+
+def one(spark, col, value, schema):
+    return spark.createDataFrame([(value,)], schema).select(col(F.col("x")).alias("y")).first()["y"]
+
+
+@pytest.mark.parametrize("value,expected", [
+    (None, ""), (float("nan"), ""), (0.0, "0"), (5.0, "5"), (5.5, "5.50"), (999.999, "1,000.00"),
+    (999999.0, "1,000K"), (500000000000.0, "500B"), (1234.0, "1.23K"), (12345.0, "12.3K"),
+    (10000.0, "10K"), (1500000.0, "1.5M"), (-2500.0, "-2.5K"), (123456789.0, "123M"),
+    (2.5e12, "2,500B"), (1000.0, "1K"), (99950.0, "100K"),
+])
+def test_human_number(spark, value, expected):
+    assert one(spark, S.human_number, value, "x double") == expected
+
+
+@pytest.mark.parametrize("value,normal,short", [
+    ("abc", "0xabc", "0xabc"),
+    ("  0xABCdef  ", "0xabcdef", "0xabcdef"),
+    ("0X12AB", "0x0x12ab", "0x0x12ab"),
+    ("00112233445566778899aabbccddeeff00112233", "0x00112233445566778899aabbccddeeff00112233", "0x001122…2233"),
+    ("0x12345678901", "0x12345678901", "0x12345678901"),
+    ("0x123456789012", "0x123456789012", "0x123456…9012"),
+])
+def test_addresses(spark, value, normal, short):
+    assert one(spark, S.normalize_address, value, "x string") == normal
+    assert one(spark, S.short_address, value, "x string") == short
+
+
+def test_rank_label(spark):
+    df = spark.createDataFrame([(3, "00112233445566778899aabbccddeeff00112233")], "r int, a string")
+    row = df.select(S.rank_label(F.col("r"), F.col("a")).alias("two"),
+                    S.rank_label(F.col("r"), F.col("a"), sep=" ").alias("one")).first()
+    assert row["two"] == "#03  0x001122…2233"
+    assert row["one"] == "#03 0x001122…2233"
+
+
+@pytest.mark.parametrize("raw,decimals,bucket", [
+    (9999, 6, "<0.01"), (10000, 6, "0.01-0.1"), (999999999999999999, 18, "1-10"),
+    (99999, 6, "0.01-0.1"), (10 ** 13 - 1, 6, "1000000-10000000"), (10 ** 13, 6, ">=10000000"),
+    (1, 0, "1-10"),
+])
+def test_size_bucket_edges(spark, raw, decimals, bucket):
+    df = spark.createDataFrame([(Decimal(raw), decimals)], "raw decimal(38,0), d int")
+    got = df.select(S.size_bucket(S.scale_double(F.col("raw"), F.col("d"))).alias("b")).first()["b"]
+    assert got == bucket
+
+
+@pytest.mark.parametrize("raw,decimals,expected", [
+    (1234567, 6, Decimal("1.234567")), (5, 18, Decimal("0.000000000000000005")), (0, 0, Decimal(0)),
+    (10 ** 20 - 1, 0, Decimal(10 ** 20 - 1)), (None, 6, None),
+    (12345678901234567890123456789012345678, 18, Decimal("12345678901234567890.123456789012345678")),
+])
+def test_scale_exact(spark, raw, decimals, expected):
+    df = spark.createDataFrame([(None if raw is None else Decimal(raw), decimals)], "raw decimal(38,0), d int")
+    got = df.select(S.scale_exact(F.col("raw"), F.col("d")).alias("v")).first()["v"]
+    assert got == expected
+
+
+@pytest.mark.parametrize("k,month,label,order,start", [
+    (6, "2024-05-01", "2024 H1", 2024 * 2 + 1, "2024-01-01"),
+    (6, "2024-07-01", "2024 H2", 2024 * 2 + 2, "2024-07-01"),
+    (3, "2024-05-01", "2024 Q2", 2024 * 4 + 2, "2024-04-01"),
+    (12, "2024-05-01", "2024", 2024 + 1, "2024-01-01"),
+    (4, "2024-05-01", "2024-05", 2024 * 3 + 2, "2024-05-01"),
+    (2, "2024-04-01", "2024-03", 2024 * 6 + 2, "2024-03-01"),
+    (1, "2024-12-01", "2024-12", 2024 * 12 + 12, "2024-12-01"),
+])
+def test_windows(spark, k, month, label, order, start):
+    df = spark.createDataFrame([(dt.date.fromisoformat(month),)], "m date")
+    ws = S.window_start(F.col("m"), k)
+    row = df.select(ws.alias("s"), S.window_label(ws, k).alias("l"), S.window_order(ws, k).alias("o")).first()
+    assert (row["s"].isoformat(), row["l"], row["o"]) == (start, label, order)
+
+
+def test_window_length_rejected():
+    with pytest.raises(ValueError):
+        S.check_window_months(5)
+
+
+def test_bucket_display_label(spark):
+    df = spark.createDataFrame([("100-1000",), (">=100000",), ("zzz",)], "x string")
+    got = [r[0] for r in df.select(S.bucket_display_label(F.col("x"))).collect()]
+    assert got == ["100–1K", "≥100K", "zzz"]
+
+
+def test_guarded_ratio_and_percent(spark):
+    df = spark.createDataFrame([(1, 0), (1, 3), (2, 3)], "p long, t long")
+    got = [r[0] for r in df.select(S.guarded_ratio(F.col("p"), F.col("t"))).collect()]
+    assert got == [0.0, 1 / 3, 2 / 3]
+    assert one(spark, S.percent, 0.12346, "x double") == 12.35
+    assert one(spark, S.percent, 0.00125, "x double") == 0.12
+
+
+def test_month_of(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 2, 29, 23, 59, 59),)], "ts timestamp_ntz")
+    assert df.select(S.month_of(F.col("ts"))).first()[0] == dt.date(2024, 2, 1)
+
+
+def test_hex_roundtrip(spark):
+    df = spark.createDataFrame([("ABcd" * 10,)], "h string")
+    got = df.select(S.hex_address(S.unhex_address(F.lower(F.col("h"))))).first()[0]
+    assert got == ("abcd" * 10)
