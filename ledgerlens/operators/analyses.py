@@ -108,8 +108,11 @@ def zero_address_ids(addresses: DataFrame, max_rows: int = 1000) -> DataFrame:
     rows = addresses.filter(F.col("addr") == S.zero_address()).select("id").limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise RuntimeError(f"address holds more than {max_rows} rows for the zero address")
-    spark = addresses.sparkSession
-    return spark.createDataFrame([(r["id"],) for r in rows], "id long")
+    from ledgerlens.sources.local import local_frame
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("id", T.LongType(), False)])
+    return local_frame(addresses.sparkSession, [(r["id"],) for r in rows], schema)
 
 
 # ---------------------------------------------------------------------------

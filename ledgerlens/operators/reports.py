@@ -54,18 +54,22 @@ def scales_of(slices: DataFrame) -> DataFrame:
     return slices.select(*SERIES, "decimals")
 
 
-def _value_sum(df: DataFrame, keys: list[str], value: str, scales: DataFrame | None) -> DataFrame:
-    """Sum ``value`` per ``keys`` (which include the series keys).
+def _value_sum(df: DataFrame, keys: list[str], value: str, scales: DataFrame | None,
+               extra: list[Column] | None = None) -> DataFrame:
+    """Sum ``value`` per ``keys`` (which include the series keys), in one pass.
 
     A scaled volume is summed exactly through its raw column when ``scales``
-    is given; counts are summed as they are.
+    is given; counts are summed as they are. ``extra`` aggregates ride along
+    in the same aggregation.
     """
+    extra = extra or []
     raw = RAW_OF.get(value)
     if raw is None or scales is None or raw not in df.columns:
-        return df.groupBy(*keys).agg(F.sum(value).alias(value))
-    summed = df.groupBy(*keys).agg(F.sum(raw).alias(raw))
+        return df.groupBy(*keys).agg(F.sum(value).alias(value), *extra)
+    summed = df.groupBy(*keys).agg(F.sum(raw).alias(raw), *extra)
+    names = [c for c in summed.columns if c not in keys and c != raw]
     return (summed.join(F.broadcast(scales), SERIES)
-            .select(*keys, raw, S.scale_double(F.col(raw), F.col("decimals")).alias(value)))
+            .select(*keys, raw, S.scale_double(F.col(raw), F.col("decimals")).alias(value), *names))
 
 
 def _ratio_source(df: DataFrame, value: str) -> str:
@@ -137,35 +141,41 @@ def adoption_cumulative(adoption: DataFrame, start: str | None = None, end: str
 # ---------------------------------------------------------------------------
 
 
-def bucket_order(buckets: DataFrame) -> DataFrame:
-    """P5: per series, the position and display label of each present bucket.
+def _bucket_position(df: DataFrame) -> DataFrame:
+    """Add ``bucket_label`` and ``bucket_position`` to bucket rows, per series.
 
     Canonical base order first; then the split top buckets if any of them is
     present, else the older single top bucket; all other labels after that,
     alphabetically (the older top bucket counts as unknown when split ones
-    are present).
+    are present). Window functions over the series keep it one pass.
     """
-    present = buckets.select(*SERIES, F.col("size_bucket").cast("string").alias("size_bucket")).distinct()
-    is_expanded = F.col("size_bucket").isin(*S.EXPANDED_FINAL_BUCKETS)
+    bucket = F.col("size_bucket").cast("string")
     w_series = Window.partitionBy(*SERIES)
-    has_expanded = F.max(is_expanded.cast("int")).over(w_series) == 1
-    base_pos = None
+    has_expanded = F.max(bucket.isin(*S.EXPANDED_FINAL_BUCKETS).cast("int")).over(w_series) == 1
+    known = None
     for i, name in enumerate(S.BASE_BUCKET_ORDER, start=1):
-        cond = F.col("size_bucket") == name
-        base_pos = F.when(cond, F.lit(i)) if base_pos is None else base_pos.when(cond, F.lit(i))
+        cond = bucket == name
+        known = F.when(cond, F.lit(i)) if known is None else known.when(cond, F.lit(i))
     n_base = len(S.BASE_BUCKET_ORDER)
     for i, name in enumerate(S.EXPANDED_FINAL_BUCKETS, start=1):
-        base_pos = base_pos.when((F.col("size_bucket") == name) & has_expanded, F.lit(n_base + i))
-    known = base_pos.when((F.col("size_bucket") == S.OLD_FINAL_BUCKET) & ~has_expanded, F.lit(n_base + 1))
-    ranked = present.withColumn("_known", known)
-    position = F.row_number().over(Window.partitionBy(*SERIES).orderBy(
+        known = known.when((bucket == name) & has_expanded, F.lit(n_base + i))
+    known = known.when((bucket == S.OLD_FINAL_BUCKET) & ~has_expanded, F.lit(n_base + 1))
+    keyed = df.withColumn("_known", known)
+    position = F.dense_rank().over(Window.partitionBy(*SERIES).orderBy(
         F.col("_known").isNull(), F.col("_known").asc_nulls_last(), F.col("size_bucket").asc()))
-    return ranked.select(*SERIES, "size_bucket", S.bucket_display_label(F.col("size_bucket")).alias("bucket_label"),
-                         position.alias("bucket_position"))
+    return (keyed.withColumn("bucket_label", S.bucket_display_label(bucket))
+            .withColumn("bucket_position", position.cast("int"))
+            .drop("_known"))
+
+
+def bucket_order(buckets: DataFrame) -> DataFrame:
+    """P5: per series, the position and display label of each present bucket."""
+    present = buckets.select(*SERIES, F.col("size_bucket").cast("string").alias("size_bucket")).distinct()
+    return _bucket_position(present).select(*SERIES, "size_bucket", "bucket_label", "bucket_position")
 
 
 def _with_bucket_order(df: DataFrame) -> DataFrame:
-    return df.join(bucket_order(df), [*SERIES, "size_bucket"])
+    return _bucket_position(df)
 
 
 def histogram_shares(histogram: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -189,9 +199,9 @@ def bucket_month_totals(month_buckets: DataFrame, scales: DataFrame | None = Non
                         start: str | None = None, end: str | None = None) -> DataFrame:
     """Per month, transfers and volume over all buckets."""
     df = filter_period(month_buckets, start, end)
-    counts = df.groupBy(*SERIES, "month").agg(F.sum("transfer_count").alias("transfer_count"))
-    volumes = _value_sum(df, [*SERIES, "month"], "bucket_volume", scales)
-    return counts.join(volumes, [*SERIES, "month"]).select(*SERIES, "month", "transfer_count", "bucket_volume")
+    totals = _value_sum(df, [*SERIES, "month"], "bucket_volume", scales,
+                        extra=[F.sum("transfer_count").alias("transfer_count")])
+    return totals.select(*SERIES, "month", "transfer_count", "bucket_volume")
 
 
 def bucket_month_shares(month_buckets: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -260,17 +270,28 @@ def window_totals(top_list: DataFrame, address: str, value: str, top_n: int = DE
                   start: str | None = None, end: str | None = None) -> DataFrame:
     """Per k-month window, totals of the overall top-N addresses.
 
-    A window in which none of them occurs has no rows.
+    Addresses are normalised first. The overall total of an address is the
+    sum of its window totals (a window function over the series and
+    address), and the rank a dense rank over (total desc, address), which
+    equals the row number over distinct addresses - one pass, no join back.
+    A window in which none of the top-N occurs has no rows.
     """
-    df = _windowed(filter_period(top_list, start, end), address, months)
-    overall = _ranked_totals(df, SERIES, "_address", value, top_n, scales).select(*SERIES, "_address", "rank")
-    # the overall list is at most top_n rows per series: broadcast it
-    kept = df.join(F.broadcast(overall), [*SERIES, "_address"])
-    grouped = _value_sum(kept, [*SERIES, "window_start", "window_order", "window_label", "_address", "rank"],
-                         value, scales)
-    raw = [c for c in grouped.columns if c == RAW_OF.get(value)]
-    return grouped.select(*SERIES, "window_start", "window_order", "window_label",
-                          F.col("_address").alias("address"), "rank", *raw, F.col(value).alias(value))
+    df = _windowed(filter_period(top_list, start, end), address, months).filter(F.col("_address").isNotNull())
+    keys = [*SERIES, "window_start", "window_order", "window_label", "_address"]
+    grouped = _value_sum(df, keys, value, scales)
+    raw = RAW_OF.get(value) if RAW_OF.get(value) in grouped.columns else None
+    if raw:
+        total = F.sum(raw).over(Window.partitionBy(*SERIES, "_address"))
+        grouped = grouped.join(F.broadcast(scales), SERIES).withColumn(
+            "_overall", S.scale_double(total, F.col("decimals"))).drop("decimals")
+    else:
+        grouped = grouped.withColumn("_overall", F.sum(value).over(Window.partitionBy(*SERIES, "_address")))
+    rank = F.dense_rank().over(Window.partitionBy(*SERIES).orderBy(
+        F.col("_overall").desc_nulls_last(), F.col("_address").asc()))
+    ranked = grouped.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= top_n)
+    return ranked.select(*SERIES, "window_start", "window_order", "window_label",
+                         F.col("_address").alias("address"), "rank", *([raw] if raw else []),
+                         F.col(value).alias(value), F.col("_overall").alias("overall_value"))
 
 
 def window_stack(windows: DataFrame, value: str, stack_top_n: int = DEFAULT_STACK_TOP_N,
@@ -284,8 +305,7 @@ def window_stack(windows: DataFrame, value: str, stack_top_n: int = DEFAULT_STAC
     labelled = windows.select("*", series_address.alias("series_address"), series_label.alias("series_label"),
                               F.when(leading, F.col("rank")).alias("_series_rank"))
     keys = [*SERIES, "window_order", "window_label", "series_address", "series_label"]
-    ranks = labelled.groupBy(*keys).agg(F.min("_series_rank").alias("series_rank"))
-    stacked = _value_sum(labelled, keys, value, scales).join(ranks, keys)
+    stacked = _value_sum(labelled, keys, value, scales, extra=[F.min("_series_rank").alias("series_rank")])
     raw = [c for c in stacked.columns if c == RAW_OF.get(value)]
     return stacked.select(
         *SERIES, "window_order", "window_label", "series_address", "series_label", "series_rank", *raw, value,
@@ -306,14 +326,14 @@ def window_matrix(windows: DataFrame, value: str) -> DataFrame:
     return windows.select(
         *SERIES, "address", "rank", "window_order", "window_label", value,
         S.guarded_ratio(F.col(src), F.sum(src).over(w)).alias("window_share"),
+        "overall_value",
     )
 
 
-def window_bubbles(windows: DataFrame, overall: DataFrame, value: str) -> DataFrame:
+def window_bubbles(windows: DataFrame, value: str) -> DataFrame:
     """Positive cells with rank, labels, share and the overall value."""
     cells = window_matrix(windows, value).filter(F.col(value) > 0)
-    totals = overall.select(*SERIES, "address", F.col(value).alias("overall_value"))
-    return cells.join(totals, [*SERIES, "address"]).select(
+    return cells.select(
         *SERIES, "window_order", "window_label",
         S.rank_label(F.col("rank"), F.col("address")).alias("address_label"),
         "address", "rank", F.col(value).cast("double").alias("value"),

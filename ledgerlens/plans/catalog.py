@@ -12,11 +12,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens import schemas
 from ledgerlens.operators import analyses as A
 from ledgerlens.operators import checks
 from ledgerlens.operators import derive
 from ledgerlens.operators import reports as R
 from ledgerlens.sources.adapter import fixture_registry_config, fixture_tables
+from ledgerlens.sources.local import local_frame
 from ledgerlens.sources.registry import registry_frame
 from ledgerlens.session import apply_job_conf
 
@@ -41,7 +43,9 @@ class Fixture:
 
     @cached_property
     def slices(self) -> DataFrame:
-        return checks.resolve_slices(self.registry, self.tables.tokens)
+        """Resolved once (a registry-sized collect) and reused as a literal table."""
+        rows = checks.resolve_slices(self.registry, self.tables.tokens).collect()
+        return local_frame(self.spark, rows, schemas.SLICES)
 
     @cached_property
     def sliced(self) -> DataFrame:
@@ -220,12 +224,12 @@ def q_users_stack(spark, sf_dir):
 
 
 def q_users_matrix(spark, sf_dir):
-    return R.window_matrix(_windows(Fixture(spark, sf_dir), True), USERS[1])
+    return R.window_matrix(_windows(Fixture(spark, sf_dir), True), USERS[1]).drop("overall_value")
 
 
 def q_users_bubbles(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
-    return R.window_bubbles(_windows(fx, True), _overall(fx, True), USERS[1])
+    return R.window_bubbles(_windows(fx, True), USERS[1])
 
 
 def q_users_yearly(spark, sf_dir):

@@ -18,6 +18,7 @@ from ledgerlens.operators import analyses as A
 from ledgerlens.operators import checks, derive
 from ledgerlens.operators import reports as R
 from ledgerlens.session import apply_job_conf
+from ledgerlens.sources.local import local_frame
 from ledgerlens.sources.registry import MAX_REGISTRY_ENTRIES, registry_frame, settings_of
 from ledgerlens.sources.tables import ChainTables, read_result, write_result, write_result_csv
 
@@ -87,7 +88,7 @@ def _local(spark: SparkSession, df: DataFrame) -> DataFrame:
     rows = df.select(*schemas.SLICES.fieldNames()).limit(MAX_REGISTRY_ENTRIES + 1).collect()
     if len(rows) > MAX_REGISTRY_ENTRIES:
         raise RuntimeError("too many registry slices")
-    return spark.createDataFrame(rows, schemas.SLICES)
+    return local_frame(spark, rows, schemas.SLICES)
 
 
 def build_slices(spark: SparkSession, tables: ChainTables, slices: DataFrame, opts: JobOptions) -> None:
@@ -262,6 +263,6 @@ def run_reports(spark: SparkSession, results: str, slices: DataFrame, out: str,
         emit(f"{prefix}_lookup", R.address_lookup(overall, value, ro.explorer_address_url))
         emit(f"{prefix}_stack", R.window_stack(windows, value, ro.address_stack_top_n, ro.top_n, scales))
         emit(f"{prefix}_matrix", R.window_matrix(windows, value))
-        emit(f"{prefix}_bubbles", R.window_bubbles(windows, overall, value))
+        emit(f"{prefix}_bubbles", R.window_bubbles(windows, value))
         emit(f"{prefix}_yearly", R.yearly_top(top, address, value, ro.yearly_top_n or ro.top_n, scales))
     return written

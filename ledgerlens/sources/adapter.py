@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas
+from ledgerlens.sources.local import local_frame
 from ledgerlens.sources.tables import ChainTables
 
 # Fixed fixture tokens: (token id, symbol, address hex, decimals).
@@ -46,7 +47,13 @@ def fixture_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixture_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _read(spark, sf_dir, "lineitem")
+    # The driver's files hold one row group each, so a scan is a single task.
+    # A fact table at scale is many files; to give the map side the same
+    # parallelism here, the fixture spreads lineitem over the session's cores
+    # (hash on the order key: deterministic on retry, no sort needed).
+    li = _read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    li = li.repartition(spark.sparkContext.defaultParallelism, "l_orderkey")
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     exponent = F.col("l_linenumber") - 2 + F.when(F.col("l_suppkey") % 3 == 2, 11).otherwise(1)
@@ -67,7 +74,7 @@ def fixture_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixture_tokens(spark: SparkSession) -> DataFrame:
     rows = [(tid, bytes.fromhex(h)) for tid, _, h, _ in FIXTURE_TOKENS]
-    return spark.createDataFrame(rows, schemas.TOKEN)
+    return local_frame(spark, rows, schemas.TOKEN)
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> ChainTables:
@@ -102,4 +109,4 @@ def fixture_registry_config(transfer_filter: str = "all", analyses: dict | None
 def fixture_token_metadata(spark: SparkSession) -> DataFrame:
     """Snapshot of on-chain decimals() per token address (V4 input)."""
     rows = [("0x" + h, d) for _, _, h, d in FIXTURE_TOKENS]
-    return spark.createDataFrame(rows, schemas.TOKEN_METADATA)
+    return local_frame(spark, rows, schemas.TOKEN_METADATA)

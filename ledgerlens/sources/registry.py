@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens import schemas
+from ledgerlens.sources.local import local_frame
 
 # A registry is configuration; beyond this many entries it is not one, and
 # broadcasting it to every task would no longer be a safe default.
@@ -63,4 +64,4 @@ def registry_rows(config: dict) -> list[tuple]:
 
 def registry_frame(spark: SparkSession, config: dict) -> DataFrame:
     """The registry as a DataFrame (schema ``schemas.REGISTRY``)."""
-    return spark.createDataFrame(registry_rows(config), schemas.REGISTRY)
+    return local_frame(spark, registry_rows(config), schemas.REGISTRY)
