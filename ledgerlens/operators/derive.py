@@ -70,11 +70,30 @@ def filtered_slices(transfers: DataFrame, addresses: DataFrame, slices: DataFram
     return out.select("slice_id", *FACT_COLUMNS)
 
 
-def enriched(sliced: DataFrame, blocks: DataFrame, slices: DataFrame) -> DataFrame:
-    """Facts with block time, month and the slice's decimals."""
+# eth_block has one row per block (~16 bytes of payload each). Up to this
+# many rows it is broadcast, so the fact table is not shuffled for the join.
+BLOCK_BROADCAST_MAX_ROWS = 30_000_000
+
+
+def blocks_broadcastable(blocks: DataFrame, max_rows: int = BLOCK_BROADCAST_MAX_ROWS) -> bool:
+    """Size check for the block dimension (one count over one column)."""
+    return blocks.select("block_number").limit(max_rows + 1).count() <= max_rows
+
+
+def enriched(sliced: DataFrame, blocks: DataFrame, slices: DataFrame,
+             broadcast_blocks: bool | None = None) -> DataFrame:
+    """Facts with block time, month and the slice's decimals.
+
+    ``broadcast_blocks`` comes from ``blocks_broadcastable``: True broadcasts
+    the block table (no fact shuffle), False keeps the shuffle join (with
+    AQE skew handling), None leaves the choice to Spark's size estimate.
+    """
     decimals = F.broadcast(slices.select("slice_id", "decimals"))
+    block_times = blocks.select("block_number", "ts")
+    if broadcast_blocks:
+        block_times = F.broadcast(block_times)
     return (sliced
-            .join(blocks.select("block_number", "ts"), "block_number")
+            .join(block_times, "block_number")
             .join(decimals, "slice_id")
             .select("slice_id", *FACT_COLUMNS, "ts", S.month_of(F.col("ts")).alias("month"), "decimals"))
 
@@ -103,33 +122,17 @@ def address_month(enriched_df: DataFrame) -> DataFrame:
                  F.sum("received_amount").alias("received_amount")))
 
 
-def write_enriched(enriched_df: DataFrame, path: str, partitions: int) -> None:
+def write_enriched(enriched_df: DataFrame, path: str, partitions: int, key: str = "slice_id") -> None:
     """Store D6 so each file covers one slice and a block range.
 
     Range partitioning on (slice, block) splits a hot token over many files
     (no one-task-per-token write), and sorting by (block, tx) inside files
-    keeps parquet min/max statistics selective for block lookups.
+    keeps parquet min/max statistics selective for block lookups. Only the
+    slices present in ``enriched_df`` are replaced (dynamic overwrite).
     """
     (enriched_df
-     .repartitionByRange(partitions, "slice_id", "block_number")
-     .sortWithinPartitions("slice_id", "block_number", "tx_index")
+     .repartitionByRange(partitions, key, "block_number")
+     .sortWithinPartitions(key, "block_number", "tx_index")
      .write.mode("overwrite")
-     .partitionBy("slice_id")
+     .partitionBy(key)
      .parquet(path))
-
-
-def stored_slice_ids(spark, path: str) -> DataFrame | None:
-    """Slice ids already stored under ``path`` (None if nothing is stored)."""
-    try:
-        return spark.read.parquet(path).select("slice_id").distinct()
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return None
-        raise
-
-
-def missing_slices(slices: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Slices that still have to be built (create once, never refresh)."""
-    if stored is None:
-        return slices
-    return slices.join(F.broadcast(stored), "slice_id", "left_anti")

@@ -387,15 +387,12 @@ def address_labels(top_list: DataFrame, address: str, rank: str) -> DataFrame:
 
 
 def window_labels(monthly: DataFrame, lengths=(1, 2, 3, 4, 6, 12)) -> DataFrame:
-    """F13 for each window length over the months of a result."""
+    """F13 for each window length over the months of a result (one pass)."""
     months = monthly.select(*SERIES, "month").distinct()
-    parts = []
+    per_length = []
     for k in lengths:
         start = S.window_start(F.col("month"), k)
-        parts.append(months.select(*SERIES, "month", F.lit(k).alias("window_months"), start.alias("window_start"),
+        per_length.append(F.struct(F.lit(k).alias("window_months"), start.alias("window_start"),
                                    S.window_label(start, k).alias("window_label"),
                                    S.window_order(start, k).alias("window_order")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return months.select(*SERIES, "month", F.inline(F.array(*per_length)))

@@ -52,6 +52,8 @@ class JobOptions:
     refresh: bool = False            # rebuild stored slices whose setup flag is on
     write_csv: bool = False          # one ordered CSV per result, for small results
     check_database: bool = False     # compare the catalog's current database
+    block_broadcast_max_rows: int = derive.BLOCK_BROADCAST_MAX_ROWS
+    shuffle_partitions: int | None = None  # e.g. 20000 at 100 TB; AQE coalesces small ones
     token_metadata: DataFrame | None = None
     log: list[str] = field(default_factory=list)
 
@@ -109,12 +111,10 @@ def build_slices(spark: SparkSession, tables: ChainTables, slices: DataFrame, op
         return
     filters = sorted({r["transfer_filter"] for r in rows})
     sliced = derive.filtered_slices(tables.transfers, tables.addresses, todo, filters)
-    enriched = derive.enriched(sliced, tables.blocks, todo).drop("decimals")
+    small_blocks = derive.blocks_broadcastable(tables.blocks, opts.block_broadcast_max_rows)
+    enriched = derive.enriched(sliced, tables.blocks, todo, broadcast_blocks=small_blocks).drop("decimals")
     keyed = _slice_key(A.attach_keys(enriched, todo)).drop("symbol", "transfer_filter", "slice_id", "decimals")
-    (keyed
-     .repartitionByRange(opts.fact_partitions, "slice_key", "block_number")
-     .sortWithinPartitions("slice_key", "block_number", "tx_index")
-     .write.mode("overwrite").partitionBy("slice_key").parquet(d6_path))
+    derive.write_enriched(keyed, d6_path, opts.fact_partitions, key="slice_key")
     opts.say(f"[setup] stored {len(rows)} slice(s): " + ", ".join(f"{r[0]}_{r[1]}" for r in rows))
 
 
@@ -148,6 +148,8 @@ USES_ACTIVITY = ("monthly_activity", "monthly_summary", "monthly_adoption_and_fu
 def run_job(spark: SparkSession, tables: ChainTables, config: dict, opts: JobOptions) -> dict[str, str]:
     """Run every enabled analysis of the registry; returns result name -> path."""
     apply_job_conf(spark)
+    if opts.shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(opts.shuffle_partitions))
     settings = settings_of(config)
     if opts.check_database and settings.get("expected_database"):
         current = spark.catalog.currentDatabase()

@@ -3,5 +3,5 @@
 The job this package rebuilds is a one-shot batch over stored transfer
 events; it has no streams, watermarks or state. Incremental runs are
 handled in batch by appending only the token slices that are not stored yet
-(see ``ledgerlens.operators.derive.missing_slices``).
+(see ``ledgerlens.plans.job.build_slices``).
 """
