@@ -29,8 +29,9 @@ FACT_COLUMNS = ("block_number", "tx_index", "log_index", "from_id", "to_id", "am
 
 def token_slice(transfers: DataFrame, slices: DataFrame) -> DataFrame:
     """The facts of every registry slice, keyed by ``slice_id``."""
-    keys = F.broadcast(slices.select("slice_id", "token_id", "transfer_filter"))
-    return transfers.join(keys, "token_id").select("slice_id", "token_id", "transfer_filter", *FACT_COLUMNS)
+    keys = F.broadcast(slices.select("slice_id", "token_id", "transfer_filter", "decimals"))
+    return transfers.join(keys, "token_id").select("slice_id", "token_id", "transfer_filter", *FACT_COLUMNS,
+                                                   "decimals")
 
 
 def eoa_ids(addresses: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def filtered_slices(transfers: DataFrame, addresses: DataFrame, slices: DataFram
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("slice_id", *FACT_COLUMNS)
+    return out.select("slice_id", *FACT_COLUMNS, "decimals")
 
 
 # eth_block has one row per block (~16 bytes of payload each). Up to this
@@ -84,17 +85,16 @@ def enriched(sliced: DataFrame, blocks: DataFrame, slices: DataFrame,
              broadcast_blocks: bool | None = None) -> DataFrame:
     """Facts with block time, month and the slice's decimals.
 
-    ``broadcast_blocks`` comes from ``blocks_broadcastable``: True broadcasts
-    the block table (no fact shuffle), False keeps the shuffle join (with
-    AQE skew handling), None leaves the choice to Spark's size estimate.
+    ``sliced`` carries the decimals from the token join (D1). ``broadcast_blocks``
+    comes from ``blocks_broadcastable``: True broadcasts the block table (no
+    fact shuffle), False keeps the shuffle join (with AQE skew handling),
+    None leaves the choice to Spark's size estimate.
     """
-    decimals = F.broadcast(slices.select("slice_id", "decimals"))
     block_times = blocks.select("block_number", "ts")
     if broadcast_blocks:
         block_times = F.broadcast(block_times)
     return (sliced
             .join(block_times, "block_number")
-            .join(decimals, "slice_id")
             .select("slice_id", *FACT_COLUMNS, "ts", S.month_of(F.col("ts")).alias("month"), "decimals"))
 
 

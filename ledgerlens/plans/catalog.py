@@ -86,13 +86,13 @@ def _keys(df: DataFrame, slices: DataFrame) -> DataFrame:
 def q_token_slice(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
     d1 = derive.token_slice(fx.tables.transfers, fx.slices)
-    return _keys(d1.drop("transfer_filter"), fx.slices).select(
+    return _keys(d1.drop("transfer_filter", "decimals"), fx.slices).select(
         "symbol", "transfer_filter", "token_id", *derive.FACT_COLUMNS)
 
 
 def q_eoa_slice(spark, sf_dir):
     fx = Fixture(spark, sf_dir, "eoa_eoa")
-    return _keys(fx.sliced, fx.slices).select("symbol", "transfer_filter", *derive.FACT_COLUMNS)
+    return _keys(fx.sliced.drop("decimals"), fx.slices).select("symbol", "transfer_filter", *derive.FACT_COLUMNS)
 
 
 def q_transfers_enriched(spark, sf_dir):
