@@ -95,11 +95,18 @@ def token_violations(matched: DataFrame) -> DataFrame:
 
 
 def decimals_violations(reg: DataFrame, token_metadata: DataFrame) -> DataFrame:
-    """V4: declared decimals must equal the on-chain ``decimals()`` snapshot."""
-    meta = (token_metadata
-            .select(S.clean_address(F.col("address")).alias("address_hex"), F.col("decimals").alias("onchain_decimals"))
-            .groupBy("address_hex").agg(F.max("onchain_decimals").alias("onchain_decimals")))
-    joined = reg.filter(F.col("addr").isNotNull()).join(F.broadcast(meta), "address_hex", "left")
+    """V4: declared decimals must equal the on-chain ``decimals()`` snapshot.
+
+    The snapshot may list every token of the chain, so the registry is the
+    broadcast side and the snapshot is streamed once.
+    """
+    wanted = reg.filter(F.col("addr").isNotNull())
+    found = (token_metadata
+             .select(S.clean_address(F.col("address")).alias("address_hex"),
+                     F.col("decimals").alias("onchain_decimals"))
+             .join(F.broadcast(wanted.select("symbol", "address_hex")), "address_hex")
+             .groupBy("symbol").agg(F.max("onchain_decimals").alias("onchain_decimals")))
+    joined = wanted.join(found, "symbol", "left")
     no_value = joined.filter(F.col("onchain_decimals").isNull()).select(*_violation(
         F.col("symbol"), "decimals", F.format_string("Contract %s returned no value for decimals()", F.col("address"))))
     mismatch = joined.filter(F.col("onchain_decimals") != F.col("decimals")).select(*_violation(
