@@ -220,10 +220,11 @@ class ReportOptions:
 
 
 def run_reports(spark: SparkSession, results: str, slices: DataFrame, out: str,
-                ro: ReportOptions | None = None) -> dict[str, str]:
-    """Report datasets for every series from the stored result sets.
+                ro: ReportOptions | None = None, series: tuple[str, str] | None = None) -> dict[str, str]:
+    """Report datasets for every series (or one ``(symbol, filter)``) from the stored results.
 
-    A missing result set skips only the datasets built from it.
+    A missing result set skips only the datasets built from it. Selecting a
+    series prunes the results' partition folders to that series.
     """
     ro = ro or ReportOptions()
     scales = R.scales_of(slices)
@@ -235,7 +236,8 @@ def run_reports(spark: SparkSession, results: str, slices: DataFrame, out: str,
         written[name] = f"{out}/{name}"
 
     def load(name: str) -> DataFrame | None:
-        return read_result(spark, f"{results}/{name}")
+        symbol, transfer_filter = series if series else (None, None)
+        return read_result(spark, f"{results}/{name}", symbol=symbol, transfer_filter=transfer_filter)
 
     activity = load("monthly_activity")
     if activity is not None:
