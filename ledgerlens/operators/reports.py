@@ -64,9 +64,10 @@ def _value_sum(df: DataFrame, keys: list[str], value: str, scales: DataFrame | N
     """
     extra = extra or []
     raw = RAW_OF.get(value)
+    # a group whose values are all missing sums to 0, as a pandas group sum does
     if raw is None or scales is None or raw not in df.columns:
-        return df.groupBy(*keys).agg(F.sum(value).alias(value), *extra)
-    summed = df.groupBy(*keys).agg(F.sum(raw).alias(raw), *extra)
+        return df.groupBy(*keys).agg(S.zero_if_null(F.sum(value)).alias(value), *extra)
+    summed = df.groupBy(*keys).agg(S.zero_if_null(F.sum(raw)).alias(raw), *extra)
     names = [c for c in summed.columns if c not in keys and c != raw]
     return (summed.join(F.broadcast(scales), SERIES)
             .select(*keys, raw, S.scale_double(F.col(raw), F.col("decimals")).alias(value), *names))

@@ -68,3 +68,15 @@ def test_top_addresses_sum_and_tie_break(spark):
     stack = R.window_stack(windows, "newly_funded_addresses", stack_top_n=1, top_n=2)
     assert rows(stack, "window_label", "series_label", "newly_funded_addresses") == [
         ("2024", "#01 0xaa", 10), ("2024", "Other top addresses", 10)]
+
+
+def test_all_missing_volume_sums_to_zero(spark):
+    data = [(*SERIES, dt.date(2024, 1, 1), "aa", None, None), (*SERIES, dt.date(2024, 1, 1), "bb", 2.0, Decimal(200))]
+    df = spark.createDataFrame(data, "symbol string, transfer_filter string, month date, address string, "
+                                     "outgoing_volume double, raw_outgoing_volume decimal(38,0)")
+    scales = spark.createDataFrame([(*SERIES, 2)], "symbol string, transfer_filter string, decimals int")
+    got = rows(R.top_addresses_overall(df, "address", "outgoing_volume", 5, scales), "rank", "address",
+               "outgoing_volume")
+    assert got == [(1, "0xbb", 2.0), (2, "0xaa", 0.0)]
+    got = rows(R.top_addresses_overall(df, "address", "outgoing_volume", 5), "rank", "address", "outgoing_volume")
+    assert got == [(1, "0xbb", 2.0), (2, "0xaa", 0.0)]
