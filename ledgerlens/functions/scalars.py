@@ -106,15 +106,6 @@ def size_bucket(amount_normalized: Column) -> Column:
     return expr.otherwise(F.lit(SIZE_BUCKET_LABELS[-1]))
 
 
-def size_bucket_ordinal(label: Column) -> Column:
-    """Position (1-based) of an analysis bucket label; NULL when unknown."""
-    expr = None
-    for i, name in enumerate(SIZE_BUCKET_LABELS, start=1):
-        cond = label == F.lit(name)
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
-
-
 def zero_if_null(c: Column) -> Column:
     """COALESCE(x, 0)."""
     return F.coalesce(c, F.lit(0))
@@ -219,8 +210,9 @@ def guarded_ratio(part: Column, total: Column) -> Column:
 
 
 def percent(share: Column) -> Column:
-    """F16: share as percent rounded half-even to two digits."""
-    return F.bround(share * 100, 2)
+    """F16: share as percent with two decimals, rounded as numpy does:
+    ``rint(share * 100 * 100) / 100`` (half-even on the scaled double)."""
+    return F.rint(share * 100 * 100) / 100
 
 
 # ---------------------------------------------------------------------------

@@ -79,11 +79,6 @@ def _ratio_source(df: DataFrame, value: str) -> str:
     return raw if raw is not None and raw in df.columns else value
 
 
-def _numpy_round2(x: Column) -> Column:
-    """Two-decimal rounding as numpy does it: rint(x * 100) / 100."""
-    return F.rint(x * 100) / 100
-
-
 # ---------------------------------------------------------------------------
 # P0-P3 activity and adoption
 # ---------------------------------------------------------------------------
@@ -191,8 +186,8 @@ def histogram_shares(histogram: DataFrame, start: str | None = None, end: str |
     return _with_bucket_order(shares).select(
         *SERIES, "size_bucket", "bucket_label", "bucket_position", "transfer_count", "bucket_volume",
         "transfer_share", "volume_share",
-        _numpy_round2(F.col("transfer_share") * 100).alias("transfer_share_pct"),
-        _numpy_round2(F.col("volume_share") * 100).alias("volume_share_pct"),
+        S.percent(F.col("transfer_share")).alias("transfer_share_pct"),
+        S.percent(F.col("volume_share")).alias("volume_share_pct"),
     )
 
 

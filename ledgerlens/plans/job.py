@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas
@@ -199,11 +199,12 @@ def run_job(spark: SparkSession, tables: ChainTables, config: dict, opts: JobOpt
         if sl.limit(1).count() == 0:
             continue
         path = f"{opts.output}/{name}"
-        write_result(plan(sl, enriched, activity), path)
+        counted = Observation(name)
+        write_result(plan(sl, enriched, activity).observe(counted, F.count(F.lit(1)).alias("rows")), path)
         if opts.write_csv:
             write_result_csv(spark.read.parquet(path), f"{opts.output}/csv/{name}", SINK_ORDER[name])
         written[name] = path
-        opts.say(f"[export] {name}")
+        opts.say(f"[export] {name} ({counted.get['rows']:,} rows)")
     return written
 
 
