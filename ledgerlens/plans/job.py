@@ -130,10 +130,17 @@ def read_enriched(spark: SparkSession, slices: DataFrame, opts: JobOptions) -> D
 
 
 def build_activity(spark: SparkSession, enriched: DataFrame, slices: DataFrame, opts: JobOptions) -> None:
-    """D7 for the given slices, written once per run (a lineage cut)."""
+    """D7 for the given slices, written once per run (a lineage cut).
+
+    The rollup leaves its aggregation hash-partitioned, so every task holds
+    rows of every slice; range-partitioning on (slice, month, address) first
+    gives few, contiguous files per slice. D7 rows are unique per that key,
+    so a hot slice-month still splits over several ranges.
+    """
     d7 = _slice_key(A.attach_keys(derive.address_month(enriched), slices)).drop(
         "symbol", "transfer_filter", "slice_id", "decimals")
-    d7.write.mode("overwrite").partitionBy("slice_key").parquet(f"{opts.store}/address_month")
+    (d7.repartitionByRange(opts.fact_partitions, "slice_key", "month", "address_id")
+       .write.mode("overwrite").partitionBy("slice_key").parquet(f"{opts.store}/address_month"))
 
 
 def read_activity(spark: SparkSession, slices: DataFrame, opts: JobOptions) -> DataFrame:

@@ -56,10 +56,13 @@ class ChainTables:
 def write_result(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A result set, partitioned by its registry keys.
 
-    With ``partitionOverwriteMode=dynamic`` only the (symbol, filter)
-    partitions present in ``df`` are replaced.
+    Result sets are aggregates bounded per series (months x at most 100
+    rows), so each series is written as one file. With
+    ``partitionOverwriteMode=dynamic`` only the (symbol, filter) partitions
+    present in ``df`` are replaced.
     """
-    (df.write.mode(mode)
+    (df.repartition("symbol", "transfer_filter")
+       .write.mode(mode)
        .partitionBy("symbol", "transfer_filter")
        .parquet(path))
 
