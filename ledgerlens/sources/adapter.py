@@ -31,8 +31,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fixture_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _read(spark, sf_dir, "orders")
+def fixture_blocks(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    o = orders if orders is not None else _read(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("block_number"), F.col("o_orderdate").alias("ts"))
 
 
@@ -46,7 +46,7 @@ def fixture_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fixture_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fixture_transfers(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     # The driver's files hold one row group each, so a scan is a single task.
     # A fact table at scale is many files; to give the map side the same
     # parallelism here, the fixture spreads lineitem over the session's cores
@@ -54,7 +54,7 @@ def fixture_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
     li = li.repartition(spark.sparkContext.defaultParallelism, "l_orderkey")
-    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    o = (orders if orders is not None else _read(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     exponent = F.col("l_linenumber") - 2 + F.when(F.col("l_suppkey") % 3 == 2, 11).otherwise(1)
     amount = (
@@ -78,9 +78,10 @@ def fixture_tokens(spark: SparkSession) -> DataFrame:
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> ChainTables:
+    orders = _read(spark, sf_dir, "orders")
     return ChainTables(
-        transfers=fixture_transfers(spark, sf_dir),
-        blocks=fixture_blocks(spark, sf_dir),
+        transfers=fixture_transfers(spark, sf_dir, orders),
+        blocks=fixture_blocks(spark, sf_dir, orders),
         addresses=fixture_addresses(spark, sf_dir),
         tokens=fixture_tokens(spark),
     )

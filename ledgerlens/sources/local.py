@@ -1,30 +1,47 @@
-"""Small configuration tables as JVM-side literal relations.
+"""Small configuration tables as JVM-side local relations.
 
-``createDataFrame`` on a Python list goes through a Python-side RDD; for
-registry-sized tables an inline array of literal structs is planned and
-run entirely in the JVM, in one single-row stage.
+``createDataFrame`` on a Python list goes through a Python-side RDD. For
+registry-sized tables the rows are rendered as one SQL ``VALUES`` list
+instead: a single parser call that yields a ``LocalRelation`` (with size
+statistics), planned and run entirely in the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import datetime as dt
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _literal(value, dtype: T.DataType) -> Column:
+def _quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_literal(value, dtype: T.DataType) -> str:
+    """``value`` as a typed Spark SQL literal expression."""
+    type_name = dtype.simpleString()
     if value is None:
-        return F.lit(None).cast(dtype)
-    if isinstance(dtype, T.BinaryType):
-        return F.unhex(F.lit(bytes(value).hex()))
-    if isinstance(dtype, T.MapType):
-        if not value:
-            return F.create_map().cast(dtype)
-        items = [c for k, v in value.items() for c in (_literal(k, dtype.keyType), _literal(v, dtype.valueType))]
-        return F.create_map(*items).cast(dtype)
-    if isinstance(dtype, T.DecimalType):
-        return F.lit(str(value)).cast(dtype)
-    return F.lit(value).cast(dtype)
+        return f"CAST(NULL AS {type_name})"
+    if isinstance(dtype, T.BooleanType):
+        body = "true" if value else "false"
+    elif isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        body = str(int(value))
+    elif isinstance(dtype, T.BinaryType):
+        body = f"X'{bytes(value).hex()}'"
+    elif isinstance(dtype, T.MapType):
+        items = ", ".join(f"{sql_literal(k, dtype.keyType)}, {sql_literal(v, dtype.valueType)}"
+                          for k, v in value.items())
+        body = f"map({items})"
+    elif isinstance(dtype, (T.DecimalType, T.DoubleType, T.FloatType)):
+        body = _quote(str(Decimal(value)) if isinstance(value, Decimal) else repr(value))
+    elif isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        body = _quote(value.isoformat(sep=" ") if isinstance(value, dt.datetime) else value.isoformat())
+    else:
+        body = _quote(str(value))
+    return f"CAST({body} AS {type_name})"
 
 
 def local_frame(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
@@ -32,6 +49,7 @@ def local_frame(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
     rows = [tuple(r) for r in rows]
     if not rows:
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
-    structs = [F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows]
-    out = spark.range(1).select(F.inline(F.array(*structs)))
-    return out.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    values = ",\n".join("(" + ", ".join(sql_literal(v, f.dataType) for v, f in zip(r, schema.fields)) + ")"
+                        for r in rows)
+    names = ", ".join(f"`{f.name}`" for f in schema.fields)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
