@@ -47,6 +47,10 @@ class Fixture:
         rows = checks.resolve_slices(self.registry, self.tables.tokens).collect()
         return local_frame(self.spark, rows, schemas.SLICES)
 
+    @cached_property
+    def zero_ids(self) -> DataFrame:
+        return A.zero_address_ids(self.tables.addresses)
+
     @cached_property
     def sliced(self) -> DataFrame:
         return derive.filtered_slices(self.tables.transfers, self.tables.addresses, self.slices, self.filters)
@@ -79,76 +83,93 @@ class Fixture:
         return A.monthly_size_buckets(self.enriched, self.slices)
 
 
+_FIXTURES: dict[tuple, Fixture] = {}
+
+
+def fixture(spark: SparkSession, sf_dir: str, transfer_filter: str = "all") -> Fixture:
+    """The (lazy) fixture definitions for one session and tables folder.
+
+    Only definitions and the registry resolution are shared between queries,
+    as one job run shares them; every query still computes from the tables.
+    """
+    key = (spark, sf_dir, transfer_filter)
+    fx = _FIXTURES.get(key)
+    if fx is None or spark.sparkContext._jsc is None:
+        fx = _FIXTURES[key] = Fixture(spark, sf_dir, transfer_filter)
+    else:
+        apply_job_conf(spark)
+    return fx
+
+
 def _keys(df: DataFrame, slices: DataFrame) -> DataFrame:
     return A.attach_keys(df, slices)
 
 
 def q_token_slice(spark, sf_dir):
-    fx = Fixture(spark, sf_dir)
+    fx = fixture(spark, sf_dir)
     d1 = derive.token_slice(fx.tables.transfers, fx.slices)
     return _keys(d1.drop("transfer_filter", "decimals"), fx.slices).select(
         "symbol", "transfer_filter", "token_id", *derive.FACT_COLUMNS)
 
 
 def q_eoa_slice(spark, sf_dir):
-    fx = Fixture(spark, sf_dir, "eoa_eoa")
+    fx = fixture(spark, sf_dir, "eoa_eoa")
     return _keys(fx.sliced.drop("decimals"), fx.slices).select("symbol", "transfer_filter", *derive.FACT_COLUMNS)
 
 
 def q_transfers_enriched(spark, sf_dir):
-    fx = Fixture(spark, sf_dir)
+    fx = fixture(spark, sf_dir)
     return _keys(fx.enriched.drop("decimals"), fx.slices).select(
         "symbol", "transfer_filter", *derive.FACT_COLUMNS, "ts", "month")
 
 
 def q_address_month_role(spark, sf_dir):
-    fx = Fixture(spark, sf_dir)
+    fx = fixture(spark, sf_dir)
     return _keys(fx.activity, fx.slices).select(
         "symbol", "transfer_filter", "month", "address_id", "sent_count", "sent_amount",
         "received_count", "received_amount")
 
 
 def q_monthly_activity(spark, sf_dir):
-    return Fixture(spark, sf_dir).monthly_activity()
+    return fixture(spark, sf_dir).monthly_activity()
 
 
 def q_monthly_activity_eoa(spark, sf_dir):
-    return Fixture(spark, sf_dir, "eoa_eoa").monthly_activity()
+    return fixture(spark, sf_dir, "eoa_eoa").monthly_activity()
 
 
 def q_monthly_summary(spark, sf_dir):
-    fx = Fixture(spark, sf_dir)
-    zero = A.zero_address_ids(fx.tables.addresses)
-    return A.monthly_summary(fx.enriched, fx.activity, zero, fx.slices)
+    fx = fixture(spark, sf_dir)
+    return A.monthly_summary(fx.enriched, fx.activity, fx.zero_ids, fx.slices)
 
 
 def q_monthly_adoption(spark, sf_dir):
-    return Fixture(spark, sf_dir).monthly_adoption()
+    return fixture(spark, sf_dir).monthly_adoption()
 
 
 def q_first_incoming(spark, sf_dir):
-    fx = Fixture(spark, sf_dir)
+    fx = fixture(spark, sf_dir)
     return A.first_incoming(fx.enriched, fx.slices)
 
 
 def q_monthly_funded_by(spark, sf_dir):
-    return Fixture(spark, sf_dir).funded_by()
+    return fixture(spark, sf_dir).funded_by()
 
 
 def q_monthly_top_users(spark, sf_dir):
-    return Fixture(spark, sf_dir).top_users()
+    return fixture(spark, sf_dir).top_users()
 
 
 def q_size_histogram(spark, sf_dir):
-    return Fixture(spark, sf_dir).histogram()
+    return fixture(spark, sf_dir).histogram()
 
 
 def q_monthly_size_buckets(spark, sf_dir):
-    return Fixture(spark, sf_dir).month_buckets()
+    return fixture(spark, sf_dir).month_buckets()
 
 
 def q_wide_sum(spark, sf_dir):
-    fx = Fixture(spark, sf_dir)
+    fx = fixture(spark, sf_dir)
     return A.monthly_wide_volume(fx.enriched, fx.slices)
 
 
@@ -158,32 +179,32 @@ def q_wide_sum(spark, sf_dir):
 
 
 def q_activity_period(spark, sf_dir):
-    return R.activity_series(Fixture(spark, sf_dir).monthly_activity(), "token_volume", PERIOD_START, PERIOD_END)
+    return R.activity_series(fixture(spark, sf_dir).monthly_activity(), "token_volume", PERIOD_START, PERIOD_END)
 
 
 def q_user_series(spark, sf_dir):
-    return R.user_series(Fixture(spark, sf_dir).monthly_activity())
+    return R.user_series(fixture(spark, sf_dir).monthly_activity())
 
 
 def q_adoption_cumulative(spark, sf_dir):
-    return R.adoption_cumulative(Fixture(spark, sf_dir).monthly_adoption(), PERIOD_START, PERIOD_END)
+    return R.adoption_cumulative(fixture(spark, sf_dir).monthly_adoption(), PERIOD_START, PERIOD_END)
 
 
 def q_histogram_shares(spark, sf_dir):
-    return R.histogram_shares(Fixture(spark, sf_dir).histogram())
+    return R.histogram_shares(fixture(spark, sf_dir).histogram())
 
 
 def q_bucket_order(spark, sf_dir):
-    return R.bucket_order(Fixture(spark, sf_dir).month_buckets())
+    return R.bucket_order(fixture(spark, sf_dir).month_buckets())
 
 
 def q_bucket_month_totals(spark, sf_dir):
-    fx = Fixture(spark, sf_dir)
+    fx = fixture(spark, sf_dir)
     return R.bucket_month_totals(fx.month_buckets(), R.scales_of(fx.slices))
 
 
 def q_bucket_month_shares(spark, sf_dir):
-    return R.bucket_month_shares(Fixture(spark, sf_dir).month_buckets())
+    return R.bucket_month_shares(fixture(spark, sf_dir).month_buckets())
 
 
 USERS = ("address", "outgoing_volume")
@@ -203,59 +224,59 @@ def _windows(fx: Fixture, users: bool) -> DataFrame:
 
 
 def q_top_users_overall(spark, sf_dir):
-    return _overall(Fixture(spark, sf_dir), True)
+    return _overall(fixture(spark, sf_dir), True)
 
 
 def q_top_funders_overall(spark, sf_dir):
-    return _overall(Fixture(spark, sf_dir), False)
+    return _overall(fixture(spark, sf_dir), False)
 
 
 def q_users_windows(spark, sf_dir):
-    return _windows(Fixture(spark, sf_dir), True)
+    return _windows(fixture(spark, sf_dir), True)
 
 
 def q_funders_windows(spark, sf_dir):
-    return _windows(Fixture(spark, sf_dir), False)
+    return _windows(fixture(spark, sf_dir), False)
 
 
 def q_users_stack(spark, sf_dir):
-    fx = Fixture(spark, sf_dir)
+    fx = fixture(spark, sf_dir)
     return R.window_stack(_windows(fx, True), USERS[1], STACK_TOP_N, TOP_N, R.scales_of(fx.slices))
 
 
 def q_users_matrix(spark, sf_dir):
-    return R.window_matrix(_windows(Fixture(spark, sf_dir), True), USERS[1]).drop("overall_value")
+    return R.window_matrix(_windows(fixture(spark, sf_dir), True), USERS[1]).drop("overall_value")
 
 
 def q_users_bubbles(spark, sf_dir):
-    fx = Fixture(spark, sf_dir)
+    fx = fixture(spark, sf_dir)
     return R.window_bubbles(_windows(fx, True), USERS[1])
 
 
 def q_users_yearly(spark, sf_dir):
-    fx = Fixture(spark, sf_dir)
+    fx = fixture(spark, sf_dir)
     return R.yearly_top(fx.top_users(), *USERS, TOP_N, R.scales_of(fx.slices))
 
 
 def q_funders_yearly(spark, sf_dir):
-    fx = Fixture(spark, sf_dir)
+    fx = fixture(spark, sf_dir)
     return R.yearly_top(fx.funded_by(), *FUNDERS, TOP_N, R.scales_of(fx.slices))
 
 
 def q_address_lookup(spark, sf_dir):
-    return R.address_lookup(_overall(Fixture(spark, sf_dir), True), USERS[1])
+    return R.address_lookup(_overall(fixture(spark, sf_dir), True), USERS[1])
 
 
 def q_number_labels(spark, sf_dir):
-    return R.number_labels(Fixture(spark, sf_dir).monthly_activity())
+    return R.number_labels(fixture(spark, sf_dir).monthly_activity())
 
 
 def q_address_labels(spark, sf_dir):
-    return R.address_labels(Fixture(spark, sf_dir).top_users(), "address", "user_rank")
+    return R.address_labels(fixture(spark, sf_dir).top_users(), "address", "user_rank")
 
 
 def q_window_labels(spark, sf_dir):
-    return R.window_labels(Fixture(spark, sf_dir).monthly_activity())
+    return R.window_labels(fixture(spark, sf_dir).monthly_activity())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
