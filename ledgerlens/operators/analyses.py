@@ -77,11 +77,16 @@ def monthly_summary(enriched: DataFrame, activity: DataFrame, zero_ids: DataFram
     only participants are NULL or the zero address has no active addresses
     and drops out (inner join), as in the rebuilt job.
     """
-    transfers = enriched.groupBy("slice_id", "month").agg(
-        F.count(F.lit(1)).alias("transfer_count"),
-        F.count_distinct(F.struct("block_number", "tx_index")).alias("transaction_count"),
-        F.sum("amount").alias("raw_volume"),
+    # Transfer count and raw volume come from D7 (one sender row per transfer,
+    # already aggregated); the pass over every transfer only counts distinct
+    # (block, tx) pairs, so it adds no per-row decimal sums.
+    totals = activity.groupBy("slice_id", "month").agg(
+        F.sum("sent_count").alias("transfer_count"),
+        F.sum("sent_amount").alias("raw_volume"),
     )
+    transactions = enriched.groupBy("slice_id", "month").agg(
+        F.count_distinct(F.struct("block_number", "tx_index")).alias("transaction_count"))
+    transfers = totals.join(transactions, ["slice_id", "month"])
     cleaned = (activity.filter(F.col("address_id").isNotNull())
                .join(F.broadcast(zero_ids.select(F.col("id").alias("address_id"))), "address_id", "left_anti"))
     active = cleaned.groupBy("slice_id", "month").agg(F.count(F.lit(1)).alias("unique_addresses"))
