@@ -63,6 +63,11 @@ def dataset_options(config: dict) -> list[dict]:
     return [{**base, **d} for d in datasets]
 
 
+def result_key(symbol: str) -> str:
+    """The result key of a registry symbol (same rule as ``scalars.safe_name``)."""
+    return symbol.strip().lower().replace("-", "_")
+
+
 def report_command(args: argparse.Namespace, spark: SparkSession | None = None) -> dict[str, dict[str, str]]:
     from ledgerlens.operators.reports import SERIES
     from ledgerlens.plans.job import ReportOptions, run_reports
@@ -74,12 +79,13 @@ def report_command(args: argparse.Namespace, spark: SparkSession | None = None)
     scales = _read_table(spark, args.scales).select(*SERIES, F.col("decimals").cast("int"))
     written = {}
     for ds in dataset_options(config):
-        name = str(ds.get("name") or f"{ds['symbol']}_{ds.get('transfer_filter', 'all')}")
+        key = result_key(str(ds["symbol"]))
+        transfer_filter = ds.get("transfer_filter", "all")
+        name = str(ds.get("name") or f"{key}_{transfer_filter}")
         ro = ReportOptions(**{k: ds[k] for k in REPORT_KEYS if k in ds})
-        series = scales.filter((F.col("symbol") == str(ds["symbol"]).lower())
-                               & (F.col("transfer_filter") == ds.get("transfer_filter", "all")))
+        series = scales.filter((F.col("symbol") == key) & (F.col("transfer_filter") == transfer_filter))
         written[name] = run_reports(spark, args.results, series, f"{args.output}/{name}", ro,
-                                    series=(str(ds["symbol"]).lower(), ds.get("transfer_filter", "all")))
+                                    series=(key, transfer_filter))
     return written
 
 

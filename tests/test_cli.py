@@ -48,3 +48,12 @@ def test_run_and_report(spark, scratch):
     overall = spark.read.parquet(out["users_overall"])
     assert overall.count() == 3 and {r[0] for r in overall.select("symbol").collect()} == {"tkb"}
     assert "histogram_shares" not in out  # that result set was not written
+
+
+def test_example_configs_parse(spark):
+    import os
+    from ledgerlens.sources.registry import load_config, registry_rows
+    root = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "examples")
+    rows = registry_rows(load_config(os.path.join(root, "tokens.example.yaml")))
+    assert [r[1] for r in rows] == ["EXAMPLE-USD", "EXAMPLE-ETHX", "EXAMPLE-OLD"]
+    assert len(dataset_options(load_config(os.path.join(root, "report.example.yaml")))) == 2

@@ -37,3 +37,12 @@ def test_fact_scan_is_pruned(spark):
     assert lineitem_scans
     for line in lineitem_scans:
         assert "l_shipdate" not in line and "l_returnflag" not in line and "l_tax" not in line
+
+
+@pytest.mark.parametrize("name", ["monthly_activity", "monthly_top_users", "size_histogram", "first_incoming",
+                                  "monthly_adoption"])
+def test_facts_scanned_once(spark, name):
+    plan = queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("== Initial Plan ==")[0].splitlines()
+             if "FileScan" in line and "lineitem" in line]
+    assert len(scans) == 1, scans
