@@ -50,6 +50,7 @@ def run_command(args: argparse.Namespace, spark: SparkSession | None = None) ->
             F.col("address").cast("string"), F.col("decimals").cast("int"))
     opts = JobOptions(store=args.store, output=args.output, fact_partitions=args.fact_partitions,
                       refresh=args.refresh, write_csv=args.csv, check_database=args.database is not None,
+                      database=args.database,
                       shuffle_partitions=args.shuffle_partitions, token_metadata=metadata)
     return run_job(spark, tables, load_config(args.config), opts)
 

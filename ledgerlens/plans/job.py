@@ -51,7 +51,8 @@ class JobOptions:
     fact_partitions: int = 64        # files per D6 write; size ~ facts / 256 MB at scale
     refresh: bool = False            # rebuild stored slices whose setup flag is on
     write_csv: bool = False          # one ordered CSV per result, for small results
-    check_database: bool = False     # compare the catalog's current database
+    check_database: bool = False     # compare the database read with settings.expected_database
+    database: str | None = None      # database the tables come from (default: the current one)
     block_broadcast_max_rows: int = derive.BLOCK_BROADCAST_MAX_ROWS
     shuffle_partitions: int | None = None  # e.g. 20000 at 100 TB; AQE coalesces small ones
     token_metadata: DataFrame | None = None
@@ -159,7 +160,7 @@ def run_job(spark: SparkSession, tables: ChainTables, config: dict, opts: JobOpt
         spark.conf.set("spark.sql.shuffle.partitions", str(opts.shuffle_partitions))
     settings = settings_of(config)
     if opts.check_database and settings.get("expected_database"):
-        current = spark.catalog.currentDatabase()
+        current = opts.database or spark.catalog.currentDatabase()
         if current != settings["expected_database"]:
             raise RuntimeError(f"Refusing to run: expected database {settings['expected_database']!r}, "
                                f"but the current database is {current!r}")

@@ -67,3 +67,13 @@ def test_setup_off_without_stored_slice_fails(spark, scratch):
                       token_metadata=fixture_token_metadata(spark))
     with pytest.raises(RuntimeError, match="stored slice tka_all"):
         run_job(spark, tables, config, opts)
+
+
+def test_wrong_database_refused(spark, scratch):
+    tables = fixture_tables(spark, SF001)
+    config = fixture_registry_config()
+    config["settings"]["expected_database"] = "ethereum1"
+    opts = JobOptions(store=f"{scratch}/store", output=f"{scratch}/out", check_database=True, database="bsc",
+                      token_metadata=fixture_token_metadata(spark))
+    with pytest.raises(RuntimeError, match="Refusing to run"):
+        run_job(spark, tables, config, opts)
