@@ -86,6 +86,13 @@ class Fixture:
 _FIXTURES: dict[tuple, Fixture] = {}
 
 
+def _alive(spark: SparkSession) -> bool:
+    try:
+        return spark.sparkContext._jsc is not None
+    except Exception:  # sessions without a local SparkContext (Spark Connect)
+        return True
+
+
 def fixture(spark: SparkSession, sf_dir: str, transfer_filter: str = "all") -> Fixture:
     """The (lazy) fixture definitions for one session and tables folder.
 
@@ -94,7 +101,7 @@ def fixture(spark: SparkSession, sf_dir: str, transfer_filter: str = "all") -> F
     """
     key = (spark, sf_dir, transfer_filter)
     fx = _FIXTURES.get(key)
-    if fx is None or spark.sparkContext._jsc is None:
+    if fx is None or not _alive(spark):
         fx = _FIXTURES[key] = Fixture(spark, sf_dir, transfer_filter)
     else:
         apply_job_conf(spark)

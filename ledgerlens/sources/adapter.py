@@ -27,6 +27,14 @@ FIXTURE_TOKENS = (
 )
 
 
+def _parallelism(spark: SparkSession) -> int:
+    """Cores of the session (the shuffle partition count where no SparkContext is exposed)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,7 +61,7 @@ def fixture_transfers(spark: SparkSession, sf_dir: str, orders: DataFrame | None
     # (hash on the order key: deterministic on retry, no sort needed).
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
-    li = li.repartition(spark.sparkContext.defaultParallelism, "l_orderkey")
+    li = li.repartition(_parallelism(spark), "l_orderkey")
     o = (orders if orders is not None else _read(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     exponent = F.col("l_linenumber") - 2 + F.when(F.col("l_suppkey") % 3 == 2, 11).otherwise(1)

@@ -77,3 +77,19 @@ def test_wrong_database_refused(spark, scratch):
                       token_metadata=fixture_token_metadata(spark))
     with pytest.raises(RuntimeError, match="Refusing to run"):
         run_job(spark, tables, config, opts)
+
+
+def test_job_mixed_filters(spark, scratch):
+    tables = fixture_tables(spark, SF001)
+    config = fixture_registry_config()
+    config["tokens"]["TKB"]["transfer_filter"] = "eoa_eoa"
+    opts = JobOptions(store=f"{scratch}/store", output=f"{scratch}/out", fact_partitions=4,
+                      token_metadata=fixture_token_metadata(spark))
+    written = run_job(spark, tables, config, opts)
+    activity = spark.read.parquet(written["monthly_activity"])
+    assert sorted({(r[0], r[1]) for r in activity.select("symbol", "transfer_filter").collect()}) == [
+        ("tka", "all"), ("tkb", "eoa_eoa"), ("tkc", "all")]
+    eoa = catalog.QUERIES["monthly_activity_eoa"](spark, SF001).filter(F.col("symbol") == "tkb")
+    assert _same(activity.filter(F.col("symbol") == "tkb"), eoa)
+    plain = catalog.QUERIES["monthly_activity"](spark, SF001).filter(F.col("symbol") != "tkb")
+    assert _same(activity.filter(F.col("symbol") != "tkb"), plain)
