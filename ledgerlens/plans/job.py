@@ -119,13 +119,21 @@ def build_slices(spark: SparkSession, tables: ChainTables, slices: DataFrame, op
     opts.say(f"[setup] stored {len(rows)} slice(s): " + ", ".join(f"{r[0]}_{r[1]}" for r in rows))
 
 
+def _slice_keys(slices: DataFrame) -> list[str]:
+    """The slice keys of a registry-sized slices table (configuration)."""
+    rows = _slice_key(slices).select("slice_key").limit(MAX_REGISTRY_ENTRIES + 1).collect()
+    if len(rows) > MAX_REGISTRY_ENTRIES:
+        raise RuntimeError("too many registry slices")
+    return sorted(r[0] for r in rows)
+
+
 def read_enriched(spark: SparkSession, slices: DataFrame, opts: JobOptions) -> DataFrame:
     """Stored D6 of the given slices, re-keyed by this run's ``slice_id``.
 
-    The broadcast join on the partition column prunes the other slices'
-    files (dynamic partition pruning).
+    The slice keys are configuration, so they are given to the scan as a
+    partition filter: the other slices' folders are never listed or read.
     """
-    d6 = spark.read.parquet(f"{opts.store}/transfers_enriched")
+    d6 = spark.read.parquet(f"{opts.store}/transfers_enriched").filter(F.col("slice_key").isin(_slice_keys(slices)))
     keys = F.broadcast(_slice_key(slices).select("slice_key", "slice_id", "decimals"))
     return d6.join(keys, "slice_key").select("slice_id", *derive.FACT_COLUMNS, "ts", "month", "decimals")
 
@@ -145,8 +153,10 @@ def build_activity(spark: SparkSession, enriched: DataFrame, slices: DataFrame,
 
 
 def read_activity(spark: SparkSession, slices: DataFrame, opts: JobOptions) -> DataFrame:
+    """Stored D7 of the given slices (partition-pruned like ``read_enriched``)."""
+    d7 = spark.read.parquet(f"{opts.store}/address_month").filter(F.col("slice_key").isin(_slice_keys(slices)))
     keys = F.broadcast(_slice_key(slices).select("slice_key", "slice_id"))
-    return spark.read.parquet(f"{opts.store}/address_month").join(keys, "slice_key").drop("slice_key")
+    return d7.join(keys, "slice_key").drop("slice_key")
 
 
 # Analyses that read the address-month rollup D7.

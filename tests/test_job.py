@@ -93,3 +93,21 @@ def test_job_mixed_filters(spark, scratch):
     assert _same(activity.filter(F.col("symbol") == "tkb"), eoa)
     plain = catalog.QUERIES["monthly_activity"](spark, SF001).filter(F.col("symbol") != "tkb")
     assert _same(activity.filter(F.col("symbol") != "tkb"), plain)
+
+
+def test_stored_slices_are_partition_pruned(spark, scratch):
+    from ledgerlens.operators import checks
+    from ledgerlens.plans.job import _local, read_activity, read_enriched
+    from ledgerlens.sources.registry import registry_frame
+
+    tables = fixture_tables(spark, SF001)
+    config = fixture_registry_config()
+    opts = JobOptions(store=f"{scratch}/store", output=f"{scratch}/out", fact_partitions=2,
+                      token_metadata=fixture_token_metadata(spark))
+    run_job(spark, tables, config, opts)
+    slices = _local(spark, checks.resolve_slices(registry_frame(spark, config), tables.tokens)).filter(
+        "symbol = 'tkb'")
+    for df in (read_enriched(spark, slices, opts), read_activity(spark, slices, opts)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "slice_key" in plan and "tkb_all" in plan.split("PartitionFilters")[1].split("]")[0]
+        assert {r[0] for r in df.select("slice_id").distinct().collect()} == {1}
