@@ -27,8 +27,16 @@ from ledgerlens.functions import scalars as S
 FACT_COLUMNS = ("block_number", "tx_index", "log_index", "from_id", "to_id", "amount")
 
 
-def token_slice(transfers: DataFrame, slices: DataFrame) -> DataFrame:
-    """The facts of every registry slice, keyed by ``slice_id``."""
+def token_slice(transfers: DataFrame, slices: DataFrame, token_ids: Iterable[int] | None = None) -> DataFrame:
+    """The facts of every registry slice, keyed by ``slice_id``.
+
+    ``token_ids`` (the registry's tokens, known on the driver) become a
+    predicate on the fact scan: partition pruning when the facts are
+    partitioned by token, row-group skipping by min/max otherwise. The
+    broadcast join then attaches the slice keys.
+    """
+    if token_ids is not None:
+        transfers = transfers.filter(F.col("token_id").isin(sorted(set(token_ids))))
     keys = F.broadcast(slices.select("slice_id", "token_id", "transfer_filter", "decimals"))
     return transfers.join(keys, "token_id").select("slice_id", "token_id", "transfer_filter", *FACT_COLUMNS,
                                                    "decimals")
@@ -52,13 +60,14 @@ def eoa_slice(sliced: DataFrame, addresses: DataFrame) -> DataFrame:
 
 
 def filtered_slices(transfers: DataFrame, addresses: DataFrame, slices: DataFrame,
-                    filters: Iterable[str] = ("all", "eoa_eoa")) -> DataFrame:
+                    filters: Iterable[str] = ("all", "eoa_eoa"),
+                    token_ids: Iterable[int] | None = None) -> DataFrame:
     """D3: each slice's facts under its own transfer filter.
 
     ``filters`` names the filters present in the registry (known on the
     driver), so the EOA joins are planned only when some slice needs them.
     """
-    sliced = token_slice(transfers, slices)
+    sliced = token_slice(transfers, slices, token_ids)
     filters = tuple(filters)
     parts = []
     if "all" in filters:

@@ -45,6 +45,7 @@ class Fixture:
     def slices(self) -> DataFrame:
         """Resolved once (a registry-sized collect) and reused as a literal table."""
         rows = checks.resolve_slices(self.registry, self.tables.tokens).collect()
+        self.token_ids = [r["token_id"] for r in rows]
         return local_frame(self.spark, rows, schemas.SLICES)
 
     @cached_property
@@ -53,7 +54,9 @@ class Fixture:
 
     @cached_property
     def sliced(self) -> DataFrame:
-        return derive.filtered_slices(self.tables.transfers, self.tables.addresses, self.slices, self.filters)
+        slices = self.slices
+        return derive.filtered_slices(self.tables.transfers, self.tables.addresses, slices, self.filters,
+                                      self.token_ids)
 
     @cached_property
     def enriched(self) -> DataFrame:
@@ -114,7 +117,7 @@ def _keys(df: DataFrame, slices: DataFrame) -> DataFrame:
 
 def q_token_slice(spark, sf_dir):
     fx = fixture(spark, sf_dir)
-    d1 = derive.token_slice(fx.tables.transfers, fx.slices)
+    d1 = derive.token_slice(fx.tables.transfers, fx.slices, fx.token_ids)
     return _keys(d1.drop("transfer_filter", "decimals"), fx.slices).select(
         "symbol", "transfer_filter", "token_id", *derive.FACT_COLUMNS)
 

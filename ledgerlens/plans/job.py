@@ -111,7 +111,8 @@ def build_slices(spark: SparkSession, tables: ChainTables, slices: DataFrame, op
         opts.say("[setup] all slices already stored")
         return
     filters = sorted({r["transfer_filter"] for r in rows})
-    sliced = derive.filtered_slices(tables.transfers, tables.addresses, todo, filters)
+    token_ids = [r[0] for r in todo.select("token_id").collect()]
+    sliced = derive.filtered_slices(tables.transfers, tables.addresses, todo, filters, token_ids)
     small_blocks = derive.blocks_broadcastable(tables.blocks, opts.block_broadcast_max_rows)
     enriched = derive.enriched(sliced, tables.blocks, todo, broadcast_blocks=small_blocks).drop("decimals")
     keyed = _slice_key(A.attach_keys(enriched, todo)).drop("symbol", "transfer_filter", "slice_id", "decimals")
