@@ -10,7 +10,6 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerlens import schemas
 from ledgerlens.operators import analyses as A
