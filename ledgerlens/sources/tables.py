@@ -68,8 +68,18 @@ def write_result(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_result_csv(df: DataFrame, path: str, order_by: list[str]) -> None:
-    """S7 (optional): one CSV with header for small results, ordered at the sink."""
-    df.orderBy(*order_by).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """S7 (optional): one ordered CSV with header per series.
+
+    ``order_by`` starts with the series keys; each series lands in its own
+    ``symbol=…/transfer_filter=…`` folder as one file sorted by the rest,
+    like one CSV per token and filter. Result sets are small per series.
+    """
+    (df.repartition("symbol", "transfer_filter")
+       .sortWithinPartitions(*order_by)
+       .write.mode("overwrite")
+       .partitionBy("symbol", "transfer_filter")
+       .option("header", True)
+       .csv(path))
 
 
 def read_result(spark: SparkSession, path: str, schema=None, symbol: str | None = None,

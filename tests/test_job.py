@@ -111,3 +111,24 @@ def test_stored_slices_are_partition_pruned(spark, scratch):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "slice_key" in plan and "tkb_all" in plan.split("PartitionFilters")[1].split("]")[0]
         assert {r[0] for r in df.select("slice_id").distinct().collect()} == {1}
+
+
+def test_csv_one_ordered_file_per_series(spark, scratch):
+    import csv
+    import glob
+
+    tables = fixture_tables(spark, SF001)
+    config = fixture_registry_config(analyses={n: n == "monthly_top_users" for n in
+                                               ("monthly_activity", "monthly_summary",
+                                                "monthly_adoption_and_funded_by", "monthly_top_users",
+                                                "transfer_size_histogram_all_time",
+                                                "monthly_transfer_size_buckets")})
+    opts = JobOptions(store=f"{scratch}/store", output=f"{scratch}/out", fact_partitions=2, write_csv=True,
+                      token_metadata=fixture_token_metadata(spark))
+    assert set(run_job(spark, tables, config, opts)) == {"monthly_top100_users"}
+    for sym in ("tka", "tkb", "tkc"):
+        files = glob.glob(f"{scratch}/out/csv/monthly_top100_users/symbol={sym}/transfer_filter=all/*.csv")
+        assert len(files) == 1
+        rows = list(csv.DictReader(open(files[0])))
+        keys = [(r["month"], int(r["user_rank"])) for r in rows]
+        assert rows and keys == sorted(keys)
