@@ -86,7 +86,7 @@ def report_command(args: argparse.Namespace, spark: SparkSession | None = None)
         ro = ReportOptions(**{k: ds[k] for k in REPORT_KEYS if k in ds})
         series = scales.filter((F.col("symbol") == key) & (F.col("transfer_filter") == transfer_filter))
         written[name] = run_reports(spark, args.results, series, f"{args.output}/{name}", ro,
-                                    series=(key, transfer_filter))
+                                    series=(key, transfer_filter), csv_folder=args.csv_input)
     return written
 
 
@@ -110,7 +110,9 @@ def parser() -> argparse.ArgumentParser:
 
     q = sub.add_parser("report", help="build report datasets from stored result sets")
     q.add_argument("--config", required=True, help="report YAML with global and datasets")
-    q.add_argument("--results", required=True, help="folder written by 'run'")
+    inputs = q.add_mutually_exclusive_group(required=True)
+    inputs.add_argument("--results", help="folder written by 'run'")
+    inputs.add_argument("--csv-input", help="folder of flat CSV results named <key>_<filter>_<result>.csv")
     q.add_argument("--scales", required=True, help="parquet/csv with symbol, transfer_filter, decimals")
     q.add_argument("--output", required=True)
     return p

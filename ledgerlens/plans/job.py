@@ -20,7 +20,7 @@ from ledgerlens.operators import reports as R
 from ledgerlens.session import apply_job_conf
 from ledgerlens.sources.local import local_frame
 from ledgerlens.sources.registry import MAX_REGISTRY_ENTRIES, registry_frame, settings_of
-from ledgerlens.sources.tables import ChainTables, read_result, write_result, write_result_csv
+from ledgerlens.sources.tables import ChainTables, read_flat_csv, read_result, write_result, write_result_csv
 
 # Result set names and the registry flag that switches each on (fixed values).
 RESULT_FLAGS = {
@@ -239,13 +239,18 @@ class ReportOptions:
     explorer_address_url: str = "https://etherscan.io/address/"
 
 
-def run_reports(spark: SparkSession, results: str, slices: DataFrame, out: str,
-                ro: ReportOptions | None = None, series: tuple[str, str] | None = None) -> dict[str, str]:
+def run_reports(spark: SparkSession, results: str | None, slices: DataFrame, out: str,
+                ro: ReportOptions | None = None, series: tuple[str, str] | None = None,
+                csv_folder: str | None = None) -> dict[str, str]:
     """Report datasets for every series (or one ``(symbol, filter)``) from the stored results.
 
     A missing result set skips only the datasets built from it. Selecting a
-    series prunes the results' partition folders to that series.
+    series prunes the results' partition folders to that series. With
+    ``csv_folder`` (and a ``series``) the results are read from flat CSV
+    files ``{key}_{filter}_{result}.csv`` instead.
     """
+    if csv_folder is not None and series is None:
+        raise ValueError("reading flat CSV results needs one series")
     ro = ro or ReportOptions()
     scales = R.scales_of(slices)
     s, e = ro.start_date, ro.end_date
@@ -257,6 +262,8 @@ def run_reports(spark: SparkSession, results: str, slices: DataFrame, out: str,
 
     def load(name: str) -> DataFrame | None:
         symbol, transfer_filter = series if series else (None, None)
+        if csv_folder is not None:
+            return read_flat_csv(spark, csv_folder, name, symbol, transfer_filter)
         return read_result(spark, f"{results}/{name}", symbol=symbol, transfer_filter=transfer_filter)
 
     activity = load("monthly_activity")

@@ -103,3 +103,24 @@ def read_result(spark: SparkSession, path: str, schema=None, symbol: str | None
     if transfer_filter is not None:
         df = df.filter(F.col("transfer_filter") == transfer_filter)
     return df
+
+
+def read_flat_csv(spark: SparkSession, folder: str, name: str, key: str,
+                  transfer_filter: str) -> DataFrame | None:
+    """One result of one series from a flat CSV folder.
+
+    The file is ``{folder}/{key}_{transfer_filter}_{name}.csv``, read with
+    the explicit result schema; the series keys become columns. An absent
+    file returns None, so only the reports built from it are skipped.
+    """
+    path = f"{folder}/{key}_{transfer_filter}_{name}.csv"
+    try:
+        df = (spark.read.schema(schemas.RESULT_CSV[name]).option("header", True)
+              .option("mode", "FAILFAST").csv(path))
+    except Exception as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+            print(f"[skip] {path} not found")
+            return None
+        raise
+    return df.select(F.lit(key).alias("symbol"), F.lit(transfer_filter).alias("transfer_filter"), "*")
+
