@@ -19,7 +19,7 @@ from ledgerlens.operators import checks, derive
 from ledgerlens.operators import reports as R
 from ledgerlens.session import apply_job_conf
 from ledgerlens.sources.local import local_frame
-from ledgerlens.sources.registry import MAX_REGISTRY_ENTRIES, registry_frame, settings_of
+from ledgerlens.sources.registry import MAX_REGISTRY_ENTRIES, registry_frame, registry_rows, settings_of
 from ledgerlens.sources.tables import ChainTables, read_flat_csv, read_result, write_result, write_result_csv
 
 # Result set names and the registry flag that switches each on (fixed values).
@@ -128,13 +128,15 @@ def _slice_keys(slices: DataFrame) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
-def read_enriched(spark: SparkSession, slices: DataFrame, opts: JobOptions) -> DataFrame:
+def read_enriched(spark: SparkSession, slices: DataFrame, opts: JobOptions,
+                  keys: list[str] | None = None) -> DataFrame:
     """Stored D6 of the given slices, re-keyed by this run's ``slice_id``.
 
     The slice keys are configuration, so they are given to the scan as a
     partition filter: the other slices' folders are never listed or read.
     """
-    d6 = spark.read.parquet(f"{opts.store}/transfers_enriched").filter(F.col("slice_key").isin(_slice_keys(slices)))
+    keys = keys if keys is not None else _slice_keys(slices)
+    d6 = spark.read.parquet(f"{opts.store}/transfers_enriched").filter(F.col("slice_key").isin(keys))
     keys = F.broadcast(_slice_key(slices).select("slice_key", "slice_id", "decimals"))
     return d6.join(keys, "slice_key").select("slice_id", *derive.FACT_COLUMNS, "ts", "month", "decimals")
 
@@ -153,9 +155,11 @@ def build_activity(spark: SparkSession, enriched: DataFrame, slices: DataFrame,
        .write.mode("overwrite").partitionBy("slice_key").parquet(f"{opts.store}/address_month"))
 
 
-def read_activity(spark: SparkSession, slices: DataFrame, opts: JobOptions) -> DataFrame:
+def read_activity(spark: SparkSession, slices: DataFrame, opts: JobOptions,
+                  keys: list[str] | None = None) -> DataFrame:
     """Stored D7 of the given slices (partition-pruned like ``read_enriched``)."""
-    d7 = spark.read.parquet(f"{opts.store}/address_month").filter(F.col("slice_key").isin(_slice_keys(slices)))
+    keys = keys if keys is not None else _slice_keys(slices)
+    d7 = spark.read.parquet(f"{opts.store}/address_month").filter(F.col("slice_key").isin(keys))
     keys = F.broadcast(_slice_key(slices).select("slice_key", "slice_id"))
     return d7.join(keys, "slice_key").drop("slice_key")
 
@@ -185,23 +189,33 @@ def run_job(spark: SparkSession, tables: ChainTables, config: dict, opts: JobOpt
                      stored=stored, require_stored=True)
     opts.say("[preflight] all enabled tokens passed")
 
-    slices = _local(spark, checks.resolve_slices(registry, tables.tokens))
-    setup_on = registry.filter(F.col("setup_token_view")).select(F.col("entry_id").alias("slice_id"))
-    build_slices(spark, tables, slices.join(F.broadcast(setup_on), "slice_id", "left_semi"), opts)
+    # The resolved slices are configuration: collect them once (bounded) and
+    # derive every routed subset and partition-key list on the driver.
+    slice_rows = checks.resolve_slices(registry, tables.tokens).limit(MAX_REGISTRY_ENTRIES + 1).collect()
+    if len(slice_rows) > MAX_REGISTRY_ENTRIES:
+        raise RuntimeError("too many registry slices")
+    setup_on = {row[0] for row in registry_rows(config) if row[5]}
+    build_slices(spark, tables, local_frame(spark, [r for r in slice_rows if r["slice_id"] in setup_on],
+                                            schemas.SLICES), opts)
+
+    def routed(*flags: str) -> list:
+        """V8: the slices that switched on any of ``flags``."""
+        return [r for r in slice_rows if any((r["analyses"] or {}).get(f) for f in flags)]
 
-    def routed(*flags: str) -> DataFrame:
-        """V8: the slices that switched on any of ``flags`` (local, bounded)."""
-        flagged = checks.routes(slices).filter(F.col("analysis").isin(*flags)).select("slice_id").distinct()
-        return _local(spark, slices.join(F.broadcast(flagged), "slice_id", "left_semi"))
+    def keys_of(rows: list) -> list[str]:
+        return sorted(f"{r['symbol']}_{r['transfer_filter']}" for r in rows)
 
     with_activity = routed(*USES_ACTIVITY)
-    if with_activity.limit(1).count():
-        build_activity(spark, read_enriched(spark, with_activity, opts), with_activity, opts)
+    if with_activity:
+        frame = local_frame(spark, with_activity, schemas.SLICES)
+        build_activity(spark, read_enriched(spark, frame, opts, keys_of(with_activity)), frame, opts)
     zero_ids = A.zero_address_ids(tables.addresses)
 
     def inputs(flag: str):
-        sl = routed(flag)
-        return sl, (lambda: read_enriched(spark, sl, opts)), (lambda: read_activity(spark, sl, opts))
+        rows = routed(flag)
+        sl = local_frame(spark, rows, schemas.SLICES)
+        keys = keys_of(rows)
+        return rows, sl, (lambda: read_enriched(spark, sl, opts, keys)), (lambda: read_activity(spark, sl, opts, keys))
 
     plans = {
         "monthly_activity": lambda sl, e, a: A.monthly_activity(a(), sl),
@@ -214,8 +228,8 @@ def run_job(spark: SparkSession, tables: ChainTables, config: dict, opts: JobOpt
     }
     written = {}
     for name, plan in plans.items():
-        sl, enriched, activity = inputs(RESULT_FLAGS[name])
-        if sl.limit(1).count() == 0:
+        rows, sl, enriched, activity = inputs(RESULT_FLAGS[name])
+        if not rows:
             continue
         path = f"{opts.output}/{name}"
         counted = Observation(name)
