@@ -46,8 +46,8 @@ def run_command(args: argparse.Namespace, spark: SparkSession | None = None) ->
         tables = ChainTables.from_catalog(spark, args.database)
     metadata = None
     if args.token_metadata:
-        metadata = _read_table(spark, args.token_metadata).select(
-            F.col("address").cast("string"), F.col("decimals").cast("int"))
+        # decimals may be an integer or the node's raw hex result; the check parses both
+        metadata = _read_table(spark, args.token_metadata).select(F.col("address").cast("string"), "decimals")
     opts = JobOptions(store=args.store, output=args.output, fact_partitions=args.fact_partitions,
                       refresh=args.refresh, write_csv=args.csv, check_database=args.database is not None,
                       database=args.database,

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens import schemas
 from ledgerlens.functions import scalars as S
@@ -94,6 +95,21 @@ def token_violations(matched: DataFrame) -> DataFrame:
     return missing.unionByName(dup)
 
 
+def onchain_decimals(token_metadata: DataFrame) -> Column:
+    """The snapshot's decimals as INT.
+
+    Either an integer column, or the node's raw ``decimals()`` result as text:
+    ``0x``-prefixed hex (32-byte padded) or plain digits; an empty result or a
+    bare ``0x`` is no value (NULL).
+    """
+    if not isinstance(token_metadata.schema["decimals"].dataType, T.StringType):
+        return F.col("decimals").cast("int")
+    raw = F.lower(F.trim(F.col("decimals")))
+    hex_digits = F.substring(raw, 3, 1 << 20)
+    return (F.when(raw.startswith("0x") & hex_digits.rlike("^[0-9a-f]+$"), F.conv(hex_digits, 16, 10).cast("int"))
+            .when(raw.rlike("^[0-9]+$"), raw.cast("int")))
+
+
 def decimals_violations(reg: DataFrame, token_metadata: DataFrame) -> DataFrame:
     """V4: declared decimals must equal the on-chain ``decimals()`` snapshot.
 
@@ -103,7 +119,7 @@ def decimals_violations(reg: DataFrame, token_metadata: DataFrame) -> DataFrame:
     wanted = reg.filter(F.col("addr").isNotNull())
     found = (token_metadata
              .select(S.clean_address(F.col("address")).alias("address_hex"),
-                     F.col("decimals").alias("onchain_decimals"))
+                     onchain_decimals(token_metadata).alias("onchain_decimals"))
              .join(F.broadcast(wanted.select("symbol", "address_hex")), "address_hex")
              .groupBy("symbol").agg(F.max("onchain_decimals").alias("onchain_decimals")))
     joined = wanted.join(found, "symbol", "left")

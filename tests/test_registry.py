@@ -119,3 +119,15 @@ def test_slices_and_routing(spark, tokens):
     assert [tuple(r) for r in checks.routes(slices).collect()] == [(0, "monthly_activity")]
     assert checks.route(slices, slices, "monthly_summary").count() == 0
     assert [r["symbol"] for r in checks.skipped(reg).collect()] == ["OFF"]
+
+
+def test_decimals_from_raw_node_results(spark, tokens):
+    raw = spark.createDataFrame([("0x" + GOOD, "0x" + "0" * 62 + "06"), ("0x" + "cc" * 20, "0x")],
+                                "address string, decimals string")
+    cfg = {"GOOD": entry(), "EMPTY": entry(address="0x" + "cc" * 20, decimals=18)}
+    reg = checks.with_keys(registry_frame(spark, {"tokens": cfg}))
+    got = sorted((r["symbol"], r["message"]) for r in checks.decimals_violations(reg, raw).collect())
+    assert got == [("EMPTY", f"Contract 0x{'cc' * 20} returned no value for decimals()")]
+    wrong = spark.createDataFrame([("0x" + GOOD, "0x12")], "address string, decimals string")
+    got = [r["message"] for r in checks.decimals_violations(reg.filter("symbol = 'GOOD'"), wrong).collect()]
+    assert got == ["GOOD: registry decimals=6, but contract decimals()=18"]
