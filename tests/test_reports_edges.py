@@ -80,3 +80,20 @@ def test_all_missing_volume_sums_to_zero(spark):
     assert got == [(1, "0xbb", 2.0), (2, "0xaa", 0.0)]
     got = rows(R.top_addresses_overall(df, "address", "outgoing_volume", 5), "rank", "address", "outgoing_volume")
     assert got == [(1, "0xbb", 2.0), (2, "0xaa", 0.0)]
+
+
+def test_activity_series_volume_column(spark):
+    df = spark.createDataFrame([(*SERIES, dt.date(2024, 1, 1), 1500, Decimal(1500000000), 1500.0)],
+                               "symbol string, transfer_filter string, month date, transfer_count long, "
+                               "raw_volume decimal(38,0), token_volume double")
+    token = R.activity_series(df).first()
+    raw = R.activity_series(df, volume_column="raw_volume").first()
+    assert (token["volume"], token["volume_label"], token["count_label"]) == (1500.0, "1.5K", "1.5K")
+    assert (raw["volume"], raw["volume_label"]) == (1.5e9, "1.5B")
+
+
+def test_yearly_top_n_falls_back_to_top_n():
+    from ledgerlens.plans.job import ReportOptions
+    ro = ReportOptions(top_n=7)
+    assert (ro.yearly_top_n or ro.top_n) == 7
+    assert (ReportOptions(top_n=7, yearly_top_n=3).yearly_top_n or 7) == 3
