@@ -163,3 +163,28 @@ def test_reports_from_flat_csv_results(spark, scratch):
     missing = run_reports(spark, None, slices, f"{scratch}/r_none", ReportOptions(), series=("tkx", "all"),
                           csv_folder=flat)
     assert missing == {}
+
+
+def test_catalog_tables_and_refresh(spark, scratch):
+    from ledgerlens.sources.tables import ChainTables
+
+    t = fixture_tables(spark, SF001)
+    for name, df in (("erc20_transfer", t.transfers), ("eth_block", t.blocks), ("address", t.addresses),
+                     ("token", t.tokens)):
+        df.createOrReplaceTempView(name)
+    tables = ChainTables.from_catalog(spark)
+    assert tables.transfers.columns == ["token_id", "block_number", "tx_index", "log_index", "from_id", "to_id",
+                                        "amount"]
+    config = fixture_registry_config(analyses={"monthly_activity": True, "monthly_summary": False,
+                                               "monthly_adoption_and_funded_by": False, "monthly_top_users": False,
+                                               "transfer_size_histogram_all_time": False,
+                                               "monthly_transfer_size_buckets": False})
+    first = JobOptions(store=f"{scratch}/store", output=f"{scratch}/out", fact_partitions=2,
+                       token_metadata=fixture_token_metadata(spark))
+    run_job(spark, tables, config, first)
+    again = JobOptions(store=first.store, output=first.output, fact_partitions=2, refresh=True,
+                       token_metadata=fixture_token_metadata(spark))
+    written = run_job(spark, tables, config, again)
+    assert any(m.startswith("[setup] stored 3 slice(s)") for m in again.log)
+    assert set(written) == {"monthly_activity"}
+    assert _same(spark.read.parquet(written["monthly_activity"]), catalog.QUERIES["monthly_activity"](spark, SF001))
