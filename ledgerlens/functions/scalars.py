@@ -116,9 +116,14 @@ def zero_if_null(c: Column) -> Column:
 # ---------------------------------------------------------------------------
 
 
+def strip_text(text: Column) -> Column:
+    """Leading and trailing whitespace removed (tabs and newlines too, like ``str.strip``)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def normalize_address(address: Column) -> Column:
     """F8: trim, add ``0x`` unless present (case-sensitive test), lower-case."""
-    text = F.trim(address.cast("string"))
+    text = strip_text(address.cast("string"))
     return F.lower(F.when(text.startswith("0x"), text).otherwise(F.concat(F.lit("0x"), text)))
 
 
@@ -222,7 +227,7 @@ def percent(share: Column) -> Column:
 
 def clean_address(address: Column) -> Column:
     """Trim, lower-case and drop one leading ``0x``."""
-    text = F.lower(F.trim(address))
+    text = F.lower(strip_text(address))
     return F.when(text.startswith("0x"), F.substring(text, 3, 1 << 20)).otherwise(text)
 
 
@@ -232,7 +237,7 @@ def is_valid_address(cleaned: Column) -> Column:
 
 def safe_name(symbol: Column) -> Column:
     """Result key of a symbol: trimmed, lower-case, ``-`` replaced by ``_``."""
-    return F.translate(F.lower(F.trim(symbol)), "-", "_")
+    return F.translate(F.lower(strip_text(symbol)), "-", "_")
 
 
 def is_safe_name(name: Column) -> Column:

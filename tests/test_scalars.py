@@ -27,6 +27,7 @@ def test_human_number(spark, value, expected):
     ("abc", "0xabc", "0xabc"),
     ("  0xABCdef  ", "0xabcdef", "0xabcdef"),
     ("0X12AB", "0x0x12ab", "0x0x12ab"),
+    ("\tabc\n", "0xabc", "0xabc"),
     ("00112233445566778899aabbccddeeff00112233", "0x00112233445566778899aabbccddeeff00112233", "0x001122…2233"),
     ("0x12345678901", "0x12345678901", "0x12345678901"),
     ("0x123456789012", "0x123456789012", "0x123456…9012"),
