@@ -18,7 +18,7 @@ from ledgerlens.operators import derive
 from ledgerlens.operators import reports as R
 from ledgerlens.sources.adapter import fixture_registry_config, fixture_tables
 from ledgerlens.sources.local import local_frame
-from ledgerlens.sources.registry import registry_frame
+from ledgerlens.sources.registry import MAX_REGISTRY_ENTRIES, registry_frame
 from ledgerlens.session import apply_job_conf
 
 # Report parameters used by the registered report queries (the report
@@ -43,7 +43,9 @@ class Fixture:
     @cached_property
     def slices(self) -> DataFrame:
         """Resolved once (a registry-sized collect) and reused as a literal table."""
-        rows = checks.resolve_slices(self.registry, self.tables.tokens).collect()
+        rows = checks.resolve_slices(self.registry, self.tables.tokens).limit(MAX_REGISTRY_ENTRIES + 1).collect()
+        if len(rows) > MAX_REGISTRY_ENTRIES:
+            raise RuntimeError("too many registry slices")
         self.token_ids = [r["token_id"] for r in rows]
         return local_frame(self.spark, rows, schemas.SLICES)
 
