@@ -69,3 +69,37 @@ def test_hot_receiver_is_really_hot(spark, hot):
     total = enriched.count()
     hot_rows = enriched.filter(F.col("to_id") == 42).count()
     assert hot_rows * 4 > total
+
+
+def test_eoa_filter_splits_hot_sender(spark, duck):
+    """Wallet-to-wallet semi joins as shuffle joins: AQE splits the hot sender's partition."""
+    t = fixture_tables(spark, SF01)
+    b = F.col("block_number")
+    transfers = (t.transfers
+                 .withColumn("to_id", F.when(b % 3 == 0, F.lit(42).cast("long")).otherwise(F.col("to_id")))
+                 .withColumn("from_id", F.when(b % 3 == 1, F.lit(7).cast("long")).otherwise(F.col("from_id"))))
+    tables = ChainTables(transfers, t.blocks, t.addresses, t.tokens)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        slices, enriched, _ = derived(spark, tables, fixture_registry_config("eoa_eoa"))
+        df = A.attach_keys(enriched.drop("decimals"), slices).select(
+            "symbol", "transfer_filter", "block_number", "tx_index", "log_index", "from_id", "to_id", "amount")
+        qe = df._jdf.queryExecution()
+        rows = [tuple(r) for r in df.collect()]
+        plan = qe.executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert "skew=true" in plan
+    res = duck.execute(hot_sql(ORACLE["eoa_slice"]))
+    exact, _, msg = compare_rows(df.columns, rows, [c[0] for c in res.description], res.fetchall())
+    assert exact, msg
