@@ -111,3 +111,40 @@ def test_hex_roundtrip(spark):
     df = spark.createDataFrame([("ABcd" * 10,)], "h string")
     got = df.select(S.hex_address(S.unhex_address(F.lower(F.col("h"))))).first()[0]
     assert got == ("abcd" * 10)
+
+
+def _human_number_py(value):
+    """The F10 rules restated in Python, for a property check."""
+    if value is None or value != value:
+        return ""
+    a = abs(value)
+    if a >= 1e9:
+        scaled, suffix = value / 1e9, "B"
+    elif a >= 1e6:
+        scaled, suffix = value / 1e6, "M"
+    elif a >= 1e3:
+        scaled, suffix = value / 1e3, "K"
+    else:
+        return f"{value:,.0f}" if float(value).is_integer() else f"{value:,.2f}"
+    if abs(scaled) >= 100:
+        return f"{scaled:,.0f}{suffix}"
+    digits = 1 if abs(scaled) >= 10 else 2
+    return f"{scaled:,.{digits}f}".rstrip("0").rstrip(".") + suffix
+
+
+def test_human_number_matches_rules_on_many_values(spark):
+    import random
+
+    rnd = random.Random(7)
+    values = []
+    for _ in range(4000):
+        exp = rnd.uniform(-3, 15)
+        v = rnd.choice([1, -1]) * 10 ** exp
+        values.append(v)
+        values.append(float(round(v)))           # whole numbers
+        values.append(round(v, 2) + 0.005)        # near rounding ties
+    values += [999.995, 999999.0, 9999.5, 99950.0, 0.5, 1.5, 2.5, 1e12, 5e14]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in df.select(S.human_number(F.col("x"))).collect()]
+    bad = [(v, g, _human_number_py(v)) for v, g in zip(values, got) if g != _human_number_py(v)]
+    assert not bad, bad[:10]
