@@ -148,3 +148,29 @@ def test_human_number_matches_rules_on_many_values(spark):
     got = [r[0] for r in df.select(S.human_number(F.col("x"))).collect()]
     bad = [(v, g, _human_number_py(v)) for v, g in zip(values, got) if g != _human_number_py(v)]
     assert not bad, bad[:10]
+
+
+def test_size_bucket_matches_double_thresholds(spark):
+    import random
+
+    rnd = random.Random(11)
+    rows = []
+    for d in (0, 6, 8, 18):
+        for _ in range(1500):
+            rows.append((rnd.randrange(1, 10 ** rnd.randint(1, 37)), d))
+        for edge in S.SIZE_BUCKET_EDGES:  # exactly at and one unit around each edge
+            at = int(round(edge * 10 ** d)) if edge * 10 ** d >= 1 else None
+            if at:
+                rows += [(at - 1, d), (at, d), (at + 1, d)]
+    df = spark.createDataFrame([(Decimal(r), d) for r, d in rows], "raw decimal(38,0), d int")
+    got = [r[0] for r in df.select(S.size_bucket(S.scale_double(F.col("raw"), F.col("d")))).collect()]
+
+    def expected(raw, d):
+        x = float(raw) / 10 ** d
+        for edge, label in zip(S.SIZE_BUCKET_EDGES, S.SIZE_BUCKET_LABELS):
+            if x < edge:
+                return label
+        return S.SIZE_BUCKET_LABELS[-1]
+
+    bad = [(r, g, expected(*r)) for r, g in zip(rows, got) if g != expected(*r)]
+    assert not bad, bad[:10]
