@@ -125,3 +125,18 @@ def test_wide_sum_beyond_38_digits(spark):
     assert got == str(2 * big + 5)
     empty = spark.createDataFrame([(None,)], "amount string").agg(*wide.limb_sum_aggs(F.col("amount")))
     assert empty.select(wide.limbs_to_text(F.col("limb0"), F.col("limb1"), F.col("limb2"))).first()[0] is None
+
+
+def test_wide_sum_matches_python_ints(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(4), str(rnd.randrange(2 ** rnd.choice([8, 64, 128, 200, 256])))) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g int, amount string")
+    agg = df.groupBy("g").agg(*wide.limb_sum_aggs(F.col("amount")))
+    got = {r[0]: r[1] for r in agg.select("g", wide.limbs_to_text(F.col("limb0"), F.col("limb1"), F.col("limb2")))
+           .collect()}
+    want = {}
+    for g, a in rows:
+        want[g] = want.get(g, 0) + int(a)
+    assert got == {g: str(v) for g, v in want.items()}

@@ -174,3 +174,22 @@ def test_size_bucket_matches_double_thresholds(spark):
 
     bad = [(r, g, expected(*r)) for r, g in zip(rows, got) if g != expected(*r)]
     assert not bad, bad[:10]
+
+
+def test_scale_exact_matches_python_decimal(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = []
+    for d in range(0, 19):
+        for _ in range(60):
+            raw = rnd.randrange(0, 10 ** rnd.randint(1, 20 + d))  # at most 20 whole digits
+            rows.append((raw, d))
+    df = spark.createDataFrame([(Decimal(r), d) for r, d in rows], "raw decimal(38,0), d int")
+    got = [r[0] for r in df.select(S.scale_exact(F.col("raw"), F.col("d"))).collect()]
+    import decimal
+
+    with decimal.localcontext() as ctx:
+        ctx.prec = 80  # the default 28 digits would round the expected values
+        bad = [(r, d, g) for (r, d), g in zip(rows, got) if g != Decimal(r).scaleb(-d)]
+    assert not bad, bad[:5]
