@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens import schemas
 from ledgerlens.operators import analyses as A
@@ -68,22 +69,34 @@ def _slice_key(df: DataFrame) -> DataFrame:
 
 
 def stored_keys(spark: SparkSession, path: str) -> DataFrame | None:
-    """(key, transfer_filter) of slices already stored under ``path``."""
+    """(key, transfer_filter) of slices already stored under ``path``.
+
+    The slice keys are partition values, known from the file listing, so the
+    distinct query is answered from that listing (metadata-only) instead of
+    scanning every stored file. The keys are configuration-sized.
+    """
     try:
-        keys = spark.read.parquet(path).select("slice_key").distinct()
+        stored = spark.read.parquet(path)
     except Exception as exc:
         text = str(exc)
         if "PATH_NOT_FOUND" in text or "does not exist" in text or "UNABLE_TO_INFER_SCHEMA" in text:
             return None
         raise
+    flag = "spark.sql.optimizer.metadataOnly"
+    before = spark.conf.get(flag, "false")
+    spark.conf.set(flag, "true")
+    try:
+        keys = [r[0] for r in stored.select("slice_key").distinct().limit(10 * MAX_REGISTRY_ENTRIES).collect()]
+    finally:
+        spark.conf.set(flag, before)
     # slice_key = <key>_<filter>; the filter is one of the known names
-    parts = [keys.filter(F.col("slice_key").endswith("_" + f)).select(
-        F.expr(f"substring(slice_key, 1, length(slice_key) - {len(f) + 1})").alias("key"),
-        F.lit(f).alias("transfer_filter")) for f in schemas.TRANSFER_FILTERS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = []
+    for k in keys:
+        for f in schemas.TRANSFER_FILTERS:
+            if k.endswith("_" + f):
+                rows.append((k[: -len(f) - 1], f))
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("transfer_filter", T.StringType())])
+    return local_frame(spark, sorted(set(rows)), schema)
 
 
 def _local(spark: SparkSession, df: DataFrame) -> DataFrame:
