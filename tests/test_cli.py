@@ -57,3 +57,15 @@ def test_example_configs_parse(spark):
     rows = registry_rows(load_config(os.path.join(root, "tokens.example.yaml")))
     assert [r[1] for r in rows] == ["EXAMPLE-USD", "EXAMPLE-ETHX", "EXAMPLE-OLD"]
     assert len(dataset_options(load_config(os.path.join(root, "report.example.yaml")))) == 2
+
+
+def test_module_entry_point_help():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for args in (["--help"], ["run", "--help"], ["report", "--help"]):
+        out = subprocess.run([sys.executable, "-m", "ledgerlens", *args], cwd=root, capture_output=True, text=True,
+                             timeout=120)
+        assert out.returncode == 0 and "usage: ledgerlens" in out.stdout, out.stderr
