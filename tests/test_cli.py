@@ -30,9 +30,9 @@ def test_run_and_report(spark, scratch):
         sym: {"enabled": True, "address": "0x" + h, "decimals": d, "setup_token_view": True,
               "transfer_filter": "all", "analyses": {"monthly_activity": True, "monthly_top_users": True}}
         for _, sym, h, d in FIXTURE_TOKENS}}
-    with open(f"{scratch}/tokens.yaml", "w") as f:
+    with open(f"{scratch}/registry.yaml", "w") as f:
         yaml.safe_dump(registry, f)
-    args = parser().parse_args(["run", "--config", f"{scratch}/tokens.yaml", "--tables-root", root,
+    args = parser().parse_args(["run", "--config", f"{scratch}/registry.yaml", "--tables-root", root,
                                 "--token-metadata", f"{scratch}/meta", "--store", f"{scratch}/store",
                                 "--output", f"{scratch}/out", "--fact-partitions", "2", "--csv"])
     written = run_command(args, spark)
@@ -54,7 +54,7 @@ def test_example_configs_parse(spark):
     import os
     from ledgerlens.sources.registry import load_config, registry_rows
     root = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "examples")
-    rows = registry_rows(load_config(os.path.join(root, "tokens.example.yaml")))
+    rows = registry_rows(load_config(os.path.join(root, "registry.example.yaml")))
     assert [r[1] for r in rows] == ["EXAMPLE-USD", "EXAMPLE-ETHX", "EXAMPLE-OLD"]
     assert len(dataset_options(load_config(os.path.join(root, "report.example.yaml")))) == 2
 
