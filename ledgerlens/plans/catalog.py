@@ -154,6 +154,15 @@ def q_monthly_summary(spark, sf_dir):
     return A.monthly_summary(fx.enriched, fx.activity, fx.zero_ids, fx.slices)
 
 
+def q_monthly_summary_eoa(spark, sf_dir):
+    fx = fixture(spark, sf_dir, "eoa_eoa")
+    return A.monthly_summary(fx.enriched, fx.activity, fx.zero_ids, fx.slices)
+
+
+def q_monthly_top_users_eoa(spark, sf_dir):
+    return fixture(spark, sf_dir, "eoa_eoa").top_users()
+
+
 def q_monthly_adoption(spark, sf_dir):
     return fixture(spark, sf_dir).monthly_adoption()
 
@@ -298,10 +307,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_activity": q_monthly_activity,
     "monthly_activity_eoa": q_monthly_activity_eoa,
     "monthly_summary": q_monthly_summary,
+    "monthly_summary_eoa": q_monthly_summary_eoa,
     "monthly_adoption": q_monthly_adoption,
     "first_incoming": q_first_incoming,
     "monthly_funded_by": q_monthly_funded_by,
     "monthly_top_users": q_monthly_top_users,
+    "monthly_top_users_eoa": q_monthly_top_users_eoa,
     "size_histogram": q_size_histogram,
     "monthly_size_buckets": q_monthly_size_buckets,
     "wide_sum": q_wide_sum,
