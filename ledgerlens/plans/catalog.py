@@ -163,6 +163,22 @@ def q_monthly_top_users_eoa(spark, sf_dir):
     return fixture(spark, sf_dir, "eoa_eoa").top_users()
 
 
+def q_monthly_adoption_eoa(spark, sf_dir):
+    return fixture(spark, sf_dir, "eoa_eoa").monthly_adoption()
+
+
+def q_monthly_funded_by_eoa(spark, sf_dir):
+    return fixture(spark, sf_dir, "eoa_eoa").funded_by()
+
+
+def q_size_histogram_eoa(spark, sf_dir):
+    return fixture(spark, sf_dir, "eoa_eoa").histogram()
+
+
+def q_monthly_size_buckets_eoa(spark, sf_dir):
+    return fixture(spark, sf_dir, "eoa_eoa").month_buckets()
+
+
 def q_monthly_adoption(spark, sf_dir):
     return fixture(spark, sf_dir).monthly_adoption()
 
@@ -309,12 +325,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_summary": q_monthly_summary,
     "monthly_summary_eoa": q_monthly_summary_eoa,
     "monthly_adoption": q_monthly_adoption,
+    "monthly_adoption_eoa": q_monthly_adoption_eoa,
     "first_incoming": q_first_incoming,
     "monthly_funded_by": q_monthly_funded_by,
+    "monthly_funded_by_eoa": q_monthly_funded_by_eoa,
     "monthly_top_users": q_monthly_top_users,
     "monthly_top_users_eoa": q_monthly_top_users_eoa,
     "size_histogram": q_size_histogram,
+    "size_histogram_eoa": q_size_histogram_eoa,
     "monthly_size_buckets": q_monthly_size_buckets,
+    "monthly_size_buckets_eoa": q_monthly_size_buckets_eoa,
     "wide_sum": q_wide_sum,
     "activity_period": q_activity_period,
     "user_series": q_user_series,
