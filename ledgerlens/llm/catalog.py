@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .chat_format import OP8_SQL, op8_chat_format
+from .language_id import op9_language_id
 from .token_output import op7_token_output
 
 QUERIES = {
     "op7_token_output": op7_token_output,
     "op8_chat_format": op8_chat_format,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE = {
