@@ -17,15 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of one Arrow batch that a Python worker gets; rows of any length then fit its memory.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = "16m"
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def importable(spark: SparkSession) -> SparkSession:
     """Ready ``spark`` for Python operators: workers started from another working directory
     import this package, and Arrow batches are bounded by bytes, not by rows alone."""
-    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_BYTES:
-        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    spark.conf.set(BATCH_KEY, BATCH_BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:
