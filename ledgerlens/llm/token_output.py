@@ -9,7 +9,8 @@ Parquet reader and writer, which commits whole tasks and reaches any store.
 
 Documents stand in ascending id order over all files: they are range partitioned
 by id (duplicate ids by text), encoded after that shuffle, and ``start`` is a
-running sum over the few totals of blocks.
+the writing task's running sum plus the totals of the
+files before.
 
 Defined cases: a null text is empty; an empty text is the end id alone; a null
 id sorts first; repeated rows are written as often as they occur; an empty table
@@ -19,8 +20,10 @@ is one document of one block.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,14 @@ from .runtime import importable, new_folder, table
 
 #: Ids gathered before a block is closed (whole documents, so a block may exceed it).
 BLOCK_IDS = 1 << 20
-#: Distinct chunks kept in a worker's encoding cache; beyond it the cache starts anew.
-CACHE_CHUNKS = 400_000
+#: Distinct chunks and words kept in a worker's encoding cache; beyond it the cache starts anew.
+CACHE_CHUNKS, CACHE_WORDS = 600_000, 1_200_000
 END_ID = 1
 
+LATIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+").fullmatch
+
 BLOCK_SCHEMA = (
-    "file int, block int, bits int, n_ids long, doc_ids array<bigint>, starts array<bigint>, payload binary"
+    "file int, block int, in_file long, bits int, n_ids long, doc_ids array<bigint>, starts array<bigint>, payload binary"
 )
 DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -81,19 +86,37 @@ def unpack_ids(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
 class ChunkEncoder:
     """Encodes texts through their distinct white-space separated chunks.
 
-    Valid for tokenizers that treat ASCII white space as a boundary and drop it
-    (``word_bpe_49k``): the ids of a text are then the ids of its chunks in order.
+    Valid for tokenizers that treat ASCII white space as a boundary, drop it and
+    lower the case (``word_bpe_49k``): the ids of a text are then the ids of its
+    chunks in order. A new chunk is cut once more, where the pre-tokenizer cuts
+    it too: stops and commas after a letter stand alone, so each word is encoded
+    once. Words of Latin letters go to the tokenizer's model directly, in lower
+    case and with bytes in its alphabet (nothing else in them is normalised);
+    any other chunk takes the whole way through the tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
+        self.model = self.tokenizer.model
+        to_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        # one letter for each byte: U+00C0 to U+00FF are the bytes C3 80 to C3 BF
+        self.letters = {i: to_letters(chr(i))[0][0] for i in range(ord("a"), ord("z") + 1)}
+        for i in range(0x80, 0xC0):
+            both = to_letters(chr(i + 0x40))[0][0]
+            self.letters |= {0xC3: both[0], i: both[1]}
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {"": 0}
+        self.ids = np.zeros(0, np.uint32)
+        self.begin = np.zeros(1, np.int64)
+        self.length = np.zeros(1, np.int64)
+        self.forget_chunks()
 
-    def reset(self) -> None:
-        self.pending: list[bytes] = []
-        pending = self.pending
+    def forget_chunks(self) -> None:
+        pending: list[bytes] = []
 
         class Known(dict):
             def __missing__(self, chunk: bytes) -> int:
@@ -101,34 +124,63 @@ class ChunkEncoder:
                 pending.append(chunk)
                 return place
 
-        self.known = Known()
-        self.ids = np.zeros(0, np.uint32)
-        self.begin = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.known, self.pending = Known(), pending
+        self.parts = np.zeros((0, 2), np.int64)
 
     def _learn(self) -> None:
         if not self.pending:
             return
-        texts = [c.decode("utf-8", "replace") for c in self.pending]
-        encoded = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        length = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ids = np.fromiter((i for e in encoded for i in e), np.uint32, int(length.sum()))
+        places, letters = self.places, self.letters
+        words: list[str | None] = []
+        rest: list[tuple[int, str]] = []
+        cuts: list[int] = []
+        known = len(places)
+        for chunk in self.pending:
+            text = chunk.decode("utf-8", "replace")
+            word = text.rstrip(".,")
+            tail = text[len(word):]
+            if tail and not word[-1:].lower().isalpha():
+                word, tail = text, ""
+            plain = LATIN(word)
+            if plain:
+                word = word.lower()
+            for part in (word, tail):
+                if (place := places.get(part)) is None:
+                    place = places[part] = len(places)
+                    if plain and part is word:
+                        words.append(word if word.isascii() else word.encode().decode("latin-1").translate(letters))
+                    else:
+                        rest.append((len(words), part))
+                        words.append(None)
+                cuts.append(place)
+        tokenize = self.model.tokenize
+        found = [[t.id for t in tokenize(w)] if w is not None else None for w in words]
+        encoded = self.tokenizer.encode_batch([text for _, text in rest], add_special_tokens=False)
+        for (at, _), e in zip(rest, encoded):
+            found[at] = e.ids
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
         self.ids = np.concatenate([self.ids, ids])
+        assert len(self.length) == len(places) and known + len(found) == len(places)
+        self.parts = np.concatenate([self.parts, np.array(cuts, np.int64).reshape(-1, 2)])
         self.pending.clear()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and the number of ids of each."""
-        if len(self.known) > CACHE_CHUNKS:
-            self.reset()
+        if len(self.places) > CACHE_WORDS:
+            self.forget()
+        elif len(self.known) > CACHE_CHUNKS:
+            self.forget_chunks()
         chunks = [t.split() for t in texts]
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        at = np.fromiter((self.known[c] for row in chunks for c in row), np.int64, int(sizes.sum()))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
         self._learn()
-        length, begin = self.length[at], self.begin[at]
+        places = self.parts[at].reshape(-1)
+        length, begin = self.length[places], self.begin[places]
         ends = np.cumsum(length)
-        per_doc = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])])
+        per_doc = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(2 * sizes)])])
         flat = self.ids[np.repeat(begin - (ends - length), length) + np.arange(int(length.sum()))]
         out = np.full(len(flat) + len(texts), END_ID, np.uint32)
         out[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), per_doc)] = flat
@@ -160,7 +212,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator
 
 def _blocks(tokenizer_path: str, bits: int, block_ids: int):
     schema = pa.schema([
-        ("file", pa.int32()), ("block", pa.int32()), ("bits", pa.int32()), ("n_ids", pa.int64()),
+        ("file", pa.int32()), ("block", pa.int32()), ("in_file", pa.int64()), ("bits", pa.int32()), ("n_ids", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("payload", pa.binary()),
     ])
 
@@ -171,12 +223,12 @@ def _blocks(tokenizer_path: str, bits: int, block_ids: int):
         doc_ids: list = []
         ids: list[np.ndarray] = []
         counts: list[np.ndarray] = []
-        held = 0
+        held = in_file = 0
 
         def close() -> pa.RecordBatch:
             n = np.concatenate(counts)
             row = {
-                "file": file, "block": block, "bits": bits, "n_ids": held, "doc_ids": doc_ids,
+                "file": file, "block": block, "in_file": in_file, "bits": bits, "n_ids": held, "doc_ids": doc_ids,
                 "starts": (np.cumsum(n) - n).tolist(), "payload": pack_ids(np.concatenate(ids), bits),
             }
             return pa.RecordBatch.from_pylist([row], schema=schema)
@@ -188,7 +240,7 @@ def _blocks(tokenizer_path: str, bits: int, block_ids: int):
             counts.append(n)
             if held >= block_ids:
                 yield close()
-                block += 1
+                block, in_file = block + 1, in_file + held
                 doc_ids, ids, counts, held = [], [], [], 0
         if doc_ids:
             yield close()
@@ -228,14 +280,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     importable(spark)
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     files = blocks.groupBy("file").agg(F.sum("n_ids").alias("n"))
-    # one row per file: the running sum over files is small however large the files are
     before = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("file_start"))
-    in_file = Window.partitionBy("file").orderBy("block")
-    places = (blocks.select("file", "block", "n_ids")
-              .withColumn("in_file", F.sum("n_ids").over(in_file) - F.col("n_ids"))
-              .join(before, "file")
-              .select("file", "block", (F.col("file_start") + F.col("in_file")).alias("block_start")))
-    return blocks.join(places, ["file", "block"]).mapInArrow(_documents, DOC_SCHEMA)
+    # one short row per task that wrote a file: fewer bytes than the driver keeps for each of those tasks
+    return (blocks.join(F.broadcast(before), "file")
+            .withColumn("block_start", F.col("file_start") + F.col("in_file"))
+            .mapInArrow(_documents, DOC_SCHEMA))
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
