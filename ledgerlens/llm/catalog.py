@@ -5,9 +5,11 @@ from __future__ import annotations
 from .chat_format import OP8_SQL, op8_chat_format
 from .html_extraction import op10_html_extraction
 from .language_id import op9_language_id
+from .ngram_join import op5_ngram_join
 from .token_output import op7_token_output
 
 QUERIES = {
+    "op5_ngram_join": op5_ngram_join,
     "op7_token_output": op7_token_output,
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
