@@ -38,6 +38,7 @@ BLOCK_IDS = 1 << 20
 CACHE_CHUNKS, CACHE_WORDS = 600_000, 1_200_000
 END_ID = 1
 
+STOPS = b".,"
 LATIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+").fullmatch
 
 BLOCK_SCHEMA = (
@@ -136,23 +137,31 @@ class ChunkEncoder:
         cuts: list[int] = []
         known = len(places)
         for chunk in self.pending:
-            text = chunk.decode("utf-8", "replace")
-            word = text.rstrip(".,")
-            tail = text[len(word):]
-            if tail and not word[-1:].lower().isalpha():
-                word, tail = text, ""
-            plain = LATIN(word)
+            word, tail = chunk.decode("utf-8", "replace"), ""
+            if chunk[-1] in STOPS:
+                text = word
+                word = text.rstrip(".,")
+                if word and word[-1].lower().isalpha():
+                    tail = text[len(word):]
+                else:
+                    word = text
+            ascii_word = word.isascii()
+            plain = word.isalpha() if ascii_word else LATIN(word)
             if plain:
                 word = word.lower()
-            for part in (word, tail):
-                if (place := places.get(part)) is None:
-                    place = places[part] = len(places)
-                    if plain and part is word:
-                        words.append(word if word.isascii() else word.encode().decode("latin-1").translate(letters))
-                    else:
-                        rest.append((len(words), part))
-                        words.append(None)
-                cuts.append(place)
+            if (place := places.get(word)) is None:
+                place = places[word] = len(places)
+                if plain:
+                    words.append(word if ascii_word else word.encode().decode("latin-1").translate(letters))
+                else:
+                    rest.append((len(words), word))
+                    words.append(None)
+            cuts.append(place)
+            if tail and tail not in places:
+                places[tail] = len(places)
+                rest.append((len(words), tail))
+                words.append(None)
+            cuts.append(places[tail])
         tokenize = self.model.tokenize
         found = [[t.id for t in tokenize(w)] if w is not None else None for w in words]
         encoded = self.tokenizer.encode_batch([text for _, text in rest], add_special_tokens=False)
