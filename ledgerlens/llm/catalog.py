@@ -5,11 +5,15 @@ from __future__ import annotations
 from .chat_format import OP8_SQL, op8_chat_format
 from .html_extraction import op10_html_extraction
 from .language_id import op9_language_id
+from .mixing import OP4_SQL, op4_mixing
 from .ngram_join import op5_ngram_join
+from .sharding import op6_sharding
 from .token_output import op7_token_output
 
 QUERIES = {
+    "op4_mixing": op4_mixing,
     "op5_ngram_join": op5_ngram_join,
+    "op6_sharding": op6_sharding,
     "op7_token_output": op7_token_output,
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
@@ -17,5 +21,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_mixing": OP4_SQL,
     "op8_chat_format": OP8_SQL,
 }
