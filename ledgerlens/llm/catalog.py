@@ -9,8 +9,10 @@ from .mixing import OP4_SQL, op4_mixing
 from .ngram_join import op5_ngram_join
 from .sharding import op6_sharding
 from .token_output import op7_token_output
+from .topk_search import OP2_SQL, op2_topk_search
 
 QUERIES = {
+    "op2_topk_search": op2_topk_search,
     "op4_mixing": op4_mixing,
     "op5_ngram_join": op5_ngram_join,
     "op6_sharding": op6_sharding,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_topk_search": OP2_SQL,
     "op4_mixing": OP4_SQL,
     "op8_chat_format": OP8_SQL,
 }
