@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP8_SQL, op8_chat_format
 from .html_extraction import op10_html_extraction
 from .language_id import op9_language_id
+from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .ngram_join import op5_ngram_join
 from .sharding import op6_sharding
@@ -13,6 +14,7 @@ from .topk_search import OP2_SQL, op2_topk_search
 
 QUERIES = {
     "op2_topk_search": op2_topk_search,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_ngram_join": op5_ngram_join,
     "op6_sharding": op6_sharding,
@@ -24,6 +26,7 @@ QUERIES = {
 
 ORACLE = {
     "op2_topk_search": OP2_SQL,
+    "op3_line_dedup": OP3_SQL,
     "op4_mixing": OP4_SQL,
     "op8_chat_format": OP8_SQL,
 }
