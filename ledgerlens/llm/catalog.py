@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import OP8_SQL, op8_chat_format
+from .decontamination import op1_decontamination
 from .html_extraction import op10_html_extraction
 from .language_id import op9_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
@@ -13,6 +14,7 @@ from .token_output import op7_token_output
 from .topk_search import OP2_SQL, op2_topk_search
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_topk_search": op2_topk_search,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,

@@ -108,12 +108,10 @@ def _place(epoch: Column, doc_id: Column, seed: int) -> Column:
                           F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def mixture(docs: DataFrame, seed: int = SEED, budget_percent: int = BUDGET_PERCENT,
-            max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(doc_id, domain, leaf_lang, leaf_source, n_tokens, text_key, copies): how often each document is taken."""
+def _copies(sized: DataFrame, seed: int, budget_percent: int, max_epochs: int) -> DataFrame:
+    """Rows of ``sized`` (doc_id, names of the leaf, n_tokens, text_key, anything else) that are
+    taken, with the number of copies."""
     names = ["domain", "leaf_lang", "leaf_source"]
-    sized = cut(leaves_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *names, "n_tokens",
-                                       F.md5("text").alias("text_key")).where("n_tokens > 0"), "sized")
     # leaves are few: as many as distinct (language, source)
     leaf = budgets(sized.groupBy(*names).agg(F.sum("n_tokens").alias("n_tokens")), budget_percent, max_epochs)
     leaf = cut(leaf.select(*names, F.expr("budget div n_tokens").alias("whole"), F.expr("budget % n_tokens").alias("rest")), "leaves")
@@ -126,10 +124,29 @@ def mixture(docs: DataFrame, seed: int = SEED, budget_percent: int = BUDGET_PERC
     within = (Window.partitionBy(*names, "part").orderBy("place", "doc_id", "text_key")
               .rowsBetween(Window.unboundedPreceding, -1))
     inside = spread.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    taken = inside.join(parts, [*names, "part"])
     copies = F.col("whole") + F.when(F.col("ahead") + F.col("inside") < F.col("rest"), 1).otherwise(0)
-    return (taken.withColumn("copies", copies.cast("int")).where("copies > 0")
-            .select("doc_id", *names, "n_tokens", "text_key", "copies"))
+    return inside.join(parts, [*names, "part"]).withColumn("copies", copies.cast("int")).where("copies > 0")
+
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    placed = leaves_of(docs.select("doc_id", "text", "lang", "source", *more))
+    return placed.select(F.col("doc_id").cast("long").alias("doc_id"), "domain", "leaf_lang", "leaf_source", "n_tokens",
+                         F.md5("text").alias("text_key"), *[c for c in placed.columns if c == "row"]).where("n_tokens > 0")
+
+
+def mixture(docs: DataFrame, seed: int = SEED, budget_percent: int = BUDGET_PERCENT,
+            max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(doc_id, domain, leaf_lang, leaf_source, n_tokens, copies): how often each document is taken."""
+    return _copies(cut(_sized(docs), "sized"), seed, budget_percent, max_epochs).select(
+        "doc_id", "domain", "leaf_lang", "leaf_source", "n_tokens", "copies")
+
+
+def mixed_documents(docs: DataFrame, seed: int = SEED, budget_percent: int = BUDGET_PERCENT,
+                    max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The rows of ``docs`` that the mixture takes, one for each epoch that takes them."""
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    taken = _copies(_sized(docs, row), seed, budget_percent, max_epochs)
+    return taken.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -309,5 +309,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return grouped.unionByName(alone)
 
 
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``docs`` that stay: of each component the document of the smallest id, once.
+
+    Rows of one id stay or go together; a row without an id cannot be named and stays.
+    """
+    copies = cut(near_duplicates(docs, percent).where("component_id < doc_id").select("doc_id").distinct(), "copies")
+    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    same = Window.partitionBy("doc_id", "_text").orderBy(F.lit(0))
+    return (kept.withColumn("_text", F.xxhash64("text")).withColumn("_nth", F.row_number().over(same))
+            .where((F.col("_nth") == 1) | F.col("doc_id").isNull()).select(*docs.columns))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
