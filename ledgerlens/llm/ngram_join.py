@@ -17,10 +17,11 @@ Two sets of similarity t or more share at least ``l`` of the first
 4. *Overlaps*: the sets still in play are cut by the same fragments; each
    fragment counts the overlap of a candidate pair on its own and the counts are
    summed per pair, then held against the exact threshold.
-5. *Groups of copies* never give all pairs: a set is first compared with one
-   hub, the most central partner it has most shingles with. After each round linked
-   sets are one component, and only pairs across components are left; the last
-   round takes all of them, so no link between different components is lost.
+5. *Groups of copies* never give all pairs. Each shingle names a few of its sets
+   as hubs, the same few for most shingles of a group; a set is compared with one
+   hub of another component, the one it has most shingles in common with. After
+   each round linked sets are one component, and only pairs across components are
+   left; the last round takes all of those, so no link that joins components is lost.
 
 Sets are told apart by 64-bit ids together with their size.
 
@@ -47,12 +48,17 @@ from .shingles import pieces, shingle_sets
 
 #: Similarity, per cent.
 PERCENT = 75
-#: Shingles of one fragment in one task.
+#: Shingles of one fragment in one task; fragments are at least so many.
 FRAGMENT_SHINGLES = 1 << 20
+LEAST_FRAGMENTS = 64
+#: Fragments in which the overlaps of pairs are counted.
+PART_FRAGMENTS = 8
 #: Shingles gathered in a task before they go out as blocks.
 BLOCK_SHINGLES = 1 << 20
 #: Rounds against hubs before all pairs that are still apart are compared.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
+#: Hubs that a shingle may name, by its hash.
+POOLS = 32
 #: Bits of the map of documents whose whole sets are needed: a bound on what tasks are sent.
 MAP_BITS = 1 << 26
 #: Set ids a task remembers to pass over further copies.
@@ -173,6 +179,25 @@ def _repeated(group: pa.Table) -> pa.Table:
         "dfs": pa.ListArray.from_arrays(offsets, pa.array(df.astype(np.int32)))})
 
 
+def _lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set's repeated shingles without the l - 1 most frequent ones: (set_id, n, gram)."""
+    for batch in batches:
+        kept, sizes = [], []
+        for n, hashes, dfs in zip(batch.column(1).to_pylist(), *(_lists(batch.column(c)) for c in (2, 3))):
+            order = np.lexsort((hashes, dfs))
+            kept.append(hashes[order[:len(order) - slack(n) + 1]])
+            sizes.append(len(kept[-1]))
+        if kept:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(batch.column(1).to_numpy(), sizes)),
+                 pa.array(np.concatenate(kept))], names=["set_id", "n", "gram"])
+
+
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:]))
+
+
 def _whole_sets(fragments: int, maps: dict[int, bytes]):
     """Sets, cut by fragment, of documents in the map (a few others may come along)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,31 +247,33 @@ def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
 
 
-def _near_sizes(percent: int) -> Column:
-    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+def _near_sizes(x: str, y: str, percent: int) -> Column:
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _hub_pairs(entries: DataFrame, round_no: int) -> DataFrame:
-    """One pair for each set: with the hub that it shares most entries with."""
-    rank = F.col("central") if round_no == 0 else F.xxhash64("set_id", F.lit(round_no)).cast("double")
-    hubs = entries.groupBy("gram").agg(F.max(F.struct(rank.alias("rank"), "set_id", "n", "component")).alias("hub"),
-                                       F.count("*").alias("held")).where(F.col("held") > 1)
-    met = (entries.join(hubs, "gram")
-           .select("set_id", "n", "component", "hub").where(F.col("component") != F.col("hub.component"))
-           .groupBy("set_id", "n", "hub").agg(F.count("*").alias("times")))
-    best = met.groupBy("set_id", "n").agg(F.max(F.struct("times", "hub")).alias("best"))
-    return best.select(F.col("best.hub.set_id").alias("a"), F.col("set_id").alias("b"),
-                       F.col("best.hub.n").alias("n_a"), F.col("n").alias("n_b"))
+def _hub_pairs(entries: DataFrame, round_no: int, percent: int) -> DataFrame:
+    """One pair for each set: with the hub of another component that it shares most entries with."""
+    rank = F.xxhash64("set_id", F.pmod("gram", F.lit(POOLS)), F.lit(round_no))
+    hubs = (entries.groupBy("gram").agg(F.max_by("set_id", rank).alias("set_id"), F.count("*").alias("held"))
+            .where("held > 1").select("set_id").distinct())
+    theirs = (entries.join(hubs, "set_id", "left_semi")
+              .select("gram", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a")))
+    met = (entries.join(theirs, "gram").where((F.col("component") != F.col("of_a")) & _near_sizes("n", "n_a", percent))
+           .groupBy("set_id", "n", "a", "n_a").agg(F.count("*").alias("times")))
+    best = met.groupBy("set_id", "n").agg(F.max(F.struct(
+        (F.col("times") / F.greatest("n", "n_a")).alias("share"), "a", "n_a")).alias("best"))
+    return best.select("best.a", F.col("set_id").alias("b"), "best.n_a", F.col("n").alias("n_b"))
 
 
-def _all_pairs(entries: DataFrame) -> DataFrame:
+def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Every pair across components that shares an entry."""
     mixed = entries.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     mixed = mixed.where(F.col("x") != F.col("y")).select("gram")
     open_entries = entries.join(mixed, "gram", "left_semi")
     left = open_entries.select("gram", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
     right = open_entries.select("gram", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-    return (left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")))
+    return (left.join(right, "gram")
+            .where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _near_sizes("n_a", "n_b", percent))
             .select("a", "b", "n_a", "n_b").distinct())
 
 
@@ -254,16 +281,13 @@ def set_components(docs: DataFrame, described: DataFrame, percent: int = PERCENT
     """(set_id, component) of every set that links with another one; None if none can."""
     spark = importable(docs.sparkSession)
     total = described.select("set_id", "n").distinct().agg(F.sum("n")).first()[0] or 0
-    fragments = max(1, -(-total * (100 - percent + 13) // 100 // FRAGMENT_SHINGLES))
-    slack_of = (F.floor(F.col("n") / 8) + 1).cast("int")
+    fragments = max(LEAST_FRAGMENTS, -(-total * (100 - percent + 13) // 100 // FRAGMENT_SHINGLES))
     blocks = _texts(docs).mapInArrow(_first_parts(fragments, percent), BLOCK_SCHEMA)
     shared = blocks.groupBy("frag").applyInArrow(_repeated, SHARED_SCHEMA)
     per_set = shared.groupBy("set_id", "n").agg(
-        F.flatten(F.collect_list(F.arrays_zip("dfs", "hashes"))).alias("held"))
-    per_set = per_set.where(F.size("held") >= slack_of)
-    few = F.slice(F.sort_array("held"), F.lit(1), F.size("held") - slack_of + 1)
-    central = F.aggregate("held", F.lit(0.0), lambda s, x: s + x["dfs"]) / F.size("held")
-    entries = cut(per_set.select("set_id", "n", central.alias("central"), F.explode(few["hashes"]).alias("gram")), "entries")
+        *[F.flatten(F.collect_list(c)).alias(c) for c in ("hashes", "dfs")])
+    per_set = per_set.where(F.size("hashes") > F.floor(F.col("n") / 8))
+    entries = cut(per_set.mapInArrow(_lowest, "set_id long, n long, gram long"), "entries")
     named = described.groupBy("set_id", "n").agg(F.min("doc_id").alias("doc_id"))
     wanted = named.join(entries.select("set_id").distinct(), "set_id", "left_semi").select(_place(F.col("doc_id")).alias("place"))
     maps = {r["bucket"]: bytes(r["map"]) for r in wanted
@@ -272,7 +296,7 @@ def set_components(docs: DataFrame, described: DataFrame, percent: int = PERCENT
     if not maps:
         return None
     parts = cut(_texts(docs, _place(F.col("doc_id").cast("long")).alias("place"))
-                .mapInArrow(_whole_sets(fragments, maps), SET_SCHEMA), "parts")
+                .mapInArrow(_whole_sets(PART_FRAGMENTS, maps), SET_SCHEMA), "parts")
     found: DataFrame | None = None
     for round_no in range(HUB_ROUNDS + 1):
         if found is None:
@@ -280,8 +304,7 @@ def set_components(docs: DataFrame, described: DataFrame, percent: int = PERCENT
         else:
             placed = (entries.join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
                       .withColumn("component", F.coalesce("component", "set_id")))
-        pairs = _hub_pairs(placed, round_no) if round_no < HUB_ROUNDS else _all_pairs(placed)
-        pairs = cut(pairs.where(_near_sizes(percent)), "pairs")
+        pairs = cut(_hub_pairs(placed, round_no, percent) if round_no < HUB_ROUNDS else _all_pairs(placed, percent), "pairs")
         linked = _overlaps(pairs, parts).where(
             F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent)
         links = cut(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), "near")
