@@ -138,10 +138,10 @@ class Scorer:
             found = LETTERS.findall(chunk.decode("utf-8", "replace").lower())
             words[k] = len(found)
             for word in found:
-                used = self.word(word)
-                rows += used
-                weights += [1 / len(used)] * len(used)
-                owner += [k] * len(used)
+                if used := self.word(word):
+                    rows += used
+                    weights += [1 / len(used)] * len(used)
+                    owner += [k] * len(used)
         scores = np.zeros((len(self.pending), len(self.langs)))
         if rows:
             parts, owner = self.logs[rows] * np.array(weights)[:, None], np.array(owner)
