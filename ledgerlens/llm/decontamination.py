@@ -14,8 +14,8 @@ compared with windows of L words of a document (a shorter document is one window
    join finds every item within the radius; farther ones are dropped.
 4. *Exact check*: the weighted Jaccard similarity of the five-word shingles, a
    shingle's weight being how often it occurs (sum of the smaller over sum of the
-   larger counts), must be ``PERCENT`` or more. The best window of each document and
-   item is returned, the first of equal ones.
+   larger counts), must be ``PERCENT`` or more. Of the windows that pass, the best of
+   each document and item is returned, the first of equal ones.
 
 Only DataFrame functions are used. One word changed, added or dropped in an item
 of the usual 20 to 60 words flips about five bits and leaves a similarity of about

@@ -38,7 +38,7 @@ from .html_pages import labelled_pages
 from .runtime import importable, table
 
 #: Labelled pages that the model is fitted on.
-FIT_PAGES = 700
+FIT_PAGES = 1200
 OUT_SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Fixed values of the markup language: elements by how they nest and show.
@@ -210,7 +210,7 @@ def features(nodes: list[Node]) -> list[list[str]]:
     return out
 
 
-def fit(n_pages: int = FIT_PAGES, steps: int = 12, ridge: float = 0.5) -> dict:
+def fit(n_pages: int = FIT_PAGES, steps: int = 12, ridge: float = 0.01) -> dict:
     """Logistic weights of the evidence and the log potentials of parent and child."""
     rows, labels, pairs = [], [], np.ones((2, 2))
     for page in labelled_pages(n_pages):

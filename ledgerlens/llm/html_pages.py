@@ -34,6 +34,14 @@ class Page:
         r = self.r
         return " ".join("".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(r.randint(low, high)))
 
+    def mixed(self, low: int, high: int) -> str:
+        """Words, some of them links."""
+        r, how = self.r, self.r.random()
+        if how < 0.5:
+            return self.words(low, high)
+        link = f'<a href="/z">{self.words(1, max(1, high // r.choice((1, 3, 6))))}</a>'
+        return link if how < 0.6 else f"{self.words(low, high)} {link}" if how < 0.8 else f"{link} {self.words(low, high)}"
+
     def names(self, names) -> str:
         r, how = self.r, self.r.random()
         name = r.choice(names)
@@ -54,7 +62,8 @@ class Page:
         self.open(tag, label)
         for _ in range(n):
             self.open("li" if tag == "ul" else "p", label)
-            self.out.append(f'<a href="/x">{self.words(1, 3)}</a></{"li" if tag == "ul" else "p"}>')
+            text = f'<a href="/x">{self.words(1, 3)}</a>' if self.r.random() < 0.9 else self.words(1, 3)
+            self.out.append(f'{text}</{"li" if tag == "ul" else "p"}>')
         self.out.append(f"</{tag}>")
 
     def other(self, kind: str) -> None:
@@ -71,16 +80,21 @@ class Page:
         told = tag in ("nav", "header", "footer", "aside", "form", "dialog") and r.random() < 0.5
         self.open(tag, 0, () if told else names)
         if tag == "p":
-            self.out.append(self.words(3, 30) + ".</p>")
+            self.out.append(self.mixed(3, 30) + ".</p>")
+            return
+        if kind in ("menu", "share", "head", "foot") and tag != "ul" and r.random() < 0.3:
+            self.out.append(f"{self.mixed(1, 12)}</{tag}>")  # text without blocks of its own
             return
         if kind in ("menu", "share"):
             self.links(0, r.randint(2, 9)) if tag != "ul" else [self.leaf("li", 0, f'<a href="/x">{self.words(1, 3)}</a>') for _ in range(r.randint(2, 9))]
         elif kind == "head":
-            self.leaf(r.choice(("h1", "p", "div", "span")), 0, self.words(1, 6))
-            if r.random() < 0.6:
+            self.leaf(r.choice(("h1", "p", "div", "h2")), 0, self.mixed(1, 6))
+            if r.random() < 0.4:
                 self.links(0, r.randint(2, 6))
+            elif r.random() < 0.5:
+                self.out.append(" ".join(f'<a href="/x">{self.words(1, 2)}</a>' for _ in range(r.randint(1, 5))))
         elif kind == "foot":
-            self.leaf("p", 0, "&copy; " + self.words(2, 20))
+            self.leaf(r.choice(("p", "p", "div", "h4")), 0, "&copy; " * (r.random() < 0.5) + self.mixed(2, 20))
             if r.random() < 0.5:
                 self.links(0, r.randint(2, 6))
         elif kind == "comment":
@@ -88,9 +102,9 @@ class Page:
                 inner = "li" if tag in ("ol", "ul") else r.choice(("div", "p", "article"))
                 self.open(inner, 0, COMMENT if r.random() < 0.5 and inner != "p" else ())
                 if inner == "p":
-                    self.out.append(self.words(3, 60) + ".</p>")
+                    self.out.append(self.mixed(3, 60) + ".</p>")
                 else:
-                    self.leaf("p", 0, self.words(3, 60) + ".")
+                    self.leaf("p", 0, self.mixed(3, 60) + ".")
                     self.out.append(f"</{inner}>")
         elif kind == "form":
             self.leaf("label", 0, self.words(1, 4))
@@ -99,17 +113,17 @@ class Page:
                 self.leaf("p", 0, self.words(3, 15))
         elif kind == "side":
             self.leaf(r.choice(("h2", "h3", "h4")), 0, self.words(1, 4))
-            self.links(0, r.randint(2, 6)) if r.random() < 0.6 else self.leaf("p", 0, self.words(4, 40) + ".")
+            self.links(0, r.randint(2, 6)) if r.random() < 0.6 else self.leaf("p", 0, self.mixed(4, 40) + ".")
         elif r.random() < 0.5:
-            self.out.append(self.words(3, 40) + ".")
+            self.out.append(self.mixed(3, 40) + ".")
         else:
-            self.leaf("p", 0, self.words(3, 40) + ".")
+            self.leaf("p", 0, self.mixed(3, 40) + ".")
         self.out.append(f"</{tag}>")
 
     def article_part(self) -> None:
         r, how = self.r, self.r.random()
         if how < 0.7:
-            self.leaf("p", 1, self.words(1, r.choice((3, 8, 30, 90))) + (f' <a href="/y">{self.words(1, 4)}</a> {self.words(1, 9)}.' if r.random() < 0.3 else "."))
+            self.leaf("p", 1, (self.mixed if r.random() < 0.4 else self.words)(1, r.choice((3, 8, 30, 90))) + ".")
         elif how < 0.78:
             self.leaf(r.choice(("h2", "h3", "h4")), 1, self.words(1, 8))
         elif how < 0.86:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import importable, table
+from .runtime import cut, importable, table
 
 FIT_DOCS = 3000
 KEEP = 20_000
@@ -53,7 +53,8 @@ def _sample(docs: DataFrame, fit_docs: int) -> DataFrame:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
                           & ~held_out(F.col("doc_id")))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    share = counts.select("lang", (F.lit(fit_docs) / F.col("n")).alias("share"))
+    # one row a language: written first, so that Spark knows its size and sends it to the documents
+    share = cut(counts.select("lang", (F.lit(fit_docs) / F.col("n")).alias("share")), "shares")
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (labelled.select("lang", "text", spot.alias("spot")).join(share, "lang")
             .where(F.col("spot") < F.col("share")).select("lang", "text"))
@@ -70,9 +71,9 @@ def _grams(words: DataFrame, size: int) -> DataFrame:
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, keep: int = KEEP) -> dict:
     """Tables of logarithmic frequencies: {"langs", "index" (word or gram to row), "logs"}."""
-    words = (_sample(docs, fit_docs)
-             .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word"))
-             .groupBy("lang", "word").agg(F.count("*").alias("n")))
+    words = cut(_sample(docs, fit_docs)
+                .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word"))
+                .groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     units = words.select("lang", F.lit(0).alias("size"), F.col("word").alias("unit"), "n")
     for size in GRAM_SIZES:
         units = units.unionByName(_grams(words, size))
