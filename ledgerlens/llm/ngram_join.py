@@ -17,11 +17,16 @@ Two sets of similarity t or more share at least ``l`` of the first
 4. *Overlaps*: the sets still in play are cut by the same fragments; each
    fragment counts the overlap of a candidate pair on its own and the counts are
    summed per pair, then held against the exact threshold.
-5. *Groups of copies* never give all pairs. Each shingle names a few of its sets
-   as hubs, the same few for most shingles of a group; a set is compared with one
-   hub of another component, the one it has most shingles in common with. After
-   each round linked sets are one component, and only pairs across components are
-   left; the last round takes all of those, so no link that joins components is lost.
+5. *Bounds*: a set's map of 2,048 bits has the bit of each of its shingles. A bit
+   that one set has and the other lacks is a shingle not in common, so counting
+   them bounds the overlap from above; pairs that cannot reach the threshold go
+   before their overlaps are counted. The bound is exact, it loses nothing.
+6. *Groups of copies* never give all pairs. Each shingle names a few of its sets as
+   hubs, the same few for most shingles of a group; a set is compared with the
+   hubs it has most shingles in common with, and linked sets become one component.
+   What is left is compared across components only: shingles are put together
+   under their first set, and the members under it that are not of its largest
+   component meet all others, in blocks. No link that joins components is lost.
 
 Sets are told apart by 64-bit ids together with their size.
 
@@ -55,8 +60,12 @@ LEAST_FRAGMENTS = 64
 PART_FRAGMENTS = 8
 #: Shingles gathered in a task before they go out as blocks.
 BLOCK_SHINGLES = 1 << 20
-#: Rounds against hubs before all pairs that are still apart are compared.
-HUB_ROUNDS = 3
+#: Hubs that each set is compared with.
+HUBS = 3
+#: Members of one block of the last comparison: those that are still apart, and the others.
+APART_BLOCK, OTHER_BLOCK = 256, 2048
+#: Bits of the map of a set's shingles.
+SET_BITS = 2048
 #: Hubs that a shingle may name, by its hash.
 POOLS = 32
 #: Bits of the map of documents whose whole sets are needed: a bound on what tasks are sent.
@@ -67,7 +76,8 @@ SEEN = 200_000
 DOC_SCHEMA = "doc_id long, n long, set_id long"
 BLOCK_SCHEMA = "frag int, set_ids binary, sizes binary, counts binary, hashes binary"
 SHARED_SCHEMA = "set_id long, n long, hashes array<bigint>, dfs array<int>"
-SET_SCHEMA = "set_id long, frag int, part array<bigint>"
+SET_SCHEMA = "set_id long, frag int, part array<bigint>, bits binary"
+PAIR_SCHEMA = "a long, b long, n_a long, n_b long"
 
 
 def needed(n, percent: int):
@@ -205,20 +215,69 @@ def _whole_sets(fragments: int, maps: dict[int, bytes]):
             keep = np.fromiter((_in_map(maps, x) for x in batch.column(2).to_pylist()), bool, batch.num_rows)
             batch = batch.filter(pa.array(keep))
             for _, data, offsets in pieces(batch.column(1)):
-                ids, frags, parts = [], [], []
+                ids, frags, parts, maps_of = [], [], [], []
                 for own in shingle_sets(data, offsets):
                     if len(own):
                         frag = _fragment_of(own, fragments)
                         heads = np.flatnonzero(np.diff(frag.astype(np.int64), prepend=-1))
                         ids += [set_id(own)] * len(heads)
+                        maps_of += [_bits(own), *[None] * (len(heads) - 1)]
                         frags.append(frag[heads])
                         parts += np.split(own.view(np.int64), heads[1:])
                 if ids:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids, pa.int64()), pa.array(np.concatenate(frags).astype(np.int32)),
                          pa.ListArray.from_arrays(
-                             pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts)))],
-                        names=["set_id", "frag", "part"])
+                             pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts))),
+                         pa.array(maps_of, pa.binary())],
+                        names=["set_id", "frag", "part", "bits"])
+
+    return run
+
+
+def _bits(own: np.ndarray) -> bytes:
+    out = np.zeros(SET_BITS, np.uint8)
+    out[(own % np.uint64(SET_BITS)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
+def _may_link(n: np.ndarray, bits: np.ndarray, others_n: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (row by row) can reach the threshold, by sizes and maps."""
+    lack = np.bitwise_count(bits & ~others).sum(-1, dtype=np.int64)
+    others_lack = np.bitwise_count(others & ~bits).sum(-1, dtype=np.int64)
+    most = np.minimum(n - lack, others_n - others_lack)
+    return most * 100 >= (n + others_n - most) * percent
+
+
+def _maps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SET_BITS // 64)
+
+
+def _possible(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            keep = _may_link(n_a, _maps(batch.column(4)), n_b, _maps(batch.column(5)), percent)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "n_a", "n_b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _across(percent: int):
+    def run(apart: pa.Table, others: pa.Table) -> pa.Table:
+        """Pairs across components of two blocks that can reach the threshold."""
+        out = [[np.zeros(0, np.int64)] for _ in range(4)]
+        if apart.num_rows and others.num_rows:
+            ids, n, of = (others.column(c).to_numpy() for c in ("set_id", "n", "component"))
+            maps = _maps(others.column("bits"))
+            main, own_maps = others.column("main").to_numpy(), _maps(apart.column("bits"))
+            for k, (a, n_a, of_a) in enumerate(zip(*(apart.column(c).to_numpy() for c in ("set_id", "n", "component")))):
+                # two members that are both apart meet once
+                at = np.flatnonzero((of != of_a) & (np.minimum(n, n_a) * 100 >= np.maximum(n, n_a) * percent) & (main | (ids > a)))
+                at = at[_may_link(n_a, own_maps[k], n[at], maps[at], percent)]
+                for column, x in zip(out, (np.full(len(at), a), ids[at], np.full(len(at), n_a), n[at])):
+                    column.append(x)
+        return pa.table(dict(zip(("a", "b", "n_a", "n_b"), (np.concatenate(x) for x in out))))
 
     return run
 
@@ -238,6 +297,7 @@ def _place(doc_id: Column) -> Column:
 
 def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs (a, b, n_a, n_b) with their overlap: counted fragment by fragment, summed per pair."""
+    parts = parts.select("set_id", "frag", "part")
     left = parts.select(F.col("set_id").alias("b"), "frag", F.col("part").alias("part_b"))
     right = parts.select(F.col("set_id").alias("a"), "frag", F.col("part").alias("part_a"))
     # a repeated row's parts stand twice: one count for each pair and fragment
@@ -251,30 +311,38 @@ def _near_sizes(x: str, y: str, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _hub_pairs(entries: DataFrame, round_no: int, percent: int) -> DataFrame:
-    """One pair for each set: with the hub of another component that it shares most entries with."""
-    rank = F.xxhash64("set_id", F.pmod("gram", F.lit(POOLS)), F.lit(round_no))
+def _hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Each set with the hubs that it shares most entries with."""
+    rank = F.xxhash64("set_id", F.pmod("gram", F.lit(POOLS)))
     hubs = (entries.groupBy("gram").agg(F.max_by("set_id", rank).alias("set_id"), F.count("*").alias("held"))
             .where("held > 1").select("set_id").distinct())
-    theirs = (entries.join(hubs, "set_id", "left_semi")
-              .select("gram", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a")))
-    met = (entries.join(theirs, "gram").where((F.col("component") != F.col("of_a")) & _near_sizes("n", "n_a", percent))
+    theirs = entries.join(hubs, "set_id", "left_semi").select("gram", F.col("set_id").alias("a"), F.col("n").alias("n_a"))
+    met = (entries.join(theirs, "gram").where((F.col("set_id") != F.col("a")) & _near_sizes("n", "n_a", percent))
            .groupBy("set_id", "n", "a", "n_a").agg(F.count("*").alias("times")))
-    best = met.groupBy("set_id", "n").agg(F.max(F.struct(
-        (F.col("times") / F.greatest("n", "n_a")).alias("share"), "a", "n_a")).alias("best"))
-    return best.select("best.a", F.col("set_id").alias("b"), "best.n_a", F.col("n").alias("n_b"))
-
-
-def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Every pair across components that shares an entry."""
-    mixed = entries.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    mixed = mixed.where(F.col("x") != F.col("y")).select("gram")
-    open_entries = entries.join(mixed, "gram", "left_semi")
-    left = open_entries.select("gram", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-    right = open_entries.select("gram", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-    return (left.join(right, "gram")
-            .where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _near_sizes("n_a", "n_b", percent))
-            .select("a", "b", "n_a", "n_b").distinct())
+    best = Window.partitionBy("set_id", "n").orderBy(F.desc(F.col("times") / F.greatest("n", "n_a")), "a")
+    return (met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS)
+            .select("a", F.col("set_id").alias("b"), "n_a", F.col("n").alias("n_b")))
+
+
+def _last_pairs(entries: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Every pair across components that shares an entry and may link (some pairs without one may come along)."""
+    first = entries.groupBy("gram").agg(F.max_by("set_id", F.xxhash64("set_id")).alias("key"))
+    members = cut(entries.join(first, "gram").select("key", "set_id", "n", "component").distinct(), "members")
+    held = members.groupBy("key", "component").agg(F.count("*").alias("held"))
+    keys = held.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("largest"),
+                                   F.count("*").alias("parts"), F.sum("held").alias("all"), F.max("held").alias("most"))
+    keys = keys.where("parts > 1").select(
+        "key", "largest", F.ceil((F.col("all") - F.col("most")) / APART_BLOCK).cast("int").alias("apart_blocks"),
+        F.ceil(F.col("all") / OTHER_BLOCK).cast("int").alias("other_blocks"))
+    placed = (members.join(keys, "key").join(maps, "set_id")
+              .withColumn("main", F.col("component") == F.col("largest")))
+    spot = F.xxhash64("set_id", F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "set_id", "n", "component", "bits", "main"]
+    apart = placed.where(~F.col("main")).select(*columns, F.pmod(spot, "apart_blocks").cast("int").alias("i"), every("other_blocks").alias("j"))
+    others = placed.select(*[F.col(c).alias(c) for c in columns], every("apart_blocks").alias("i"), F.pmod(spot, "other_blocks").cast("int").alias("j"))
+    cell = ["key", "i", "j"]
+    return apart.groupBy(*cell).cogroup(others.groupBy(*cell)).applyInArrow(_across(percent), PAIR_SCHEMA).distinct()
 
 
 def set_components(docs: DataFrame, described: DataFrame, percent: int = PERCENT) -> DataFrame | None:
@@ -297,23 +365,23 @@ def set_components(docs: DataFrame, described: DataFrame, percent: int = PERCENT
         return None
     parts = cut(_texts(docs, _place(F.col("doc_id").cast("long")).alias("place"))
                 .mapInArrow(_whole_sets(PART_FRAGMENTS, maps), SET_SCHEMA), "parts")
-    found: DataFrame | None = None
-    for round_no in range(HUB_ROUNDS + 1):
-        if found is None:
-            placed = entries.withColumn("component", F.col("set_id"))
-        else:
-            placed = (entries.join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
-                      .withColumn("component", F.coalesce("component", "set_id")))
-        pairs = cut(_hub_pairs(placed, round_no, percent) if round_no < HUB_ROUNDS else _all_pairs(placed, percent), "pairs")
-        linked = _overlaps(pairs, parts).where(
-            F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent)
-        links = cut(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), "near")
-        if found is not None and links.isEmpty():
-            continue
-        if found is not None:
-            links = links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        found = cut(components(links), "components")
-    return found
+    bits = parts.where(F.col("bits").isNotNull()).groupBy("set_id").agg(F.first("bits").alias("bits"))
+    bits = cut(bits, "set_bits")
+    pairs = (_hub_pairs(entries, percent).join(bits.select(F.col("set_id").alias("a"), F.col("bits").alias("bits_a")), "a")
+             .join(bits.select(F.col("set_id").alias("b"), F.col("bits").alias("bits_b")), "b")
+             .select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_possible(percent), PAIR_SCHEMA))
+    found = cut(components(_links(cut(pairs, "pairs"), parts, percent)), "components")
+    placed = (entries.join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
+              .withColumn("component", F.coalesce("component", "set_id")))
+    more = cut(_links(cut(_last_pairs(placed, bits, percent), "last_pairs"), parts, percent), "last_links")
+    return cut(components(more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
+
+
+def _links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the pairs that reach the threshold, by their counted overlaps."""
+    counted = _overlaps(pairs, parts)
+    enough = F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent
+    return counted.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

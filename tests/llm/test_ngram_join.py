@@ -51,8 +51,10 @@ def test_chains_and_hub_that_is_too_far(spark):
 
 def test_many_fragments_and_blocks(spark, monkeypatch):
     rows = near_copies(3, 4, 6)
-    monkeypatch.setattr(ngram_join, "FRAGMENT_SHINGLES", 300)
-    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "FRAGMENT_SHINGLES", 30)
+    monkeypatch.setattr(ngram_join, "APART_BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "OTHER_BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "HUBS", 0)
     assert rows_of(ngram_join.near_duplicates(frame(spark, rows))) == Counter(plain_components(rows))
 
 
