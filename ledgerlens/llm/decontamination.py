@@ -42,6 +42,8 @@ PERCENT = 75
 BITS = 64
 BLOCKS, BLOCK_BITS = 4, 16
 RADIUS = 11
+#: Bits of the map of documents that hold a shingle of some item: a bound on what tasks are sent.
+MAP_BITS = 1 << 23
 #: Longest window that 16-bit counters hold; larger items use 32-bit ones.
 NARROW_LIMIT = 16_000
 
@@ -96,6 +98,16 @@ def _flips() -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
+def _map(met: DataFrame) -> DataFrame:
+    """One row: a map of MAP_BITS bits, in longs, with the bits of the documents in ``met``."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    found = (met.select(F.floor(place / 64).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
+             .groupBy("id").agg(F.bit_or("bit").alias("bits")))
+    every = met.sparkSession.range(MAP_BITS // 64).join(found, "id", "left")
+    longs = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return every.agg(F.transform(longs, lambda x: x["bits"]).alias("map"))
+
+
 def _windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_words, start, words, fingerprint) of every window that shares a shingle with an item of its size."""
     seeds = cut(items.select("n_words", F.explode(shingles(F.col("words"))).alias("gram")).distinct(), "item_grams")
@@ -103,9 +115,13 @@ def _windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     met = (hashed.select("doc_id", F.posexplode(shingles(F.col("words"))).alias("at", "gram"))
            .join(seeds, "gram").select("doc_id", "n_words", "at").distinct())
     met = cut(met.groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "at")).alias("met")), "met")
-    held = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d")
+    # only documents that may have been met are hashed again and dealt out
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MAP_BITS))
+    word = F.get(_map(met).scalar(), F.floor(place / 64).cast("int"))
+    marked = F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    held = (docs.where(marked).select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("words")).alias("d")
             .join(met.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")))
-            .select("d.doc_id", word_hashes(F.col("d.text")).alias("words"), "m.met"))
+            .select("d.doc_id", "d.words", "m.met"))
     starts = F.array_distinct(F.flatten(F.transform("met", lambda x: F.transform(
         F.sequence(F.greatest(F.lit(0), F.least(x["at"] + SHINGLE - x["n_words"], F.size("words") - x["n_words"])),
                    F.greatest(F.lit(0), F.least(x["at"], F.size("words") - x["n_words"]))),
@@ -119,9 +135,8 @@ def _windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     return windows.withColumn("fingerprint", simhash(F.col("words"), width))
 
 
-def _counted(words: Column) -> Column:
-    """Shingles with their running count, so that set operations count repeats."""
-    grams = F.array_sort(shingles(words))
+def _counted(grams: str) -> Column:
+    """Sorted shingles with their running count, so that set operations count repeats."""
     return F.transform(grams, lambda g, i: F.struct(g.alias("gram"), (i - F.array_position(grams, g)).alias("nth")))
 
 
@@ -131,8 +146,8 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     longest = items.agg(F.max("n_words")).first()[0] or 0
     width = 16 if longest <= NARROW_LIMIT else 32
     windows = cut(_windows(docs, items, width), "windows")
-    marked = items.select("item_id", "n_words", F.col("words").alias("item_words"),
-                          simhash(F.col("words"), width).alias("item_fingerprint"))
+    marked = cut(items.select("item_id", "n_words", F.array_sort(shingles(F.col("words"))).alias("item_grams"),
+                          simhash(F.col("words"), width).alias("item_fingerprint")), "marked")
     index = (marked.select("n_words", "item_fingerprint", F.posexplode(_blocks(F.col("item_fingerprint"))).alias("block", "value"))
              .select("n_words", "item_fingerprint", "block",
                      F.explode(F.transform(_flips(), lambda f: F.col("value").bitwiseXOR(f))).alias("value")))
@@ -145,7 +160,9 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     pairs = (windows.join(near, ["n_words", "fingerprint"])
              .join(marked, ["n_words", "item_fingerprint"])
              .select("doc_id", "item_id", "n_words", "start", "distance",
-                     _counted(F.col("words")).alias("own"), _counted(F.col("item_words")).alias("other"))
+                     F.array_sort(shingles(F.col("words"))).alias("own_grams"), F.col("item_grams"))
+             .select("doc_id", "item_id", "n_words", "start", "distance",
+                     _counted("own_grams").alias("own"), _counted("item_grams").alias("other"))
              .withColumn("common", F.size(F.array_intersect("own", "other")))
              .withColumn("total", F.size("own") + F.size("other") - F.col("common"))
              .where(F.col("common") * 100 >= F.col("total") * percent))
