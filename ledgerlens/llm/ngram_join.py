@@ -67,7 +67,7 @@ APART_BLOCK, OTHER_BLOCK = 256, 2048
 #: Bits of the map of a set's shingles.
 SET_BITS = 2048
 #: Hubs that a shingle may name, by its hash.
-POOLS = 32
+POOLS = 4
 #: Bits of the map of documents whose whole sets are needed: a bound on what tasks are sent.
 MAP_BITS = 1 << 26
 #: Set ids a task remembers to pass over further copies.
