@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, importable, table
+from .runtime import cut, held, importable, table
 
 FIT_DOCS = 3000
 KEEP = 20_000
@@ -38,7 +38,7 @@ UNKNOWN = "und"
 #: Pseudo-count of a word or gram that a language was never seen with.
 ALPHA = 0.5
 #: Distinct chunks kept in a worker's cache; beyond it the cache starts anew.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 400_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 OUT_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -174,15 +174,9 @@ class Scorer:
         return langs, score
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _predictions(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.id not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[model.id] = Scorer(model.value)
-        scorer = _SCORERS[model.id]
+        scorer = held(("scorer", model.id), lambda: Scorer(model.value))
         for batch in batches:
             for begin, end in _spans(batch.column(2)):
                 part = batch.slice(begin, end - begin)
@@ -248,10 +242,7 @@ def keep_known_language(docs: DataFrame) -> DataFrame:
 
 def _filter(model, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.id not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[model.id] = Scorer(model.value)
-        scorer = _SCORERS[model.id]
+        scorer = held(("scorer", model.id), lambda: Scorer(model.value))
         for batch in batches:
             texts = batch.column(text_at).cast(pa.binary())
             for begin, end in _spans(texts):

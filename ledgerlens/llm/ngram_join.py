@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, importable, table
+from .runtime import cut, importable, release, table
 from .shingles import pieces, shingle_sets
 
 #: Similarity, per cent.
@@ -100,6 +100,7 @@ def _texts(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for begin, data, offsets in pieces(batch.column(1)):
             sets = [(len(own), set_id(own)) for own in shingle_sets(data, offsets)]
@@ -115,6 +116,7 @@ def _fragment_of(hashes: np.ndarray, fragments: int) -> np.ndarray:
 
 def _first_parts(fragments: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         ids: list[int] = []
         sizes: list[int] = []

@@ -51,3 +51,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps between tasks: one thing at a time, so that the caches of one
+    stage are gone when the next one needs the memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    _HELD.clear()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import importable, new_folder, table
+from .runtime import held, importable, new_folder, table
 
 #: Ids gathered before a block is closed (whole documents, so a block may exceed it).
 BLOCK_IDS = 1 << 20
@@ -196,13 +196,8 @@ class ChunkEncoder:
         return out, per_doc + 1
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def _encoder(path: str) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: ChunkEncoder(path))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[list, list[bytes]]]:
