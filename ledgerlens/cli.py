@@ -25,12 +25,12 @@ REPORT_KEYS = ("start_date", "end_date", "volume_column", "top_n", "address_stac
 def _session(master: str | None) -> SparkSession:
     from ledgerlens.session import build_session
 
-    return build_session(master, shuffle_partitions=200)
+    return build_session(master)
 
 
 def _read_table(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".csv"):
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        return spark.read.option("header", True).csv(path)  # all text: a key like 007 stays as it is
     return spark.read.parquet(path)
 
 
@@ -48,8 +48,7 @@ def run_command(args: argparse.Namespace, spark: SparkSession | None = None) ->
     if args.token_metadata:
         # decimals may be an integer or the node's raw hex result; the check parses both
         metadata = _read_table(spark, args.token_metadata).select(F.col("address").cast("string"), "decimals")
-    opts = JobOptions(store=args.store, output=args.output, fact_partitions=args.fact_partitions,
-                      refresh=args.refresh, write_csv=args.csv, check_database=args.database is not None,
+    opts = JobOptions(store=args.store, output=args.output, refresh=args.refresh, write_csv=args.csv, check_database=args.database is not None,
                       database=args.database,
                       shuffle_partitions=args.shuffle_partitions, token_metadata=metadata)
     return run_job(spark, tables, load_config(args.config), opts)
@@ -59,7 +58,7 @@ def dataset_options(config: dict) -> list[dict]:
     """Global options merged into each dataset entry (dataset wins)."""
     datasets = config.get("datasets") or []
     if not datasets:
-        raise ValueError("No datasets defined in the report configuration")
+        raise ValueError("the report configuration lists no datasets: add them under 'datasets'")
     base = config.get("global") or {}
     return [{**base, **d} for d in datasets]
 
@@ -71,13 +70,18 @@ def result_key(symbol: str) -> str:
 
 def report_command(args: argparse.Namespace, spark: SparkSession | None = None) -> dict[str, dict[str, str]]:
     from ledgerlens.operators.reports import SERIES
-    from ledgerlens.plans.job import ReportOptions, run_reports
+    from ledgerlens.plans.job import SERIES_DECIMALS, ReportOptions, run_reports
     from ledgerlens.sources.registry import load_config
+    from ledgerlens.sources.tables import read_result
 
     spark = spark or _session(args.master)
     config = load_config(args.config)
     # decimals per series, used to sum volumes exactly
-    scales = _read_table(spark, args.scales).select(*SERIES, F.col("decimals").cast("int"))
+    stored = args.scales or f"{args.results}/{SERIES_DECIMALS}"
+    table = _read_table(spark, stored) if stored.endswith(".csv") else read_result(spark, stored)
+    if table is None:
+        raise RuntimeError(f"no decimals at {stored}: give --scales, or the folder that 'run' wrote")
+    scales = table.select(*[F.col(c).cast("string").alias(c) for c in SERIES], F.col("decimals").cast("int").alias("decimals"))
     written = {}
     for ds in dataset_options(config):
         key = result_key(str(ds["symbol"]))
@@ -103,17 +107,16 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--token-metadata", help="parquet/csv with address, decimals (on-chain snapshot)")
     r.add_argument("--store", required=True, help="shared folder for derived tables")
     r.add_argument("--output", required=True, help="shared folder for result sets")
-    r.add_argument("--fact-partitions", type=int, default=64)
     r.add_argument("--shuffle-partitions", type=int, default=None)
     r.add_argument("--refresh", action="store_true")
-    r.add_argument("--csv", action="store_true", help="also write one ordered CSV per result")
+    r.add_argument("--csv", action="store_true", help="also write ordered CSV files, one per series and result")
 
     q = sub.add_parser("report", help="build report datasets from stored result sets")
     q.add_argument("--config", required=True, help="report YAML with global and datasets")
     inputs = q.add_mutually_exclusive_group(required=True)
     inputs.add_argument("--results", help="folder written by 'run'")
     inputs.add_argument("--csv-input", help="folder of flat CSV results named <key>_<filter>_<result>.csv")
-    q.add_argument("--scales", required=True, help="parquet/csv with symbol, transfer_filter, decimals")
+    q.add_argument("--scales", help="parquet/csv with symbol, transfer_filter, decimals (default: the one 'run' wrote to --results)")
     q.add_argument("--output", required=True)
     return p
 

@@ -12,37 +12,26 @@ from pyspark.sql import functions as F
 # Fixed values that must equal the job being rebuilt (not derived by us).
 # ---------------------------------------------------------------------------
 
-# Size buckets over the decimal-scaled amount, upper bound exclusive, in order.
-SIZE_BUCKET_EDGES = (0.01, 0.1, 1, 10, 100, 1000, 10000, 100000, 1000000, 10000000)
-SIZE_BUCKET_LABELS = (
-    "<0.01", "0.01-0.1", "0.1-1", "1-10", "10-100", "100-1000", "1000-10000",
-    "10000-100000", "100000-1000000", "1000000-10000000", ">=10000000",
+# Size buckets over the decimal-scaled amount, in order: label, upper edge
+# (exclusive; None: no edge), report text, and which bucket set has it
+# ("both", the one with "split" top buckets, or the older "single" one).
+SIZE_BUCKETS = (
+    ("<0.01", 0.01, "<0.01", "both"),
+    ("0.01-0.1", 0.1, "0.01–0.1", "both"),
+    ("0.1-1", 1, "0.1–1", "both"),
+    ("1-10", 10, "1–10", "both"),
+    ("10-100", 100, "10–100", "both"),
+    ("100-1000", 1000, "100–1K", "both"),
+    ("1000-10000", 10000, "1K–10K", "both"),
+    ("10000-100000", 100000, "10K–100K", "both"),
+    (">=100000", None, "≥100K", "single"),
+    ("100000-1000000", 1000000, "100K–1M", "split"),
+    ("1000000-10000000", 10000000, "1M–10M", "split"),
+    (">=10000000", None, "≥10M", "split"),
 )
 
-# Report bucket order: base buckets, then either the split top buckets or
-# the older single top bucket.
-BASE_BUCKET_ORDER = (
-    "<0.01", "0.01-0.1", "0.1-1", "1-10", "10-100", "100-1000", "1000-10000",
-    "10000-100000",
-)
-OLD_FINAL_BUCKET = ">=100000"
-EXPANDED_FINAL_BUCKETS = ("100000-1000000", "1000000-10000000", ">=10000000")
-
-# Report display label per bucket; unknown buckets keep their own text.
-BUCKET_DISPLAY_LABELS = {
-    "<0.01": "<0.01",
-    "0.01-0.1": "0.01–0.1",
-    "0.1-1": "0.1–1",
-    "1-10": "1–10",
-    "10-100": "10–100",
-    "100-1000": "100–1K",
-    "1000-10000": "1K–10K",
-    "10000-100000": "10K–100K",
-    ">=100000": "≥100K",
-    "100000-1000000": "100K–1M",
-    "1000000-10000000": "1M–10M",
-    ">=10000000": "≥10M",
-}
+SIZE_BUCKET_LABELS = tuple(label for label, *_, kind in SIZE_BUCKETS if kind != "single")
+SIZE_BUCKET_EDGES = tuple(edge for _, edge, *_ in SIZE_BUCKETS if edge is not None)
 
 OTHER_TOP_ADDRESSES = "Other top addresses"
 DEFAULT_EXPLORER_URL = "https://etherscan.io/address/"
@@ -64,22 +53,27 @@ def scale_double(raw: Column, decimals: Column) -> Column:
     return raw.cast("double") / F.pow(F.lit(10.0), decimals.cast("double"))
 
 
+def _shifted(text: Column, decimals: Column) -> Column:
+    """Digits of a non-negative integer with the decimal point ``decimals`` places from the right."""
+    padded = F.lpad(text, F.greatest(F.length(text), decimals + 1), "0")
+    whole_len = F.length(padded) - decimals
+    shifted = F.concat(F.substring(padded, F.lit(1), whole_len), F.lit("."), F.substring(padded, whole_len + 1, decimals))
+    return F.when(decimals == 0, text).otherwise(shifted)
+
+
 def scale_exact(raw: Column, decimals: Column) -> Column:
     """raw integer units to whole tokens as exact DECIMAL(38,18).
 
     Division of decimal(38,0) would drop to 6 fractional digits, so the
-    decimal point is placed by shifting digits in the integer's text. Valid
-    for non-negative values with at most 20 whole digits and decimals <= 18
-    (the registry check enforces the latter).
+    decimal point is placed in the integer's text. Room for 20 whole digits
+    and 18 decimals; ``scale_text`` has no such limits.
     """
-    text = raw.cast("string")
-    # lpad truncates longer strings, so pad only up to at least the text length
-    padded = F.lpad(text, F.greatest(F.length(text), decimals + 1), "0")
-    whole_len = F.length(padded) - decimals
-    shifted = F.concat(
-        F.substring(padded, F.lit(1), whole_len), F.lit("."), F.substring(padded, whole_len + 1, decimals)
-    )
-    return F.when(raw.isNull(), F.lit(None)).when(decimals == 0, text).otherwise(shifted).cast("decimal(38,18)")
+    return _shifted(raw.cast("string"), decimals).cast("decimal(38,18)")
+
+
+def scale_text(raw: Column, decimals: Column) -> Column:
+    """F3 for amounts of any size: the same number as text, all its decimals written out."""
+    return _shifted(raw.cast("string"), decimals)
 
 
 def unhex_address(hex_text: Column) -> Column:
@@ -99,11 +93,19 @@ def hex_address(addr: Column) -> Column:
 
 def size_bucket(amount_normalized: Column) -> Column:
     """bucket label, compared in DOUBLE, upper bound exclusive."""
-    expr = None
-    for edge, label in zip(SIZE_BUCKET_EDGES, SIZE_BUCKET_LABELS):
-        cond = amount_normalized < F.lit(float(edge))
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr.otherwise(F.lit(SIZE_BUCKET_LABELS[-1]))
+    *edged, (top, *_) = [b for b in SIZE_BUCKETS if b[3] != "single"]
+    out = F.lit(top)
+    for label, edge, *_ in reversed(edged):
+        out = F.when(amount_normalized < F.lit(float(edge)), F.lit(label)).otherwise(out)
+    return out
+
+
+def bucket_ordinal(size_bucket_col: Column) -> Column:
+    """Place of a bucket by size; unknown labels come last."""
+    out = F.lit(len(SIZE_BUCKETS))
+    for place, (label, *_) in enumerate(SIZE_BUCKETS):
+        out = F.when(size_bucket_col == label, F.lit(place)).otherwise(out)
+    return out
 
 
 def zero_if_null(c: Column) -> Column:
@@ -167,7 +169,7 @@ def human_number(value: Column) -> Column:
 
 def bucket_display_label(size_bucket_col: Column) -> Column:
     """display label of a bucket; unknown labels pass through."""
-    mapping = F.create_map(*[F.lit(x) for kv in BUCKET_DISPLAY_LABELS.items() for x in kv])
+    mapping = F.create_map(*[F.lit(x) for label, _, text, _ in SIZE_BUCKETS for x in (label, text)])
     return F.coalesce(mapping[size_bucket_col], size_bucket_col)
 
 
@@ -206,12 +208,13 @@ def window_order(start: Column, months: int) -> Column:
 
 def check_window_months(months: int) -> None:
     if months not in VALID_WINDOW_MONTHS:
-        raise ValueError("top_window_months must be one of 1, 2, 3, 4, 6, or 12")
+        raise ValueError(f"a window of {months} months does not divide a year; choose from {VALID_WINDOW_MONTHS}")
 
 
 def guarded_ratio(part: Column, total: Column) -> Column:
     """``part / total``, 0.0 when the total is zero or NULL."""
-    return F.when(total.isNotNull() & (total != 0), part.cast("double") / total.cast("double")).otherwise(F.lit(0.0))
+    whole = total.cast("double")
+    return F.when(whole.isNotNull() & (whole != 0), part.cast("double") / whole).otherwise(F.lit(0.0))
 
 
 def percent(share: Column) -> Column:
@@ -228,7 +231,7 @@ def percent(share: Column) -> Column:
 def clean_address(address: Column) -> Column:
     """Trim, lower-case and drop one leading ``0x``."""
     text = F.lower(strip_text(address))
-    return F.when(text.startswith("0x"), F.substring(text, 3, 1 << 20)).otherwise(text)
+    return F.regexp_replace(text, "^0x", "")
 
 
 def is_valid_address(cleaned: Column) -> Column:

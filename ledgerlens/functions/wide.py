@@ -10,22 +10,78 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LIMB_DIGITS = 26
 LIMBS = 3
 WIDTH = LIMB_DIGITS * LIMBS  # 78 digits hold 2**256 - 1
 
 
+# The largest uint256, as text (a fixed value of the format).
+MAX_UINT256 = str(2**256 - 1)
+
+
+def uint256_text(amount: Column) -> Column:
+    """``amount`` (text or any integer type) as decimal digits without leading zeros.
+
+    NULL stays NULL; anything that is not a non-negative integer below 2**256 raises, so no
+    amount is ever left out of a sum.
+    """
+    raw = F.trim(amount.cast("string"))
+    digits = F.regexp_replace(raw, "^0+(?=.)", "")
+    fits = (F.length(digits) < len(MAX_UINT256)) | ((F.length(digits) == len(MAX_UINT256)) & (digits <= MAX_UINT256))
+    return (F.when(raw.isNull(), F.lit(None).cast("string"))
+            .when(raw.rlike("^[0-9]+$") & fits, digits)
+            .otherwise(F.raise_error(F.concat(F.lit("amount is not a uint256: "), raw)).cast("string")))
+
+
 def limb(amount_text: Column, index: int) -> Column:
-    """Limb ``index`` (0 = most significant) of a non-negative integer text."""
-    text = F.trim(amount_text)
-    # lpad truncates longer strings; wider input than 78 digits is not a uint256
-    padded = F.when(F.length(text) <= WIDTH, F.lpad(text, WIDTH, "0"))
+    """Limb ``index`` (0 = most significant) of a canonical amount text."""
+    padded = F.lpad(amount_text, WIDTH, "0")
     return F.substring(padded, index * LIMB_DIGITS + 1, LIMB_DIGITS).cast("decimal(38,0)")
 
 
+def is_text(df: DataFrame, column: str) -> bool:
+    """Amounts are either DECIMAL(38,0) or, for uint256, canonical text; the column's type tells."""
+    return isinstance(df.schema[column].dataType, T.StringType)
+
+
+def total(df: DataFrame, column: str) -> Column:
+    """Exact sum of an amount column, as an aggregate of its own type."""
+    if not is_text(df, column):
+        return F.sum(column)
+    return limbs_to_text(*[F.sum(limb(F.col(column), i)) for i in range(LIMBS)])
+
+
+def window_total(df: DataFrame, column: str, window) -> Column:
+    """``total`` over a window."""
+    if not is_text(df, column):
+        return F.sum(column).over(window)
+    return limbs_to_text(*[F.sum(limb(F.col(column), i)).over(window) for i in range(LIMBS)])
+
+
+def zero(df: DataFrame, column: str) -> Column:
+    return F.lit("0") if is_text(df, column) else F.lit(0)
+
+
+def positive(df: DataFrame, column: str) -> Column:
+    return F.col(column) != "0" if is_text(df, column) else F.col(column) > 0
+
+
+def largest_first(df: DataFrame, column: str) -> list[Column]:
+    """Descending order, NULL first: canonical texts compare by length, then by digits."""
+    keys = [F.length(column), F.col(column)] if is_text(df, column) else [F.col(column)]
+    return [k.desc_nulls_first() for k in keys]
+
+
+def smallest_first(df: DataFrame, column: str) -> list[Column]:
+    """Ascending order, NULL last."""
+    keys = [F.length(column), F.col(column)] if is_text(df, column) else [F.col(column)]
+    return [k.asc_nulls_last() for k in keys]
+
+
 def limb_sum_aggs(amount_text: Column, prefix: str = "limb") -> list[Column]:
     """Aggregate expressions ``sum(limb_i)``; NULL amounts are ignored like SUM."""
     return [F.sum(limb(amount_text, i)).alias(f"{prefix}{i}") for i in range(LIMBS)]

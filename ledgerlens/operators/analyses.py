@@ -50,7 +50,7 @@ def monthly_activity(activity: DataFrame, slices: DataFrame) -> DataFrame:
     addr = F.col("address_id")
     agg = activity.groupBy("slice_id", "month").agg(
         F.sum("sent_count").alias("transfer_count"),
-        F.sum("sent_amount").alias("raw_volume"),
+        wide.total(activity, "sent_amount").alias("raw_volume"),
         F.count(F.when((F.col("sent_count") > 0) & addr.isNotNull(), F.lit(1))).alias("unique_senders"),
         F.count(F.when((F.col("received_count") > 0) & addr.isNotNull(), F.lit(1))).alias("unique_receivers"),
         F.count(addr).alias("active_addresses"),
@@ -67,57 +67,40 @@ def monthly_activity(activity: DataFrame, slices: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def monthly_summary(enriched: DataFrame, activity: DataFrame, zero_ids: DataFrame,
-                    slices: DataFrame) -> DataFrame:
+def monthly_summary(activity: DataFrame, zero_ids: DataFrame, slices: DataFrame) -> DataFrame:
     """A2: exact volume, addresses without NULL and the zero address, new
     addresses, distinct transactions and transfers.
 
-    ``zero_ids`` holds the id(s) of the all-zero address; it is size-checked
-    by its builder (``zero_address_ids``), so it is broadcast. A month whose
-    only participants are NULL or the zero address has no active addresses
-    and drops out (inner join), as in the rebuilt job.
+    Everything comes from D7 (with transaction counts): an address is new in
+    its first month, found in one window over its few months, and one
+    aggregation per month counts the rest. A month whose only participants
+    are NULL or the zero address has no active addresses and drops out, as in
+    the rebuilt job.
     """
-    # Transfer count and raw volume come from D7 (one sender row per transfer,
-    # already aggregated); the pass over every transfer only counts distinct
-    # (block, tx) pairs, so it adds no per-row decimal sums.
-    totals = activity.groupBy("slice_id", "month").agg(
+    zero = zero_ids.select(F.col("id").alias("address_id"), F.lit(True).alias("is_zero")).distinct()
+    counted = F.col("address_id").isNotNull() & F.col("is_zero").isNull()
+    first = F.min("month").over(Window.partitionBy("slice_id", "address_id"))
+    months = (activity.join(zero, "address_id", "left")
+              .withColumn("active", counted)
+              .withColumn("new", counted & (F.col("month") == first)))
+    grouped = months.groupBy("slice_id", "month").agg(
         F.sum("sent_count").alias("transfer_count"),
-        F.sum("sent_amount").alias("raw_volume"),
-    )
-    transactions = enriched.groupBy("slice_id", "month").agg(
-        F.count_distinct(F.struct("block_number", "tx_index")).alias("transaction_count"))
-    transfers = totals.join(transactions, ["slice_id", "month"])
-    cleaned = (activity.filter(F.col("address_id").isNotNull())
-               .join(F.broadcast(zero_ids.select(F.col("id").alias("address_id"))), "address_id", "left_anti"))
-    active = cleaned.groupBy("slice_id", "month").agg(F.count(F.lit(1)).alias("unique_addresses"))
-    new = (cleaned.groupBy("slice_id", "address_id").agg(F.min("month").alias("month"))
-           .groupBy("slice_id", "month").agg(F.count(F.lit(1)).alias("new_addresses")))
-    joined = (transfers.join(active, ["slice_id", "month"])
-              .join(new, ["slice_id", "month"], "left"))
-    return attach_keys(joined, slices).select(
+        wide.total(months, "sent_amount").alias("raw_volume"),
+        F.sum("transaction_count").alias("transaction_count"),
+        F.count(F.when(F.col("active"), 1)).alias("unique_addresses"),
+        F.count(F.when(F.col("new"), 1)).alias("new_addresses"),
+    ).where(F.col("unique_addresses") > 0)
+    scale = S.scale_text if wide.is_text(grouped, "raw_volume") else S.scale_exact
+    return attach_keys(grouped, slices).select(
         "symbol", "transfer_filter", "month",
-        S.scale_exact(F.col("raw_volume"), F.col("decimals")).alias("token_volume"),
-        "unique_addresses",
-        S.zero_if_null(F.col("new_addresses")).cast("long").alias("new_addresses"),
-        "transaction_count", "transfer_count",
+        scale(F.col("raw_volume"), F.col("decimals")).alias("token_volume"),
+        "unique_addresses", "new_addresses", "transaction_count", "transfer_count",
     )
 
 
-def zero_address_ids(addresses: DataFrame, max_rows: int = 1000) -> DataFrame:
-    """Ids of the all-zero address, as a small local DataFrame.
-
-    ``address.addr`` identifies an address, so this is normally one row; the
-    count is checked before the result is used as a broadcast side. The
-    filter is pushed into the parquet scan.
-    """
-    rows = addresses.filter(F.col("addr") == S.zero_address()).select("id").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise RuntimeError(f"address holds more than {max_rows} rows for the zero address")
-    from ledgerlens.sources.local import local_frame
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("id", T.LongType(), False)])
-    return local_frame(addresses.sparkSession, [(r["id"],) for r in rows], schema)
+def zero_address_ids(addresses: DataFrame) -> DataFrame:
+    """Ids of the all-zero address; the filter is pushed into the scan."""
+    return addresses.filter(F.col("addr") == S.zero_address()).select("id")
 
 
 # ---------------------------------------------------------------------------
@@ -138,7 +121,8 @@ def first_incoming_ids(enriched: DataFrame) -> DataFrame:
     ``row_number() = 1`` is planned with a partial WindowGroupLimit before the
     shuffle, so a hot receiver sends one row per map task, not all its rows.
     """
-    order = [F.col(c).asc_nulls_last() for c in ("ts", "block_number", "tx_index", "log_index", "from_id", "amount")]
+    order = [F.col(c).asc_nulls_last() for c in ("ts", "block_number", "tx_index", "log_index", "from_id")]
+    order += wide.smallest_first(enriched, "amount")
     w = Window.partitionBy("slice_id", "to_id").orderBy(*order)
     return (enriched
             .withColumn("rn", F.row_number().over(w))
@@ -156,13 +140,14 @@ def first_incoming(enriched: DataFrame, slices: DataFrame) -> DataFrame:
 def monthly_funded_by(enriched: DataFrame, addresses: DataFrame, slices: DataFrame,
                       top: int = TOP_LIST_SIZE) -> DataFrame:
     """A4: per month, funders ranked by receivers they funded first, top 100."""
-    funders = first_incoming_ids(enriched).groupBy("slice_id", "month", "funded_by_id").agg(
+    first = first_incoming_ids(enriched)
+    funders = first.groupBy("slice_id", "month", "funded_by_id").agg(
         F.count(F.lit(1)).alias("newly_funded_addresses"),
-        F.sum("amount").alias("raw_funded_volume"),
+        wide.total(first, "amount").alias("raw_funded_volume"),
     )
     ranked = funders.withColumn("funder_rank", _month_rank([
         F.col("newly_funded_addresses").desc_nulls_first(),
-        F.col("raw_funded_volume").desc_nulls_first(),
+        *wide.largest_first(funders, "raw_funded_volume"),
         F.col("funded_by_id").asc_nulls_last(),
     ])).filter(F.col("funder_rank") <= top)
     named = _with_address(ranked, addresses, "funded_by_id", "funded_by_address")
@@ -176,12 +161,12 @@ def monthly_funded_by(enriched: DataFrame, addresses: DataFrame, slices: DataFra
 def _with_address(top_list: DataFrame, addresses: DataFrame, id_col: str, hex_col: str) -> DataFrame:
     """Inner join of a top list with ``address``.
 
-    The top list is bounded by construction (at most ``TOP_LIST_SIZE`` rows
-    per slice and month), so it is the broadcast side and the chain-scale
-    address table is streamed once, without a shuffle.
+    A list holds at most ``TOP_LIST_SIZE`` rows a slice and month, but there
+    may be many slices and months: Spark broadcasts it where its bytes are
+    few and shuffles both sides where they are not.
     """
     names = addresses.select(F.col("id").alias(id_col), S.hex_address(F.col("addr")).alias(hex_col))
-    return names.join(F.broadcast(top_list), id_col)
+    return names.join(top_list, id_col)
 
 
 # ---------------------------------------------------------------------------
@@ -198,7 +183,7 @@ def monthly_top_users(activity: DataFrame, addresses: DataFrame, slices: DataFra
         F.col("sent_amount").alias("raw_outgoing_volume"),
     )
     ranked = senders.withColumn("user_rank", _month_rank([
-        F.col("raw_outgoing_volume").desc_nulls_first(),
+        *wide.largest_first(senders, "raw_outgoing_volume"),
         F.col("address_id").asc_nulls_last(),
     ])).filter(F.col("user_rank") <= top)
     named = _with_address(ranked, addresses, "address_id", "address")
@@ -217,7 +202,7 @@ def monthly_top_users(activity: DataFrame, addresses: DataFrame, slices: DataFra
 def _bucketed(enriched: DataFrame) -> DataFrame:
     """Positive amounts with their bucket; the bucket test is done in DOUBLE."""
     normalized = S.scale_double(F.col("amount"), F.col("decimals"))
-    return (enriched.filter(F.col("amount") > 0)
+    return (enriched.filter(wide.positive(enriched, "amount"))
             .select("slice_id", "month", "amount", S.size_bucket(normalized).alias("size_bucket")))
 
 
@@ -235,15 +220,17 @@ def size_histogram(enriched: DataFrame, slices: DataFrame) -> DataFrame:
     The volume is summed exactly in raw units and scaled once, so it does
     not depend on the order rows are added in.
     """
-    grouped = _bucketed(enriched).groupBy("slice_id", "size_bucket").agg(
-        F.count(F.lit(1)).alias("transfer_count"), F.sum("amount").alias("raw_bucket_volume"))
+    rows = _bucketed(enriched)
+    grouped = rows.groupBy("slice_id", "size_bucket").agg(
+        F.count(F.lit(1)).alias("transfer_count"), wide.total(rows, "amount").alias("raw_bucket_volume"))
     return _bucket_result(grouped, slices, ["size_bucket"])
 
 
 def monthly_size_buckets(enriched: DataFrame, slices: DataFrame) -> DataFrame:
     """The same per month."""
-    grouped = _bucketed(enriched).groupBy("slice_id", "month", "size_bucket").agg(
-        F.count(F.lit(1)).alias("transfer_count"), F.sum("amount").alias("raw_bucket_volume"))
+    rows = _bucketed(enriched)
+    grouped = rows.groupBy("slice_id", "month", "size_bucket").agg(
+        F.count(F.lit(1)).alias("transfer_count"), wide.total(rows, "amount").alias("raw_bucket_volume"))
     return _bucket_result(grouped, slices, ["month", "size_bucket"])
 
 
@@ -258,9 +245,6 @@ def monthly_wide_volume(enriched: DataFrame, slices: DataFrame, amount_text_col:
     ``amount_text_col`` may hold decimal text of up to 78 digits (the wide
     storage form); a DECIMAL(38,0) column is rendered to text first.
     """
-    text = F.col(amount_text_col).cast("string")
-    grouped = enriched.groupBy("slice_id", "month").agg(*wide.limb_sum_aggs(text))
-    return attach_keys(grouped, slices).select(
-        "symbol", "transfer_filter", "month",
-        wide.limbs_to_text(F.col("limb0"), F.col("limb1"), F.col("limb2")).alias("raw_volume_text"),
-    )
+    text = enriched.select("slice_id", "month", wide.uint256_text(F.col(amount_text_col)).alias("amount"))
+    grouped = text.groupBy("slice_id", "month").agg(wide.total(text, "amount").alias("raw_volume_text"))
+    return attach_keys(grouped, slices).select("symbol", "transfer_filter", "month", "raw_volume_text")

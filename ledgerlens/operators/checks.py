@@ -1,10 +1,9 @@
 """V1-V8: registry checks and routing, run before any heavy work.
 
-Each check returns a *violations* DataFrame ``(symbol, check, message)``;
-``preflight`` unions them and raises once with the complete list. The
-registry side is bounded by configuration size (see
-``ledgerlens.sources.registry.MAX_REGISTRY_ENTRIES``), so it is the side
-that gets broadcast; the chain-scale ``token`` table is only streamed.
+Each check returns a *violations* DataFrame ``(symbol, check, problem,
+message)``; ``preflight`` unions them and raises once with the complete list.
+A message says what to do. The registry is configuration, the ``token`` table
+and the decimals snapshot may be chain-scale; Spark picks the joins by size.
 """
 
 from __future__ import annotations
@@ -16,11 +15,17 @@ from pyspark.sql import types as T
 from ledgerlens import schemas
 from ledgerlens.functions import scalars as S
 
-MAX_DECIMALS = 18
+# decimals() is a uint8 on chain.
+MAX_DECIMALS = 255
 
 
-def _violation(symbol: Column, check: str, message: Column) -> list[Column]:
-    return [symbol.alias("symbol"), F.lit(check).alias("check"), message.alias("message")]
+def _violation(symbol: Column, check: str, problem: str, message: Column) -> list[Column]:
+    return [symbol.alias("symbol"), F.lit(check).alias("check"), F.lit(problem).alias("problem"), message.alias("message")]
+
+
+def _say(text: str, *values) -> Column:
+    """A message; NULL values are written as such."""
+    return F.format_string(text, *[F.coalesce(F.col(v).cast("string"), F.lit("(none)")) for v in values])
 
 
 def with_keys(registry: DataFrame) -> DataFrame:
@@ -45,24 +50,22 @@ def skipped(registry: DataFrame) -> DataFrame:
 def address_violations(reg: DataFrame) -> DataFrame:
     """V1: address must be 40 hex digits after trim, lower and ``0x`` removal."""
     bad = reg.filter(F.col("address").isNull() | ~S.is_valid_address(F.col("address_hex")))
-    return bad.select(*_violation(F.col("symbol"), "address",
-                                  F.format_string("Invalid Ethereum address: %s", F.coalesce(F.col("address"), F.lit("NULL")))))
+    return bad.select(*_violation(F.col("symbol"), "address", "malformed",
+                                  _say("give %s an address of 40 hex digits (now: %s)", "symbol", "address")))
 
 
 def symbol_violations(reg: DataFrame) -> DataFrame:
-    """V2: result key must be ``[a-z0-9_]+``, unique, and decimals in 0..18."""
-    unsafe = reg.filter(~S.is_safe_name(F.col("key"))).select(*_violation(
-        F.col("symbol"), "symbol",
-        F.format_string("Unsafe token symbol '%s'; only letters, numbers, '_' and '-' are supported", F.col("symbol"))))
-    dup_keys = (reg.filter(S.is_safe_name(F.col("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-                .filter(F.col("n") > 1))
-    duplicated = reg.join(F.broadcast(dup_keys), "key", "left_semi").select(*_violation(
-        F.col("symbol"), "symbol", F.format_string("Symbol '%s' maps to result key '%s' used by another entry",
-                                                   F.col("symbol"), F.col("key"))))
-    decimals = reg.filter(F.col("decimals").isNull() | (F.col("decimals") < 0) | (F.col("decimals") > MAX_DECIMALS)).select(
-        *_violation(F.col("symbol"), "decimals",
-                    F.format_string("%s: decimals=%s outside 0..%d", F.col("symbol"),
-                                    F.coalesce(F.col("decimals").cast("string"), F.lit("NULL")), F.lit(MAX_DECIMALS))))
+    """V2: result key must be ``[a-z0-9_]+`` and unique, decimals a uint8."""
+    safe = S.is_safe_name(F.col("key"))
+    unsafe = reg.filter(~safe).select(*_violation(
+        F.col("symbol"), "symbol", "malformed",
+        _say("rename %s: its results are stored under its name, which takes letters, digits, - and _ only", "symbol")))
+    repeated = reg.filter(safe).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    duplicated = reg.join(repeated, "key", "left_semi").select(*_violation(
+        F.col("symbol"), "symbol", "repeated", _say("rename %s: more than one entry stores its results as %s", "symbol", "key")))
+    decimals = reg.filter(F.col("decimals").isNull() | ~F.col("decimals").between(0, MAX_DECIMALS)).select(
+        *_violation(F.col("symbol"), "decimals", "out of range",
+                    _say(f"give %s decimals from 0 to {MAX_DECIMALS} (now: %s)", "symbol", "decimals")))
     return unsafe.unionByName(duplicated).unionByName(decimals)
 
 
@@ -70,29 +73,27 @@ def filter_violations(reg: DataFrame) -> DataFrame:
     """V7: transfer filter must be a known one."""
     known = F.col("transfer_filter").isin(*schemas.TRANSFER_FILTERS)
     return reg.filter(~F.coalesce(known, F.lit(False))).select(*_violation(
-        F.col("symbol"), "transfer_filter", F.format_string("Unknown transfer_filter: %s", F.col("transfer_filter"))))
+        F.col("symbol"), "transfer_filter", "unknown",
+        _say(f"set transfer_filter of %s to one of {', '.join(schemas.TRANSFER_FILTERS)} (now: %s)", "symbol", "transfer_filter")))
 
 
 def token_matches(reg: DataFrame, tokens: DataFrame) -> DataFrame:
-    """V3 core: per registry entry, how many ``token`` rows carry its address.
-
-    The registry is broadcast and the token table streamed once.
-    """
+    """V3 core: per registry entry, how many ``token`` rows carry its address."""
     hits = (tokens.select(F.col("id").alias("token_id"), F.col("addr"))
-            .join(F.broadcast(reg.filter(F.col("addr").isNotNull()).select("symbol", "addr")), "addr")
-            .groupBy("symbol")
+            .join(reg.filter(F.col("addr").isNotNull()).select("entry_id", "addr"), "addr")
+            .groupBy("entry_id")
             .agg(F.count(F.lit(1)).alias("token_rows"), F.min("token_id").alias("token_id")))
-    return reg.join(hits, "symbol", "left").withColumn("token_rows", S.zero_if_null(F.col("token_rows")))
+    return reg.join(hits, "entry_id", "left").withColumn("token_rows", S.zero_if_null(F.col("token_rows")))
 
 
 def token_violations(matched: DataFrame) -> DataFrame:
     """V3: the address must occur exactly once in ``token``."""
-    missing = matched.filter(F.col("addr").isNotNull() & (F.col("token_rows") == 0)).select(*_violation(
-        F.col("symbol"), "token", F.format_string("%s: token address %s is missing from token", F.col("symbol"), F.col("address"))))
-    dup = matched.filter(F.col("token_rows") > 1).select(*_violation(
-        F.col("symbol"), "token", F.format_string("%s: token address %s occurs more than once in token",
-                                                  F.col("symbol"), F.col("address"))))
-    return missing.unionByName(dup)
+    known = matched.filter(F.col("addr").isNotNull())
+    missing = known.filter(F.col("token_rows") == 0).select(*_violation(
+        F.col("symbol"), "token", "missing", _say("load %s (%s): the token table has no such address", "symbol", "address")))
+    repeated = known.filter(F.col("token_rows") > 1).select(*_violation(
+        F.col("symbol"), "token", "repeated", _say("clean the token table: it has %s rows for %s (%s)", "token_rows", "symbol", "address")))
+    return missing.unionByName(repeated)
 
 
 def onchain_decimals(token_metadata: DataFrame) -> Column:
@@ -100,35 +101,38 @@ def onchain_decimals(token_metadata: DataFrame) -> Column:
 
     Either an integer column, or the node's raw ``decimals()`` result as text:
     ``0x``-prefixed hex (32-byte padded) or plain digits; an empty result or a
-    bare ``0x`` is no value (NULL).
+    bare ``0x`` is no value (NULL), and one beyond a uint8 is -1, which no
+    entry declares.
     """
     if not isinstance(token_metadata.schema["decimals"].dataType, T.StringType):
         return F.col("decimals").cast("int")
     raw = F.lower(F.trim(F.col("decimals")))
-    hex_digits = F.substring(raw, 3, 1 << 20)
-    return (F.when(raw.startswith("0x") & hex_digits.rlike("^[0-9a-f]+$"), F.conv(hex_digits, 16, 10).cast("int"))
-            .when(raw.rlike("^[0-9]+$"), raw.cast("int")))
+    digits = F.regexp_extract(raw, "^(?:0x)?0*([0-9a-f]*)$", 1)
+    short = F.when(digits == "", F.lit("0")).otherwise(digits)
+    value = F.when(raw.startswith("0x"), F.conv(F.substring(short, 1, 2), 16, 10)).otherwise(F.substring(short, 1, 3)).try_cast("int")
+    fits = F.length(short) <= F.when(raw.startswith("0x"), 2).otherwise(3)
+    return F.when(raw.rlike("^0x[0-9a-f]+$|^[0-9]+$"), F.when(fits, value).otherwise(-1))
 
 
 def decimals_violations(reg: DataFrame, token_metadata: DataFrame) -> DataFrame:
     """V4: declared decimals must equal the on-chain ``decimals()`` snapshot.
 
-    The snapshot may list every token of the chain, so the registry is the
-    broadcast side and the snapshot is streamed once.
+    Snapshot rows of one address that differ are a conflict of their own.
     """
     wanted = reg.filter(F.col("addr").isNotNull())
     found = (token_metadata
              .select(S.clean_address(F.col("address")).alias("address_hex"),
-                     onchain_decimals(token_metadata).alias("onchain_decimals"))
-             .join(F.broadcast(wanted.select("symbol", "address_hex")), "address_hex")
-             .groupBy("symbol").agg(F.max("onchain_decimals").alias("onchain_decimals")))
-    joined = wanted.join(found, "symbol", "left")
-    no_value = joined.filter(F.col("onchain_decimals").isNull()).select(*_violation(
-        F.col("symbol"), "decimals", F.format_string("Contract %s returned no value for decimals()", F.col("address"))))
-    mismatch = joined.filter(F.col("onchain_decimals") != F.col("decimals")).select(*_violation(
-        F.col("symbol"), "decimals", F.format_string("%s: registry decimals=%d, but contract decimals()=%d",
-                                                     F.col("symbol"), F.col("decimals"), F.col("onchain_decimals"))))
-    return no_value.unionByName(mismatch)
+                     onchain_decimals(token_metadata).alias("onchain"))
+             .join(wanted.select("entry_id", "address_hex"), "address_hex")
+             .groupBy("entry_id").agg(F.min("onchain").alias("low"), F.max("onchain").alias("high")))
+    joined = wanted.join(found, "entry_id", "left")
+    no_value = joined.filter(F.col("low").isNull()).select(*_violation(
+        F.col("symbol"), "decimals", "no value", _say("add %s (%s) to the decimals snapshot: it has no value", "symbol", "address")))
+    conflict = joined.filter(F.col("low") != F.col("high")).select(*_violation(
+        F.col("symbol"), "decimals", "conflict", _say("clean the decimals snapshot: %s has both %s and %s", "symbol", "low", "high")))
+    mismatch = joined.filter((F.col("low") == F.col("high")) & (F.col("low") != F.col("decimals"))).select(*_violation(
+        F.col("symbol"), "decimals", "mismatch", _say("set decimals of %s to %s (now: %s)", "symbol", "low", "decimals")))
+    return no_value.unionByName(conflict).unionByName(mismatch)
 
 
 def stored_view_violations(reg: DataFrame, stored: DataFrame | None) -> DataFrame:
@@ -140,12 +144,10 @@ def stored_view_violations(reg: DataFrame, stored: DataFrame | None) -> DataFram
     if stored is None:
         missing = need
     else:
-        missing = need.join(F.broadcast(stored.select("key", "transfer_filter").distinct()),
-                            ["key", "transfer_filter"], "left_anti")
+        missing = need.join(stored.select("key", "transfer_filter").distinct(), ["key", "transfer_filter"], "left_anti")
     return missing.select(*_violation(
-        F.col("symbol"), "stored_slice",
-        F.format_string("Required stored slice %s_%s does not exist. Set setup_token_view: true for this token.",
-                        F.col("key"), F.col("transfer_filter"))))
+        F.col("symbol"), "stored_slice", "missing",
+        _say("switch setup_token_view on for %s: no stored slice %s_%s can be read", "symbol", "key", "transfer_filter")))
 
 
 def all_violations(registry: DataFrame, tokens: DataFrame, token_metadata: DataFrame | None = None,
@@ -157,8 +159,8 @@ def all_violations(registry: DataFrame, tokens: DataFrame, token_metadata: DataF
              token_violations(token_matches(reg, tokens))]
     if verify_decimals:
         if token_metadata is None:
-            parts.append(reg.select(*_violation(F.col("symbol"), "decimals",
-                                                F.lit("decimals verification is on, but no token_metadata was given"))))
+            parts.append(reg.select(*_violation(F.col("symbol"), "decimals", "no snapshot", _say(
+                "give a token_metadata table, or switch verify_decimals off: %s cannot be checked", "symbol"))))
         else:
             parts.append(decimals_violations(reg, token_metadata))
     if require_stored:
@@ -171,8 +173,6 @@ def all_violations(registry: DataFrame, tokens: DataFrame, token_metadata: DataF
 
 def preflight(registry: DataFrame, tokens: DataFrame, **kwargs) -> None:
     """V6: collect the (small) violation list once and raise with all of it."""
-    if registry.filter(F.coalesce(F.col("enabled"), F.lit(False))).limit(1).count() == 0:
-        raise RuntimeError("No enabled tokens in the registry")
     rows = all_violations(registry, tokens, **kwargs).orderBy("symbol", "check", "message").collect()
     if rows:
         lines = "\n".join(f"  [{r['check']}] {r['message']}" for r in rows)
@@ -195,16 +195,3 @@ def resolve_slices(registry: DataFrame, tokens: DataFrame) -> DataFrame:
         F.col("transfer_filter"),
         F.col("analyses"),
     )
-
-
-def routes(slices: DataFrame) -> DataFrame:
-    """V8: one row per (slice, analysis) that is switched on."""
-    return (slices.select("slice_id", F.explode(F.map_entries(F.col("analyses"))).alias("e"))
-            .filter(F.coalesce(F.col("e.value"), F.lit(False)))
-            .select("slice_id", F.col("e.key").alias("analysis")))
-
-
-def route(df: DataFrame, slices: DataFrame, analysis: str) -> DataFrame:
-    """V8: keep only rows of slices that asked for ``analysis``."""
-    flagged = routes(slices).filter(F.col("analysis") == analysis).select("slice_id")
-    return df.join(F.broadcast(flagged), "slice_id", "left_semi")

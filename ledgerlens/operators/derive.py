@@ -19,10 +19,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
+from ledgerlens.functions import wide
 
 FACT_COLUMNS = ("block_number", "tx_index", "log_index", "from_id", "to_id", "amount")
 
@@ -80,71 +81,75 @@ def filtered_slices(transfers: DataFrame, addresses: DataFrame, slices: DataFram
     return out.select("slice_id", *FACT_COLUMNS, "decimals")
 
 
-# eth_block has one row per block (~16 bytes of payload each). Up to this
-# many rows it is broadcast, so the fact table is not shuffled for the join.
-BLOCK_BROADCAST_MAX_ROWS = 30_000_000
-
-
-def blocks_broadcastable(blocks: DataFrame, max_rows: int = BLOCK_BROADCAST_MAX_ROWS) -> bool:
-    """Size check for the block dimension (one count over one column)."""
-    return blocks.select("block_number").limit(max_rows + 1).count() <= max_rows
-
-
-def enriched(sliced: DataFrame, blocks: DataFrame, slices: DataFrame,
-             broadcast_blocks: bool | None = None) -> DataFrame:
+def enriched(sliced: DataFrame, blocks: DataFrame, slices: DataFrame) -> DataFrame:
     """Facts with block time, month and the slice's decimals.
 
-    ``sliced`` carries the decimals from the token join (D1). ``broadcast_blocks``
-    comes from ``blocks_broadcastable``: True broadcasts the block table (no
-    fact shuffle), False keeps the shuffle join (with AQE skew handling),
-    None leaves the choice to Spark's size estimate.
+    ``sliced`` carries the decimals from the token join (D1). How the block
+    table reaches the facts is left to Spark: it knows both sides' bytes, at
+    plan time or from finished shuffles, and splits skewed blocks.
     """
-    block_times = blocks.select("block_number", "ts")
-    if broadcast_blocks:
-        block_times = F.broadcast(block_times)
     return (sliced
-            .join(block_times, "block_number")
+            .join(blocks.select("block_number", "ts"), "block_number")
             .select("slice_id", *FACT_COLUMNS, "ts", S.month_of(F.col("ts")).alias("month"), "decimals"))
 
 
+def mark_transactions(enriched_df: DataFrame) -> DataFrame:
+    """D6 with ``tx_mark``: 1 on one transfer of each transaction of a slice, else 0.
+
+    A transaction is a (block, tx_index) pair, a NULL index being one value.
+    Sums of the mark count transactions without a distinct shuffle per run.
+    """
+    order = [F.col("log_index"), F.col("from_id"), F.col("to_id")]
+    w = Window.partitionBy("slice_id", "block_number", "tx_index").orderBy(*order)
+    return enriched_df.withColumn("tx_mark", F.when(F.row_number().over(w) == 1, 1).otherwise(0).cast("long"))
+
+
 def address_month(enriched_df: DataFrame) -> DataFrame:
     """Per (slice, month, address) sent/received counts and raw sums.
 
     Each transfer contributes a sender row and a receiver row; NULL ids form
-    their own group, as in a SQL GROUP BY.
+    their own group, as in a SQL GROUP BY. If D6 marks transactions, a sender
+    row also carries its transfers' marks (``transaction_count``).
     """
     amount = F.col("amount")
+    marked = "tx_mark" in enriched_df.columns
     zero = F.lit(0).cast("long")
-    no_amount = F.lit(None).cast("decimal(38,0)")
+    no_amount = F.lit(None).cast(enriched_df.schema["amount"].dataType)
+    mark = [F.col("tx_mark")] if marked else []
+    no_mark = [zero.alias("tx_mark")] if marked else []
     sides = F.array(
         F.struct(F.col("from_id").alias("address_id"), F.lit(1).cast("long").alias("sent"),
-                 amount.alias("sent_amount"), zero.alias("received"), no_amount.alias("received_amount")),
+                 amount.alias("sent_amount"), zero.alias("received"), no_amount.alias("received_amount"), *mark),
         F.struct(F.col("to_id").alias("address_id"), zero.alias("sent"),
-                 no_amount.alias("sent_amount"), F.lit(1).cast("long").alias("received"), amount.alias("received_amount")),
+                 no_amount.alias("sent_amount"), F.lit(1).cast("long").alias("received"), amount.alias("received_amount"),
+                 *no_mark),
     )
-    return (enriched_df
-            .select("slice_id", "month", F.inline(sides))
-            .groupBy("slice_id", "month", "address_id")
-            .agg(F.sum("sent").alias("sent_count"),
-                 F.sum("sent_amount").alias("sent_amount"),
-                 F.sum("received").alias("received_count"),
-                 F.sum("received_amount").alias("received_amount")))
-
-
-def write_enriched(enriched_df: DataFrame, path: str, partitions: int, key: str = "slice_id") -> None:
-    """Store D6 so each file covers one slice and a block range.
-
-    Range partitioning on (slice, block) splits a hot token over many files
-    (no one-task-per-token write), and sorting by (block, tx) inside files
-    keeps parquet min/max statistics selective for block lookups. Lookups by
-    sender or receiver use parquet bloom filters on ``from_id`` / ``to_id``
-    (row groups without the id are skipped; a chunk that stays fully
-    dictionary-encoded gets none, its dictionary serves the same purpose).
-    Only the slices present in
-    ``enriched_df`` are replaced (dynamic overwrite).
+    both = enriched_df.select("slice_id", "month", F.inline(sides))
+    return both.groupBy("slice_id", "month", "address_id").agg(
+        F.sum("sent").alias("sent_count"),
+        wide.total(both, "sent_amount").alias("sent_amount"),
+        F.sum("received").alias("received_count"),
+        wide.total(both, "received_amount").alias("received_amount"),
+        *([F.sum("tx_mark").alias("transaction_count")] if marked else []))
+
+
+# Blocks of one range: the rows that stay together when D6 is laid out.
+BLOCK_RANGE = 100_000
+
+
+def write_enriched(enriched_df: DataFrame, path: str, key: str = "slice_id") -> None:
+    """Store D6 so that a file covers one slice and few block ranges.
+
+    Rows are rebalanced on (slice, block range): AQE sizes the files by bytes,
+    joins small ranges and splits large ones (a hot token is many files), and
+    nothing is sampled. Sorting by (block, tx) inside files keeps parquet
+    min/max statistics selective for block lookups. Lookups by sender or
+    receiver use parquet bloom filters on ``from_id`` / ``to_id`` (a chunk that
+    stays fully dictionary-encoded gets none, its dictionary serves the same
+    purpose).
     """
-    (enriched_df
-     .repartitionByRange(partitions, key, "block_number")
+    ranged = enriched_df.withColumn("_range", F.floor(F.col("block_number") / BLOCK_RANGE))
+    (ranged.hint("rebalance", F.col(key), F.col("_range")).drop("_range")
      .sortWithinPartitions(key, "block_number", "tx_index")
      .write.mode("overwrite")
      .option("parquet.bloom.filter.enabled#from_id", "true")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
+from ledgerlens.functions import wide
 
 SERIES = ["symbol", "transfer_filter"]
 
@@ -67,12 +68,20 @@ def _value_sum(df: DataFrame, keys: list[str], value: str, scales: DataFrame | N
     # a group whose values are all missing sums to 0, as a pandas group sum does
     if raw is None or scales is None or raw not in df.columns:
         return df.groupBy(*keys).agg(S.zero_if_null(F.sum(value)).alias(value), *extra)
-    summed = df.groupBy(*keys).agg(S.zero_if_null(F.sum(raw)).alias(raw), *extra)
+    summed = df.groupBy(*keys).agg(F.coalesce(wide.total(df, raw), wide.zero(df, raw)).alias(raw), *extra)
     names = [c for c in summed.columns if c not in keys and c != raw]
-    return (summed.join(F.broadcast(scales), SERIES)
+    return (_scaled(summed, scales)
             .select(*keys, raw, S.scale_double(F.col(raw), F.col("decimals")).alias(value), *names))
 
 
+def _scaled(df: DataFrame, scales: DataFrame) -> DataFrame:
+    """``df`` with its series' decimals; a series without them raises."""
+    known = df.join(F.broadcast(scales.select(*SERIES, "decimals")), SERIES, "left")
+    missing = F.raise_error(F.concat(F.lit("no decimals are given for series "), F.col("symbol"), F.lit(" / "),
+                                     F.col("transfer_filter"))).cast("int")
+    return known.withColumn("decimals", F.coalesce("decimals", missing))
+
+
 def _ratio_source(df: DataFrame, value: str) -> str:
     """Column whose ratios equal ``value``'s ratios, exact where possible."""
     raw = RAW_OF.get(value)
@@ -147,15 +156,11 @@ def _bucket_position(df: DataFrame) -> DataFrame:
     """
     bucket = F.col("size_bucket").cast("string")
     w_series = Window.partitionBy(*SERIES)
-    has_expanded = F.max(bucket.isin(*S.EXPANDED_FINAL_BUCKETS).cast("int")).over(w_series) == 1
-    known = None
-    for i, name in enumerate(S.BASE_BUCKET_ORDER, start=1):
-        cond = bucket == name
-        known = F.when(cond, F.lit(i)) if known is None else known.when(cond, F.lit(i))
-    n_base = len(S.BASE_BUCKET_ORDER)
-    for i, name in enumerate(S.EXPANDED_FINAL_BUCKETS, start=1):
-        known = known.when((bucket == name) & has_expanded, F.lit(n_base + i))
-    known = known.when((bucket == S.OLD_FINAL_BUCKET) & ~has_expanded, F.lit(n_base + 1))
+    in_set = {kind: [label for label, *_, k in S.SIZE_BUCKETS if k == kind] for kind in ("both", "split", "single")}
+    has_split = F.max(bucket.isin(*in_set["split"]).cast("int")).over(w_series) == 1
+    place = S.bucket_ordinal(bucket)
+    known = (F.when(bucket.isin(*in_set["both"]), place).when(bucket.isin(*in_set["split"]) & has_split, place)
+             .when(bucket.isin(*in_set["single"]) & ~has_split, place))
     keyed = df.withColumn("_known", known)
     position = F.dense_rank().over(Window.partitionBy(*SERIES).orderBy(
         F.col("_known").isNull(), F.col("_known").asc_nulls_last(), F.col("size_bucket").asc()))
@@ -170,20 +175,16 @@ def bucket_order(buckets: DataFrame) -> DataFrame:
     return _bucket_position(present).select(*SERIES, "size_bucket", "bucket_label", "bucket_position")
 
 
-def _with_bucket_order(df: DataFrame) -> DataFrame:
-    return _bucket_position(df)
-
-
 def histogram_shares(histogram: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Each bucket's share of transfers and of volume (zero total -> 0)."""
     df = filter_period(histogram, start, end)
     w = Window.partitionBy(*SERIES)
     vol = _ratio_source(df, "bucket_volume")
     count_share = S.guarded_ratio(F.col("transfer_count"), F.sum("transfer_count").over(w))
-    volume_share = S.guarded_ratio(F.col(vol), F.sum(vol).over(w))
+    volume_share = S.guarded_ratio(F.col(vol), wide.window_total(df, vol, w))
     shares = df.select(*SERIES, "size_bucket", "transfer_count", "bucket_volume",
                        count_share.alias("transfer_share"), volume_share.alias("volume_share"))
-    return _with_bucket_order(shares).select(
+    return _bucket_position(shares).select(
         *SERIES, "size_bucket", "bucket_label", "bucket_position", "transfer_count", "bucket_volume",
         "transfer_share", "volume_share",
         S.percent(F.col("transfer_share")).alias("transfer_share_pct"),
@@ -208,9 +209,9 @@ def bucket_month_shares(month_buckets: DataFrame, start: str | None = None, end:
     out = df.select(
         *SERIES, "month", "size_bucket", "transfer_count", "bucket_volume",
         S.guarded_ratio(F.col("transfer_count"), F.sum("transfer_count").over(w)).alias("count_share"),
-        S.guarded_ratio(F.col(vol), F.sum(vol).over(w)).alias("volume_share"),
+        S.guarded_ratio(F.col(vol), wide.window_total(df, vol, w)).alias("volume_share"),
     )
-    return _with_bucket_order(out).select(
+    return _bucket_position(out).select(
         *SERIES, "month", "size_bucket", "bucket_label", "bucket_position", "transfer_count", "bucket_volume",
         "count_share", "volume_share")
 
@@ -277,8 +278,8 @@ def window_totals(top_list: DataFrame, address: str, value: str, top_n: int = DE
     grouped = _value_sum(df, keys, value, scales)
     raw = RAW_OF.get(value) if RAW_OF.get(value) in grouped.columns else None
     if raw:
-        total = F.sum(raw).over(Window.partitionBy(*SERIES, "_address"))
-        grouped = grouped.join(F.broadcast(scales), SERIES).withColumn(
+        total = wide.window_total(grouped, raw, Window.partitionBy(*SERIES, "_address"))
+        grouped = _scaled(grouped, scales).withColumn(
             "_overall", S.scale_double(total, F.col("decimals"))).drop("decimals")
     else:
         grouped = grouped.withColumn("_overall", F.sum(value).over(Window.partitionBy(*SERIES, "_address")))
@@ -321,7 +322,7 @@ def window_matrix(windows: DataFrame, value: str) -> DataFrame:
     src = _ratio_source(windows, value)
     return windows.select(
         *SERIES, "address", "rank", "window_order", "window_label", value,
-        S.guarded_ratio(F.col(src), F.sum(src).over(w)).alias("window_share"),
+        S.guarded_ratio(F.col(src), wide.window_total(windows, src, w)).alias("window_share"),
         "overall_value",
     )
 
@@ -352,10 +353,11 @@ def yearly_top(top_list: DataFrame, address: str, value: str, top_n: int = DEFAU
     )
 
 
-def address_lookup(overall: DataFrame, value: str, explorer_url: str = S.DEFAULT_EXPLORER_URL) -> DataFrame:
-    """Rank, full address, formatted value and explorer link."""
-    return overall.select(
-        *SERIES, "rank", "address", S.human_number(F.col(value)).alias("formatted_value"),
+def address_lookup(top: DataFrame, value: str, explorer_url: str = S.DEFAULT_EXPLORER_URL) -> DataFrame:
+    """Rank, full address, formatted value and explorer link of an overall or yearly list."""
+    year = ["year"] if "year" in top.columns else []
+    return top.select(
+        *SERIES, *year, "rank", "address", S.human_number(F.col(value)).alias("formatted_value"),
         F.concat(F.lit(explorer_url), F.col("address")).alias("explorer_url"),
     )
 

@@ -10,15 +10,16 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens import schemas
 from ledgerlens.operators import analyses as A
 from ledgerlens.operators import checks
 from ledgerlens.operators import derive
 from ledgerlens.operators import reports as R
-from ledgerlens.sources.adapter import fixture_registry_config, fixture_tables
+from ledgerlens.sources.adapter import fixture_registry_config, fixture_tables, supplier_tokens, wide_amounts
 from ledgerlens.sources.local import local_frame
-from ledgerlens.sources.registry import MAX_REGISTRY_ENTRIES, registry_frame
+from ledgerlens.sources.registry import registry_frame
 from ledgerlens.session import apply_job_conf
 
 # Report parameters used by the registered report queries (the report
@@ -43,9 +44,7 @@ class Fixture:
     @cached_property
     def slices(self) -> DataFrame:
         """Resolved once (a registry-sized collect) and reused as a literal table."""
-        rows = checks.resolve_slices(self.registry, self.tables.tokens).limit(MAX_REGISTRY_ENTRIES + 1).collect()
-        if len(rows) > MAX_REGISTRY_ENTRIES:
-            raise RuntimeError("too many registry slices")
+        rows = checks.resolve_slices(self.registry, self.tables.tokens).collect()
         self.token_ids = [r["token_id"] for r in rows]
         return local_frame(self.spark, rows, schemas.SLICES)
 
@@ -63,10 +62,19 @@ class Fixture:
     def enriched(self) -> DataFrame:
         return derive.enriched(self.sliced, self.tables.blocks, self.slices)
 
+    @cached_property
+    def wide_enriched(self) -> DataFrame:
+        """D6 with amounts beyond 38 digits."""
+        return wide_amounts(self.enriched)
+
     @cached_property
     def activity(self) -> DataFrame:
         return derive.address_month(self.enriched)
 
+    def summary(self) -> DataFrame:
+        marked = derive.address_month(derive.mark_transactions(self.enriched))
+        return A.monthly_summary(marked, self.zero_ids, self.slices)
+
     # analyses, shared by the report queries
     def monthly_activity(self) -> DataFrame:
         return A.monthly_activity(self.activity, self.slices)
@@ -150,13 +158,11 @@ def q_monthly_activity_eoa(spark, sf_dir):
 
 
 def q_monthly_summary(spark, sf_dir):
-    fx = fixture(spark, sf_dir)
-    return A.monthly_summary(fx.enriched, fx.activity, fx.zero_ids, fx.slices)
+    return fixture(spark, sf_dir).summary()
 
 
 def q_monthly_summary_eoa(spark, sf_dir):
-    fx = fixture(spark, sf_dir, "eoa_eoa")
-    return A.monthly_summary(fx.enriched, fx.activity, fx.zero_ids, fx.slices)
+    return fixture(spark, sf_dir, "eoa_eoa").summary()
 
 
 def q_monthly_top_users_eoa(spark, sf_dir):
@@ -206,7 +212,12 @@ def q_monthly_size_buckets(spark, sf_dir):
 
 def q_wide_sum(spark, sf_dir):
     fx = fixture(spark, sf_dir)
-    return A.monthly_wide_volume(fx.enriched, fx.slices)
+    return A.monthly_wide_volume(fx.wide_enriched, fx.slices)
+
+
+def q_monthly_activity_wide(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return A.monthly_activity(derive.address_month(fx.wide_enriched), fx.slices)
 
 
 # ---------------------------------------------------------------------------
@@ -275,32 +286,48 @@ def q_funders_windows(spark, sf_dir):
     return _windows(fixture(spark, sf_dir), False)
 
 
-def q_users_stack(spark, sf_dir):
-    fx = fixture(spark, sf_dir)
-    return R.window_stack(_windows(fx, True), USERS[1], STACK_TOP_N, TOP_N, R.scales_of(fx.slices))
+def _stack(users: bool):
+    def query(spark, sf_dir):
+        fx = fixture(spark, sf_dir)
+        return R.window_stack(_windows(fx, users), (USERS if users else FUNDERS)[1], STACK_TOP_N, TOP_N, R.scales_of(fx.slices))
+    return query
 
 
-def q_users_matrix(spark, sf_dir):
-    return R.window_matrix(_windows(fixture(spark, sf_dir), True), USERS[1]).drop("overall_value")
+def _matrix(users: bool):
+    return lambda spark, sf_dir: R.window_matrix(
+        _windows(fixture(spark, sf_dir), users), (USERS if users else FUNDERS)[1]).drop("overall_value")
 
 
-def q_users_bubbles(spark, sf_dir):
-    fx = fixture(spark, sf_dir)
-    return R.window_bubbles(_windows(fx, True), USERS[1])
+def _bubbles(users: bool):
+    return lambda spark, sf_dir: R.window_bubbles(_windows(fixture(spark, sf_dir), users), (USERS if users else FUNDERS)[1])
 
 
-def q_users_yearly(spark, sf_dir):
-    fx = fixture(spark, sf_dir)
-    return R.yearly_top(fx.top_users(), *USERS, TOP_N, R.scales_of(fx.slices))
+def _yearly(fx: Fixture, users: bool) -> DataFrame:
+    top_list = fx.top_users() if users else fx.funded_by()
+    return R.yearly_top(top_list, *(USERS if users else FUNDERS), TOP_N, R.scales_of(fx.slices))
+
+
+def _lookup(users: bool, yearly: bool = False):
+    def query(spark, sf_dir):
+        fx = fixture(spark, sf_dir)
+        return R.address_lookup(_yearly(fx, users) if yearly else _overall(fx, users), (USERS if users else FUNDERS)[1])
+    return query
 
 
-def q_funders_yearly(spark, sf_dir):
+def q_mixed_filter_slices(spark, sf_dir):
+    """D3: one registry with both transfer filters."""
     fx = fixture(spark, sf_dir)
-    return R.yearly_top(fx.funded_by(), *FUNDERS, TOP_N, R.scales_of(fx.slices))
+    mixed = fx.slices.withColumn("transfer_filter", F.when(F.col("token_id") == 1, "eoa_eoa").otherwise(F.col("transfer_filter")))
+    sliced = derive.filtered_slices(fx.tables.transfers, fx.tables.addresses, mixed, token_ids=fx.token_ids)
+    return _keys(sliced.drop("decimals"), mixed).select("symbol", "transfer_filter", *derive.FACT_COLUMNS)
 
 
-def q_address_lookup(spark, sf_dir):
-    return R.address_lookup(_overall(fixture(spark, sf_dir), True), USERS[1])
+def q_token_checks(spark, sf_dir):
+    """V3 and V4 over a token table that grows with ``supplier``."""
+    registry, token, metadata = supplier_tokens(spark, sf_dir)
+    reg = checks.with_keys(checks.enabled(registry))
+    found = checks.token_violations(checks.token_matches(reg, token)).unionByName(checks.decimals_violations(reg, metadata))
+    return found.select("symbol", "check", "problem")
 
 
 def q_number_labels(spark, sf_dir):
@@ -336,6 +363,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_size_buckets": q_monthly_size_buckets,
     "monthly_size_buckets_eoa": q_monthly_size_buckets_eoa,
     "wide_sum": q_wide_sum,
+    "monthly_activity_wide": q_monthly_activity_wide,
     "activity_period": q_activity_period,
     "user_series": q_user_series,
     "adoption_cumulative": q_adoption_cumulative,
@@ -347,12 +375,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_funders_overall": q_top_funders_overall,
     "users_windows": q_users_windows,
     "funders_windows": q_funders_windows,
-    "users_stack": q_users_stack,
-    "users_matrix": q_users_matrix,
-    "users_bubbles": q_users_bubbles,
-    "users_yearly": q_users_yearly,
-    "funders_yearly": q_funders_yearly,
-    "address_lookup": q_address_lookup,
+    "users_stack": _stack(True),
+    "funders_stack": _stack(False),
+    "users_matrix": _matrix(True),
+    "funders_matrix": _matrix(False),
+    "users_bubbles": _bubbles(True),
+    "funders_bubbles": _bubbles(False),
+    "users_yearly": lambda spark, sf_dir: _yearly(fixture(spark, sf_dir), True),
+    "funders_yearly": lambda spark, sf_dir: _yearly(fixture(spark, sf_dir), False),
+    "address_lookup": _lookup(True),
+    "funders_lookup": _lookup(False),
+    "users_yearly_lookup": _lookup(True, yearly=True),
+    "funders_yearly_lookup": _lookup(False, yearly=True),
+    "mixed_filter_slices": q_mixed_filter_slices,
+    "token_checks": q_token_checks,
     "number_labels": q_number_labels,
     "address_labels": q_address_labels,
     "window_labels": q_window_labels,

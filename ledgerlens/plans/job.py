@@ -8,19 +8,22 @@ recomputes from the last written table.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import schemas
+from ledgerlens.functions import scalars as S
 from ledgerlens.operators import analyses as A
 from ledgerlens.operators import checks, derive
 from ledgerlens.operators import reports as R
 from ledgerlens.session import apply_job_conf
+from ledgerlens.sources import files
 from ledgerlens.sources.local import local_frame
-from ledgerlens.sources.registry import MAX_REGISTRY_ENTRIES, registry_frame, registry_rows, settings_of
+from ledgerlens.sources.registry import registry_frame, registry_rows, settings_of
 from ledgerlens.sources.tables import ChainTables, read_flat_csv, read_result, write_result, write_result_csv
 
 # Result set names and the registry flag that switches each on (fixed values).
@@ -34,27 +37,33 @@ RESULT_FLAGS = {
     "monthly_transfer_size_buckets": "monthly_transfer_size_buckets",
 }
 
+# Row order of each result inside a series.
 SINK_ORDER = {
-    "monthly_activity": ["symbol", "transfer_filter", "month"],
-    "monthly_summary": ["symbol", "transfer_filter", "month"],
-    "monthly_adoption": ["symbol", "transfer_filter", "month"],
-    "monthly_top100_funded_by": ["symbol", "transfer_filter", "month", "funder_rank"],
-    "monthly_top100_users": ["symbol", "transfer_filter", "month", "user_rank"],
-    "transfer_size_histogram_all_time": ["symbol", "transfer_filter", "size_bucket"],
-    "monthly_transfer_size_buckets": ["symbol", "transfer_filter", "month", "size_bucket"],
+    "monthly_activity": ["month"],
+    "monthly_summary": ["month"],
+    "monthly_adoption": ["month"],
+    "monthly_top100_funded_by": ["month", "funder_rank"],
+    "monthly_top100_users": ["month", "user_rank"],
+    "transfer_size_histogram_all_time": ["size_bucket"],
+    "monthly_transfer_size_buckets": ["month", "size_bucket"],
 }
+# Name of the result that holds the decimals of each series, for reports.
+SERIES_DECIMALS = "series_decimals"
+
+
+def sink_order(name: str) -> list[Column]:
+    """Sort columns of a result; buckets go by size, not by their text."""
+    return [S.bucket_ordinal(F.col(c)) if c == "size_bucket" else F.col(c) for c in SINK_ORDER[name]]
 
 
 @dataclass
 class JobOptions:
     store: str                       # shared folder for derived tables (D6, D7)
     output: str                      # shared folder for result sets
-    fact_partitions: int = 64        # files per D6 write; size ~ facts / 256 MB at scale
     refresh: bool = False            # rebuild stored slices whose setup flag is on
-    write_csv: bool = False          # one ordered CSV per result, for small results
+    write_csv: bool = False          # also flat CSV files, one per series and result
     check_database: bool = False     # compare the database read with settings.expected_database
     database: str | None = None      # database the tables come from (default: the current one)
-    block_broadcast_max_rows: int = derive.BLOCK_BROADCAST_MAX_ROWS
     shuffle_partitions: int | None = None  # e.g. 20000 at 100 TB; AQE coalesces small ones
     token_metadata: DataFrame | None = None
     log: list[str] = field(default_factory=list)
@@ -64,121 +73,112 @@ class JobOptions:
         print(msg)
 
 
+def _key(row) -> str:
+    return f"{row['symbol']}_{row['transfer_filter']}"
+
+
 def _slice_key(df: DataFrame) -> DataFrame:
     return df.withColumn("slice_key", F.concat_ws("_", F.col("symbol"), F.col("transfer_filter")))
 
 
-def stored_keys(spark: SparkSession, path: str) -> DataFrame | None:
-    """(key, transfer_filter) of slices already stored under ``path``.
+# The manifest lists the stored slices: which run built each of them, and
+# whether it has transfers at all. One small file a slice.
+MANIFEST = T.StructType([
+    T.StructField("symbol", T.StringType()), T.StructField("transfer_filter", T.StringType()),
+    T.StructField("run", T.StringType()), T.StructField("has_rows", T.BooleanType()),
+    T.StructField("slice_key", T.StringType())])
 
-    The slice keys are partition values, known from the file listing, so the
-    distinct query is answered from that listing (metadata-only) instead of
-    scanning every stored file. The keys are configuration-sized.
-    """
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as exc:
-        text = str(exc)
-        if "PATH_NOT_FOUND" in text or "does not exist" in text or "UNABLE_TO_INFER_SCHEMA" in text:
-            return None
-        raise
-    flag = "spark.sql.optimizer.metadataOnly"
-    before = spark.conf.get(flag, "false")
-    spark.conf.set(flag, "true")
-    try:
-        keys = [r[0] for r in stored.select("slice_key").distinct().limit(10 * MAX_REGISTRY_ENTRIES).collect()]
-    finally:
-        spark.conf.set(flag, before)
-    # slice_key = <key>_<filter>; the filter is one of the known names
-    rows = []
-    for k in keys:
-        for f in schemas.TRANSFER_FILTERS:
-            if k.endswith("_" + f):
-                rows.append((k[: -len(f) - 1], f))
-    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("transfer_filter", T.StringType())])
-    return local_frame(spark, sorted(set(rows)), schema)
-
-
-def _local(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A registry-sized slices DataFrame, collected and re-created locally."""
-    rows = df.select(*schemas.SLICES.fieldNames()).limit(MAX_REGISTRY_ENTRIES + 1).collect()
-    if len(rows) > MAX_REGISTRY_ENTRIES:
-        raise RuntimeError("too many registry slices")
-    return local_frame(spark, rows, schemas.SLICES)
-
-
-def build_slices(spark: SparkSession, tables: ChainTables, slices: DataFrame, opts: JobOptions) -> None:
-    """D1-D6 for slices not stored yet (create once), or all of them with ``refresh``.
-
-    Only the missing slices' partitions are written (dynamic overwrite).
+
+def read_manifest(spark: SparkSession, opts: JobOptions) -> dict[str, Row]:
+    """Stored slices by key (as many as the registry has had entries)."""
+    path = f"{opts.store}/manifest"
+    if not files.exists(spark, path):
+        return {}
+    return {r["slice_key"]: r for r in spark.read.schema(MANIFEST).parquet(path).collect()}
+
+
+def _folder(opts: JobOptions, run: str, name: str) -> str:
+    return f"{opts.store}/runs/{run}/{name}"
+
+
+def build_slices(spark: SparkSession, tables: ChainTables, slice_rows: list[Row], opts: JobOptions) -> None:
+    """D1-D7 of slices not stored yet (create once), or of all given ones with ``refresh``.
+
+    A run writes its slices to a folder of its own and then names it in the
+    manifest, so readers see a slice whole or not at all, and a refresh that
+    finds no transfers leaves none behind. D7 is built from the stored D6, for
+    the same slices only.
     """
-    d6_path = f"{opts.store}/transfers_enriched"
-    todo = _slice_key(slices)
-    stored = stored_keys(spark, d6_path)
-    if stored is not None and not opts.refresh:
-        have = stored.select(F.concat_ws("_", "key", "transfer_filter").alias("slice_key"))
-        todo = todo.join(F.broadcast(have), "slice_key", "left_anti")
-    todo = _local(spark, todo)
-    rows = todo.select("symbol", "transfer_filter").collect()
-    if not rows:
+    stored = read_manifest(spark, opts)
+    todo = [r for r in slice_rows if opts.refresh or _key(r) not in stored]
+    if not todo:
         opts.say("[setup] all slices already stored")
         return
-    filters = sorted({r["transfer_filter"] for r in rows})
-    token_ids = [r[0] for r in todo.select("token_id").collect()]
-    sliced = derive.filtered_slices(tables.transfers, tables.addresses, todo, filters, token_ids)
-    small_blocks = derive.blocks_broadcastable(tables.blocks, opts.block_broadcast_max_rows)
-    enriched = derive.enriched(sliced, tables.blocks, todo, broadcast_blocks=small_blocks).drop("decimals")
-    keyed = _slice_key(A.attach_keys(enriched, todo)).drop("symbol", "transfer_filter", "slice_id", "decimals")
-    derive.write_enriched(keyed, d6_path, opts.fact_partitions, key="slice_key")
-    opts.say(f"[setup] stored {len(rows)} slice(s): " + ", ".join(f"{r[0]}_{r[1]}" for r in rows))
-
-
-def _slice_keys(slices: DataFrame) -> list[str]:
-    """The slice keys of a registry-sized slices table (configuration)."""
-    rows = _slice_key(slices).select("slice_key").limit(MAX_REGISTRY_ENTRIES + 1).collect()
-    if len(rows) > MAX_REGISTRY_ENTRIES:
-        raise RuntimeError("too many registry slices")
-    return sorted(r[0] for r in rows)
-
-
-def read_enriched(spark: SparkSession, slices: DataFrame, opts: JobOptions,
-                  keys: list[str] | None = None) -> DataFrame:
-    """Stored D6 of the given slices, re-keyed by this run's ``slice_id``.
-
-    The slice keys are configuration, so they are given to the scan as a
-    partition filter: the other slices' folders are never listed or read.
+    run = uuid.uuid4().hex
+    slices = local_frame(spark, todo, schemas.SLICES)
+    filters = sorted({r["transfer_filter"] for r in todo})
+    sliced = derive.filtered_slices(tables.transfers, tables.addresses, slices, filters, [r["token_id"] for r in todo])
+    enriched = derive.mark_transactions(derive.enriched(sliced, tables.blocks, slices).drop("decimals"))
+    keyed = _slice_key(A.attach_keys(enriched, slices)).drop("symbol", "transfer_filter", "slice_id", "decimals")
+    derive.write_enriched(keyed, _folder(opts, run, "transfers_enriched"), key="slice_key")
+    entries = [(r["symbol"], r["transfer_filter"], run,
+                files.exists(spark, f"{_folder(opts, run, 'transfers_enriched')}/slice_key={_key(r)}"), _key(r)) for r in todo]
+    if any(e[3] for e in entries):
+        written = {e[4]: Row(**dict(zip(MANIFEST.fieldNames(), e))) for e in entries}
+        d7 = derive.address_month(_read_slices(spark, "transfers_enriched", todo, written, opts))
+        d7 = _slice_key(A.attach_keys(d7, slices)).drop("symbol", "transfer_filter", "slice_id", "decimals")
+        (d7.hint("rebalance", F.col("slice_key"), F.col("month"))
+           .write.mode("overwrite").partitionBy("slice_key").parquet(_folder(opts, run, "address_month")))
+    (local_frame(spark, entries, MANIFEST).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("slice_key").parquet(f"{opts.store}/manifest"))
+    opts.say(f"[setup] stored {len(todo)} slice(s): " + ", ".join(_key(r) for r in todo))
+
+
+def _read_slices(spark: SparkSession, name: str, slice_rows: list[Row], stored: dict[str, Row], opts: JobOptions) -> DataFrame:
+    """A stored table of the given slices, re-keyed by this run's ``slice_id``.
+
+    Only the folders of these slices are listed and read; a slice without
+    transfers has none.
     """
-    keys = keys if keys is not None else _slice_keys(slices)
-    d6 = spark.read.parquet(f"{opts.store}/transfers_enriched").filter(F.col("slice_key").isin(keys))
-    keys = F.broadcast(_slice_key(slices).select("slice_key", "slice_id", "decimals"))
-    return d6.join(keys, "slice_key").select("slice_id", *derive.FACT_COLUMNS, "ts", "month", "decimals")
+    by_run: dict[str, list[str]] = {}
+    for row in slice_rows:
+        entry = stored[_key(row)]
+        if entry["has_rows"]:
+            by_run.setdefault(entry["run"], []).append(entry["slice_key"])
+    keys = F.broadcast(_slice_key(local_frame(spark, slice_rows, schemas.SLICES)).select("slice_key", "slice_id", "decimals"))
+    parts = []
+    for run, names in sorted(by_run.items()):
+        root = _folder(opts, run, name)
+        found = spark.read.option("basePath", root).parquet(*[f"{root}/slice_key={k}" for k in sorted(names)])
+        parts.append(found.withColumn("slice_key", F.col("slice_key").cast("string")))
+    if not parts:
+        return spark.createDataFrame([], D6_EMPTY if name == "transfers_enriched" else D7_EMPTY)
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part)
+    return df.join(keys, "slice_key").drop("slice_key")
 
 
-def build_activity(spark: SparkSession, enriched: DataFrame, slices: DataFrame, opts: JobOptions) -> None:
-    """D7 for the given slices, written once per run (a lineage cut).
+# Columns of the stored tables, for runs in which no slice has transfers.
+D6_EMPTY = ("slice_id int, block_number bigint, tx_index int, log_index int, from_id bigint, to_id bigint, "
+            "amount decimal(38,0), ts timestamp_ntz, month date, tx_mark bigint, decimals int")
+D7_EMPTY = ("slice_id int, month date, address_id bigint, sent_count bigint, sent_amount decimal(38,0), "
+            "received_count bigint, received_amount decimal(38,0), transaction_count bigint, decimals int")
 
-    The rollup leaves its aggregation hash-partitioned, so every task holds
-    rows of every slice; range-partitioning on (slice, month, address) first
-    gives few, contiguous files per slice. D7 rows are unique per that key,
-    so a hot slice-month still splits over several ranges.
-    """
-    d7 = _slice_key(A.attach_keys(derive.address_month(enriched), slices)).drop(
-        "symbol", "transfer_filter", "slice_id", "decimals")
-    (d7.repartitionByRange(opts.fact_partitions, "slice_key", "month", "address_id")
-       .write.mode("overwrite").partitionBy("slice_key").parquet(f"{opts.store}/address_month"))
+
+def read_enriched(spark: SparkSession, slice_rows: list[Row], opts: JobOptions) -> DataFrame:
+    """Stored D6 of the given slices."""
+    return _read_slices(spark, "transfers_enriched", slice_rows, read_manifest(spark, opts), opts)
 
 
-def read_activity(spark: SparkSession, slices: DataFrame, opts: JobOptions,
-                  keys: list[str] | None = None) -> DataFrame:
-    """Stored D7 of the given slices (partition-pruned like ``read_enriched``)."""
-    keys = keys if keys is not None else _slice_keys(slices)
-    d7 = spark.read.parquet(f"{opts.store}/address_month").filter(F.col("slice_key").isin(keys))
-    keys = F.broadcast(_slice_key(slices).select("slice_key", "slice_id"))
-    return d7.join(keys, "slice_key").drop("slice_key")
+def read_activity(spark: SparkSession, slice_rows: list[Row], opts: JobOptions) -> DataFrame:
+    """Stored D7 of the given slices."""
+    return _read_slices(spark, "address_month", slice_rows, read_manifest(spark, opts), opts).drop("decimals")
 
 
-# Analyses that read the address-month rollup D7.
-USES_ACTIVITY = ("monthly_activity", "monthly_summary", "monthly_adoption_and_funded_by", "monthly_top_users")
+def _of_series(df: DataFrame, series: list[tuple[str, str]]) -> DataFrame:
+    """The rows of these (symbol, filter) pairs: a filter on the partition folders."""
+    return df.filter(F.concat_ws("/", "symbol", "transfer_filter").isin([f"{s}/{f}" for s, f in series]))
 
 
 def run_job(spark: SparkSession, tables: ChainTables, config: dict, opts: JobOptions) -> dict[str, str]:
@@ -190,67 +190,56 @@ def run_job(spark: SparkSession, tables: ChainTables, config: dict, opts: JobOpt
     if opts.check_database and settings.get("expected_database"):
         current = opts.database or spark.catalog.currentDatabase()
         if current != settings["expected_database"]:
-            raise RuntimeError(f"Refusing to run: expected database {settings['expected_database']!r}, "
-                               f"but the current database is {current!r}")
+            raise RuntimeError(f"the registry is for database {settings['expected_database']!r}; "
+                               f"read that one instead of {current!r}, or change expected_database")
     registry = registry_frame(spark, config)
     for row in checks.skipped(registry).collect():
         opts.say(f"[skip] {row['symbol']}")
+    if checks.enabled(registry).isEmpty():
+        opts.say("[done] no token is enabled")
+        return {}
 
-    stored = stored_keys(spark, f"{opts.store}/transfers_enriched")
+    stored = local_frame(spark, [(r["symbol"], r["transfer_filter"]) for r in read_manifest(spark, opts).values()],
+                         T.StructType([T.StructField("key", T.StringType()), T.StructField("transfer_filter", T.StringType())]))
     checks.preflight(registry, tables.tokens, token_metadata=opts.token_metadata,
                      verify_decimals=bool(settings.get("verify_decimals", True)),
                      stored=stored, require_stored=True)
     opts.say("[preflight] all enabled tokens passed")
 
-    # The resolved slices are configuration: collect them once (bounded) and
-    # derive every routed subset and partition-key list on the driver.
-    slice_rows = checks.resolve_slices(registry, tables.tokens).limit(MAX_REGISTRY_ENTRIES + 1).collect()
-    if len(slice_rows) > MAX_REGISTRY_ENTRIES:
-        raise RuntimeError("too many registry slices")
+    # The resolved slices are configuration: collected once, every routed
+    # subset is derived from them on the driver.
+    slice_rows = checks.resolve_slices(registry, tables.tokens).collect()
     setup_on = {row[0] for row in registry_rows(config) if row[5]}
-    build_slices(spark, tables, local_frame(spark, [r for r in slice_rows if r["slice_id"] in setup_on],
-                                            schemas.SLICES), opts)
-
-    def routed(*flags: str) -> list:
-        """V8: the slices that switched on any of ``flags``."""
-        return [r for r in slice_rows if any((r["analyses"] or {}).get(f) for f in flags)]
-
-    def keys_of(rows: list) -> list[str]:
-        return sorted(f"{r['symbol']}_{r['transfer_filter']}" for r in rows)
-
-    with_activity = routed(*USES_ACTIVITY)
-    if with_activity:
-        frame = local_frame(spark, with_activity, schemas.SLICES)
-        build_activity(spark, read_enriched(spark, frame, opts, keys_of(with_activity)), frame, opts)
-    zero_ids = A.zero_address_ids(tables.addresses)
-
-    def inputs(flag: str):
-        rows = routed(flag)
-        sl = local_frame(spark, rows, schemas.SLICES)
-        keys = keys_of(rows)
-        return rows, sl, (lambda: read_enriched(spark, sl, opts, keys)), (lambda: read_activity(spark, sl, opts, keys))
+    build_slices(spark, tables, [r for r in slice_rows if r["slice_id"] in setup_on], opts)
+    scales = local_frame(spark, slice_rows, schemas.SLICES).select("symbol", "transfer_filter", "decimals")
+    write_result(scales, f"{opts.output}/{SERIES_DECIMALS}", [(r["symbol"], r["transfer_filter"]) for r in slice_rows], [])
 
     plans = {
-        "monthly_activity": lambda sl, e, a: A.monthly_activity(a(), sl),
-        "monthly_summary": lambda sl, e, a: A.monthly_summary(e(), a(), zero_ids, sl),
-        "monthly_adoption": lambda sl, e, a: A.monthly_adoption(a(), sl),
-        "monthly_top100_funded_by": lambda sl, e, a: A.monthly_funded_by(e(), tables.addresses, sl),
-        "monthly_top100_users": lambda sl, e, a: A.monthly_top_users(a(), tables.addresses, sl),
-        "transfer_size_histogram_all_time": lambda sl, e, a: A.size_histogram(e(), sl),
-        "monthly_transfer_size_buckets": lambda sl, e, a: A.monthly_size_buckets(e(), sl),
+        "monthly_activity": lambda rows, sl: A.monthly_activity(read_activity(spark, rows, opts), sl),
+        "monthly_summary": lambda rows, sl: A.monthly_summary(
+            read_activity(spark, rows, opts), A.zero_address_ids(tables.addresses), sl),
+        "monthly_adoption": lambda rows, sl: A.monthly_adoption(read_activity(spark, rows, opts), sl),
+        "monthly_top100_funded_by": lambda rows, sl: A.monthly_funded_by(read_enriched(spark, rows, opts), tables.addresses, sl),
+        "monthly_top100_users": lambda rows, sl: A.monthly_top_users(read_activity(spark, rows, opts), tables.addresses, sl),
+        "transfer_size_histogram_all_time": lambda rows, sl: A.size_histogram(read_enriched(spark, rows, opts), sl),
+        "monthly_transfer_size_buckets": lambda rows, sl: A.monthly_size_buckets(read_enriched(spark, rows, opts), sl),
     }
     written = {}
     for name, plan in plans.items():
-        rows, sl, enriched, activity = inputs(RESULT_FLAGS[name])
+        # V8: the slices that switched the result on
+        rows = [r for r in slice_rows if (r["analyses"] or {}).get(RESULT_FLAGS[name])]
         if not rows:
             continue
         path = f"{opts.output}/{name}"
-        counted = Observation(name)
-        write_result(plan(sl, enriched, activity).observe(counted, F.count(F.lit(1)).alias("rows")), path)
+        series = [(r["symbol"], r["transfer_filter"]) for r in rows]
+        result = plan(rows, local_frame(spark, rows, schemas.SLICES))
+        write_result(result, path, series, sink_order(name))
+        back = read_result(spark, path)
+        back = result.limit(0) if back is None else _of_series(back, series)
         if opts.write_csv:
-            write_result_csv(spark.read.parquet(path), f"{opts.output}/csv/{name}", SINK_ORDER[name])
+            write_result_csv(back, f"{opts.output}/csv", name, series, sink_order(name))
         written[name] = path
-        opts.say(f"[export] {name} ({counted.get['rows']:,} rows)")
+        opts.say(f"[export] {name} ({back.count():,} rows)")
     return written
 
 
@@ -277,13 +266,17 @@ def run_reports(spark: SparkSession, results: str | None, slices: DataFrame, out
     files ``{key}_{filter}_{result}.csv`` instead.
     """
     if csv_folder is not None and series is None:
-        raise ValueError("reading flat CSV results needs one series")
+        raise ValueError("flat CSV files are named after a series: name the one to read")
     ro = ro or ReportOptions()
     scales = R.scales_of(slices)
     s, e = ro.start_date, ro.end_date
     written: dict[str, str] = {}
 
     def emit(name: str, df: DataFrame) -> None:
+        if df.isEmpty():  # nothing in the period: no dataset, also no earlier one
+            print(f"[skip] {name} has no rows")
+            files.remove(spark, f"{out}/{name}")
+            return
         df.write.mode("overwrite").parquet(f"{out}/{name}")
         written[name] = f"{out}/{name}"
 
@@ -322,5 +315,7 @@ def run_reports(spark: SparkSession, results: str | None, slices: DataFrame, out
         emit(f"{prefix}_stack", R.window_stack(windows, value, ro.address_stack_top_n, ro.top_n, scales))
         emit(f"{prefix}_matrix", R.window_matrix(windows, value))
         emit(f"{prefix}_bubbles", R.window_bubbles(windows, value))
-        emit(f"{prefix}_yearly", R.yearly_top(top, address, value, ro.yearly_top_n or ro.top_n, scales))
+        yearly = R.yearly_top(top, address, value, ro.yearly_top_n or ro.top_n, scales)
+        emit(f"{prefix}_yearly", yearly)
+        emit(f"{prefix}_yearly_lookup", R.address_lookup(yearly, value, ro.explorer_address_url))
     return written

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 AMOUNT = T.DecimalType(38, 0)
 EXACT_VOLUME = T.DecimalType(38, 18)
 
+# Amounts are DECIMAL(38,0) or, for uint256, decimal text (see functions.wide).
 TRANSFER = T.StructType([
     T.StructField("token_id", T.LongType(), False),
     T.StructField("block_number", T.LongType(), False),
@@ -82,23 +83,24 @@ def _fields(*pairs) -> T.StructType:
 
 
 # Result sets as flat CSV files (one per token, filter and result, in this
-# column order), the form reports can also read (``read_flat_csv``).
+# column order), the form reports can also read (``read_flat_csv``). Exact amounts
+# are read as text, so they may have any number of digits.
 RESULT_CSV = {
     "monthly_activity": _fields(
-        ("month", T.DateType()), ("transfer_count", T.LongType()), ("raw_volume", AMOUNT),
+        ("month", T.DateType()), ("transfer_count", T.LongType()), ("raw_volume", T.StringType()),
         ("token_volume", T.DoubleType()), ("unique_senders", T.LongType()), ("unique_receivers", T.LongType()),
         ("active_addresses", T.LongType())),
     "monthly_summary": _fields(
-        ("month", T.DateType()), ("token_volume", EXACT_VOLUME), ("unique_addresses", T.LongType()),
+        ("month", T.DateType()), ("token_volume", T.StringType()), ("unique_addresses", T.LongType()),
         ("new_addresses", T.LongType()), ("transaction_count", T.LongType()), ("transfer_count", T.LongType())),
     "monthly_adoption": _fields(("month", T.DateType()), ("newly_adopted_addresses", T.LongType())),
     "monthly_top100_funded_by": _fields(
         ("month", T.DateType()), ("funder_rank", T.IntegerType()), ("funded_by_id", T.LongType()),
         ("funded_by_address", T.StringType()), ("newly_funded_addresses", T.LongType()),
-        ("raw_funded_volume", AMOUNT), ("funded_volume", T.DoubleType())),
+        ("raw_funded_volume", T.StringType()), ("funded_volume", T.DoubleType())),
     "monthly_top100_users": _fields(
         ("month", T.DateType()), ("user_rank", T.IntegerType()), ("address_id", T.LongType()),
-        ("address", T.StringType()), ("outgoing_transfer_count", T.LongType()), ("raw_outgoing_volume", AMOUNT),
+        ("address", T.StringType()), ("outgoing_transfer_count", T.LongType()), ("raw_outgoing_volume", T.StringType()),
         ("outgoing_volume", T.DoubleType())),
     "transfer_size_histogram_all_time": _fields(
         ("size_bucket", T.StringType()), ("transfer_count", T.LongType()), ("bucket_volume", T.DoubleType())),

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every session of the job needs. Month truncation is done in UTC,
@@ -20,14 +17,15 @@ JOB_CONF = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "ledgerlens", extra: dict | None = None) -> SparkSession:
     """Local session for tests and the bench; a cluster passes its own master."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(JOB_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:  # else the cluster's own setting holds
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -42,19 +40,3 @@ def apply_job_conf(spark: SparkSession) -> None:
     for key, value in JOB_CONF.items():
         if key.startswith("spark.sql."):
             spark.conf.set(key, value)
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts.
-
-    A cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) a scratch folder is created and registered.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local

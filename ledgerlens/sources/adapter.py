@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas
+from ledgerlens.functions import wide
 from ledgerlens.sources.local import local_frame
 from ledgerlens.sources.tables import ChainTables
 
@@ -27,12 +28,8 @@ FIXTURE_TOKENS = (
 )
 
 
-def _parallelism(spark: SparkSession) -> int:
-    """Cores of the session (the shuffle partition count where no SparkContext is exposed)."""
-    try:
-        return int(spark.sparkContext.defaultParallelism)
-    except Exception:
-        return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+# Digits that ``wide_amounts`` appends to an amount (from block and log).
+WIDE_DIGITS = 30
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +52,8 @@ def fixture_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixture_transfers(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
-    # The driver's files hold one row group each, so a scan is a single task.
-    # A fact table at scale is many files; to give the map side the same
-    # parallelism here, the fixture spreads lineitem over the session's cores
-    # (hash on the order key: deterministic on retry, no sort needed).
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
-    li = li.repartition(_parallelism(spark), "l_orderkey")
     o = (orders if orders is not None else _read(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     exponent = F.col("l_linenumber") - 2 + F.when(F.col("l_suppkey") % 3 == 2, 11).otherwise(1)
@@ -80,6 +72,12 @@ def fixture_transfers(spark: SparkSession, sf_dir: str, orders: DataFrame | None
     )
 
 
+def wide_amounts(transfers: DataFrame) -> DataFrame:
+    """The same transfers with amounts of up to 60 digits, as text."""
+    low = F.lpad((F.col("block_number") * 100 + F.col("log_index")).cast("string"), WIDE_DIGITS, "0")
+    return transfers.withColumn("amount", wide.uint256_text(F.concat(F.col("amount").cast("string"), low)))
+
+
 def fixture_tokens(spark: SparkSession) -> DataFrame:
     rows = [(tid, bytes.fromhex(h)) for tid, _, h, _ in FIXTURE_TOKENS]
     return local_frame(spark, rows, schemas.TOKEN)
@@ -119,3 +117,22 @@ def fixture_token_metadata(spark: SparkSession) -> DataFrame:
     """Snapshot of on-chain decimals() per token address (V4 input)."""
     rows = [("0x" + h, d) for _, _, h, d in FIXTURE_TOKENS]
     return local_frame(spark, rows, schemas.TOKEN_METADATA)
+
+
+def supplier_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(registry, token, token_metadata) with one token a supplier, and every kind of fault."""
+    k = F.col("s_suppkey")
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey")
+    address = F.lower(F.lpad(F.hex(F.when(k % 7 == 3, k + 10**12).otherwise(k)), 40, "0"))
+    registry = rows.select(
+        k.cast("int").alias("entry_id"), F.concat(F.lit("t"), k.cast("string")).alias("symbol"), F.lit(True).alias("enabled"),
+        F.concat(F.lit("0x"), address).alias("address"), (k % 19).cast("int").alias("decimals"),
+        F.lit(True).alias("setup_token_view"), F.lit("all").alias("transfer_filter"),
+        F.lit(None).cast(schemas.ANALYSES).alias("analyses"))
+    token = rows.union(rows.where(k % 50 == 0)).select(k.alias("id"), F.unhex(F.lpad(F.hex(k), 40, "0")).alias("addr"))
+    found = (k % 19) + F.when(k % 11 == 5, 1).otherwise(0)
+    text = lambda v: F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(v), 64, "0")))
+    own = F.lower(F.lpad(F.hex(k), 40, "0")).alias("address")
+    metadata = rows.where(k % 13 != 4).select(own, text(found).alias("decimals")).union(
+        rows.where((k % 17 == 6) & (k % 13 != 4)).select(own, text(k % 19 + 3).alias("decimals")))
+    return registry, token, metadata

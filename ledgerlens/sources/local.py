@@ -1,47 +1,16 @@
-"""Small configuration tables as JVM-side local relations.
+"""Small configuration tables as local relations.
 
-``createDataFrame`` on a Python list goes through a Python-side RDD. For
-registry-sized tables the rows are rendered as one SQL ``VALUES`` list
-instead: a single parser call that yields a ``LocalRelation`` (with size
-statistics), planned and run entirely in the JVM.
+Rows go to the JVM as one Arrow table: no SQL text is built from them (values
+are never parsed or substituted), and Spark knows the relation's size.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-from decimal import Decimal
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-
-def _quote(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def sql_literal(value, dtype: T.DataType) -> str:
-    """``value`` as a typed Spark SQL literal expression."""
-    type_name = dtype.simpleString()
-    if value is None:
-        return f"CAST(NULL AS {type_name})"
-    if isinstance(dtype, T.BooleanType):
-        body = "true" if value else "false"
-    elif isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        body = str(int(value))
-    elif isinstance(dtype, T.BinaryType):
-        body = f"X'{bytes(value).hex()}'"
-    elif isinstance(dtype, T.MapType):
-        items = ", ".join(f"{sql_literal(k, dtype.keyType)}, {sql_literal(v, dtype.valueType)}"
-                          for k, v in value.items())
-        body = f"map({items})"
-    elif isinstance(dtype, (T.DecimalType, T.DoubleType, T.FloatType)):
-        body = _quote(str(Decimal(value)) if isinstance(value, Decimal) else repr(value))
-    elif isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        body = _quote(value.isoformat(sep=" ") if isinstance(value, dt.datetime) else value.isoformat())
-    else:
-        body = _quote(str(value))
-    return f"CAST({body} AS {type_name})"
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def local_frame(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
@@ -49,7 +18,13 @@ def local_frame(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
     rows = [tuple(r) for r in rows]
     if not rows:
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
-    values = ",\n".join("(" + ", ".join(sql_literal(v, f.dataType) for v, f in zip(r, schema.fields)) + ")"
-                        for r in rows)
-    names = ", ".join(f"`{f.name}`" for f in schema.fields)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([_plain(r[i]) for r in rows], f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
+
+
+def _plain(value):
+    """Maps as pairs, bytearrays as bytes, the way Arrow takes them."""
+    if isinstance(value, dict):
+        return list(value.items())
+    return bytes(value) if isinstance(value, bytearray) else value

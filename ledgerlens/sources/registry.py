@@ -14,11 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens import schemas
 from ledgerlens.sources.local import local_frame
 
-# A registry is configuration; beyond this many entries it is not one, and
-# broadcasting it to every task would no longer be a safe default.
-MAX_REGISTRY_ENTRIES = 10_000
-
-
 def load_config(path: str | Path) -> dict:
     import yaml
 
@@ -37,9 +32,7 @@ def settings_of(config: dict) -> dict:
 def registry_rows(config: dict) -> list[tuple]:
     tokens = config.get("tokens") or {}
     if not tokens:
-        raise RuntimeError("No tokens found in the registry")
-    if len(tokens) > MAX_REGISTRY_ENTRIES:
-        raise RuntimeError(f"Registry has {len(tokens)} entries; at most {MAX_REGISTRY_ENTRIES} are supported")
+        raise RuntimeError("the registry has no tokens: list at least one under 'tokens'")
     rows = []
     for entry_id, (symbol, cfg) in enumerate(tokens.items()):
         cfg = cfg or {}

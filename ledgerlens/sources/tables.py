@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens import schemas
+from ledgerlens.functions import wide
+from ledgerlens.sources import files
 
 
 @dataclass(frozen=True)
@@ -34,7 +38,7 @@ class ChainTables:
             return spark.table(name)
 
         return cls(
-            transfers=table("transfers").select(*schemas.TRANSFER.fieldNames()),
+            transfers=_amounts(table("transfers").select(*schemas.TRANSFER.fieldNames())),
             blocks=table("blocks").select(*schemas.BLOCK.fieldNames()),
             addresses=table("addresses").select(*schemas.ADDRESS.fieldNames()),
             tokens=table("tokens").select(*schemas.TOKEN.fieldNames()),
@@ -46,58 +50,83 @@ class ChainTables:
             return spark.read.schema(schema).parquet(f"{root}/{name}")
 
         return cls(
-            transfers=read("erc20_transfer", schemas.TRANSFER),
+            # the stored amount may be a decimal or uint256 text: its own type is kept
+            transfers=_amounts(spark.read.parquet(f"{root}/erc20_transfer").select(
+                *[F.col(f.name) if f.name == "amount" else F.col(f.name).cast(f.dataType) for f in schemas.TRANSFER])),
             blocks=read("eth_block", schemas.BLOCK),
             addresses=read("address", schemas.ADDRESS),
             tokens=read("token", schemas.TOKEN),
         )
 
 
-def write_result(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A result set, partitioned by its registry keys.
+def _amounts(transfers: DataFrame) -> DataFrame:
+    """Text amounts in canonical form (anything else than a uint256 raises), others as DECIMAL(38,0)."""
+    text = wide.is_text(transfers, "amount")
+    return transfers.withColumn("amount", wide.uint256_text(F.col("amount")) if text else F.col("amount").cast(schemas.AMOUNT))
 
-    Result sets are aggregates bounded per series (months x at most 100
-    rows), so each series is written as one file. With
-    ``partitionOverwriteMode=dynamic`` only the (symbol, filter) partitions
-    present in ``df`` are replaced.
+
+def _series_folder(path: str, symbol: str, transfer_filter: str) -> str:
+    return f"{path}/symbol={symbol}/transfer_filter={transfer_filter}"
+
+
+def write_result(df: DataFrame, path: str, series: list[tuple[str, str]], order_by: list[Column]) -> None:
+    """A result set, partitioned by its registry keys and ordered inside.
+
+    ``series`` are the (symbol, filter) pairs that ``df`` was computed for:
+    their earlier rows are replaced, also of those that have none any more;
+    other series stay. Result sets are aggregates bounded per series (months x
+    at most 100 rows), so each series is written as one file.
     """
+    spark = df.sparkSession
+    for symbol, transfer_filter in series:
+        files.remove(spark, _series_folder(path, symbol, transfer_filter))
     (df.repartition("symbol", "transfer_filter")
-       .write.mode(mode)
+       .sortWithinPartitions("symbol", "transfer_filter", *order_by)
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("symbol", "transfer_filter")
        .parquet(path))
 
 
-def write_result_csv(df: DataFrame, path: str, order_by: list[str]) -> None:
-    """S7 (optional): one ordered CSV with header per series.
-
-    ``order_by`` starts with the series keys; each series lands in its own
-    ``symbol=…/transfer_filter=…`` folder as one file sorted by the rest,
-    like one CSV per token and filter. Result sets are small per series.
-    """
+def write_result_csv(df: DataFrame, folder: str, name: str, series: list[tuple[str, str]], order_by: list[Column]) -> None:
+    """S7 (optional): ``{folder}/{key}_{filter}_{name}.csv`` for each series, with exactly the
+    result's columns, a header, and ordered rows; ``read_flat_csv`` reads them."""
+    spark, parts = df.sparkSession, f"{folder}/_{name}"
+    columns = schemas.RESULT_CSV[name].fieldNames()
     (df.repartition("symbol", "transfer_filter")
-       .sortWithinPartitions(*order_by)
-       .write.mode("overwrite")
-       .partitionBy("symbol", "transfer_filter")
-       .option("header", True)
-       .csv(path))
+       .sortWithinPartitions("symbol", "transfer_filter", *order_by)
+       .select("symbol", "transfer_filter", *columns)
+       .write.mode("overwrite").option("partitionOverwriteMode", "static").option("header", True)
+       .partitionBy("symbol", "transfer_filter").csv(parts))
+    for symbol, transfer_filter in series:
+        target = f"{folder}/{symbol}_{transfer_filter}_{name}.csv"
+        if not files.move_only_part(spark, _series_folder(parts, symbol, transfer_filter), target):
+            header = f"{parts}/_header"  # no rows: the header alone
+            spark.createDataFrame([(",".join(columns),)], "line string").coalesce(1).write.mode("overwrite").text(header)
+            files.move_only_part(spark, header, target)
+    files.remove(spark, parts)
+
 
+def _absent(exc: AnalysisException) -> bool:
+    return exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
-def read_result(spark: SparkSession, path: str, schema=None, symbol: str | None = None,
+
+def read_result(spark: SparkSession, path: str, symbol: str | None = None,
                 transfer_filter: str | None = None) -> DataFrame | None:
     """A stored result set for reporting, optionally one (symbol, filter).
 
-    Returns None when the result is absent, so only that report is skipped.
+    The series keys are text whatever they look like (``007``). Returns None
+    when the result is absent, so only that report is skipped.
     """
     try:
-        reader = spark.read
-        if schema is not None:
-            reader = reader.schema(schema)
-        df = reader.parquet(path)
-    except Exception as exc:  # absent folder: the report is skipped
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+        found = spark.read.parquet(path).schema
+    except AnalysisException as exc:
+        if _absent(exc):
             print(f"[skip] {path} not found")
             return None
         raise
+    keys = ("symbol", "transfer_filter")
+    df = spark.read.schema(T.StructType([T.StructField(f.name, T.StringType() if f.name in keys else f.dataType)
+                                         for f in found])).parquet(path)
     if symbol is not None:
         df = df.filter(F.col("symbol") == symbol)
     if transfer_filter is not None:
@@ -117,10 +146,9 @@ def read_flat_csv(spark: SparkSession, folder: str, name: str, key: str,
     try:
         df = (spark.read.schema(schemas.RESULT_CSV[name]).option("header", True)
               .option("mode", "FAILFAST").csv(path))
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+    except AnalysisException as exc:
+        if _absent(exc):
             print(f"[skip] {path} not found")
             return None
         raise
     return df.select(F.lit(key).alias("symbol"), F.lit(transfer_filter).alias("transfer_filter"), "*")
-

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import wide
 from ledgerlens.operators import analyses as A
+from ledgerlens.operators import derive
 from tests.helpers import config, derived, rows, tables
 
 ZERO = "00" * 20
@@ -58,7 +59,7 @@ def test_activity_keeps_zero_only_month(spark):
 def test_summary_drops_zero_only_month(spark):
     t, slices, enriched, activity = fixture(spark)
     zero = A.zero_address_ids(t.addresses)
-    got = rows(A.monthly_summary(enriched, activity, zero, slices), "month", "token_volume", "unique_addresses",
+    got = rows(A.monthly_summary(derive.address_month(derive.mark_transactions(enriched)), zero, slices), "month", "token_volume", "unique_addresses",
                "new_addresses", "transaction_count", "transfer_count")
     assert got == [
         (dt.date(2024, 2, 1), Decimal("0.000410"), 3, 3, 2, 4),

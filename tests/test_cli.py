@@ -34,7 +34,7 @@ def test_run_and_report(spark, scratch):
         yaml.safe_dump(registry, f)
     args = parser().parse_args(["run", "--config", f"{scratch}/registry.yaml", "--tables-root", root,
                                 "--token-metadata", f"{scratch}/meta", "--store", f"{scratch}/store",
-                                "--output", f"{scratch}/out", "--fact-partitions", "2", "--csv"])
+                                "--output", f"{scratch}/out", "--csv"])
     written = run_command(args, spark)
     assert set(written) == {"monthly_activity", "monthly_top100_users"}
 

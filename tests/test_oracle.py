@@ -2,11 +2,13 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from ledgerlens.plans.catalog import QUERIES
+from ledgerlens.plans.oracle import ORACLE
 from tests.conftest import SF01
 from tests.oracle_harness import compare_query, duck_connection
 
-NAMES = sorted(queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +17,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLE) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", NAMES)
