@@ -21,9 +21,9 @@ Two sets of similarity t or more share at least ``l`` of the first
    that one set has and the other lacks is a shingle not in common, so counting
    them bounds the overlap from above; pairs that cannot reach the threshold go
    before their overlaps are counted. The bound is exact, it loses nothing.
-6. *Groups of copies* never give all pairs. Each shingle names a few of its sets as
-   hubs, the same few for most shingles of a group; a set is compared with the
-   hubs it has most shingles in common with, and linked sets become one component.
+6. *Groups of copies* never give all pairs. Each shingle names one of its sets as
+   hub, the same few for most shingles of a group; a set is compared with the hubs
+   that most of its shingles name, and linked sets become one component.
    What is left is compared across components only: shingles are put together
    under their first set, and the members under it that are not of its largest
    component meet all others, in blocks. No link that joins components is lost.
@@ -66,7 +66,7 @@ HUBS = 3
 APART_BLOCK, OTHER_BLOCK = 256, 2048
 #: Bits of the map of a set's shingles.
 SET_BITS = 2048
-#: Hubs that a shingle may name, by its hash.
+#: Shingles fall into so many pools by hash; those of a pool name the same hub where they can.
 POOLS = 4
 #: Bits of the map of documents whose whole sets are needed: a bound on what tasks are sent.
 MAP_BITS = 1 << 26
@@ -314,14 +314,14 @@ def _near_sizes(x: str, y: str, percent: int) -> Column:
 
 
 def _hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Each set with the hubs that it shares most entries with."""
+    """Each set with the hubs that most of its shingles name; a shingle names one of its sets."""
     rank = F.xxhash64("set_id", F.pmod("gram", F.lit(POOLS)))
-    hubs = (entries.groupBy("gram").agg(F.max_by("set_id", rank).alias("set_id"), F.count("*").alias("held"))
-            .where("held > 1").select("set_id").distinct())
-    theirs = entries.join(hubs, "set_id", "left_semi").select("gram", F.col("set_id").alias("a"), F.col("n").alias("n_a"))
-    met = (entries.join(theirs, "gram").where((F.col("set_id") != F.col("a")) & _near_sizes("n", "n_a", percent))
+    hubs = (entries.groupBy("gram").agg(F.max_by(F.struct(F.col("set_id").alias("a"), F.col("n").alias("n_a")), rank).alias("hub"),
+                                        F.count("*").alias("held"))
+            .where("held > 1").select("gram", "hub.*"))
+    met = (entries.join(hubs, "gram").where((F.col("set_id") != F.col("a")) & _near_sizes("n", "n_a", percent))
            .groupBy("set_id", "n", "a", "n_a").agg(F.count("*").alias("times")))
-    best = Window.partitionBy("set_id", "n").orderBy(F.desc(F.col("times") / F.greatest("n", "n_a")), "a")
+    best = Window.partitionBy("set_id", "n").orderBy(F.desc("times"), "a")
     return (met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS)
             .select("a", F.col("set_id").alias("b"), "n_a", F.col("n").alias("n_b")))
 
