@@ -33,13 +33,13 @@ def summary(plan: str, formatted: str) -> dict:
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from ledgerlens.session import build_session
-    from __spark_entry__ import queries
+    from ledgerlens.plans.catalog import QUERIES
 
     spark = build_session("local[4]", 8)
     print("| query | shuffles | reused | broadcasts | SMJ | WindowGroupLimit | codegen stages | Python |")
     print("|---|---|---|---|---|---|---|---|")
     scans = set()
-    for name, q in queries().items():
+    for name, q in QUERIES.items():
         df = q(spark, sf_dir)
         qe = df._jdf.queryExecution()
         qe.toRdd().count()  # runs this plan, so the adaptive plan below is final
