@@ -40,9 +40,39 @@ def test_fact_scan_is_pruned(spark):
 
 
 @pytest.mark.parametrize("name", ["monthly_activity", "monthly_top_users", "size_histogram", "first_incoming",
-                                  "monthly_adoption"])
+                                  "monthly_adoption", "monthly_summary", "monthly_funded_by"])
 def test_facts_scanned_once(spark, name):
     plan = queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.split("== Initial Plan ==")[0].splitlines()
              if "FileScan" in line and "lineitem" in line]
     assert len(scans) == 1, scans
+
+
+def test_summary_has_few_exchanges(spark):
+    plan = queries()["monthly_summary"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") <= 6
+
+
+@pytest.mark.parametrize("name", ["monthly_funded_by", "monthly_top_users"])
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_top_lists_do_not_need_a_broadcast(spark, name, limit):
+    """The same rows whether Spark may broadcast the list or has to shuffle it."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.set(k, limit)
+        got = sorted(map(str, queries()[name](spark, SF001).collect()))
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == sorted(map(str, queries()[name](spark, SF001).collect()))
+
+
+def test_no_forced_broadcast_of_blocks_or_lists():
+    import inspect
+
+    from ledgerlens.operators import analyses, derive
+
+    hinted = [line.strip() for module in (analyses, derive) for line in inspect.getsource(module).splitlines() if "F.broadcast(" in line]
+    assert all("slices" in line for line in hinted), hinted
