@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, held, importable, table
+from .runtime import Places, cut, held, importable, no_collection, table
 
 FIT_DOCS = 3000
 KEEP = 20_000
@@ -107,15 +107,7 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
-        pending: list[bytes] = []
-
-        class Known(dict):
-            def __missing__(self, chunk: bytes) -> int:
-                place = self[chunk] = len(self)
-                pending.append(chunk)
-                return place
-
-        self.known, self.pending = Known(), pending
+        self.known = Places()
         self.scores = np.zeros((0, len(self.langs)))
         self.words = np.zeros(0, np.int64)
 
@@ -132,10 +124,11 @@ class Scorer:
         return []
 
     def _learn(self) -> None:
-        if not self.pending:
+        new = self.known.new
+        if not new:
             return
-        rows, weights, owner, words = [], [], [], np.zeros(len(self.pending), np.int64)
-        for k, chunk in enumerate(self.pending):
+        rows, weights, owner, words = [], [], [], np.zeros(len(new), np.int64)
+        for k, chunk in enumerate(new):
             found = LETTERS.findall(chunk.decode("utf-8", "replace").lower())
             words[k] = len(found)
             for word in found:
@@ -143,14 +136,15 @@ class Scorer:
                     rows += used
                     weights += [1 / len(used)] * len(used)
                     owner += [k] * len(used)
-        scores = np.zeros((len(self.pending), len(self.langs)))
+        scores = np.zeros((len(new), len(self.langs)))
         if rows:
             parts, owner = self.logs[rows] * np.array(weights)[:, None], np.array(owner)
             begin = np.flatnonzero(np.diff(owner, prepend=-1))
             scores[owner[begin]] = np.add.reduceat(parts, begin, axis=0)
         self.scores, self.words = np.concatenate([self.scores, scores]), np.concatenate([self.words, words])
-        self.pending.clear()
+        new.clear()
 
+    @no_collection()
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         if len(self.known) > CACHE_CHUNKS:
             self.reset()

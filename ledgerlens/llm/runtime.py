@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Places(dict):
+    """Numbers keys in the order they come; ``new`` lists those not yet worked on."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        place = self[key] = len(self)
+        self.new.append(key)
+        return place
+
+
+@contextmanager
+def no_collection():
+    """Without the cycle collector, which would walk large caches again and again; for code
+    that makes no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 _HELD: dict = {}
 
 

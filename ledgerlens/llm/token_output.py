@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import held, importable, new_folder, table
+from .runtime import Places, held, importable, new_folder, no_collection, table
 
 #: Ids gathered before a block is closed (whole documents, so a block may exceed it).
 BLOCK_IDS = 1 << 20
@@ -117,26 +117,18 @@ class ChunkEncoder:
         self.forget_chunks()
 
     def forget_chunks(self) -> None:
-        pending: list[bytes] = []
-
-        class Known(dict):
-            def __missing__(self, chunk: bytes) -> int:
-                place = self[chunk] = len(self)
-                pending.append(chunk)
-                return place
-
-        self.known, self.pending = Known(), pending
+        self.known = Places()
         self.parts = np.zeros((0, 2), np.int64)
 
     def _learn(self) -> None:
-        if not self.pending:
+        if not self.known.new:
             return
         places, letters = self.places, self.letters
         words: list[str | None] = []
         rest: list[tuple[int, str]] = []
         cuts: list[int] = []
         known = len(places)
-        for chunk in self.pending:
+        for chunk in self.known.new:
             word, tail = chunk.decode("utf-8", "replace"), ""
             if chunk[-1] in STOPS:
                 text = word
@@ -174,8 +166,9 @@ class ChunkEncoder:
         self.ids = np.concatenate([self.ids, ids])
         assert len(self.length) == len(places) and known + len(found) == len(places)
         self.parts = np.concatenate([self.parts, np.array(cuts, np.int64).reshape(-1, 2)])
-        self.pending.clear()
+        self.known.new.clear()
 
+    @no_collection()
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and the number of ids of each."""
         if len(self.places) > CACHE_WORDS:
