@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,7 +71,8 @@ def _grams(words: DataFrame, size: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, keep: int = KEEP) -> dict:
-    """Tables of logarithmic frequencies: {"langs", "index" (word or gram to row), "logs"}."""
+    """Tables of logarithmic frequencies: {"langs", "sizes" and "units" (0 and a word, or a gram's
+    size and the gram), "logs"}."""
     words = cut(_sample(docs, fit_docs)
                 .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word"))
                 .groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
@@ -81,21 +83,19 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, keep: int = KEEP) -> dict:
     top = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "unit")
     kept = (units.withColumn("total", F.sum("n").over(totals)).withColumn("place", F.row_number().over(top))
             .where((F.col("place") <= keep) & ((F.col("size") > 0) | (F.col("n") > 1)))
-            .select("lang", "size", "unit", "n", "total").toPandas())
-    langs = sorted(kept["lang"].unique())
-    keys = list(zip(kept["size"].astype(int), kept["unit"]))
-    index: dict[tuple[int, str], int] = {}
-    for key in sorted(set(keys)):
-        index[key] = len(index)
-    counts = np.zeros((len(index), len(langs)))
-    column = {lang: i for i, lang in enumerate(langs)}
-    rows = np.fromiter((index[k] for k in keys), np.int64, len(keys))
-    cols = np.fromiter((column[x] for x in kept["lang"]), np.int64, len(keys))
-    counts[rows, cols] = kept["n"]
-    total = np.ones((max(GRAM_SIZES) + 1, len(langs)))
-    total[kept["size"].to_numpy(int), cols] = kept["total"]
-    size_of = np.fromiter((k[0] for k in index), np.int64, len(index))
-    return {"langs": langs, "index": index, "logs": np.log((counts + ALPHA) / (total[size_of] + ALPHA))}
+            .select("lang", "size", "unit", "n", "total").toArrow())
+    langs = sorted(pc.unique(kept["lang"]).to_pylist())
+    if not langs:
+        return {"langs": [], "sizes": np.zeros(0, np.int8), "units": pa.array([], pa.string()), "logs": np.zeros((0, 0))}
+    column = pc.index_in(kept["lang"], pa.array(langs)).to_numpy()
+    size, n = kept["size"].to_numpy(), kept["n"].to_numpy()
+    key = pc.binary_join_element_wise(pc.cast(kept["size"], pa.string()), kept["unit"], ":").combine_chunks().dictionary_encode()
+    sizes = pc.cast(pc.utf8_slice_codeunits(key.dictionary, 0, 1), pa.int8()).to_numpy()
+    counts, total = np.zeros((len(key.dictionary), len(langs))), np.ones((max(GRAM_SIZES) + 1, len(langs)))
+    counts[key.indices.to_numpy(), column] = n
+    total[size, column] = kept["total"].to_numpy()
+    return {"langs": langs, "sizes": sizes, "units": pc.utf8_slice_codeunits(key.dictionary, 2),
+            "logs": np.log((counts + ALPHA) / (total[sizes] + ALPHA))}
 
 
 class Scorer:
@@ -103,7 +103,8 @@ class Scorer:
     (a run of letters never crosses one, so the sums are those of the whole text)."""
 
     def __init__(self, model: dict):
-        self.langs, self.index, self.logs = model["langs"], model["index"], model["logs"]
+        self.langs, self.logs = model["langs"], model["logs"]
+        self.index = {key: row for row, key in enumerate(zip(model["sizes"].tolist(), model["units"].to_pylist()))}
         self.reset()
 
     def reset(self) -> None:

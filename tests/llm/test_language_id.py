@@ -84,10 +84,10 @@ def test_labels_of_the_held_out_fold_are_never_used(spark):
 
 
 def test_back_off_reaches_letters():
-    logs = {"langs": ["a", "b"], "index": {(0, "hello"): 0, (3, "^qu"): 1, (1, "z"): 2}, "logs": [[0, 0], [0, 0], [0, 0]]}
     import numpy as np
+    import pyarrow as pa
 
-    scorer = g.Scorer(logs | {"logs": np.zeros((3, 2))})
+    scorer = g.Scorer({"langs": ["a", "b"], "sizes": np.array([0, 3, 1]), "units": pa.array(["hello", "^qu", "z"]), "logs": np.zeros((3, 2))})
     assert scorer.word("hello") == [0] and scorer.word("quit") == [1] and scorer.word("zz") == [2, 2] and scorer.word("x") == []
 
 
