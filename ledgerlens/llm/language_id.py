@@ -39,7 +39,7 @@ UNKNOWN = "und"
 #: Pseudo-count of a word or gram that a language was never seen with.
 ALPHA = 0.5
 #: Distinct chunks kept in a worker's cache; beyond it the cache starts anew.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 OUT_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"

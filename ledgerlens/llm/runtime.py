@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folder that holds the package; Python workers import the operators from it.
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of one Arrow batch that a Python worker gets; rows of any length then fit its memory.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -88,10 +89,12 @@ def held(key, make):
     """What a Python worker keeps between tasks: one thing at a time, so that the caches of one
     stage are gone when the next one needs the memory."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def release() -> None:
+    """Give back what earlier tasks of this worker hold."""
     _HELD.clear()
+    pa.default_memory_pool().release_unused()

@@ -35,7 +35,7 @@ from .runtime import Places, held, importable, new_folder, no_collection, table
 #: Ids gathered before a block is closed (whole documents, so a block may exceed it).
 BLOCK_IDS = 1 << 20
 #: Distinct chunks and words kept in a worker's encoding cache; beyond it the cache starts anew.
-CACHE_CHUNKS, CACHE_WORDS = 600_000, 1_200_000
+CACHE_CHUNKS, CACHE_WORDS = 400_000, 900_000
 END_ID = 1
 
 STOPS = b".,"
