@@ -91,6 +91,25 @@ def test_finds_what_all_windows_find(spark, seed):
     assert len(found) >= 0.97 * len(expected)
 
 
+def test_a_seventh_replaced_or_cut_off_at_an_end(spark):
+    """The most words that may differ at 0.75, at either end, where only one window fits."""
+    r = random.Random(6)
+    items, rows = [], []
+    for size in (12, 16, 20, 25, 30, 40, 50, 60, 80, 100):
+        for k in range(12):
+            item = sentence(r, size).split()
+            # of size - 4 shingles six of seven are common, or three of four if the words are missing
+            new, less = (size - 4) // 7, (size - 4) // 4
+            text = [item[new:], item[less:], item[:-new], item[:-less]][k % 4]
+            if k % 2 == 0:
+                text = sentence(r, new).split() + item[new:] if k % 4 == 0 else item[:-new] + sentence(r, new).split()
+            items.append((len(items), " ".join(item)))
+            rows.append((len(rows), " ".join(text)))
+    expected = plain(rows, items)
+    assert len(expected) == len(items)
+    assert got(d.contaminated(frame(spark, rows), spark.createDataFrame(items, ITEM))) == expected
+
+
 def test_repeated_words_are_weighted(spark):
     items = [(1, "a b c d e a b c d e a b c d e f g h i j"), (2, "la la la la la la la la")]
     rows = [(1, "x " + items[0][1] + " y"), (2, "la la la la la"), (3, "so la la la la la la la la so"), (4, "la " * 30)]
