@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm.decontamination import clean_documents
+from ledgerlens.llm.decontamination import clean_texts
 from ledgerlens.llm.language_id import keep_known_language
 from ledgerlens.llm.mixing import mixed_documents
-from ledgerlens.llm.ngram_join import one_of_each
+from ledgerlens.llm.ngram_join import one_text_of_each
 from ledgerlens.llm.runtime import cut, table
 from ledgerlens.llm.token_output import token_output
 
@@ -24,12 +24,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return one_of_each(docs)
+    return one_text_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    return clean_texts(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,9 +100,19 @@ def _flips() -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """Documents by (doc_id, text_key), the hash of the whole text: texts that share an id, or have none, are told apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
+                       word_hashes(F.col("text")).alias("words"))
+
+
+def _same(left: str, right: str) -> Column:
+    return (F.col(f"{left}.text_key") == F.col(f"{right}.text_key")) & F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id"))
+
+
 def _map(met: DataFrame) -> DataFrame:
     """One row: a map of MAP_BITS bits, in longs, with the bits of the documents in ``met``."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    place = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(MAP_BITS))
     found = (met.select(F.floor(place / 64).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
              .groupBy("id").agg(F.bit_or("bit").alias("bits")))
     every = met.sparkSession.range(MAP_BITS // 64).join(found, "id", "left")
@@ -111,29 +121,26 @@ def _map(met: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_words, start, words, fingerprint) of every window that shares a shingle with an item of its size."""
+    """(doc_id, text_key, n_words, start, words, fingerprint) of every window that shares a shingle with an item of its size."""
     seeds = cut(items.select("n_words", F.explode(shingles(F.col("words"))).alias("gram")).distinct(), "item_grams")
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("words"))
-    met = (hashed.select("doc_id", F.posexplode(shingles(F.col("words"))).alias("at", "gram"))
-           .join(seeds, "gram").select("doc_id", "n_words", "at").distinct())
-    met = cut(met.groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "at")).alias("met")), "met")
+    met = (_hashed(docs).select("doc_id", "text_key", F.posexplode(shingles(F.col("words"))).alias("at", "gram"))
+           .join(seeds, "gram").select("doc_id", "text_key", "n_words", "at").distinct())
+    met = cut(met.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("n_words", "at")).alias("met")), "met")
     # only documents that may have been met are hashed again and dealt out
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MAP_BITS))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit(MAP_BITS))
     word = F.get(_map(met).scalar(), F.floor(place / 64).cast("int"))
     marked = F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    held = (docs.where(marked).select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("words")).alias("d")
-            .join(met.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")))
-            .select("d.doc_id", "d.words", "m.met"))
+    held = (_hashed(docs.where(marked)).alias("d").join(met.alias("m"), _same("d", "m"))
+            .select("d.doc_id", "d.text_key", "d.words", "m.met"))
     starts = F.array_distinct(F.flatten(F.transform("met", lambda x: F.transform(
         F.sequence(F.greatest(F.lit(0), F.least(x["at"] + SHINGLE - x["n_words"], F.size("words") - x["n_words"])),
                    F.greatest(F.lit(0), F.least(x["at"], F.size("words") - x["n_words"]))),
         lambda s: F.struct(x["n_words"].alias("n_words"), s.alias("start"))))))
-    # documents of one id share their places; a place past this text's end holds no window
-    windows = (held.select("doc_id", "words", starts.alias("starts"))
-               .select("doc_id", F.explode(F.transform("starts", lambda w: F.struct(
+    windows = (held.select("doc_id", "text_key", "words", starts.alias("starts"))
+               .select("doc_id", "text_key", F.explode(F.transform("starts", lambda w: F.struct(
                    w["n_words"].alias("n_words"), w["start"].alias("start"),
                    F.slice(F.col("words"), w["start"] + 1, w["n_words"]).alias("words")))).alias("w"))
-               .select("doc_id", "w.*").where(F.size("words") >= SHINGLE))
+               .select("doc_id", "text_key", "w.*").where(F.size("words") >= SHINGLE))
     return windows.withColumn("fingerprint", simhash(F.col("words"), width))
 
 
@@ -148,8 +155,8 @@ def _enough(most: Column, percent: int) -> Column:
     return most * (100 + percent) >= (F.size("own_grams") + F.size("item_grams")) * percent
 
 
-def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row for each document and item found in it: see ``OUT``."""
+def _pairs(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, text_key, item_id, ...) of every window that passes."""
     items = cut(_items(items), "items")
     longest = items.agg(F.max("n_words")).first()[0] or 0
     width = 16 if longest <= NARROW_LIMIT else 32
@@ -165,17 +172,22 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
             .withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))))
             .where(F.col("distance") <= RADIUS)
             .select("n_words", "fingerprint", "item_fingerprint", "distance").distinct())
-    pairs = (windows.join(near, ["n_words", "fingerprint"])
-             .join(marked, ["n_words", "item_fingerprint"])
-             .select("doc_id", "item_id", "n_words", "start", "distance",
-                     shingles(F.col("words")).alias("own_grams"), F.col("item_grams"))
-             .where(_enough(F.size("item_grams") - F.size(F.array_except("item_grams", "own_grams")), percent))
-             .withColumn("own_grams", F.sort_array("own_grams"))
-             .select("doc_id", "item_id", "n_words", "start", "distance",
-                     _counted("own_grams").alias("own"), _counted("item_grams").alias("other"))
-             .withColumn("common", F.size(F.array_intersect("own", "other")))
-             .withColumn("total", F.size("own") + F.size("other") - F.col("common"))
-             .where(F.col("common") * 100 >= F.col("total") * percent))
+    return (windows.join(near, ["n_words", "fingerprint"])
+            .join(marked, ["n_words", "item_fingerprint"])
+            .select("doc_id", "text_key", "item_id", "n_words", "start", "distance",
+                    shingles(F.col("words")).alias("own_grams"), F.col("item_grams"))
+            .where(_enough(F.size("item_grams") - F.size(F.array_except("item_grams", "own_grams")), percent))
+            .withColumn("own_grams", F.sort_array("own_grams"))
+            .select("doc_id", "text_key", "item_id", "n_words", "start", "distance",
+                    _counted("own_grams").alias("own"), _counted("item_grams").alias("other"))
+            .withColumn("common", F.size(F.array_intersect("own", "other")))
+            .withColumn("total", F.size("own") + F.size("other") - F.col("common"))
+            .where(F.col("common") * 100 >= F.col("total") * percent))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row for each document and item found in it: see ``OUT``."""
+    pairs = _pairs(docs, items, percent)
     best = pairs.groupBy("doc_id", "item_id").agg(F.min(F.struct(
         (-F.col("common") / F.col("total")).alias("order"), "start", "n_words", "distance", "common", "total")).alias("b"))
     return best.select("doc_id", "item_id", "b.start", "b.n_words", "b.distance", "b.common", "b.total",
@@ -183,11 +195,18 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows of ``docs`` in which no item was found."""
+    """Rows of ``docs`` whose id names no text in which an item was found; rows without an id go by that too."""
     found = cut(contaminated(docs, items, percent).select("doc_id").distinct(), "contaminated")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
     return docs.alias("d").join(found.alias("f"), same, "left_anti")
 
 
+def clean_texts(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``docs`` in whose own text no item was found, whatever rows share their id."""
+    found = cut(_pairs(docs, items, percent).select("doc_id", "text_key").distinct(), "contaminated")
+    same = (F.xxhash64("d.text") == F.col("f.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
+    return docs.alias("d").join(found.alias("f"), same, "left_anti")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

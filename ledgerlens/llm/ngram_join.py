@@ -106,7 +106,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [(len(own), set_id(own)) for own in shingle_sets(data, offsets)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(begin, len(sets)), pa.array([n for n, _ in sets], pa.int64()),
-                 pa.array([i for _, i in sets], pa.int64())], names=["doc_id", "n", "set_id"])
+                 pa.array([i for _, i in sets], pa.int64()), *[c.slice(begin, len(sets)) for c in batch.columns[2:]]],
+                names=["doc_id", "n", "set_id", *batch.schema.names[2:]])
 
 
 def _fragment_of(hashes: np.ndarray, fragments: int) -> np.ndarray:
@@ -386,16 +387,21 @@ def _links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return counted.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _placed(docs: DataFrame, described: DataFrame, percent: int, *more: str) -> DataFrame:
+    """(doc_id, n, component) and the columns ``more`` of ``described``, for every text that has shingles."""
+    found = set_components(docs, described.where("n > 0"), percent)
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], "node long, component long")
+    return (described.where("n > 0")
+            .join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
+            .select("doc_id", "n", F.coalesce("component", "set_id").alias("component"), *more))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    spark = importable(docs.sparkSession)
+    importable(docs.sparkSession)
     described = cut(_texts(docs).mapInArrow(_describe, DOC_SCHEMA), "sets")
-    found = set_components(docs, described.where("n > 0"), percent)
-    if found is None:
-        found = spark.createDataFrame([], "node long, component long")
-    placed = (described.where("n > 0")
-              .join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
-              .select("doc_id", "n", F.coalesce("component", "set_id").alias("component")))
+    placed = _placed(docs, described, percent)
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     grouped = placed.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -414,5 +420,25 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             .where((F.col("_nth") == 1) | F.col("doc_id").isNull()).select(*docs.columns))
 
 
+def one_text_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``docs`` that stay: of each component one text, of the smallest id, once.
+
+    Each text is judged by itself, whatever rows share its id; one without an id stays only
+    where no other of its component has one. Of one id, the text of the smallest hash stays.
+    """
+    importable(docs.sparkSession)
+    described = cut(_texts(docs, F.xxhash64("text").alias("text_key"))
+                    .mapInArrow(_describe, f"{DOC_SCHEMA}, text_key long"), "sets")
+    placed = _placed(docs, described, percent, "text_key")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    first = placed.groupBy("component").agg(F.min(own).alias("first"))
+    copies = cut(placed.join(first, "component").where(~own.eqNullSafe(F.col("first")))
+                 .select("doc_id", "text_key").distinct(), "copies")
+    same = (F.xxhash64("d.text") == F.col("c.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
+    kept = docs.alias("d").join(copies.alias("c"), same, "left_anti").select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
+    return kept.select(F.struct("*").alias("_doc"), nth.alias("_at")).where("_at = 1").select("_doc.*")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -1,10 +1,12 @@
 import random
 import re
+import tempfile
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerlens.llm import decontamination as d
 
 from .corpora import frame, odd_rows, sentence, with_clashes
@@ -150,6 +152,22 @@ def test_odd_rows_and_clashing_columns(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in rows if r[0] not in dirty)
 
 
+def test_texts_that_share_an_id_are_judged_each_by_itself(spark):
+    r = random.Random(8)
+    item = sentence(r, 30)
+    held, clean = f"{sentence(r, 9)} {item} {sentence(r, 9)}", [sentence(r, 50) for _ in range(3)]
+    rows = [(None, held), (None, clean[0]), (None, None), (7, held), (7, clean[1]), (8, clean[2]), (8, clean[2])]
+    docs, items = with_clashes(frame(spark, rows)), spark.createDataFrame([(1, item)], ITEM)
+    assert got(d.contaminated(docs, items)) == plain(rows, [(1, item)])
+    kept = d.clean_texts(docs, items)
+    assert kept.columns == docs.columns
+    assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter(x for x in rows if x[1] != held)
+    # the stage of the pipeline judges so, too
+    items.write.parquet(f"{(folder := tempfile.mkdtemp())}/benchmark.parquet")
+    staged = corpus_pipeline.decontamination(spark, docs, folder).collect()
+    assert Counter((x.doc_id, x.text) for x in staged) == Counter(x for x in rows if x[1] != held)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], ITEM)
     assert d.contaminated(frame(spark, []), none).collect() == []

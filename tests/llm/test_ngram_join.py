@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from ledgerlens.llm import ngram_join, shingles
 from ledgerlens.llm.components import components
 
@@ -79,6 +80,19 @@ def test_one_of_each_group_stays(spark):
     assert ids == Counter([1, 2, 3, 4, 6, 8, 10, 11, 12, 14, None, None]) - Counter([12] if 12 not in ids else [])
 
 
+def test_one_text_of_each_group_stays_whatever_ids_are_shared(spark):
+    r = random.Random(7)
+    a, b, c, e = (sentence(r, 60) for _ in range(4))
+    rows = [(3, a), (5, a + " more"), (5, b), (None, a + " end"), (None, c), (None, c + " too"), (None, e), (None, e), (None, None), (6, "")]
+    docs = with_clashes(frame(spark, rows))
+    kept = corpus_pipeline.ngram_join(spark, docs, "")
+    assert kept.columns == docs.columns
+    texts = Counter((x.doc_id, x.text) for x in kept.collect())
+    third = {(None, c), (None, c + " too")} & set(texts)
+    assert len(third) == 1
+    assert texts == Counter([(3, a), (5, b), *third, (None, e), (None, None), (6, "")])
+
+
 def test_shingle_hashes_agree_with_words():
     r = random.Random(3)
     texts = ["", " ", "a", "A b\tc\nd", "a b c d e", "A\x0bB\x0cC D E f", "é É ñ x y z", sentence(r, 400),
