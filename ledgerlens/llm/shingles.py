@@ -21,7 +21,9 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _random = np.random.RandomState(20240229)
-_BYTE = _random.randint(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)[_LOWER]
+#: Values of bytes as they are; of words with A-Z lowered.
+CASED = _random.randint(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
+_BYTE = CASED[_LOWER]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIERS = _random.randint(1, 1 << 63, SIZE, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _POWERS = np.ones(64, np.uint64)
@@ -50,7 +52,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _word_hashes(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(data: np.ndarray, first: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of ``data`` and where each starts; words also end before ``first``."""
     inside = ~_SPACE[data]
     begin = inside.copy()
@@ -64,12 +66,13 @@ def _word_hashes(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     heads = np.flatnonzero(begin[at])
     lengths = np.diff(np.append(heads, len(at)))
     place = np.arange(len(at)) - np.repeat(heads, lengths)
-    values = _BYTE[data[at]] * _powers(int(lengths.max()))[place]
+    values = byte[data[at]] * _powers(int(lengths.max()))[place]
     return mix(np.add.reduceat(values, heads) + lengths.astype(np.uint64)), starts
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of consecutive texts (bytes ``offsets[i]:offsets[i + 1]``) and their counts."""
+def words_of(data: np.ndarray, offsets: np.ndarray, byte: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of consecutive texts (bytes ``offsets[i]:offsets[i + 1]``) and their counts;
+    ``byte``: values of the bytes, ``CASED`` to tell A-Z from a-z."""
     hashes, starts, at, end = [], [], int(offsets[0]), int(offsets[-1])
     while at < end:
         to = min(end, at + WINDOW)
@@ -79,7 +82,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
                 to += int(gap[0])
                 break
             to = min(end, to + WINDOW)
-        h, s = _word_hashes(data[at:to], offsets - at)
+        h, s = _word_hashes(data[at:to], offsets - at, byte)
         hashes.append(h)
         starts.append(s + at)
         at = to
