@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import OP8_SQL, op8_chat_format
+from .collocations import OP12_SQL, op12_collocations
 from .decontamination import op1_decontamination
 from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .html_extraction import op10_html_extraction
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_html_extraction": op10_html_extraction,
     "op11_quality_rules": op11_quality_rules,
+    "op12_collocations": op12_collocations,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -35,5 +37,6 @@ ORACLE = {
     "op3_line_dedup": OP3_SQL,
     "op4_mixing": OP4_SQL,
     "op8_chat_format": OP8_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }

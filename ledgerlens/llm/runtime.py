@@ -53,7 +53,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     so a lost executor never recomputes what stands before the cut."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_folder = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` returned, once nothing reads them any more."""
+    session = table.sparkSession
+    path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(table.cut_folder)
+    path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Places(dict):
