@@ -3,25 +3,25 @@
 Texts become words: runs of letters and digits, lower case. An item of L words is
 compared with windows of L words of a document (a shorter document is one window).
 
-1. *Windows*: every start at which a window of an item's size holds at least one
-   five-word shingle of that size's items. Any other window shares nothing with
-   any item, so leaving it out loses nothing.
-2. *SimHash*: a window's 64-bit fingerprint has bit j set if more than half of its
-   words' hashes have it. Counters of several bits share one long.
+1. *Windows*: every start at which a window of an item's size holds so many shingles of
+   that size's items that it can reach ``PERCENT`` at all. Any other window is less
+   similar to each item, so leaving it out loses nothing.
+2. *SimHash*: a window's 128-bit fingerprint has bit j set if more than half of its
+   distinct words' hashes have it, so that one word many times over weighs as one.
+   Counters of several bits share one long.
 3. *Multi-index Hamming blocks*: fingerprints are cut into ``BLOCKS`` blocks; two
-   within ``RADIUS`` agree in some block up to ``RADIUS // BLOCKS`` flipped bits
-   (pigeonhole). The items' blocks are stored with all those flips, so one equality
-   join finds every item within the radius; farther ones are dropped.
+   within ``RADIUS`` agree in one of the first two blocks up to 4 flipped bits or in
+   one of the others up to 3 (pigeonhole). The items' blocks are stored with all those
+   flips, so one equality join finds every item within the radius; farther ones are dropped.
 4. *Exact check*: the weighted Jaccard similarity of the five-word shingles, a
    shingle's weight being how often it occurs (sum of the smaller over sum of the
    larger counts), must be ``PERCENT`` or more. Of the windows that pass, the best of
    each document and item is returned, the first of equal ones.
 
 Only DataFrame functions are used. A similarity of 0.75 leaves six of seven shingles.
-What flips most bits then is a seventh of the words replaced at one end: 10 to 11 bits
-on average with a deviation of 3, of which a radius of 23 holds all but about one in
-10,000 (simulated: README). It is no certainty: an end of one word many times over
-weighs more than its number of words. Exact copies have distance 0.
+What flips most bits then is a seventh of the words replaced, or a quarter cut off, at one
+end: about 21 of 128 bits with a deviation of 4. The radius of 33 holds all but about one in
+300 of such windows (figures by size and kind: README). Exact copies have distance 0.
 
 Defined cases: null or empty texts match nothing; an item of fewer than five words
 has no shingle and matches nothing; a null item_id or doc_id is kept as such;
@@ -41,9 +41,10 @@ from .runtime import cut, table
 SHINGLE = 5
 PERCENT = 75
 BITS = 64
-#: The last block has the bits that are left, nine.
-BLOCKS, BLOCK_BITS = 6, 11
-RADIUS = 23
+#: Longs of a fingerprint, each from hashes of its own.
+PARTS = 2
+BLOCKS, BLOCK_BITS = 8, 16
+RADIUS = 33
 #: Bits of the map of documents that hold a shingle of some item: a bound on what tasks are sent.
 MAP_BITS = 1 << 23
 #: Longest window that 16-bit counters hold; larger items use 32-bit ones.
@@ -84,20 +85,37 @@ def simhash(words: Column, width: int) -> Column:
     return F.transform(F.array(counts), bits)[0]
 
 
+def fingerprint(words: Column, width: int) -> Column:
+    """PARTS longs of majority bits of the distinct words."""
+    once = F.array_distinct(words)
+
+    def hashes(part: int) -> Column:
+        return F.transform(once, lambda h: F.xxhash64(h, F.lit(part)))
+
+    return F.array(*[simhash(hashes(part), width) for part in range(PARTS)])
+
+
+def distance(one: Column, other: Column) -> Column:
+    return sum((F.bit_count(one[k].bitwiseXOR(other[k])) for k in range(1, PARTS)), F.bit_count(one[0].bitwiseXOR(other[0])))
+
+
 def _items(items: DataFrame) -> DataFrame:
     hashed = items.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("words"))
     return hashed.where(F.size("words") >= SHINGLE).select("item_id", F.size("words").alias("n_words"), "words")
 
 
 def _blocks(fingerprint: Column) -> Column:
-    mask = F.lit((1 << BLOCK_BITS) - 1).cast("long")
-    return F.array(*[F.shiftrightunsigned(fingerprint, BLOCK_BITS * b).bitwiseAND(mask) for b in range(BLOCKS)])
+    mask, each = F.lit((1 << BLOCK_BITS) - 1).cast("long"), BITS // BLOCK_BITS
+    return F.array(*[F.shiftrightunsigned(fingerprint[b // each], BLOCK_BITS * (b % each)).bitwiseAND(mask) for b in range(BLOCKS)])
 
 
 def _flips() -> Column:
-    near = RADIUS // BLOCKS
-    values = sorted(sum(1 << b for b in bits) for r in range(near + 1) for bits in combinations(range(BLOCK_BITS), r))
-    return F.array(*[F.lit(v).cast("long") for v in values])
+    """All values of a block within the flips that the radius leaves it, by ``block``. Two fingerprints that differ in more
+    than that in every block differ in more than RADIUS bits."""
+    near, more = divmod(RADIUS - BLOCKS + 1, BLOCKS)
+    values = [sorted(sum(1 << b for b in bits) for r in range(n + 1) for bits in combinations(range(BLOCK_BITS), r)) for n in (near, near + 1)]
+    few, many = (F.expr(f"array({','.join(f'{v}L' for v in own)})") for own in values)
+    return F.when(F.col("block") < more, many).otherwise(few)
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -120,28 +138,44 @@ def _map(met: DataFrame) -> DataFrame:
     return every.agg(F.transform(longs, lambda x: x["bits"]).alias("map"))
 
 
-def _windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, n_words, start, words, fingerprint) of every window that shares a shingle with an item of its size."""
+def _starts(percent: int) -> Column:
+    """The starts at which a window of ``n_words`` words holds enough of the met places ``ats`` (ascending) of a
+    text of ``n`` words. A window's shingles in common are met places, so with c of them the similarity is at most
+    c over (its shingles + the item's - c)."""
+    ats, size = F.col("ats"), F.col("n_words")
+    reach = size - SHINGLE  # from a window's start to its last shingle
+    both = (F.least("n", size) + size - 2 * (SHINGLE - 1)) * percent
+    need = F.greatest(F.lit(1), F.ceil(both / (100 + percent)).cast("int"))
+    # windows that hold places i to i + need - 1, for every i
+    runs = F.transform(F.sequence(F.lit(0), F.size(ats) - need), lambda i: F.struct(
+        F.greatest(F.lit(0), F.get(ats, i + need - 1) - reach).alias("low"),
+        F.least(F.get(ats, i), F.col("n") - size).alias("high")))
+    every = F.flatten(F.transform(F.filter(runs, lambda x: x["low"] <= x["high"]), lambda x: F.sequence(x["low"], x["high"])))
+    return (F.when(F.size(ats) < need, F.array().cast("array<int>"))
+            .when(F.col("n") <= size, F.array(F.lit(0)))
+            .otherwise(F.array_distinct(every)))
+
+
+def _windows(docs: DataFrame, items: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, n_words, start, words, fingerprint) of every window that can be similar enough to an item of its size."""
     seeds = cut(items.select("n_words", F.explode(shingles(F.col("words"))).alias("gram")).distinct(), "item_grams")
-    met = (_hashed(docs).select("doc_id", "text_key", F.posexplode(shingles(F.col("words"))).alias("at", "gram"))
-           .join(seeds, "gram").select("doc_id", "text_key", "n_words", "at").distinct())
-    met = cut(met.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("n_words", "at")).alias("met")), "met")
+    met = (_hashed(docs).select("doc_id", "text_key", F.size("words").alias("n"), F.posexplode(shingles(F.col("words"))).alias("at", "gram"))
+           .join(seeds, "gram").groupBy("doc_id", "text_key", "n", "n_words").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+           .select("doc_id", "text_key", F.struct("n_words", _starts(percent).alias("starts")).alias("own")).where(F.size("own.starts") > 0))
+    met = cut(met.groupBy("doc_id", "text_key").agg(F.collect_list("own").alias("met")), "met")
     # only documents that may have been met are hashed again and dealt out
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit(MAP_BITS))
     word = F.get(_map(met).scalar(), F.floor(place / 64).cast("int"))
     marked = F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
     held = (_hashed(docs.where(marked)).alias("d").join(met.alias("m"), _same("d", "m"))
             .select("d.doc_id", "d.text_key", "d.words", "m.met"))
-    starts = F.array_distinct(F.flatten(F.transform("met", lambda x: F.transform(
-        F.sequence(F.greatest(F.lit(0), F.least(x["at"] + SHINGLE - x["n_words"], F.size("words") - x["n_words"])),
-                   F.greatest(F.lit(0), F.least(x["at"], F.size("words") - x["n_words"]))),
-        lambda s: F.struct(x["n_words"].alias("n_words"), s.alias("start"))))))
+    starts = F.flatten(F.transform("met", lambda x: F.transform(x["starts"], lambda s: F.struct(x["n_words"].alias("n_words"), s.alias("start")))))
     windows = (held.select("doc_id", "text_key", "words", starts.alias("starts"))
                .select("doc_id", "text_key", F.explode(F.transform("starts", lambda w: F.struct(
                    w["n_words"].alias("n_words"), w["start"].alias("start"),
                    F.slice(F.col("words"), w["start"] + 1, w["n_words"]).alias("words")))).alias("w"))
-               .select("doc_id", "text_key", "w.*").where(F.size("words") >= SHINGLE))
-    return windows.withColumn("fingerprint", simhash(F.col("words"), width))
+               .select("doc_id", "text_key", "w.*"))
+    return windows.withColumn("fingerprint", fingerprint(F.col("words"), width))
 
 
 def _counted(grams: str) -> Column:
@@ -160,16 +194,16 @@ def _pairs(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     items = cut(_items(items), "items")
     longest = items.agg(F.max("n_words")).first()[0] or 0
     width = 16 if longest <= NARROW_LIMIT else 32
-    windows = cut(_windows(docs, items, width), "windows")
+    windows = cut(_windows(docs, items, width, percent), "windows")
     marked = cut(items.select("item_id", "n_words", F.array_sort(shingles(F.col("words"))).alias("item_grams"),
-                          simhash(F.col("words"), width).alias("item_fingerprint")), "marked")
+                          fingerprint(F.col("words"), width).alias("item_fingerprint")), "marked")
     index = (marked.select("n_words", "item_fingerprint", F.posexplode(_blocks(F.col("item_fingerprint"))).alias("block", "value"))
              .select("n_words", "item_fingerprint", "block",
                      F.explode(F.transform(_flips(), lambda f: F.col("value").bitwiseXOR(f))).alias("value")))
     probes = (windows.select("n_words", "fingerprint").distinct()
               .select("n_words", "fingerprint", F.posexplode(_blocks(F.col("fingerprint"))).alias("block", "value")))
     near = (probes.join(index, ["n_words", "block", "value"])
-            .withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))))
+            .withColumn("distance", distance(F.col("fingerprint"), F.col("item_fingerprint")))
             .where(F.col("distance") <= RADIUS)
             .select("n_words", "fingerprint", "item_fingerprint", "distance").distinct())
     return (windows.join(near, ["n_words", "fingerprint"])
@@ -194,13 +228,6 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
                        (F.col("b.common") / F.col("b.total")).alias("similarity"))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows of ``docs`` whose id names no text in which an item was found; rows without an id go by that too."""
-    found = cut(contaminated(docs, items, percent).select("doc_id").distinct(), "contaminated")
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
-    return docs.alias("d").join(found.alias("f"), same, "left_anti")
-
-
 def clean_texts(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows of ``docs`` in whose own text no item was found, whatever rows share their id."""
     found = cut(_pairs(docs, items, percent).select("doc_id", "text_key").distinct(), "contaminated")
