@@ -2,8 +2,10 @@
 
 Texts are read once into chunks of about ``CHUNK_BYTES``, each a stream of local word
 numbers with breaks between pieces and texts, and the chunk's words with their counts.
-Words seen ``MIN_COUNT`` times or more in their language get dense ids; a rarer word can
-be in no candidate and breaks the stream like a piece's end.
+The word counts of all chunks merge in parts, dealt by a hash of the word, about
+``PART_WORDS`` entries each; words seen ``MIN_COUNT`` times or more in their language get
+ids (part, place in the part), and each chunk is told those of its own. A rarer word can be in
+no candidate and breaks the stream like a piece's end.
 
 Phrases are counted by length. A phrase of n words is a candidate for counting where its
 first and its last n - 1 words both reached ``MIN_COUNT``. It is packed as (id of its first
@@ -31,11 +33,13 @@ gives an empty table; other columns, doc_id included, are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,18 +55,37 @@ UNKNOWN = "und"
 
 CHUNK_BYTES = 16 << 20
 RANGE_KEYS = 1 << 22
-#: Parts of the vocabulary that are numbered apart, then shifted.
-SPOTS = 4096
+PART_WORDS = 1 << 19
 
 #: Ends of pieces become ".", which no word holds; tabs become blanks; A-Z is lowered.
 _BYTES = bytes(ord(".") if chr(c) in ".,;:!?\n\x0b\x0c\r" else ord(" ") if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BREAK = b"."
 
-CHUNK = "chunk long, words array<struct<lang: string, word: string, n: long>>, tokens binary"
+CHUNK = "chunk long, n_words long, words array<struct<lang: string, words: binary, counts: binary>>, tokens binary"
+DEALT = "part int, chunk long, lang string, places binary, words binary, counts binary"
+WORDS = "part int, chunk long, lang string, n long, total long, words binary, numbers binary, places binary"
 STATE = "chunk long, steps binary, grams binary, ids binary, lasts binary, filters array<struct<part: int, filter: binary>>"
 MERGED = "part int, chunk long, n long, filter binary"
 
 
+def _pack(data: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes())
+
+
+def _unpack(data: bytes, kind=None):
+    plain = zstandard.ZstdDecompressor().decompress(data)
+    return plain if kind is None else np.frombuffer(plain, kind)
+
+
+def _words(data: bytes) -> list[bytes]:
+    return _unpack(data).split(b"\n")  # no word holds a line end
+
+
+def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
 class _Chunk:
     """Streams of local word numbers by language; 0 is a break."""
 
@@ -85,13 +108,14 @@ class _Chunk:
         words, streams, before = [], [], 0
         for lang, places in self.places.items():
             stream = np.concatenate(self.streams[lang])
-            counts = np.bincount(stream, minlength=len(places)).tolist()
-            words += [{"lang": lang, "word": w.decode(), "n": counts[i]} for w, i in places.items() if i]
+            if len(places) > 1:
+                words.append({"lang": lang, "words": _pack(b"\n".join(w for w, i in places.items() if i)),
+                              "counts": _pack(np.bincount(stream, minlength=len(places))[1:])})
             streams.append(np.where(stream, stream + before, 0).astype(np.int32))
             before += len(places) - 1
-        kind = pa.list_(pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([words], kind),
-                                           pa.array([np.concatenate(streams).tobytes()], pa.binary())], names=["chunk", "words", "tokens"])
+        kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.binary()), ("counts", pa.binary())]))
+        return _table([(number, before, words, _pack(np.concatenate(streams)))], ["chunk", "n_words", "words", "tokens"],
+                      [pa.int64(), pa.int64(), kind, pa.binary()])
 
 
 def _chunks(size: int):
@@ -115,17 +139,73 @@ def chunked(docs: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(_chunks(CHUNK_BYTES), CHUNK), "chunks")
 
 
-def vocabulary(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Frequent words (lang, word, f, id: dense from 1), and the words of each language (lang, n)."""
-    counts = (chunks.select(F.inline("words")).groupBy("lang", "word").agg(F.sum("n").alias("f")))
-    counts = cut(counts, "word-counts")
-    frequent = counts.where(F.col("f") >= MIN_COUNT).withColumn("spot", F.pmod(F.xxhash64("lang", "word"), F.lit(SPOTS)))
-    before = F.sum("held").over(Window.orderBy("spot").rowsBetween(Window.unboundedPreceding, -1))
-    spots = frequent.groupBy("spot").agg(F.count("*").alias("held")).select("spot", F.coalesce(before, F.lit(0)).alias("before"))
-    number = F.row_number().over(Window.partitionBy("spot").orderBy("lang", "word"))
-    words = (frequent.withColumn("number", number).join(spots, "spot")
-             .select("lang", "word", "f", (F.col("before") + F.col("number")).alias("id")))
-    return cut(words, "vocabulary"), cut(counts.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+def _dealt(parts: int):
+    """A task: the words of chunks to rows by part and language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, own in zip(b.column(0).to_pylist(), b.column(1)):
+                rows, before = [], 0
+                for x in own.as_py():
+                    words, counts = np.array(_words(x["words"]), object), _unpack(x["counts"], np.int64)
+                    part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+                    order = np.argsort(part, kind="stable")
+                    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+                    for k in np.flatnonzero(np.diff(bounds)).tolist():
+                        at = order[bounds[k]:bounds[k + 1]]
+                        rows.append((k, chunk, x["lang"], _pack((at + before).astype(np.uint32)), _pack(b"\n".join(words[at])), _pack(counts[at])))
+                    before += len(words)
+                yield _table(rows, ["part", "chunk", "lang", "places", "words", "counts"],
+                             [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()])
+
+    return run
+
+
+def _merge_words(least: int):
+    """A task: the words of one part from all chunks to its frequent words by language (rows without chunk), and for
+    each chunk those that it holds: their places there and their numbers in the part."""
+
+    def run(group: pa.Table) -> pa.Table:
+        part, rows = group["part"][0].as_py(), group.to_pylist()
+        sums: dict[str, dict[bytes, int]] = {}
+        for x in rows:
+            own = sums.setdefault(x["lang"], {})
+            for word, n in zip(_words(x["words"]), _unpack(x["counts"], np.int64).tolist()):
+                own[word] = own.get(word, 0) + n
+        numbers: dict[str, dict[bytes, int]] = {}
+        out, n = [], 0
+        for lang in sorted(sums):
+            frequent = sorted(w for w, f in sums[lang].items() if f >= least)
+            numbers[lang] = {w: i for i, w in enumerate(frequent, n)}
+            n += len(frequent)
+            out.append((part, None, lang, n, sum(sums[lang].values()), _pack(b"\n".join(frequent)),
+                        _pack(np.array([sums[lang][w] for w in frequent], np.int64)), _pack(np.fromiter(numbers[lang].values(), np.uint32, len(frequent)))))
+        for x in rows:
+            get = numbers[x["lang"]].get
+            found = np.array([get(w, -1) for w in _words(x["words"])], np.int64)
+            stay = found >= 0
+            if stay.any():
+                out.append((part, x["chunk"], x["lang"], None, None, None, _pack(found[stay].astype(np.uint32)), _pack(_unpack(x["places"], np.uint32)[stay])))
+        return pa.Table.from_batches([_table(out, ["part", "chunk", "lang", "n", "total", "words", "numbers", "places"], [
+            pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])])
+
+    return run
+
+
+def _vocabulary(index_bits: int):
+    """A task: the frequent words of parts to rows of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.to_pylist():
+                places = _unpack(x["places"], np.uint32)
+                words = [w.decode() for w in _words(x["words"])] if len(places) else []
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([x["lang"]] * len(words), pa.string()), pa.array(words, pa.string()),
+                    pa.array(_unpack(x["numbers"], np.int64)), pa.array(_id(x["part"], places.astype(np.int64), index_bits))],
+                    names=["lang", "word", "f", "id"])
+
+    return run
 
 
 class Packing:
@@ -168,20 +248,21 @@ def _state(chunk: int, at: np.ndarray, ids: np.ndarray, lasts: np.ndarray, packi
     one[grams] = lasts
     kind = pa.list_(pa.struct([("part", pa.int32()), ("filter", pa.binary())]))
     blobs = (np.diff(at, prepend=0).astype(np.uint32), grams.astype(np.uint32), distinct, one.astype(np.uint64))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in blobs], pa.array([filters], kind)],
-        names=["chunk", "steps", "grams", "ids", "lasts", "filters"])
+    return _table([(chunk, *map(_pack, blobs), filters)], ["chunk", "steps", "grams", "ids", "lasts", "filters"],
+                  [pa.int64(), *[pa.binary()] * 4, kind])
 
 
-def _first_state(packing: Packing):
+def _first_state(packing: Packing, index_bits: int):
     """A task: chunks and the ids of their frequent words to states of one-word phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, tokens, known in zip(*(b.column(c) for c in ("chunk", "tokens", "known"))):
-                stream = np.frombuffer(tokens.as_py(), np.int32)
+            for chunk, tokens, told in zip(*(b.column(c) for c in ("chunk", "tokens", "told"))):
+                stream = _unpack(tokens.as_py(), np.int32)
                 ids = np.zeros(int(stream.max()) + 1, np.int64)
-                ids[known.values.field("place").to_numpy() + 1] = known.values.field("id").to_numpy()
+                for x in told.as_py():
+                    ids[_unpack(x["places"], np.uint32).astype(np.int64) + 1] = _id(
+                        x["part"], _unpack(x["numbers"], np.uint32).astype(np.int64), index_bits)
                 words = ids[stream]
                 at = np.flatnonzero(words)
                 yield _state(chunk.as_py(), at, words[at], words[at], packing)
@@ -195,9 +276,9 @@ def _next_state(packing: Packing, index_bits: int, following: Packing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, steps, grams, ids, lasts, told in zip(*(b.column(c) for c in ("chunk", "steps", "grams", "ids", "lasts", "told"))):
-                at = np.cumsum(np.frombuffer(steps.as_py(), np.uint32), dtype=np.int64)
-                grams = np.frombuffer(grams.as_py(), np.uint32)
-                ids, lasts = (np.frombuffer(x.as_py(), np.uint64)[grams] for x in (ids, lasts))
+                at = np.cumsum(_unpack(steps.as_py(), np.uint32), dtype=np.int64)
+                grams = _unpack(grams.as_py(), np.uint32)
+                ids, lasts = (_unpack(x.as_py(), np.uint64)[grams] for x in (ids, lasts))
                 known, numbers = _told(told.as_py(), packing, index_bits)
                 next_to = np.flatnonzero(np.diff(at) == 1)
                 keys = packing.keys(ids[next_to], lasts[next_to + 1])
@@ -266,19 +347,26 @@ def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     words of each language (lang, n)."""
     importable(docs.sparkSession)
     chunks = chunked(docs)
-    words, totals = vocabulary(chunks)
+    entries = chunks.agg(F.sum("n_words")).first()[0] or 0
+    merged = cut(chunks.select("chunk", "words").mapInArrow(_dealt(max(1, -(-entries // PART_WORDS))), DEALT)
+                 .groupBy("part").applyInArrow(_merge_words(MIN_COUNT), WORDS), "merged-words")
+    own = merged.where("chunk IS NULL")
+    index_bits = int(own.agg(F.max("n")).first()[0] or 0).bit_length()
+    words = cut(own.select("part", "lang", "words", "numbers", "places")
+                .mapInArrow(_vocabulary(index_bits), "lang string, word string, f long, id long"), "vocabulary")
+    totals = cut(own.groupBy("lang").agg(F.sum("total").alias("n")), "totals")
     seen = words.agg(F.max("id"), F.sum("f")).first()
-    most_word = most = seen[0] or 0
+    most_word = seen[0] or 0
     found = [words.select("id", "lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f")]
-    if not most:
+    if not most_word:
         return found[0].drop("id"), totals
 
-    packing = Packing(most, most_word, seen[1])
-    known = (chunks.select("chunk", F.posexplode("words").alias("place", "w")).select("chunk", "place", "w.lang", "w.word")
-             .join(words.select("lang", "word", "id"), ["lang", "word"])
-             .groupBy("chunk").agg(F.collect_list(F.struct("place", "id")).alias("known")))
-    state = cut(chunks.select("chunk", "tokens").join(known, "chunk").mapInArrow(_first_state(packing), STATE), "words")
+    packing = Packing(most_word, most_word, seen[1])
+    told = (merged.where("chunk IS NOT NULL").groupBy("chunk")
+            .agg(F.collect_list(F.struct("part", "numbers", "places")).alias("told")))
+    state = cut(chunks.select("chunk", "tokens").join(told, "chunk").mapInArrow(_first_state(packing, index_bits), STATE), "words")
     drop(chunks)
+    drop(merged)
     for size in range(2, LONGEST + 1):
         filters = state.select("chunk", F.inline("filters")).select("part", "chunk", "filter")
         merged = cut(filters.groupBy("part").applyInArrow(_merge(packing, MIN_COUNT), MERGED), "merged")
