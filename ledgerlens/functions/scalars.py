@@ -66,9 +66,14 @@ def scale_exact(raw: Column, decimals: Column) -> Column:
 
     Division of decimal(38,0) would drop to 6 fractional digits, so the
     decimal point is placed in the integer's text. Room for 20 whole digits
-    and 18 decimals; ``scale_text`` has no such limits.
+    and 18 decimals; anything that needs more raises rather than being rounded
+    (``scale_text`` has no such limits).
     """
-    return _shifted(raw.cast("string"), decimals).cast("decimal(38,18)")
+    text = raw.cast("string")
+    whole = F.length(text) - F.least(decimals, F.length(text))
+    misfit = F.raise_error(F.concat(F.lit("no room in DECIMAL(38,18) for "), text, F.lit(" of "), decimals.cast("string"),
+                                    F.lit(" decimals: ask for volumes as text"))).cast("decimal(38,18)")
+    return F.when((decimals > 18) | (whole > 20), misfit).otherwise(_shifted(text, decimals).cast("decimal(38,18)"))
 
 
 def scale_text(raw: Column, decimals: Column) -> Column:

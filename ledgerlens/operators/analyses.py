@@ -55,6 +55,7 @@ def monthly_activity(activity: DataFrame, slices: DataFrame) -> DataFrame:
         F.count(F.when((F.col("received_count") > 0) & addr.isNotNull(), F.lit(1))).alias("unique_receivers"),
         F.count(addr).alias("active_addresses"),
     )
+    agg = agg.withColumn("raw_volume", wide.shown(agg, "raw_volume"))
     return attach_keys(agg, slices).select(
         "symbol", "transfer_filter", "month", "transfer_count", "raw_volume",
         S.scale_double(F.col("raw_volume"), F.col("decimals")).alias("token_volume"),
@@ -67,7 +68,7 @@ def monthly_activity(activity: DataFrame, slices: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def monthly_summary(activity: DataFrame, zero_ids: DataFrame, slices: DataFrame) -> DataFrame:
+def monthly_summary(activity: DataFrame, zero_ids: DataFrame, slices: DataFrame, as_text: bool | None = None) -> DataFrame:
     """A2: exact volume, addresses without NULL and the zero address, new
     addresses, distinct transactions and transfers.
 
@@ -75,7 +76,9 @@ def monthly_summary(activity: DataFrame, zero_ids: DataFrame, slices: DataFrame)
     its first month, found in one window over its few months, and one
     aggregation per month counts the rest. A month whose only participants
     are NULL or the zero address has no active addresses and drops out, as in
-    the rebuilt job.
+    the rebuilt job. ``as_text`` writes volumes with all their decimals as text
+    (always so for uint256 amounts); else they are DECIMAL(38,18), and a token
+    of more than 18 decimals raises.
     """
     zero = zero_ids.select(F.col("id").alias("address_id"), F.lit(True).alias("is_zero")).distinct()
     counted = F.col("address_id").isNotNull() & F.col("is_zero").isNull()
@@ -90,10 +93,11 @@ def monthly_summary(activity: DataFrame, zero_ids: DataFrame, slices: DataFrame)
         F.count(F.when(F.col("active"), 1)).alias("unique_addresses"),
         F.count(F.when(F.col("new"), 1)).alias("new_addresses"),
     ).where(F.col("unique_addresses") > 0)
-    scale = S.scale_text if wide.is_text(grouped, "raw_volume") else S.scale_exact
+    as_text = wide.is_limbs(grouped, "raw_volume") if as_text is None else as_text
+    scale = S.scale_text if as_text else S.scale_exact
     return attach_keys(grouped, slices).select(
         "symbol", "transfer_filter", "month",
-        scale(F.col("raw_volume"), F.col("decimals")).alias("token_volume"),
+        scale(wide.shown(grouped, "raw_volume"), F.col("decimals")).alias("token_volume"),
         "unique_addresses", "new_addresses", "transaction_count", "transfer_count",
     )
 
@@ -133,8 +137,9 @@ def first_incoming_ids(enriched: DataFrame) -> DataFrame:
 
 def first_incoming(enriched: DataFrame, slices: DataFrame) -> DataFrame:
     """The first-incoming relation on its own."""
-    return attach_keys(first_incoming_ids(enriched), slices).select(
-        "symbol", "transfer_filter", "new_address_id", "funded_by_id", "amount", "ts")
+    first = first_incoming_ids(enriched)
+    return attach_keys(first, slices).select(
+        "symbol", "transfer_filter", "new_address_id", "funded_by_id", wide.shown(first, "amount").alias("amount"), "ts")
 
 
 def monthly_funded_by(enriched: DataFrame, addresses: DataFrame, slices: DataFrame,
@@ -150,6 +155,7 @@ def monthly_funded_by(enriched: DataFrame, addresses: DataFrame, slices: DataFra
         *wide.largest_first(funders, "raw_funded_volume"),
         F.col("funded_by_id").asc_nulls_last(),
     ])).filter(F.col("funder_rank") <= top)
+    ranked = ranked.withColumn("raw_funded_volume", wide.shown(ranked, "raw_funded_volume"))
     named = _with_address(ranked, addresses, "funded_by_id", "funded_by_address")
     return attach_keys(named, slices).select(
         "symbol", "transfer_filter", "month", "funder_rank", "funded_by_id", "funded_by_address",
@@ -186,6 +192,7 @@ def monthly_top_users(activity: DataFrame, addresses: DataFrame, slices: DataFra
         *wide.largest_first(senders, "raw_outgoing_volume"),
         F.col("address_id").asc_nulls_last(),
     ])).filter(F.col("user_rank") <= top)
+    ranked = ranked.withColumn("raw_outgoing_volume", wide.shown(ranked, "raw_outgoing_volume"))
     named = _with_address(ranked, addresses, "address_id", "address")
     return attach_keys(named, slices).select(
         "symbol", "transfer_filter", "month", "user_rank", "address_id", "address",
@@ -201,12 +208,13 @@ def monthly_top_users(activity: DataFrame, addresses: DataFrame, slices: DataFra
 
 def _bucketed(enriched: DataFrame) -> DataFrame:
     """Positive amounts with their bucket; the bucket test is done in DOUBLE."""
-    normalized = S.scale_double(F.col("amount"), F.col("decimals"))
+    normalized = S.scale_double(wide.shown(enriched, "amount"), F.col("decimals"))
     return (enriched.filter(wide.positive(enriched, "amount"))
             .select("slice_id", "month", "amount", S.size_bucket(normalized).alias("size_bucket")))
 
 
 def _bucket_result(grouped: DataFrame, slices: DataFrame, keys: list[str]) -> DataFrame:
+    grouped = grouped.withColumn("raw_bucket_volume", wide.shown(grouped, "raw_bucket_volume"))
     return attach_keys(grouped, slices).select(
         "symbol", "transfer_filter", *keys, "transfer_count",
         S.scale_double(F.col("raw_bucket_volume"), F.col("decimals")).alias("bucket_volume"),
@@ -214,37 +222,57 @@ def _bucket_result(grouped: DataFrame, slices: DataFrame, keys: list[str]) -> Da
     )
 
 
-def size_histogram(enriched: DataFrame, slices: DataFrame) -> DataFrame:
-    """All-time transfer count and volume per size bucket.
+def month_sizes(enriched: DataFrame) -> DataFrame:
+    """The partial aggregate of A6 and A7: count and raw volume per slice, month and bucket."""
+    rows = _bucketed(enriched)
+    return rows.groupBy("slice_id", "month", "size_bucket").agg(
+        F.count(F.lit(1)).alias("transfer_count"), wide.total(rows, "amount").alias("raw_bucket_volume"))
+
+
+def histogram_of(sizes: DataFrame, slices: DataFrame) -> DataFrame:
+    """A6 rolled up from ``month_sizes``, the partial aggregate that A7 shows.
 
     The volume is summed exactly in raw units and scaled once, so it does
-    not depend on the order rows are added in.
+    not depend on the order rows are added in, or on the months in between.
     """
-    rows = _bucketed(enriched)
-    grouped = rows.groupBy("slice_id", "size_bucket").agg(
-        F.count(F.lit(1)).alias("transfer_count"), wide.total(rows, "amount").alias("raw_bucket_volume"))
+    grouped = sizes.groupBy("slice_id", "size_bucket").agg(
+        F.sum("transfer_count").alias("transfer_count"), wide.total(sizes, "raw_bucket_volume").alias("raw_bucket_volume"))
     return _bucket_result(grouped, slices, ["size_bucket"])
 
 
+def buckets_of(sizes: DataFrame, slices: DataFrame) -> DataFrame:
+    """A7 from ``month_sizes``."""
+    return _bucket_result(sizes, slices, ["month", "size_bucket"])
+
+
+def size_histogram(enriched: DataFrame, slices: DataFrame) -> DataFrame:
+    """All-time transfer count and volume per size bucket."""
+    return histogram_of(month_sizes(enriched), slices)
+
+
 def monthly_size_buckets(enriched: DataFrame, slices: DataFrame) -> DataFrame:
     """The same per month."""
-    rows = _bucketed(enriched)
-    grouped = rows.groupBy("slice_id", "month", "size_bucket").agg(
-        F.count(F.lit(1)).alias("transfer_count"), wide.total(rows, "amount").alias("raw_bucket_volume"))
-    return _bucket_result(grouped, slices, ["month", "size_bucket"])
+    return buckets_of(month_sizes(enriched), slices)
 
 
 # ---------------------------------------------------------------------------
-# A8 exact sums beyond 38 digits
+# V8 routing
 # ---------------------------------------------------------------------------
 
 
-def monthly_wide_volume(enriched: DataFrame, slices: DataFrame, amount_text_col: str = "amount") -> DataFrame:
-    """Per month the exact raw volume as decimal text, for uint256 amounts.
+def routed(df: DataFrame, routes: DataFrame, result: str) -> DataFrame:
+    """V8: the rows of the slices that a result is switched on for (``checks.routes``)."""
+    return df.join(routes.filter(F.col("result") == result).select("slice_id"), "slice_id", "left_semi")
 
-    ``amount_text_col`` may hold decimal text of up to 78 digits (the wide
-    storage form); a DECIMAL(38,0) column is rendered to text first.
-    """
-    text = enriched.select("slice_id", "month", wide.uint256_text(F.col(amount_text_col)).alias("amount"))
-    grouped = text.groupBy("slice_id", "month").agg(wide.total(text, "amount").alias("raw_volume_text"))
-    return attach_keys(grouped, slices).select("symbol", "transfer_filter", "month", "raw_volume_text")
+
+# ---------------------------------------------------------------------------
+# A8 exact sums beyond 38 digits
+# ---------------------------------------------------------------------------
+
+
+def monthly_wide_volume(enriched: DataFrame, slices: DataFrame) -> DataFrame:
+    """Per month the exact raw volume as decimal text, for amounts of any kind."""
+    limbs = wide.with_limbs(enriched.select("slice_id", "month", "amount"))
+    grouped = limbs.groupBy("slice_id", "month").agg(wide.total(limbs, "amount").alias("raw_volume"))
+    return attach_keys(grouped, slices).select("symbol", "transfer_filter", "month",
+                                               wide.to_text(F.col("raw_volume")).alias("raw_volume_text"))

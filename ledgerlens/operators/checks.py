@@ -179,6 +179,16 @@ def preflight(registry: DataFrame, tokens: DataFrame, **kwargs) -> None:
         raise RuntimeError(f"Registry check failed with {len(rows)} violation(s):\n{lines}")
 
 
+def routes(slices: DataFrame, result_flags: dict[str, str]) -> DataFrame:
+    """V8: (slice_id, result) of every result that a slice's flags switch on.
+
+    ``result_flags`` names the flag of each result; a flag that is missing or NULL is off.
+    """
+    flags = F.map_from_arrays(*[F.array(*[F.lit(x) for x in part]) for part in (result_flags.keys(), result_flags.values())])
+    each = slices.select("slice_id", "analyses", F.explode(flags).alias("result", "flag"))
+    return each.filter(F.coalesce(F.try_element_at("analyses", F.col("flag")), F.lit(False))).select("slice_id", "result")
+
+
 def resolve_slices(registry: DataFrame, tokens: DataFrame) -> DataFrame:
     """Enabled entries as analysis slices (schema ``schemas.SLICES``).
 

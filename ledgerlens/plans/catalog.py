@@ -7,19 +7,25 @@ work grows with the tables. Column names match ``ledgerlens.plans.oracle``.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas
+from ledgerlens.functions import wide
 from ledgerlens.operators import analyses as A
 from ledgerlens.operators import checks
 from ledgerlens.operators import derive
 from ledgerlens.operators import reports as R
-from ledgerlens.sources.adapter import fixture_registry_config, fixture_tables, supplier_tokens, wide_amounts
+from ledgerlens.plans.job import RESULT_FLAGS, JobOptions, build_slices, read_activity, sink_order
+from ledgerlens.sources import files
+from ledgerlens.sources.adapter import (faulty_registry, fixture_registry_config, fixture_tables, mixed_amounts, supplier_slices,
+                                        supplier_tokens, supplier_transfers, wide_amounts)
+from ledgerlens.sources.bucketed import store_bucketed
 from ledgerlens.sources.local import local_frame
 from ledgerlens.sources.registry import registry_frame
+from ledgerlens.sources.tables import ChainTables, read_flat_csv, write_result_csv
 from ledgerlens.session import apply_job_conf
 
 # Report parameters used by the registered report queries (the report
@@ -64,8 +70,12 @@ class Fixture:
 
     @cached_property
     def wide_enriched(self) -> DataFrame:
-        """D6 with amounts beyond 38 digits."""
-        return wide_amounts(self.enriched)
+        """D6 with amounts beyond 38 digits, as limbs."""
+        return wide.with_limbs(wide_amounts(self.enriched))
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        return A.month_sizes(self.enriched)
 
     @cached_property
     def activity(self) -> DataFrame:
@@ -89,10 +99,10 @@ class Fixture:
         return A.monthly_funded_by(self.enriched, self.tables.addresses, self.slices)
 
     def histogram(self) -> DataFrame:
-        return A.size_histogram(self.enriched, self.slices)
+        return A.histogram_of(self.sizes, self.slices)
 
     def month_buckets(self) -> DataFrame:
-        return A.monthly_size_buckets(self.enriched, self.slices)
+        return A.buckets_of(self.sizes, self.slices)
 
 
 _FIXTURES: dict[tuple, Fixture] = {}
@@ -342,6 +352,117 @@ def q_window_labels(spark, sf_dir):
     return R.window_labels(fixture(spark, sf_dir).monthly_activity())
 
 
+def q_registry_checks(spark, sf_dir):
+    """V1-V7 over a registry that grows with ``supplier``: every violation, and the entries that are skipped."""
+    registry, token, metadata = faulty_registry(spark, sf_dir)
+    found = checks.all_violations(registry, token, token_metadata=metadata)
+    off = checks.skipped(registry).select("symbol", F.lit("enabled").alias("check"), F.lit("skipped").alias("problem"))
+    return found.select("symbol", "check", "problem").unionByName(off)
+
+
+def q_routed_results(spark, sf_dir):
+    """V8 as a join: results of many slices, each only where the slice's flags switch it on, from one D7 and one D6."""
+    slices = supplier_slices(spark, sf_dir)
+    routes = checks.routes(slices, RESULT_FLAGS)
+    facts = supplier_transfers(spark, sf_dir).join(slices.select("slice_id", "token_id", "decimals"), "token_id")
+    enriched = derive.enriched(facts, fixture_tables(spark, sf_dir).blocks, slices)
+    activity, sizes = derive.address_month(enriched), A.month_sizes(enriched)
+    first = (A.routed(activity, routes, "monthly_adoption").groupBy("slice_id", "address_id").agg(F.min("month").alias("month")))
+    values = {
+        "monthly_activity": A.routed(activity, routes, "monthly_activity").groupBy("slice_id", "month").agg(F.sum("sent_count").alias("value")),
+        "monthly_adoption": first.groupBy("slice_id", "month").agg(F.count(F.lit(1)).alias("value")),
+        "monthly_transfer_size_buckets": A.routed(sizes, routes, "monthly_transfer_size_buckets")
+        .groupBy("slice_id", "month").agg(F.sum("transfer_count").alias("value")),
+    }
+    parts = [df.select("slice_id", F.lit(name).alias("result"), "month", "value") for name, df in values.items()]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return both.join(slices.select("slice_id", "symbol"), "slice_id").select("symbol", "result", "month", "value")
+
+
+def _mixed_store(spark, sf_dir) -> tuple[list, JobOptions]:
+    """A store of two runs: the first token from decimal facts, the others from uint256 text."""
+    fx = fixture(spark, sf_dir)
+    rows = fx.slices.collect()
+    decimal, text = mixed_amounts(fx.tables.transfers)
+    opts = JobOptions(store=files.shared_folder(spark, "store"), output="")
+    opts.say = opts.log.append
+    for facts, own in ((decimal, [r for r in rows if r["token_id"] == 0]), (text, [r for r in rows if r["token_id"] != 0])):
+        build_slices(spark, ChainTables(facts, fx.tables.blocks, fx.tables.addresses, fx.tables.tokens), own, opts)
+    return rows, opts
+
+
+def q_monthly_activity_mixed(spark, sf_dir):
+    """Exact sums over a store whose runs hold decimals and uint256 limbs."""
+    rows, opts = _mixed_store(spark, sf_dir)
+    return A.monthly_activity(read_activity(spark, rows, opts), fixture(spark, sf_dir).slices)
+
+
+def q_monthly_summary_text(spark, sf_dir):
+    """F3 without a fixed scale: a token of 24 decimals, all of them written out."""
+    fx = fixture(spark, sf_dir)
+    slices = fx.slices.withColumn("decimals", F.when(F.col("token_id") == 0, 24).otherwise(F.col("decimals")))
+    marked = derive.address_month(derive.mark_transactions(fx.enriched))
+    return A.monthly_summary(marked, fx.zero_ids, slices, as_text=True)
+
+
+def _bucketed(spark, sf_dir) -> tuple[Fixture, DataFrame]:
+    """D6 read from facts and blocks bucketed alike."""
+    fx = fixture(spark, sf_dir)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = store_bucketed(spark, fx.tables, files.shared_folder(spark, "bucketed"), buckets)
+    slices = fx.slices
+    return fx, derive.enriched(derive.token_slice(tables.transfers, slices, fx.token_ids), tables.blocks, slices)
+
+
+def q_transfers_bucketed(spark, sf_dir):
+    """D6 over tables bucketed by block: the facts are not shuffled."""
+    fx, enriched = _bucketed(spark, sf_dir)
+    return _keys(enriched.drop("decimals"), fx.slices).select(
+        "symbol", "transfer_filter", *derive.FACT_COLUMNS, "ts", "month")
+
+
+def q_block_transactions(spark, sf_dir):
+    """Marks of transactions over bucketed tables, counted by block: no shuffle of the facts either."""
+    fx, enriched = _bucketed(spark, sf_dir)
+    counted = derive.mark_transactions(enriched).groupBy("slice_id", "block_number").agg(
+        F.sum("tx_mark").alias("transaction_count"), F.count(F.lit(1)).alias("transfer_count"))
+    return _keys(counted, fx.slices).select("symbol", "transfer_filter", "block_number", "transaction_count", "transfer_count")
+
+
+def q_stored_lookups(spark, sf_dir):
+    """The last block, its first transaction, the last sender and the last receiver, looked up in the stored layout."""
+    fx = fixture(spark, sf_dir)
+    path = files.shared_folder(spark, "transfers_enriched")
+    derive.write_enriched(fx.enriched.drop("decimals"), path)
+    stored = spark.read.parquet(path)
+    last = stored.agg(F.max("block_number").alias("block_number"), F.max("from_id").alias("from_id"), F.max("to_id").alias("to_id"),
+                      F.min_by("tx_index", F.struct(-F.col("block_number"), "tx_index")).alias("tx_index")).first().asDict()
+    parts = [derive.find_transfers(stored, **{c: last[c] for c in wanted}).select("*", F.lit(kind).alias("lookup"))
+             for kind, wanted in LOOKUPS.items()]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return _keys(found, fx.slices).select("symbol", "transfer_filter", "lookup", *derive.FACT_COLUMNS)
+
+
+LOOKUPS = {"block": ["block_number"], "transaction": ["block_number", "tx_index"], "sender": ["from_id"], "receiver": ["to_id"]}
+
+
+def _round_trip(spark, sf_dir, name: str, result: DataFrame) -> DataFrame:
+    """A result written as flat CSV files, one a series, and read back by its explicit schema."""
+    folder = files.shared_folder(spark, "csv")
+    series = [(r["symbol"], r["transfer_filter"]) for r in fixture(spark, sf_dir).slices.collect()]
+    write_result_csv(result, folder, name, series, sink_order(name))
+    parts = [read_flat_csv(spark, folder, name, *one) for one in series]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def q_activity_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "monthly_activity", fixture(spark, sf_dir).monthly_activity())
+
+
+def q_top_users_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "monthly_top100_users", fixture(spark, sf_dir).top_users())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_slice": q_token_slice,
     "eoa_slice": q_eoa_slice,
@@ -389,6 +510,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "funders_yearly_lookup": _lookup(False, yearly=True),
     "mixed_filter_slices": q_mixed_filter_slices,
     "token_checks": q_token_checks,
+    "registry_checks": q_registry_checks,
+    "routed_results": q_routed_results,
+    "monthly_activity_mixed": q_monthly_activity_mixed,
+    "monthly_summary_text": q_monthly_summary_text,
+    "transfers_bucketed": q_transfers_bucketed,
+    "block_transactions": q_block_transactions,
+    "stored_lookups": q_stored_lookups,
+    "activity_round_trip": q_activity_round_trip,
+    "top_users_round_trip": q_top_users_round_trip,
     "number_labels": q_number_labels,
     "address_labels": q_address_labels,
     "window_labels": q_window_labels,

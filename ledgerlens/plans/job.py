@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ledgerlens import schemas
 from ledgerlens.functions import scalars as S
+from ledgerlens.functions import wide
 from ledgerlens.operators import analyses as A
 from ledgerlens.operators import checks, derive
 from ledgerlens.operators import reports as R
@@ -37,6 +38,9 @@ RESULT_FLAGS = {
     "monthly_transfer_size_buckets": "monthly_transfer_size_buckets",
 }
 
+# Results that read the stored sizes by month.
+SIZE_RESULTS = ("transfer_size_histogram_all_time", "monthly_transfer_size_buckets")
+
 # Row order of each result inside a series.
 SINK_ORDER = {
     "monthly_activity": ["month"],
@@ -86,7 +90,10 @@ def _slice_key(df: DataFrame) -> DataFrame:
 MANIFEST = T.StructType([
     T.StructField("symbol", T.StringType()), T.StructField("transfer_filter", T.StringType()),
     T.StructField("run", T.StringType()), T.StructField("has_rows", T.BooleanType()),
-    T.StructField("slice_key", T.StringType())])
+    T.StructField("amounts", T.StringType()), T.StructField("slice_key", T.StringType())])
+# Amount columns of the stored tables, and what the manifest says of them.
+AMOUNT_COLUMNS = {"transfers_enriched": ["amount"], "address_month": ["sent_amount", "received_amount"]}
+DECIMAL_AMOUNTS, UINT256_AMOUNTS = "decimal", "uint256"
 
 
 def read_manifest(spark: SparkSession, opts: JobOptions) -> dict[str, Row]:
@@ -121,10 +128,11 @@ def build_slices(spark: SparkSession, tables: ChainTables, slice_rows: list[Row]
     enriched = derive.mark_transactions(derive.enriched(sliced, tables.blocks, slices).drop("decimals"))
     keyed = _slice_key(A.attach_keys(enriched, slices)).drop("symbol", "transfer_filter", "slice_id", "decimals")
     derive.write_enriched(keyed, _folder(opts, run, "transfers_enriched"), key="slice_key")
+    amounts = UINT256_AMOUNTS if wide.is_limbs(keyed, "amount") else DECIMAL_AMOUNTS
     entries = [(r["symbol"], r["transfer_filter"], run,
-                files.exists(spark, f"{_folder(opts, run, 'transfers_enriched')}/slice_key={_key(r)}"), _key(r)) for r in todo]
+                files.exists(spark, f"{_folder(opts, run, 'transfers_enriched')}/slice_key={_key(r)}"), amounts, _key(r)) for r in todo]
     if any(e[3] for e in entries):
-        written = {e[4]: Row(**dict(zip(MANIFEST.fieldNames(), e))) for e in entries}
+        written = {e[-1]: Row(**dict(zip(MANIFEST.fieldNames(), e))) for e in entries}
         d7 = derive.address_month(_read_slices(spark, "transfers_enriched", todo, written, opts))
         d7 = _slice_key(A.attach_keys(d7, slices)).drop("symbol", "transfer_filter", "slice_id", "decimals")
         (d7.hint("rebalance", F.col("slice_key"), F.col("month"))
@@ -138,7 +146,8 @@ def _read_slices(spark: SparkSession, name: str, slice_rows: list[Row], stored:
     """A stored table of the given slices, re-keyed by this run's ``slice_id``.
 
     Only the folders of these slices are listed and read; a slice without
-    transfers has none.
+    transfers has none. Where runs stored decimals and others uint256 limbs, all
+    become limbs, so their sums stay exact.
     """
     by_run: dict[str, list[str]] = {}
     for row in slice_rows:
@@ -153,8 +162,8 @@ def _read_slices(spark: SparkSession, name: str, slice_rows: list[Row], stored:
         parts.append(found.withColumn("slice_key", F.col("slice_key").cast("string")))
     if not parts:
         return spark.createDataFrame([], D6_EMPTY if name == "transfers_enriched" else D7_EMPTY)
-    df = parts[0]
-    for part in parts[1:]:
+    df, *others = wide.widest(parts, AMOUNT_COLUMNS[name])
+    for part in others:
         df = df.unionByName(part)
     return df.join(keys, "slice_key").drop("slice_key")
 
@@ -182,7 +191,7 @@ def _of_series(df: DataFrame, series: list[tuple[str, str]]) -> DataFrame:
 
 
 def run_job(spark: SparkSession, tables: ChainTables, config: dict, opts: JobOptions) -> dict[str, str]:
-    """Run every enabled analysis of the registry; returns result name -> path."""
+    """Run every enabled analysis of the registry; returns result name -> folder of the version written."""
     apply_job_conf(spark)
     if opts.shuffle_partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(opts.shuffle_partitions))
@@ -214,32 +223,45 @@ def run_job(spark: SparkSession, tables: ChainTables, config: dict, opts: JobOpt
     scales = local_frame(spark, slice_rows, schemas.SLICES).select("symbol", "transfer_filter", "decimals")
     write_result(scales, f"{opts.output}/{SERIES_DECIMALS}", [(r["symbol"], r["transfer_filter"]) for r in slice_rows], [])
 
+    # V8: the slices that switched each result on, from the registry's flags
+    on = {(r["slice_id"], r["result"]) for r in checks.routes(local_frame(spark, slice_rows, schemas.SLICES), RESULT_FLAGS).collect()}
+    routed = {name: [r for r in slice_rows if (r["slice_id"], name) in on] for name in RESULT_FLAGS}
+    as_text = True if any(r["decimals"] > 18 for r in slice_rows) else None
+    sizes_path = f"{opts.store}/partials/{uuid.uuid4().hex}"
+
+    def sizes(rows: list[Row]) -> DataFrame:
+        """The partial aggregate of A6 and A7: stored by the first of them, for the slices of both."""
+        if not files.exists(spark, sizes_path):
+            both = [r for r in slice_rows if any(r in routed[n] for n in SIZE_RESULTS)]
+            A.month_sizes(read_enriched(spark, both, opts)).write.parquet(sizes_path)
+        keys = F.broadcast(local_frame(spark, rows, schemas.SLICES).select("slice_id"))
+        return spark.read.parquet(sizes_path).join(keys, "slice_id", "left_semi")
+
     plans = {
         "monthly_activity": lambda rows, sl: A.monthly_activity(read_activity(spark, rows, opts), sl),
         "monthly_summary": lambda rows, sl: A.monthly_summary(
-            read_activity(spark, rows, opts), A.zero_address_ids(tables.addresses), sl),
+            read_activity(spark, rows, opts), A.zero_address_ids(tables.addresses), sl, as_text),
         "monthly_adoption": lambda rows, sl: A.monthly_adoption(read_activity(spark, rows, opts), sl),
         "monthly_top100_funded_by": lambda rows, sl: A.monthly_funded_by(read_enriched(spark, rows, opts), tables.addresses, sl),
         "monthly_top100_users": lambda rows, sl: A.monthly_top_users(read_activity(spark, rows, opts), tables.addresses, sl),
-        "transfer_size_histogram_all_time": lambda rows, sl: A.size_histogram(read_enriched(spark, rows, opts), sl),
-        "monthly_transfer_size_buckets": lambda rows, sl: A.monthly_size_buckets(read_enriched(spark, rows, opts), sl),
+        "transfer_size_histogram_all_time": lambda rows, sl: A.histogram_of(sizes(rows), sl),
+        "monthly_transfer_size_buckets": lambda rows, sl: A.buckets_of(sizes(rows), sl),
     }
     written = {}
     for name, plan in plans.items():
-        # V8: the slices that switched the result on
-        rows = [r for r in slice_rows if (r["analyses"] or {}).get(RESULT_FLAGS[name])]
+        rows = routed[name]
         if not rows:
             continue
         path = f"{opts.output}/{name}"
         series = [(r["symbol"], r["transfer_filter"]) for r in rows]
         result = plan(rows, local_frame(spark, rows, schemas.SLICES))
-        write_result(result, path, series, sink_order(name))
-        back = read_result(spark, path)
-        back = result.limit(0) if back is None else _of_series(back, series)
+        written[name], n = write_result(result, path, series, sink_order(name))
         if opts.write_csv:
+            back = read_result(spark, path)
+            back = result.limit(0) if back is None else _of_series(back, series)
             write_result_csv(back, f"{opts.output}/csv", name, series, sink_order(name))
-        written[name] = path
-        opts.say(f"[export] {name} ({back.count():,} rows)")
+        opts.say(f"[export] {name} ({n:,} rows)")
+    files.remove(spark, sizes_path)
     return written
 
 

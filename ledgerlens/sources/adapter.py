@@ -12,7 +12,7 @@ oracle in ``ledgerlens.plans.oracle``:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas
@@ -51,7 +51,8 @@ def fixture_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fixture_transfers(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+def fixture_transfers(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None, token: Column | None = None) -> DataFrame:
+    """``token``: the token of a line, its supplier modulo three if not given."""
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
     o = (orders if orders is not None else _read(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey")
@@ -62,7 +63,7 @@ def fixture_transfers(spark: SparkSession, sf_dir: str, orders: DataFrame | None
         * F.pow(F.lit(10), exponent).cast("decimal(20,0)")
     ).cast(schemas.AMOUNT)
     return j.select(
-        (F.col("l_suppkey") % 3).cast("long").alias("token_id"),
+        (F.col("l_suppkey") % 3 if token is None else token).cast("long").alias("token_id"),
         F.col("l_orderkey").alias("block_number"),
         F.col("l_linenumber").cast("int").alias("tx_index"),
         F.col("l_quantity").cast("int").alias("log_index"),
@@ -136,3 +137,40 @@ def supplier_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     metadata = rows.where(k % 13 != 4).select(own, text(found).alias("decimals")).union(
         rows.where((k % 17 == 6) & (k % 13 != 4)).select(own, text(k % 19 + 3).alias("decimals")))
     return registry, token, metadata
+
+
+def mixed_amounts(transfers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decimal facts, uint256 text facts): the fixture's first token as it is, the others beyond 38 digits."""
+    first = F.col("token_id") == 0
+    return transfers.filter(first), wide_amounts(transfers.filter(~first))
+
+
+def faulty_registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``supplier_tokens`` with faults in the entries themselves: addresses, names, decimals, filters, switches."""
+    registry, token, metadata = supplier_tokens(spark, sf_dir)
+    k = F.col("entry_id")
+    name = F.concat(F.lit(" T-"), F.when(k % 31 == 4, k - 1).otherwise(k).cast("string"), F.when(k % 29 == 3, "!").otherwise(""))
+    registry = registry.select(
+        "entry_id", name.alias("symbol"),
+        F.when(k % 47 == 0, F.lit(None).cast("boolean")).otherwise(k % 10 != 9).alias("enabled"),
+        F.when(k % 37 == 6, F.lit(None).cast("string")).when(k % 23 == 5, F.substring("address", 1, 40)).otherwise(F.upper("address")).alias("address"),
+        F.when(k % 41 == 7, 300).otherwise(F.col("decimals")).alias("decimals"), "setup_token_view",
+        F.when(k % 43 == 8, "weird").when(k % 53 == 9, F.lit(None).cast("string")).otherwise("eoa_eoa").alias("transfer_filter"), "analyses")
+    return registry, token, metadata
+
+
+def supplier_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One slice a supplier, with flags of every mixture: on, off, NULL and missing."""
+    k = F.col("s_suppkey")
+    flag = lambda every, rest: F.when(k % every == rest, F.lit(True)).when(k % every == rest + 1, F.lit(None).cast("boolean")).otherwise(False)
+    some = F.create_map(F.lit("monthly_activity"), flag(2, 0), F.lit("monthly_adoption_and_funded_by"), flag(3, 0),
+                        F.lit("monthly_transfer_size_buckets"), flag(4, 1))
+    return _read(spark, sf_dir, "supplier").select(
+        k.cast("int").alias("slice_id"), F.concat(F.lit("t"), k.cast("string")).alias("symbol"), k.cast("long").alias("token_id"),
+        (k % 19).cast("int").alias("decimals"), F.lit("all").alias("transfer_filter"),
+        F.when(k % 17 == 5, F.lit(None).cast(schemas.ANALYSES)).otherwise(some).alias("analyses"))
+
+
+def supplier_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's transfers with one token a supplier."""
+    return fixture_transfers(spark, sf_dir, token=F.col("l_suppkey"))

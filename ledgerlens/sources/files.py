@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -11,6 +14,31 @@ def _at(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names, which all executors share.
+
+    Where it is unset, a local master gets a temporary folder; a cluster raises.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="ledgerlens-shared-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Sorted names in a folder; none if it is not there."""
+    fs, place = _at(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def create(spark: SparkSession, path: str) -> None:
+    """An empty new file; one that is already there raises."""
+    fs, place = _at(spark, path)
+    fs.create(place, False).close()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, place = _at(spark, path)
     return fs.exists(place)

@@ -6,10 +6,12 @@ analyses touch, so Catalyst prunes the parquet scan to those columns.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,31 +62,74 @@ class ChainTables:
 
 
 def _amounts(transfers: DataFrame) -> DataFrame:
-    """Text amounts in canonical form (anything else than a uint256 raises), others as DECIMAL(38,0)."""
-    text = wide.is_text(transfers, "amount")
-    return transfers.withColumn("amount", wide.uint256_text(F.col("amount")) if text else F.col("amount").cast(schemas.AMOUNT))
+    """Amounts as DECIMAL(38,0), or uint256 text as it is (``derive.token_slice`` checks it and makes limbs of it)."""
+    return transfers if wide.is_text(transfers, "amount") else transfers.withColumn("amount", F.col("amount").cast(schemas.AMOUNT))
 
 
 def _series_folder(path: str, symbol: str, transfer_filter: str) -> str:
     return f"{path}/symbol={symbol}/transfer_filter={transfer_filter}"
 
 
-def write_result(df: DataFrame, path: str, series: list[tuple[str, str]], order_by: list[Column]) -> None:
+# A result set is a folder of versions. A version becomes the current one by the file
+# that names it in _committed; such files are numbered, and the last one counts.
+_COMMITTED = "_committed"
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of a result set's current rows; None if nothing was committed."""
+    found = files.names(spark, f"{path}/{_COMMITTED}")
+    return f"{path}/{found[-1].split('-', 1)[1]}" if found else None
+
+
+def _commit(spark: SparkSession, path: str, version: str) -> None:
+    before = files.names(spark, f"{path}/{_COMMITTED}")
+    number = int(before[-1].split("-", 1)[0]) + 1 if before else 1
+    files.create(spark, f"{path}/{_COMMITTED}/{number:012d}-{version}")
+    # the version just replaced stays for readers that have begun, older ones go
+    for old in before[:-1]:
+        files.remove(spark, f"{path}/{old.split('-', 1)[1]}")
+        files.remove(spark, f"{path}/{_COMMITTED}/{old}")
+
+
+def _alike(new: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with the same column types: exact amounts that are decimals on one side and text on the other become text."""
+    for f in new.schema:
+        if kept.schema[f.name].dataType != f.dataType:
+            new, kept = (d.withColumn(f.name, F.col(f.name).cast("string")) for d in (new, kept))
+    return new, kept
+
+
+def write_result(df: DataFrame, path: str, series: list[tuple[str, str]], order_by: list[Column]) -> tuple[str, int]:
     """A result set, partitioned by its registry keys and ordered inside.
 
     ``series`` are the (symbol, filter) pairs that ``df`` was computed for:
     their earlier rows are replaced, also of those that have none any more;
-    other series stay. Result sets are aggregates bounded per series (months x
-    at most 100 rows), so each series is written as one file.
+    other series are carried over. The rows go to a new version's folder, which is
+    named as the current one only when all are written: a write that fails leaves the
+    earlier rows as they were. Returns that folder and the number of rows written
+    for ``series``, observed as they pass. Result sets are aggregates bounded per
+    series (months x at most 100 rows), so each series is one file.
     """
-    spark = df.sparkSession
-    for symbol, transfer_filter in series:
-        files.remove(spark, _series_folder(path, symbol, transfer_filter))
-    (df.repartition("symbol", "transfer_filter")
-       .sortWithinPartitions("symbol", "transfer_filter", *order_by)
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("symbol", "transfer_filter")
-       .parquet(path))
+    spark, version, written = df.sparkSession, f"version={uuid.uuid4().hex}", Observation()
+    new = df.observe(written, F.count(F.lit(1)).alias("rows"))
+    kept = read_result(spark, path, quiet=True)
+    if kept is not None and set(kept.columns) == set(df.columns):
+        own = F.concat_ws("/", "symbol", "transfer_filter").isin([f"{s}/{f}" for s, f in series])
+        new, kept = _alike(new, kept.filter(~own))
+        new = new.unionByName(kept)
+    (new.repartition("symbol", "transfer_filter")
+        .sortWithinPartitions("symbol", "transfer_filter", *order_by)
+        .write.partitionBy("symbol", "transfer_filter").parquet(f"{path}/{version}"))
+    _commit(spark, path, version)
+    return f"{path}/{version}", _rows(written)
+
+
+def _rows(written: Observation) -> int:
+    """Rows observed; a plan that the optimizer saw to be empty observes nothing at all."""
+    try:
+        return written.get["rows"]
+    except (Py4JJavaError, KeyError):
+        return 0
 
 
 def write_result_csv(df: DataFrame, folder: str, name: str, series: list[tuple[str, str]], order_by: list[Column]) -> None:
@@ -111,17 +156,20 @@ def _absent(exc: AnalysisException) -> bool:
 
 
 def read_result(spark: SparkSession, path: str, symbol: str | None = None,
-                transfer_filter: str | None = None) -> DataFrame | None:
+                transfer_filter: str | None = None, quiet: bool = False) -> DataFrame | None:
     """A stored result set for reporting, optionally one (symbol, filter).
 
+    ``path`` is a result set's folder (its current version is read) or one version's.
     The series keys are text whatever they look like (``007``). Returns None
     when the result is absent, so only that report is skipped.
     """
+    path = current_version(spark, path) or path
     try:
         found = spark.read.parquet(path).schema
     except AnalysisException as exc:
         if _absent(exc):
-            print(f"[skip] {path} not found")
+            if not quiet:
+                print(f"[skip] {path} not found")
             return None
         raise
     keys = ("symbol", "transfer_filter")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ledgerlens.plans import catalog
 from ledgerlens.plans.job import JobOptions, ReportOptions, read_manifest, run_job, run_reports
 from ledgerlens.sources.adapter import fixture_registry_config, fixture_tables, fixture_token_metadata
-from ledgerlens.sources.tables import ChainTables
+from ledgerlens.sources.tables import ChainTables, read_result
 from tests.conftest import SF001
 
 
@@ -160,7 +160,7 @@ def test_own_csv_files_feed_the_reports(spark, scratch):
     opts = JobOptions(store=f"{scratch}/store", output=f"{scratch}/out", write_csv=True,
                       token_metadata=fixture_token_metadata(spark))
     run_job(spark, fixture_tables(spark, SF001), fixture_registry_config(), opts)
-    scales = spark.read.parquet(f"{opts.output}/series_decimals")
+    scales = read_result(spark, f"{opts.output}/series_decimals")
     assert sorted(map(tuple, scales.select("symbol", "transfer_filter", "decimals").collect())) == [
         ("tka", "all", 8), ("tkb", "all", 6), ("tkc", "all", 18)]
     made = run_reports(spark, None, scales, f"{scratch}/r", ReportOptions(), series=("tkc", "all"), csv_folder=f"{opts.output}/csv")
@@ -194,7 +194,7 @@ def test_no_transfers_at_all(spark, scratch):
     opts = JobOptions(store=f"{scratch}/store", output=f"{scratch}/out", token_metadata=fixture_token_metadata(spark))
     written = run_job(spark, none, fixture_registry_config(), opts)
     assert len(written) == 7
-    assert run_reports(spark, opts.output, spark.read.parquet(f"{opts.output}/series_decimals"), f"{scratch}/r") == {}
+    assert run_reports(spark, opts.output, read_result(spark, f"{opts.output}/series_decimals"), f"{scratch}/r") == {}
 
 
 def test_unchanged_slices_are_not_built_again(spark, scratch):
@@ -257,7 +257,7 @@ def test_uint256_amounts_through_the_whole_job(spark, scratch):
     for r in spark.read.parquet(written["monthly_transfer_size_buckets"]).collect():
         buckets[r.symbol, r.month] += int(r.raw_bucket_volume)
     assert buckets == volume
-    reports = run_reports(spark, opts.output, spark.read.parquet(f"{opts.output}/series_decimals"), f"{scratch}/r")
+    reports = run_reports(spark, opts.output, read_result(spark, f"{opts.output}/series_decimals"), f"{scratch}/r")
     totals = defaultdict(int)
     for (symbol, _, who), v in sent.items():
         totals[symbol, who] += v
@@ -280,7 +280,7 @@ def test_amounts_that_are_no_uint256_raise(spark, bad):
 
 
 def test_symbols_that_look_like_numbers_and_missing_decimals(spark, scratch):
-    from ledgerlens.sources.tables import read_result, write_result
+    from ledgerlens.sources.tables import write_result
 
     config = fixture_registry_config(analyses={n: n == "monthly_top_users" for n in bucket_flags()})
     config["tokens"] = {"007": config["tokens"]["TKA"], "a${env:HOME}b": config["tokens"]["TKB"] | {"enabled": False}}

@@ -2,7 +2,7 @@
 
 import pytest
 
-from __spark_entry__ import queries
+from ledgerlens.plans.catalog import QUERIES
 from tests.conftest import SF001
 
 
@@ -10,10 +10,14 @@ def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "ArrowAggregatePython", "ArrowWindowPython", "AggregateInPandas", "WindowInPandas",
+                "PythonUDF", "PythonUDTF", "MapInPandas", "MapInArrow", "FlatMapGroupsIn", "FlatMapCoGroupsIn", "PythonMapInArrow")
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_udf(spark, name):
-    text = plan_text(queries()[name](spark, SF001))
-    for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas", "MapInPandas"):
+    text = plan_text(QUERIES[name](spark, SF001))
+    for node in PYTHON_NODES:
         assert node not in text, f"{name} runs Python: {node}"
 
 
@@ -21,7 +25,7 @@ def test_no_python_udf(spark, name):
 def test_window_group_limit(spark, name):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        text = plan_text(queries()[name](spark, SF001))
+        text = plan_text(QUERIES[name](spark, SF001))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "WindowGroupLimit" in text
@@ -30,7 +34,7 @@ def test_window_group_limit(spark, name):
 def test_fact_scan_is_pruned(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        text = plan_text(queries()["monthly_activity"](spark, SF001))
+        text = plan_text(QUERIES["monthly_activity"](spark, SF001))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     lineitem_scans = [line for line in text.splitlines() if "lineitem.parquet" in line]
@@ -42,14 +46,14 @@ def test_fact_scan_is_pruned(spark):
 @pytest.mark.parametrize("name", ["monthly_activity", "monthly_top_users", "size_histogram", "first_incoming",
                                   "monthly_adoption", "monthly_summary", "monthly_funded_by"])
 def test_facts_scanned_once(spark, name):
-    plan = queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.split("== Initial Plan ==")[0].splitlines()
              if "FileScan" in line and "lineitem" in line]
     assert len(scans) == 1, scans
 
 
 def test_summary_has_few_exchanges(spark):
-    plan = queries()["monthly_summary"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["monthly_summary"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") <= 6
 
 
@@ -62,11 +66,11 @@ def test_top_lists_do_not_need_a_broadcast(spark, name, limit):
     try:
         for k in keys:
             spark.conf.set(k, limit)
-        got = sorted(map(str, queries()[name](spark, SF001).collect()))
+        got = sorted(map(str, QUERIES[name](spark, SF001).collect()))
     finally:
         for k, v in zip(keys, before):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    assert got == sorted(map(str, queries()[name](spark, SF001).collect()))
+    assert got == sorted(map(str, QUERIES[name](spark, SF001).collect()))
 
 
 def test_no_forced_broadcast_of_blocks_or_lists():
