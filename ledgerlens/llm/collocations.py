@@ -243,6 +243,10 @@ def _state(chunk: int, at: np.ndarray, ids: np.ndarray, lasts: np.ndarray, packi
     bounds = np.searchsorted(keys >> np.uint64(packing.own_bits), np.arange((1 << packing.range_bits) + 1)) if packing.range_bits else [0, len(keys)]
     filters = [{"part": part, "filter": encode(packing.own(keys[a:b]), counts[a:b], packing.own_bits)}
                for part, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+    # a phrase with no frequent one beside it is in no longer one
+    beside = np.zeros(len(at), bool)
+    beside[next_to] = beside[next_to + 1] = True
+    at, ids, lasts = at[beside], ids[beside], lasts[beside]
     distinct, _, grams = counted(ids.astype(np.uint64))
     one = np.zeros(len(distinct), np.int64)
     one[grams] = lasts

@@ -200,6 +200,7 @@ def _pairs(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     index = (marked.select("n_words", "item_fingerprint", F.posexplode(_blocks(F.col("item_fingerprint"))).alias("block", "value"))
              .select("n_words", "item_fingerprint", "block",
                      F.explode(F.transform(_flips(), lambda f: F.col("value").bitwiseXOR(f))).alias("value")))
+    index = cut(index, "index")  # its size is known to the join: thousands of rows an item
     probes = (windows.select("n_words", "fingerprint").distinct()
               .select("n_words", "fingerprint", F.posexplode(_blocks(F.col("fingerprint"))).alias("block", "value")))
     near = (probes.join(index, ["n_words", "block", "value"])
