@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import table
+from .runtime import new_folder, table
 
 #: Slots of the table: a prime, over a hundred times the largest number of shards.
 SLOTS = 65_537
@@ -72,15 +72,21 @@ def place(rows: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: in
     return rows.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(held), "slot")
 
 
-def write_shards(rows: DataFrame, key: str, path: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS,
-                 files: int = 1) -> None:
-    """Write one folder a shard; ``files`` tasks share each shard, dealt by slot."""
+def write_shards(rows: DataFrame, key: str, path: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> None:
+    """Write the whole rows, one folder a shard. Rows are dealt by (shard, slot) and Spark sizes the tasks by
+    bytes, so a shard is as many files as it needs."""
     placed = place(rows, key, shards, slots)
-    (placed.repartition("shard", F.col("slot") % files).write.partitionBy("shard").parquet(path))
+    placed.hint("rebalance", F.col("shard"), F.col("slot")).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all shards, with their slot and the shard whose folder holds them."""
+    return spark.read.parquet(path).withColumn("shard", F.col("shard").cast("string"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return place(docs, "doc_id").select("doc_id", "slot", "shard", "n_bytes")
+    """The shards of the whole documents, written to the shared folder and described from the files."""
+    path = new_folder(spark, "shards")
+    write_shards(table(spark, sf_dir, "documents"), "doc_id", path)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return read_shards(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "slot", "shard", size.alias("n_bytes"))
