@@ -1,7 +1,8 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has one bit a dimension: 1 where the value is above zero. Codes
-are cut into segments of 16 bits, each with an index of its own. A query looks up
+A vector's code has one bit a dimension: 1 where the value is above zero, in as many
+64-bit words as the longest vector needs. Codes are cut into segments of about as many
+bits as it takes to count them (4 to 16), each with an index of its own. A query looks up
 its segments' values with more and more flipped bits, one segment at a time:
 after ``s`` such steps every code within Hamming distance ``s - 1`` has been met
 (with m segments, s steps cover radius ``s div m`` in all of them and one more in
@@ -17,8 +18,7 @@ Queries and codes are dealt into blocks; every query block meets every code bloc
 nearest of each are merged per query.
 
 Ranks go by distance, then id; a query's own row is no result. Defined cases: a
-null or empty embedding, or one with more than ``MAX_BITS`` values, has no code: it
-is no query and no result; a null or NaN value is bit 0; a shorter
+null or empty embedding has no code: it is no query and no result; a null or NaN value is bit 0; a shorter
 embedding is compared as if padded with zero bits; repeated rows of one id count
 once; a query gets fewer than k rows if there are fewer others; an empty table
 gives an empty table; other columns are ignored.
@@ -37,34 +37,49 @@ from .runtime import cut, importable, table
 
 K = 10
 QUERY_EVERY = 20
-MAX_BITS = 64
-SEGMENT_BITS = 16
+WORD = 64
+#: Bits of a segment: enough to count the codes, within these.
+LEAST_SEGMENT, MOST_SEGMENT = 4, 16
 #: Codes and queries of one block: what a task holds at once.
 CODE_BLOCK, QUERY_BLOCK = 200_000, 1_000
 #: Queries that go through the index together.
 BATCH = 64
 
-RESULT = "query_code long, code long, distance int"
-CODE_SQL = ("aggregate(transform(embedding, (x, i) -> if(x > 0 and not isnan(x), shiftleft(1L, i), 0L)), "
+RESULT = "query_code array<long>, code array<long>, distance int"
+#: One word of a code; words beyond a vector's end are 0.
+WORD_SQL = ("aggregate(transform(slice(embedding, {first}, 64), (x, i) -> if(x > 0 and not isnan(x), shiftleft(1L, i), 0L)), "
             "0L, (s, b) -> s | b)")
 
 
+def code_sql(words: int) -> str:
+    return "array(" + ", ".join(WORD_SQL.format(first=k * WORD + 1) for k in range(words)) + ")"
+
+
+def _distance(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(one ^ other).sum(axis=-1, dtype=np.int64)
+
+
 class MultiIndex:
-    """Segment tables of one block of distinct codes."""
+    """Segment tables of one block of distinct codes (a row of 64-bit words each)."""
 
     def __init__(self, codes: np.ndarray, bits: int):
-        self.codes = codes
-        self.segments = -(-bits // SEGMENT_BITS)
+        self.codes = codes = codes.reshape(len(codes), -1)
+        self.segment = min(MOST_SEGMENT, max(LEAST_SEGMENT, len(codes).bit_length() - 1))
+        self.segments = -(-bits // self.segment)
         self.tables = []
         for j in range(self.segments):
             values = self.part(codes, j)
             order = np.argsort(values, kind="stable")
-            begin = np.searchsorted(values[order], np.arange((1 << SEGMENT_BITS) + 1))
+            begin = np.searchsorted(values[order], np.arange((1 << self.segment) + 1))
             self.tables.append((order, begin))
 
-    @staticmethod
-    def part(codes: np.ndarray, j: int) -> np.ndarray:
-        return ((codes >> np.uint64(j * SEGMENT_BITS)) & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
+    def part(self, codes: np.ndarray, j: int) -> np.ndarray:
+        """Values of segment ``j``, which may begin in one word and end in the next."""
+        word, first = divmod(j * self.segment, WORD)
+        value = codes[:, word] >> np.uint64(first)
+        if first + self.segment > WORD and word + 1 < codes.shape[1]:
+            value = value | codes[:, word + 1] << np.uint64(WORD - first)
+        return (value & np.uint64((1 << self.segment) - 1)).astype(np.int64)
 
     def met(self, queries: np.ndarray, j: int, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, code) places met in segment ``j`` with the bits of ``flips`` turned."""
@@ -77,29 +92,30 @@ class MultiIndex:
         return np.repeat(held // len(flips), count), order[at]
 
 
-def _flips(radius: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in bits) for bits in combinations(range(SEGMENT_BITS), radius)], np.int64)
+def _flips(radius: int, bits: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in own) for own in combinations(range(bits), radius)], np.int64)
 
 
 def nearest(index: MultiIndex, least: np.ndarray, queries: np.ndarray, k: int):
     """(query place, code place, distance): each query's k first codes by distance, then ``least``."""
     codes, active, k = index.codes, np.arange(len(queries)), min(k, len(index.codes))
+    queries = queries.reshape(len(queries), -1)
     held = [np.zeros(0, np.int64)] * 3
     out, step = [], 0
     while len(active):
         radius, j = divmod(step, index.segments)
-        flips = _flips(radius) if radius <= SEGMENT_BITS else None
+        flips = _flips(radius, index.segment) if radius <= index.segment else None
         if flips is None or len(flips) * index.segments > len(codes):
             # looking up now takes more than reading every code of the block
-            distance = np.bitwise_count(queries[active][:, None] ^ codes[None, :]).astype(np.int64)
-            for q, d in zip(active, distance):
+            for q in active:
+                d = _distance(queries[q], codes)
                 near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
                 near = near[np.lexsort((least[near], d[near]))[:k]]
                 out.append((np.full(k, q), near, d[near]))
             break
         q, c = index.met(queries[active], j, flips)
         q = active[q]
-        new = q, c, np.bitwise_count(codes[c] ^ queries[q]).astype(np.int64)
+        new = q, c, _distance(codes[c], queries[q])
         q, c, d = (np.concatenate(x) for x in zip(held, new))
         _, once = np.unique(q * len(codes) + c, return_index=True)
         q, c, d = q[once], c[once], d[once]
@@ -118,20 +134,22 @@ def nearest(index: MultiIndex, least: np.ndarray, queries: np.ndarray, k: int):
     return [np.concatenate(x) for x in zip(*out)] if out else held
 
 
+def _words(codes: pd.Series) -> np.ndarray:
+    return np.stack(codes.to_numpy()).astype(np.int64).view(np.uint64)
+
+
 def _search(k: int):
     def run(queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        own, least = codes["code"].to_numpy(np.int64).view(np.uint64), codes["least"].to_numpy(np.int64)
-        asked = queries["code"].to_numpy(np.int64).view(np.uint64)
-        out = [[np.zeros(0, np.int64)] for _ in range(3)]
-        if len(own):
-            index = MultiIndex(own, MAX_BITS)
+        out = []
+        if len(codes) and len(queries):
+            own, least, asked = _words(codes["code"]), codes["least"].to_numpy(np.int64), _words(queries["code"])
+            index = MultiIndex(own, own.shape[1] * WORD)
             for begin in range(0, len(asked), BATCH):
                 part = asked[begin:begin + BATCH]
                 q, c, d = nearest(index, least, part, k)
-                for column, x in zip(out, (part[q].view(np.int64), own[c].view(np.int64), d)):
-                    column.append(x)
-        q, c, d = (np.concatenate(x) for x in out)
-        return pd.DataFrame({"query_code": q, "code": c, "distance": d.astype(np.int32)})
+                out.append(pd.DataFrame({"query_code": list(part[q].view(np.int64)), "code": list(own[c].view(np.int64)),
+                                         "distance": d.astype(np.int32)}))
+        return pd.concat(out) if out else pd.DataFrame({"query_code": [], "code": [], "distance": np.zeros(0, np.int32)})
 
     return run
 
@@ -139,9 +157,9 @@ def _search(k: int):
 def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY) -> DataFrame:
     """(query_id, rank, vec_id, distance): the k nearest rows of each row whose vec_id is divisible."""
     spark = importable(vectors.sparkSession)
-    usable = F.col("vec_id").isNotNull() & F.size("embedding").between(1, MAX_BITS)
-    coded = (vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(usable)
-             .select("vec_id", F.expr(CODE_SQL).alias("code")).distinct())
+    usable = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") >= 1))
+    longest = usable.agg(F.max(F.size("embedding"))).first()[0] or 1
+    coded = (usable.select(F.col("vec_id").cast("long").alias("vec_id"), F.expr(code_sql(-(-longest // WORD))).alias("code")).distinct())
     coded = cut(coded, "codes")
     first = Window.partitionBy("code").orderBy("vec_id")
     kept = cut(coded.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1), "kept")
@@ -174,7 +192,7 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = f"""
 WITH coded AS (
   SELECT DISTINCT vec_id, [coalesce(x > 0 AND NOT isnan(x), false) FOR x IN embedding] AS bits
-  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) BETWEEN 1 AND {MAX_BITS}
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) >= 1
 ), near AS (
   SELECT q.vec_id AS query_id, v.vec_id,
     CAST(len([1 FOR p IN list_zip(q.bits, v.bits) IF coalesce(p[1], false) <> coalesce(p[2], false)]) AS INTEGER) AS distance
