@@ -120,15 +120,20 @@ def choose_layout(schema: T.StructType) -> Layout:
 
 
 def to_turns(records: DataFrame) -> DataFrame:
-    """Canonical turns (conv_id, turn, role, text) of a table in any declared layout;
-    a conversation without turns is one row with a null role and text and turn null."""
+    """Canonical turns (conv_id, turn, role, text, absent) of a table in any declared layout; a
+    conversation without turns is one row that says so in ``absent``, its turn, role and text null."""
     layout = choose_layout(records.schema)
     top = dict.fromkeys(p.split("[")[0].split(".")[0] for p in layout.paths)
     turns = records.select(*top).select(F.col("conv_id").cast("long").alias("conv_id"),
                                         F.expr(layout.turns).alias("turns"))
     if layout.rows:
-        return turns.select("conv_id", F.inline("turns"))
-    return turns.select("conv_id", F.inline_outer("turns"))
+        return turns.select("conv_id", F.inline("turns"), F.lit(False).alias("absent"))
+    return _inlined(turns)
+
+
+def _inlined(turns: DataFrame) -> DataFrame:
+    absent = F.coalesce(F.size("turns"), F.lit(0)) <= 0
+    return turns.select("conv_id", absent.alias("absent"), F.inline_outer("turns")).select("conv_id", "turn", "role", "text", "absent")
 
 
 def _paths_of_json(value: str) -> Column:
@@ -160,8 +165,7 @@ def json_to_turns(records: DataFrame, column: str = "record") -> DataFrame:
             body = _qualified(body, name)
         conv = F.when(F.col("shape") == shape, F.expr(f"{own}.conv_id")).otherwise(conv)
         turns = F.when(F.col("shape") == shape, F.expr(f"transform(array({own}), r -> {body})[0]")).otherwise(turns)
-    return (shaped.select(conv.alias("conv_id"), turns.alias("turns"))
-            .select("conv_id", F.inline_outer("turns")))
+    return _inlined(shaped.select(conv.alias("conv_id"), turns.alias("turns")))
 
 
 def _qualified(body: str, name: str) -> str:
@@ -181,10 +185,10 @@ def format_turns(turns: DataFrame) -> DataFrame:
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
     w = Window.partitionBy("conv_id").orderBy(*order)
     role, text = escape(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
-    none = F.col("turn").isNull() & F.col("role").isNull() & F.col("text").isNull()
+    absent = F.col("absent") if "absent" in turns.columns else F.lit(False)
     marked = (
         turns.select("conv_id", "turn", "role", "text",
-                     F.when(none, "").otherwise(F.concat(F.lit(TURN), role, F.lit(TEXT), text, F.lit(END))).alias("piece"),
+                     F.when(absent, "").otherwise(F.concat(F.lit(TURN), role, F.lit(TEXT), text, F.lit(END))).alias("piece"),
                      F.char_length(text).alias("length"))
         .select("conv_id", F.row_number().over(w).alias("place"), "piece", "length",
                 (F.col("role") == "assistant").alias("learned"),

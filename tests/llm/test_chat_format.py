@@ -60,6 +60,16 @@ def test_odd_rows(spark):
     assert digests(c.to_turns(spark.createDataFrame([], TURN))) == {}
 
 
+def test_a_turn_of_nulls_alone_is_a_turn(spark):
+    rows = [(1, None, None, None), (1, 1, "user", "hello"), (2, None, None, None), (None, None, None, None)]
+    got = digests(c.to_turns(spark.createDataFrame(rows, TURN)))
+    check(got[1], [(None, None), ("user", "hello")])
+    check(got[2], [(None, None)])
+    check(got[None], [(None, None)])
+    listed = spark.createDataFrame([(7, [(None, None)])], LAYOUT_ROWS["messages"][0])
+    assert digests(c.to_turns(listed))[7].n_turns == 1
+
+
 LAYOUT_ROWS = {
     "messages": ("conv_id long, messages array<struct<role: string, content: string>>", (7, [("user", "q"), ("assistant", "a")])),
     "exchanges": ("conv_id long, conversations array<struct<from: string, value: string>>", (7, [("human", "q"), ("gpt", "a")])),
