@@ -2,7 +2,8 @@
 
 Every block element of a page's tree is a node with two states, article or
 other. A node's own evidence is a logistic model over its tag, the words of its
-class, id and role, its share of linked text and its length; parents and
+class, id and role, its share of linked text, its length and, for lists, the
+blocks before and after; parents and
 children are joined by potentials, the ratio P(child | parent) / P(child).
 Sum-product messages go from the leaves up and from the root down, and give each
 node's exact marginal; the text that stands directly in a node whose marginal is
@@ -11,8 +12,9 @@ above one half is kept. Both parts are fitted on labelled pages
 
 A block's text is its runs of text between child blocks, inline elements and
 character references resolved, white space turned into one space; blocks are
-joined in page order by one space. Scripts, styles, comments, head and other
-elements that no reader sees are not nodes.
+joined in page order by one space. Formulas and drawings are inline. Scripts, styles,
+comments, head, form controls, what stands in for media, and the sources and
+descriptions of formulas and drawings are seen by no reader and are not nodes.
 
 Defined cases: a null or empty page has no text (""); text outside any tag
 belongs to the page's root; unclosed and stray tags follow the nesting they
@@ -45,8 +47,12 @@ OUT_SCHEMA = "page_id long, url string, text string, n_chars long"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-HIDDEN = frozenset("script style head title noscript template svg math iframe object audio video canvas map "
-                   "select datalist textarea button".split())
+#: Formulas and drawings: their visible text stands in the line.
+INLINE |= frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup "
+                    "munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr semantics "
+                    "svg g text tspan textpath switch foreignobject map".split())
+HIDDEN = frozenset("script style head title noscript template iframe object audio video canvas select datalist textarea button "
+                   "annotation annotation-xml defs desc metadata".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 #: A start tag of the key's kind ends an open element of these, unless a container stands between.
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
@@ -56,6 +62,8 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 CONTAINERS = frozenset("html body article aside div section main nav header footer form table ul ol dl td th blockquote "
                        "figure fieldset details dialog".split())
 
+LISTS = ("ul", "ol")
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -201,11 +209,20 @@ def features(nodes: list[Node]) -> list[list[str]]:
     for k in range(len(nodes) - 1, 0, -1):
         size[nodes[k].parent] += size[k]
         linked[nodes[k].parent] += linked[k]
+    before, after, last = [""] * len(nodes), [""] * len(nodes), {}
+    for k, n in enumerate(nodes):  # the blocks beside each node
+        if n.parent in last:
+            before[k], after[last[n.parent]] = nodes[last[n.parent]].tag, n.tag
+        last[n.parent] = k
     out = []
     for k, n in enumerate(nodes):
         share = linked[k] / size[k] if size[k] else 0.0
         found = ["bias", f"tag {n.tag}", f"links {min(3, int(share * 4))}", f"size {min(5, int(math.log2(size[k] + 1) / 2))}"]
         found += [f"name {w}" for w in dict.fromkeys(n.names)]
+        # a list, and each of its items, by the blocks that the list stands between
+        place = k if n.tag in LISTS else n.parent if k and nodes[n.parent].tag in LISTS else 0
+        if before[place] and after[place] and not nodes[place].names:
+            found.append(f"{'list' if place == k else 'item'} between {before[place]} and {after[place]}")
         out.append(found)
     return out
 

@@ -129,8 +129,10 @@ class Page:
         elif how < 0.86:
             tag = r.choice(("ul", "ol"))
             self.open(tag, 1)
-            for _ in range(r.randint(1, 5)):
-                self.leaf("li", 1, self.words(2, 20))
+            linked = r.random()
+            for _ in range(r.randint(1, 5)):  # some lists of an article are links to what it names
+                text = self.words(2, 20) if linked < 0.7 else self.mixed(2, 12) if linked < 0.85 else f'<a href="/y">{self.words(1, 6)}</a>'
+                self.leaf("li", 1, text)
             self.out.append(f"</{tag}>")
         elif how < 0.9:
             self.leaf("blockquote", 1, self.words(5, 40) + ".")

@@ -50,6 +50,23 @@ def test_markup(model, html, text):
     assert h.extract(html, model) == text
 
 
+LONG = "The story goes on for a while with plain words that say what happened. " * 4
+
+
+@pytest.mark.parametrize("part,text", [
+    ("<p>The area is <math><mi>a</mi><mo>=</mo><msup><mi>r</mi><mn>2</mn></msup></math> here.</p>", "The area is a=r2 here."),
+    ("<p>See <math display='block'><semantics><mrow><mi>x</mi></mrow><annotation encoding='tex'>\\x</annotation></semantics></math> now.</p>", "See x now."),
+    ("<p>A drawing <svg viewBox='0 0 1 1'><title>no</title><defs><text>no</text></defs><path d='M0'/><g><text>label</text></g></svg> stands here.</p>",
+     "A drawing label stands here."),
+    ("<ul><li><a href='/a'>First source of the story</a></li><li><a href='/b'>Second source of it</a></li></ul>",
+     "First source of the story Second source of it"),
+    ("<ol><li><a href='/a'>Annual report</a></li><li><a href='/b'>Press note</a></li></ol>", "Annual report Press note"),
+])
+def test_formulas_drawings_and_linked_lists_of_an_article_stay(model, part, text):
+    body = f"<nav><a href='/'>Home</a></nav><div class='post'><h1>A title</h1><p>{LONG}</p>{part}<p>{LONG}</p></div><footer>Foot</footer>"
+    assert h.extract(page(body), model) == f"A title {LONG.strip()} {text} {LONG.strip()}"
+
+
 def brute_marginals(parents, own, pair):
     n, total, ones = len(parents), 0.0, [0.0] * len(parents)
     for states in itertools.product((0, 1), repeat=n):
