@@ -36,7 +36,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import cut, table
+from .runtime import cut, in_map, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -45,8 +45,6 @@ BITS = 64
 PARTS = 2
 BLOCKS, BLOCK_BITS = 8, 16
 RADIUS = 33
-#: Bits of the map of documents that hold a shingle of some item: a bound on what tasks are sent.
-MAP_BITS = 1 << 23
 #: Longest window that 16-bit counters hold; larger items use 32-bit ones.
 NARROW_LIMIT = 16_000
 
@@ -128,16 +126,6 @@ def _same(left: str, right: str) -> Column:
     return (F.col(f"{left}.text_key") == F.col(f"{right}.text_key")) & F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id"))
 
 
-def _map(met: DataFrame) -> DataFrame:
-    """One row: a map of MAP_BITS bits, in longs, with the bits of the documents in ``met``."""
-    place = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(MAP_BITS))
-    found = (met.select(F.floor(place / 64).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
-             .groupBy("id").agg(F.bit_or("bit").alias("bits")))
-    every = met.sparkSession.range(MAP_BITS // 64).join(found, "id", "left")
-    longs = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-    return every.agg(F.transform(longs, lambda x: x["bits"]).alias("map"))
-
-
 def _starts(percent: int) -> Column:
     """The starts at which a window of ``n_words`` words holds enough of the met places ``ats`` (ascending) of a
     text of ``n`` words. A window's shingles in common are met places, so with c of them the similarity is at most
@@ -164,9 +152,7 @@ def _windows(docs: DataFrame, items: DataFrame, width: int, percent: int) -> Dat
            .select("doc_id", "text_key", F.struct("n_words", _starts(percent).alias("starts")).alias("own")).where(F.size("own.starts") > 0))
     met = cut(met.groupBy("doc_id", "text_key").agg(F.collect_list("own").alias("met")), "met")
     # only documents that may have been met are hashed again and dealt out
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit(MAP_BITS))
-    word = F.get(_map(met).scalar(), F.floor(place / 64).cast("int"))
-    marked = F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    marked = in_map(met, F.col("doc_id").cast("long"), F.xxhash64("text"))
     held = (_hashed(docs.where(marked)).alias("d").join(met.alias("m"), _same("d", "m"))
             .select("d.doc_id", "d.text_key", "d.words", "m.met"))
     starts = F.flatten(F.transform("met", lambda x: F.transform(x["starts"], lambda s: F.struct(x["n_words"].alias("n_words"), s.alias("start")))))
@@ -232,8 +218,10 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
 def clean_texts(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows of ``docs`` in whose own text no item was found, whatever rows share their id."""
     found = cut(_pairs(docs, items, percent).select("doc_id", "text_key").distinct(), "contaminated")
-    same = (F.xxhash64("d.text") == F.col("f.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
-    return docs.alias("d").join(found.alias("f"), same, "left_anti")
+    # texts that nothing was found in stay where they are
+    marked = in_map(found, F.col("doc_id").cast("long"), F.xxhash64("text"))
+    same = (F.xxhash64("d.text") == F.col("f.text_key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.doc_id"))
+    return docs.where(~marked).unionByName(docs.where(marked).alias("d").join(found.alias("f"), same, "left_anti"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

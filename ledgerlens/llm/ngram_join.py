@@ -14,9 +14,9 @@ Two sets of similarity t or more share at least ``l`` of the first
 3. *Candidates*: of its repeated shingles a set may leave out the l - 1 most
    frequent ones (the least frequent common one of a linked pair is left out by
    neither); so passages shared by many texts bring no candidates together.
-4. *Overlaps*: the sets still in play are cut by the same fragments; each
-   fragment counts the overlap of a candidate pair on its own and the counts are
-   summed per pair, then held against the exact threshold.
+4. *Overlaps*: the sets of a candidate pair are cut into fragments of the global order;
+   the overlaps of the fragments are counted one after the other and summed per pair
+   until the threshold is reached at the end or out of reach before.
 5. *Bounds*: a set's map of 2,048 bits has the bit of each of its shingles. A bit
    that one set has and the other lacks is a shingle not in common, so counting
    them bounds the overlap from above; pairs that cannot reach the threshold go
@@ -26,7 +26,9 @@ Two sets of similarity t or more share at least ``l`` of the first
    that most of its shingles name, and linked sets become one component.
    What is left is compared across components only: shingles are put together
    under their first set, and the members under it that are not of its largest
-   component meet all others, in blocks. No link that joins components is lost.
+   component meet all others, in blocks that hold the sets whole: overlaps are counted
+   where the blocks meet, and members linked there are one component from then on.
+   No link that joins components is lost, and pairs leave a task as links only.
 
 Sets are told apart by 64-bit ids together with their size.
 
@@ -48,7 +50,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, importable, release, table
+from .runtime import cut, drop, importable, in_map, release, table
 from .shingles import pieces, shingle_sets
 
 #: Similarity, per cent.
@@ -62,8 +64,10 @@ PART_FRAGMENTS = 8
 BLOCK_SHINGLES = 1 << 20
 #: Hubs that each set is compared with.
 HUBS = 3
-#: Members of one block of the last comparison: those that are still apart, and the others.
-APART_BLOCK, OTHER_BLOCK = 256, 2048
+#: Shingles of one block of the last comparison: of members that are still apart, and of the others.
+APART_BLOCK, OTHER_BLOCK = 1 << 17, 1 << 20
+#: A shingle that more sets of one block have is sent to its fragment as a count.
+HOT_SETS = 1024
 #: Bits of the map of a set's shingles.
 SET_BITS = 2048
 #: Shingles fall into so many pools by hash; those of a pool name the same hub where they can.
@@ -74,10 +78,11 @@ MAP_BITS = 1 << 26
 SEEN = 200_000
 
 DOC_SCHEMA = "doc_id long, n long, set_id long"
-BLOCK_SCHEMA = "frag int, set_ids binary, sizes binary, counts binary, hashes binary"
+BLOCK_SCHEMA = "frag int, set_ids binary, sizes binary, counts binary, hashes binary, hot_hashes binary, hot_counts binary"
 SHARED_SCHEMA = "set_id long, n long, hashes array<bigint>, dfs array<int>"
-SET_SCHEMA = "set_id long, frag int, part array<bigint>, bits binary"
+SET_SCHEMA = "set_id long, n long, whole array<bigint>, bits binary"
 PAIR_SCHEMA = "a long, b long, n_a long, n_b long"
+LINK_SCHEMA = "u long, v long"
 
 
 def needed(n, percent: int):
@@ -115,6 +120,35 @@ def _fragment_of(hashes: np.ndarray, fragments: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
 
 
+def _hot(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than HOT_SETS sets of a block, in order, with how many."""
+    ordered = np.sort(hashes)
+    heads = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
+    counts = np.diff(np.append(heads, len(ordered)))
+    hot = counts > HOT_SETS
+    return ordered[heads[hot]], counts[hot]
+
+
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _block(frag: int, ids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, hashes: np.ndarray,
+           hot_hashes: np.ndarray = np.zeros(0, np.uint64), hot_counts: np.ndarray = np.zeros(0, np.int64)) -> dict:
+    """A row of shingles by set (``owner``: places in ids, ascending)."""
+    heads = np.flatnonzero(np.diff(owner, prepend=-1))
+    who = owner[heads]
+    return {"frag": int(frag), "set_ids": ids[who].tobytes(), "sizes": sizes[who].tobytes(),
+            "counts": np.diff(np.append(heads, len(owner))).astype(np.int32).tobytes(), "hashes": hashes.tobytes(),
+            "hot_hashes": hot_hashes.tobytes(), "hot_counts": hot_counts.astype(np.int64).tobytes()}
+
+
+#: Groups that the sets of hot shingles pass through.
+HOT_GROUPS = 1 << 20
+
+
 def _first_parts(fragments: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -128,19 +162,20 @@ def _first_parts(fragments: int, percent: int):
             counts = np.fromiter(map(len, parts), np.int64, len(parts))
             hashes = np.concatenate(parts)
             owner = np.repeat(np.arange(len(parts)), counts)
-            frag = _fragment_of(hashes, fragments)
+            own_ids, own_sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
+            hot_hashes, hot_counts = _hot(hashes)
+            is_hot = _among(hot_hashes, hashes)
+            rows = [_block(-1 - abs(ids[0]) % HOT_GROUPS, own_ids, own_sizes, owner[is_hot], hashes[is_hot])] if len(hot_hashes) else []
+            hashes, owner = hashes[~is_hot], owner[~is_hot]
+            frag, hot_frag = _fragment_of(hashes, fragments).astype(np.int64), _fragment_of(hot_hashes, fragments).astype(np.int64)
             order = np.argsort(frag.astype(np.uint16) if fragments < 1 << 16 else frag, kind="stable")
             hashes, owner, frag = hashes[order], owner[order], frag[order]
-            own_ids, own_sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
-            rows = []
-            edges = np.append(np.flatnonzero(np.diff(frag.astype(np.int64), prepend=-1)), len(frag))
-            for b, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                heads = np.flatnonzero(np.diff(owner[b:e], prepend=-1))
-                who = owner[b:e][heads]
-                rows.append({"frag": int(frag[b]), "set_ids": own_ids[who].tobytes(), "sizes": own_sizes[who].tobytes(),
-                             "counts": np.diff(np.append(heads, e - b)).astype(np.int32).tobytes(), "hashes": hashes[b:e].tobytes()})
+            for f in np.union1d(frag, hot_frag).tolist():
+                b, e = np.searchsorted(frag, (f, f + 1))
+                own = hot_frag == f
+                rows.append(_block(f, own_ids, own_sizes, owner[b:e], hashes[b:e], hot_hashes[own], hot_counts[own]))
             return pa.RecordBatch.from_pylist(rows, schema=pa.schema(
-                [("frag", pa.int32()), ("set_ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())]))
+                [("frag", pa.int32()), *[(c, pa.binary()) for c in ("set_ids", "sizes", "counts", "hashes", "hot_hashes", "hot_counts")]]))
 
         for batch in batches:
             for _, data, offsets in pieces(batch.column(1)):
@@ -165,10 +200,14 @@ def _first_parts(fragments: int, percent: int):
 
 
 def _repeated(group: pa.Table) -> pa.Table:
-    """Of one fragment: each set's shingles that other sets have too, with their frequency."""
-    ids, sizes, counts, hashes = (
+    """Of one fragment: each set's shingles that other sets have too, with their frequency, and a row
+    without set for its hot shingles. Sets of hot shingles (a negative fragment) pass, frequencies open."""
+    ids, sizes, counts, hashes, hot, hot_counts = (
         np.concatenate([np.frombuffer(x, kind) for x in group.column(c).to_pylist()])
-        for c, kind in (("set_ids", np.int64), ("sizes", np.int64), ("counts", np.int32), ("hashes", np.uint64)))
+        for c, kind in (("set_ids", np.int64), ("sizes", np.int64), ("counts", np.int32), ("hashes", np.uint64),
+                        ("hot_hashes", np.uint64), ("hot_counts", np.int64)))
+    if group["frag"][0].as_py() < 0:
+        return _shared(ids, sizes, counts, hashes, None)
     _, first = np.unique(ids, return_index=True)  # a set may come from several tasks
     once = np.zeros(len(ids), bool)
     once[first] = True
@@ -177,19 +216,35 @@ def _repeated(group: pa.Table) -> pa.Table:
     owner = np.repeat(np.arange(len(ids)), counts)
     order = np.argsort(hashes, kind="stable")
     hashes, owner = hashes[order], owner[order]
-    heads = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + np.uint64(1)))
-    df = np.diff(np.append(heads, len(hashes)))
-    df = np.repeat(df, df)
+    heads = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
+    distinct, df = hashes[heads], np.diff(np.append(heads, len(hashes)))
+    hot, place = np.unique(hot, return_inverse=True)
+    hot_df = np.bincount(place, hot_counts, len(hot)).astype(np.int64)
+    if len(hot):  # one frequency for the sets of all blocks, whether they hold it as hot or not
+        both = np.minimum(np.searchsorted(distinct, hot), max(len(distinct) - 1, 0))
+        met = distinct[both] == hot if len(distinct) else np.zeros(len(hot), bool)
+        hot_df[met] += df[both[met]]
+        df[both[met]] = hot_df[met]
+    df = np.repeat(df, np.diff(np.append(heads, len(hashes))))
     keep = df > 1
     hashes, owner, df = hashes[keep], owner[keep], df[keep]
     order = np.argsort(owner, kind="stable")
     hashes, owner, df = hashes[order], owner[order], df[order]
     heads = np.flatnonzero(np.diff(owner, prepend=-1))
-    who, offsets = owner[heads], pa.array(np.append(heads, len(owner)).astype(np.int32))
+    who = owner[heads]
+    out = _shared(ids[who], sizes[who], np.diff(np.append(heads, len(owner))), hashes, df)
+    if len(hot):
+        out = pa.concat_tables([out, _shared(np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([len(hot)]), hot, hot_df, named=False)])
+    return out
+
+
+def _shared(ids, sizes, counts, hashes, dfs, named: bool = True) -> pa.Table:
+    offsets = pa.array(np.cumsum([0, *counts.tolist()]).astype(np.int32))
+    nothing = np.full(len(ids), not named)
     return pa.table({
-        "set_id": ids[who], "n": sizes[who],
-        "hashes": pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64))),
-        "dfs": pa.ListArray.from_arrays(offsets, pa.array(df.astype(np.int32)))})
+        "set_id": pa.array(ids, mask=nothing), "n": sizes, "hashes": pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64))),
+        "dfs": pa.nulls(len(ids), pa.list_(pa.int32())) if dfs is None else pa.ListArray.from_arrays(
+            offsets, pa.array(np.minimum(dfs, 2**31 - 1).astype(np.int32)))})
 
 
 def _lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,29 +266,21 @@ def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
     return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:]))
 
 
-def _whole_sets(fragments: int, maps: dict[int, bytes]):
-    """Sets, cut by fragment, of documents in the map (a few others may come along)."""
+def _whole_sets(maps: dict[int, bytes]):
+    """Sets of documents in the map (a few others may come along), each with its map of bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.fromiter((_in_map(maps, x) for x in batch.column(2).to_pylist()), bool, batch.num_rows)
             batch = batch.filter(pa.array(keep))
             for _, data, offsets in pieces(batch.column(1)):
-                ids, frags, parts, maps_of = [], [], [], []
-                for own in shingle_sets(data, offsets):
-                    if len(own):
-                        frag = _fragment_of(own, fragments)
-                        heads = np.flatnonzero(np.diff(frag.astype(np.int64), prepend=-1))
-                        ids += [set_id(own)] * len(heads)
-                        maps_of += [_bits(own), *[None] * (len(heads) - 1)]
-                        frags.append(frag[heads])
-                        parts += np.split(own.view(np.int64), heads[1:])
-                if ids:
+                sets = [own for own in shingle_sets(data, offsets) if len(own)]
+                if sets:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64()), pa.array(np.concatenate(frags).astype(np.int32)),
-                         pa.ListArray.from_arrays(
-                             pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts))),
-                         pa.array(maps_of, pa.binary())],
-                        names=["set_id", "frag", "part", "bits"])
+                        [pa.array([set_id(own) for own in sets], pa.int64()), pa.array([len(own) for own in sets], pa.int64()),
+                         pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)),
+                                                  pa.array(np.concatenate(sets).view(np.int64))),
+                         pa.array([_bits(own) for own in sets], pa.binary())],
+                        names=["set_id", "n", "whole", "bits"])
 
     return run
 
@@ -266,21 +313,90 @@ def _possible(percent: int):
     return run
 
 
+def _needed_common(n: np.ndarray, others_n: np.ndarray, percent: int) -> np.ndarray:
+    """The least overlap that reaches the threshold."""
+    return -(-(n + others_n) * percent // (100 + percent))
+
+
+#: The first hash of each fragment of the global order, and an end.
+_EDGES = np.array([-(-(k << 64) // PART_FRAGMENTS) for k in range(1, PART_FRAGMENTS)], np.uint64)
+
+
+def _cut(own: np.ndarray) -> list[np.ndarray]:
+    return np.split(own, np.searchsorted(own, _EDGES))
+
+
+def _linked(percent: int):
+    """A task: pairs with both sets to those that reach the threshold, by overlaps fragment by fragment."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for a, b, one, other in zip(*(batch.column(c).to_pylist() for c in (0, 1)), *(_lists(batch.column(c)) for c in (2, 3))):
+                one, other = one.view(np.uint64), other.view(np.uint64)
+                least, common, left, others_left = _needed_common(len(one), len(other), percent), 0, len(one), len(other)
+                for x, y in zip(_cut(one), _cut(other)):
+                    common += int(_among(y, x).sum())
+                    left, others_left = left - len(x), others_left - len(y)
+                    if common + min(left, others_left) < least:
+                        break
+                else:
+                    links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*links) if links else ([], []))], names=["u", "v"])
+
+    return run
+
+
+class _Block:
+    """Sets of one block by fragment: every shingle in order with the places of the sets that have it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.fromiter(map(len, sets), np.int64, len(sets))
+        hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.n)
+        order = np.argsort(hashes, kind="stable")
+        hashes, self.owner = hashes[order], owner[order]
+        heads = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
+        self.hashes, self.heads = hashes[heads], np.append(heads, len(hashes))
+        edges = np.searchsorted(hashes, _EDGES)
+        # shingles of each set up to the end of each fragment
+        self.until = np.cumsum([np.bincount(part, minlength=len(sets)) for part in np.split(self.owner, edges)], axis=0)
+
+    def reaching(self, own: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+        """Those of the sets ``at`` that reach the threshold with ``own``."""
+        least, common, left = _needed_common(len(own), self.n, percent), np.zeros(len(self.n), np.int64), len(own)
+        for part, until in zip(_cut(own), self.until):
+            place = np.minimum(np.searchsorted(self.hashes, part), len(self.hashes) - 1)
+            place = place[self.hashes[place] == part]
+            first, count = self.heads[place], self.heads[place + 1] - self.heads[place]
+            held = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            common += np.bincount(self.owner[held], minlength=len(self.n))
+            left -= len(part)
+            at = at[common[at] + np.minimum(left, self.n[at] - until[at]) >= least[at]]
+            if not len(at):
+                break
+        return at
+
+
 def _across(percent: int):
     def run(apart: pa.Table, others: pa.Table) -> pa.Table:
-        """Pairs across components of two blocks that can reach the threshold."""
-        out = [[np.zeros(0, np.int64)] for _ in range(4)]
+        """Links across components of two blocks, as many as it takes to join them."""
+        links: list[tuple[int, int]] = []
         if apart.num_rows and others.num_rows:
             ids, n, of = (others.column(c).to_numpy() for c in ("set_id", "n", "component"))
-            maps = _maps(others.column("bits"))
-            main, own_maps = others.column("main").to_numpy(), _maps(apart.column("bits"))
-            for k, (a, n_a, of_a) in enumerate(zip(*(apart.column(c).to_numpy() for c in ("set_id", "n", "component")))):
+            of = of.copy()  # components as they are joined here
+            maps, main = _maps(others.column("bits")), others.column("main").to_numpy()
+            block = _Block([x.view(np.uint64) for x in _lists(others.column("whole").combine_chunks())])
+            own_of, own_maps = apart.column("component").to_numpy().copy(), _maps(apart.column("bits"))
+            for k, (a, n_a, own) in enumerate(zip(*(apart.column(c).to_numpy() for c in ("set_id", "n")),
+                                                  _lists(apart.column("whole").combine_chunks()))):
                 # two members that are both apart meet once
-                at = np.flatnonzero((of != of_a) & (np.minimum(n, n_a) * 100 >= np.maximum(n, n_a) * percent) & (main | (ids > a)))
+                at = np.flatnonzero((of != own_of[k]) & (np.minimum(n, n_a) * 100 >= np.maximum(n, n_a) * percent) & (main | (ids > a)))
                 at = at[_may_link(n_a, own_maps[k], n[at], maps[at], percent)]
-                for column, x in zip(out, (np.full(len(at), a), ids[at], np.full(len(at), n_a), n[at])):
-                    column.append(x)
-        return pa.table(dict(zip(("a", "b", "n_a", "n_b"), (np.concatenate(x) for x in out))))
+                at = block.reaching(own.view(np.uint64), at, percent) if len(at) else at
+                joined, first = np.unique(of[at], return_index=True)
+                links += [(a, b) for b in ids[at[first]].tolist()]
+                of[np.isin(of, joined)] = own_of[k]
+                own_of[np.isin(own_of, joined)] = own_of[k]
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("u", "v"), zip(*links) if links else ([], []))})
 
     return run
 
@@ -298,18 +414,6 @@ def _place(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(MAP_BITS))
 
 
-def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) with their overlap: counted fragment by fragment, summed per pair."""
-    parts = parts.select("set_id", "frag", "part")
-    left = parts.select(F.col("set_id").alias("b"), "frag", F.col("part").alias("part_b"))
-    right = parts.select(F.col("set_id").alias("a"), "frag", F.col("part").alias("part_a"))
-    # a repeated row's parts stand twice: one count for each pair and fragment
-    counted = (pairs.join(left, "b").join(right, ["a", "frag"])
-               .select("a", "b", "n_a", "n_b", "frag", F.size(F.array_intersect("part_a", "part_b")).alias("common"))
-               .groupBy("a", "b", "n_a", "n_b", "frag").agg(F.max("common").alias("common")))
-    return counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
-
-
 def _near_sizes(x: str, y: str, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
@@ -327,25 +431,25 @@ def _hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
             .select("a", F.col("set_id").alias("b"), "n_a", F.col("n").alias("n_b")))
 
 
-def _last_pairs(entries: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """Every pair across components that shares an entry and may link (some pairs without one may come along)."""
+def _last_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join components, from every pair across them that shares an entry (some pairs without one may come along)."""
     first = entries.groupBy("gram").agg(F.max_by("set_id", F.xxhash64("set_id")).alias("key"))
     members = cut(entries.join(first, "gram").select("key", "set_id", "n", "component").distinct(), "members")
-    held = members.groupBy("key", "component").agg(F.count("*").alias("held"))
+    held = members.groupBy("key", "component").agg(F.sum("n").alias("held"))
     keys = held.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("largest"),
                                    F.count("*").alias("parts"), F.sum("held").alias("all"), F.max("held").alias("most"))
     keys = keys.where("parts > 1").select(
         "key", "largest", F.ceil((F.col("all") - F.col("most")) / APART_BLOCK).cast("int").alias("apart_blocks"),
         F.ceil(F.col("all") / OTHER_BLOCK).cast("int").alias("other_blocks"))
-    placed = (members.join(keys, "key").join(maps, "set_id")
+    placed = (members.join(keys, "key").join(sets.drop("n"), "set_id")
               .withColumn("main", F.col("component") == F.col("largest")))
     spot = F.xxhash64("set_id", F.lit(1))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["key", "set_id", "n", "component", "bits", "main"]
+    columns = ["key", "set_id", "n", "component", "whole", "bits", "main"]
     apart = placed.where(~F.col("main")).select(*columns, F.pmod(spot, "apart_blocks").cast("int").alias("i"), every("other_blocks").alias("j"))
     others = placed.select(*[F.col(c).alias(c) for c in columns], every("apart_blocks").alias("i"), F.pmod(spot, "other_blocks").cast("int").alias("j"))
     cell = ["key", "i", "j"]
-    return apart.groupBy(*cell).cogroup(others.groupBy(*cell)).applyInArrow(_across(percent), PAIR_SCHEMA).distinct()
+    return apart.groupBy(*cell).cogroup(others.groupBy(*cell)).applyInArrow(_across(percent), LINK_SCHEMA)
 
 
 def set_components(docs: DataFrame, described: DataFrame, percent: int = PERCENT) -> DataFrame | None:
@@ -354,11 +458,16 @@ def set_components(docs: DataFrame, described: DataFrame, percent: int = PERCENT
     total = described.select("set_id", "n").distinct().agg(F.sum("n")).first()[0] or 0
     fragments = max(LEAST_FRAGMENTS, -(-total * (100 - percent + 13) // 100 // FRAGMENT_SHINGLES))
     blocks = _texts(docs).mapInArrow(_first_parts(fragments, percent), BLOCK_SCHEMA)
-    shared = blocks.groupBy("frag").applyInArrow(_repeated, SHARED_SCHEMA)
-    per_set = shared.groupBy("set_id", "n").agg(
-        *[F.flatten(F.collect_list(c)).alias(c) for c in ("hashes", "dfs")])
+    shared = cut(blocks.groupBy("frag").applyInArrow(_repeated, SHARED_SCHEMA), "shared")
+    # sets of hot shingles learn the frequencies that the fragments have counted
+    hot = shared.where("set_id IS NULL").select(F.explode(F.arrays_zip("hashes", "dfs")).alias("x")).select("x.hashes", "x.dfs")
+    told = (shared.where("dfs IS NULL").select("set_id", "n", F.explode("hashes").alias("hashes")).distinct().join(hot, "hashes")
+            .select("set_id", "n", F.array("hashes").alias("hashes"), F.array("dfs").alias("dfs")))
+    per_set = (shared.where("set_id IS NOT NULL AND dfs IS NOT NULL").unionByName(told).groupBy("set_id", "n").agg(
+        *[F.flatten(F.collect_list(c)).alias(c) for c in ("hashes", "dfs")]))
     per_set = per_set.where(F.size("hashes") > F.floor(F.col("n") / 8))
     entries = cut(per_set.mapInArrow(_lowest, "set_id long, n long, gram long"), "entries")
+    drop(shared)
     named = described.groupBy("set_id", "n").agg(F.min("doc_id").alias("doc_id"))
     wanted = named.join(entries.select("set_id").distinct(), "set_id", "left_semi").select(_place(F.col("doc_id")).alias("place"))
     maps = {r["bucket"]: bytes(r["map"]) for r in wanted
@@ -366,25 +475,23 @@ def set_components(docs: DataFrame, described: DataFrame, percent: int = PERCENT
             .agg(F.expr(f"bitmap_construct_agg(place % {BUCKET_BITS})").alias("map")).toLocalIterator()}
     if not maps:
         return None
-    parts = cut(_texts(docs, _place(F.col("doc_id").cast("long")).alias("place"))
-                .mapInArrow(_whole_sets(PART_FRAGMENTS, maps), SET_SCHEMA), "parts")
-    bits = parts.where(F.col("bits").isNotNull()).groupBy("set_id").agg(F.first("bits").alias("bits"))
-    bits = cut(bits, "set_bits")
+    sets = cut(_texts(docs, _place(F.col("doc_id").cast("long")).alias("place")).mapInArrow(_whole_sets(maps), SET_SCHEMA), "whole_sets")
+    bits = sets.select("set_id", "bits")
     pairs = (_hub_pairs(entries, percent).join(bits.select(F.col("set_id").alias("a"), F.col("bits").alias("bits_a")), "a")
              .join(bits.select(F.col("set_id").alias("b"), F.col("bits").alias("bits_b")), "b")
              .select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_possible(percent), PAIR_SCHEMA))
-    found = cut(components(_links(cut(pairs, "pairs"), parts, percent)), "components")
+    pairs = cut(pairs.select("a", "b").distinct(), "pairs")
+    whole = lambda name, of: sets.select(F.col("set_id").alias(name), F.col("whole").alias(of))
+    links = (pairs.join(whole("b", "other"), "b").join(whole("a", "one"), "a")
+             .select("a", "b", "one", "other").mapInArrow(_linked(percent), LINK_SCHEMA))
+    found = cut(components(links), "components")
     placed = (entries.join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
               .withColumn("component", F.coalesce("component", "set_id")))
-    more = cut(_links(cut(_last_pairs(placed, bits, percent), "last_pairs"), parts, percent), "last_links")
-    return cut(components(more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
-
-
-def _links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of the pairs that reach the threshold, by their counted overlaps."""
-    counted = _overlaps(pairs, parts)
-    enough = F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent
-    return counted.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = cut(_last_links(placed, sets, percent), "last_links")
+    last = cut(components(more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
+    for table_of in (entries, sets, pairs, found, more):
+        drop(table_of)
+    return last
 
 
 def _placed(docs: DataFrame, described: DataFrame, percent: int, *more: str) -> DataFrame:
@@ -408,18 +515,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return grouped.unionByName(alone)
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows of ``docs`` that stay: of each component the document of the smallest id, once.
-
-    Rows of one id stay or go together; a row without an id cannot be named and stays.
-    """
-    copies = cut(near_duplicates(docs, percent).where("component_id < doc_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    same = Window.partitionBy("doc_id", "_text").orderBy(F.lit(0))
-    return (kept.withColumn("_text", F.xxhash64("text")).withColumn("_nth", F.row_number().over(same))
-            .where((F.col("_nth") == 1) | F.col("doc_id").isNull()).select(*docs.columns))
-
-
 def one_text_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows of ``docs`` that stay: of each component one text, of the smallest id, once.
 
@@ -434,10 +529,15 @@ def one_text_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = placed.groupBy("component").agg(F.min(own).alias("first"))
     copies = cut(placed.join(first, "component").where(~own.eqNullSafe(F.col("first")))
                  .select("doc_id", "text_key").distinct(), "copies")
-    same = (F.xxhash64("d.text") == F.col("c.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
-    kept = docs.alias("d").join(copies.alias("c"), same, "left_anti").select(*docs.columns)
+    # only rows that may go, or stand more than once, are dealt out; all others stay where they are
+    repeated = described.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    looked_at = copies.unionByName(repeated)
+    marked = in_map(looked_at, F.col("doc_id").cast("long"), F.xxhash64("text"))
+    same = (F.xxhash64("d.text") == F.col("c.text_key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("c.doc_id"))
+    kept = docs.where(marked).alias("d").join(copies.alias("c"), same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
     nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    return kept.select(F.struct("*").alias("_doc"), nth.alias("_at")).where("_at = 1").select("_doc.*")
+    kept = kept.select(F.struct("*").alias("_doc"), nth.alias("_at")).where("_at = 1").select("_doc.*")
+    return docs.where(~marked).unionByName(kept)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

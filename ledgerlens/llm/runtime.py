@@ -9,7 +9,8 @@ import uuid
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folder that holds the package; Python workers import the operators from it.
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -69,6 +70,28 @@ def drop(table: DataFrame) -> None:
     path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of the map of documents that a stage looks at again: a bound on what tasks are sent, whatever the corpus.
+MAP_BITS = 1 << 23
+
+
+def in_map(keys: DataFrame, doc_id: Column, text_key: Column) -> Column:
+    """Whether (doc_id, text_key) may be among ``keys``: never false for one that is, seldom true for another.
+
+    The keys become one row, a map of MAP_BITS bits in longs, that a scan looks into; what
+    is true has to be held against the keys themselves.
+    """
+    at = lambda d, t: F.pmod(F.xxhash64(d, t), F.lit(MAP_BITS))
+    place = at(F.col("doc_id"), F.col("text_key"))
+    found = (keys.select(F.floor(place / 64).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
+             .groupBy("id").agg(F.bit_or("bit").alias("bits")))
+    every = keys.sparkSession.range(MAP_BITS // 64).join(found, "id", "left")
+    longs = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    words = every.agg(F.transform(longs, lambda x: x["bits"]).alias("map"))
+    place = at(doc_id, text_key)
+    word = F.get(words.scalar(), F.floor(place / 64).cast("int"))
+    return F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 class Places(dict):
     """Numbers keys in the order they come; ``new`` lists those not yet worked on."""
 

@@ -53,12 +53,54 @@ def test_chains_and_hub_that_is_too_far(spark):
 def test_many_fragments_and_blocks(spark, monkeypatch):
     rows = near_copies(3, 4, 6)
     monkeypatch.setattr(ngram_join, "FRAGMENT_SHINGLES", 30)
-    monkeypatch.setattr(ngram_join, "APART_BLOCK", 3)
-    monkeypatch.setattr(ngram_join, "OTHER_BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "APART_BLOCK", 300)
+    monkeypatch.setattr(ngram_join, "OTHER_BLOCK", 500)
     monkeypatch.setattr(ngram_join, "HUBS", 0)
     assert rows_of(ngram_join.near_duplicates(frame(spark, rows))) == Counter(plain_components(rows))
 
 
+def alike_below_the_threshold(r, n, words=60):
+    """Texts that share about 70 % of their shingles with one another, and a few that link."""
+    base = sentence(r, words).split()
+    rows = []
+    for k in range(n):
+        copy = list(base)
+        for place in r.sample(range(0, words, 6), 2):
+            copy[place] = sentence(r, 1)
+        rows.append((k, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [2, 1024])
+def test_hot_shingles_and_groups_alike_below_the_threshold(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "APART_BLOCK", 400)
+    monkeypatch.setattr(ngram_join, "OTHER_BLOCK", 900)
+    real = ngram_join._first_parts
+    monkeypatch.setattr(ngram_join, "_first_parts", lambda fragments, percent: with_hot(real(fragments, percent), hot))
+    rows = alike_below_the_threshold(random.Random(4), 60) + [(100 + k, t) for k, (_, t) in enumerate(near_copies(5, 3, 5))]
+    expected = Counter(plain_components(rows))
+    assert 10 < len({c for _, _, c in expected}) < len(rows)
+    assert rows_of(ngram_join.near_duplicates(frame(spark, rows))) == expected
+
+
+def with_hot(run, hot):
+    def changed(batches):
+        ngram_join.HOT_SETS = hot
+        return run(batches)
+
+    return changed
+
+
+def test_overlaps_of_blocks_equal_those_of_pairs():
+    r = np.random.RandomState(2)
+    pool = r.randint(0, 1 << 62, 60, dtype=np.int64).astype(np.uint64) << np.uint64(2)
+    sets = [np.unique(r.choice(pool, r.randint(1, 50))) for _ in range(80)]
+    block = ngram_join._Block(sets)
+    for own in sets[:20]:
+        got = block.reaching(own, np.arange(80), 75).tolist()
+        assert got == [k for k, x in enumerate(sets) if 100 * len(np.intersect1d(own, x)) >= 75 * len(np.union1d(own, x))]
+
+
 def test_odd_rows_and_clashing_columns(spark):
     rows = odd_rows()
     got = rows_of(ngram_join.near_duplicates(with_clashes(frame(spark, rows))))
@@ -67,17 +109,7 @@ def test_odd_rows_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert ngram_join.near_duplicates(frame(spark, [])).collect() == []
-    assert ngram_join.one_of_each(frame(spark, [])).collect() == []
-
-
-def test_one_of_each_group_stays(spark):
-    rows = odd_rows()
-    docs = with_clashes(frame(spark, rows))
-    kept = ngram_join.one_of_each(docs)
-    assert kept.columns == docs.columns
-    ids = Counter(r.doc_id for r in kept.collect())
-    # 4, 5 (twice) and 13 are copies, 6 and 7 near copies; rows without an id stay
-    assert ids == Counter([1, 2, 3, 4, 6, 8, 10, 11, 12, 14, None, None]) - Counter([12] if 12 not in ids else [])
+    assert ngram_join.one_text_of_each(frame(spark, [])).collect() == []
 
 
 def test_one_text_of_each_group_stays_whatever_ids_are_shared(spark):
