@@ -463,6 +463,21 @@ def q_top_users_round_trip(spark, sf_dir):
     return _round_trip(spark, sf_dir, "monthly_top100_users", fixture(spark, sf_dir).top_users())
 
 
+def q_stored_tables(spark, sf_dir):
+    """Chain tables stored as parquet, amounts as text, and read by their schemas; A1 over them."""
+    fx = fixture(spark, sf_dir)
+    root = files.shared_folder(spark, "chain")
+    for name, df in (("erc20_transfer", wide_amounts(fx.tables.transfers)), ("eth_block", fx.tables.blocks),
+                     ("address", fx.tables.addresses), ("token", fx.tables.tokens)):
+        df.write.parquet(f"{root}/{name}")
+    tables = ChainTables.from_parquet(spark, root)
+    registry = registry_frame(spark, fixture_registry_config())
+    rows = checks.resolve_slices(registry, tables.tokens).collect()
+    slices = local_frame(spark, rows, schemas.SLICES)
+    sliced = derive.filtered_slices(tables.transfers, tables.addresses, slices, ("all",), [r["token_id"] for r in rows])
+    return A.monthly_activity(derive.address_month(derive.enriched(sliced, tables.blocks, slices)), slices)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_slice": q_token_slice,
     "eoa_slice": q_eoa_slice,
@@ -517,6 +532,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "transfers_bucketed": q_transfers_bucketed,
     "block_transactions": q_block_transactions,
     "stored_lookups": q_stored_lookups,
+    "stored_tables": q_stored_tables,
     "activity_round_trip": q_activity_round_trip,
     "top_users_round_trip": q_top_users_round_trip,
     "number_labels": q_number_labels,
