@@ -1,18 +1,25 @@
 """Line dedup by winnowing over line hashes.
 
-A document is its sequence of lines, blank ones aside, ends trimmed of spaces. In
-every window of ``RUN`` consecutive lines the line of the smallest hash is the
-window's fingerprint (the rightmost of equal ones); equal windows have equal
-fingerprints at the same place, so no common run of RUN lines goes unseen. A line
-of ``LONG`` characters or more is a fingerprint and a run of its own.
-
-Fingerprints that occur once are dropped. The positions of the others are joined,
-each window with the first occurrence (by doc_id, then line) of its whole content;
-adjacent matched windows extend a match both ways to its full run. Every line of
-a run that has an earlier occurrence is deleted, so the first copy stays: a line
-goes exactly if it is LONG and stood earlier, or lies in RUN consecutive lines that
-all stood earlier in this order. All later occurrences meet the first one only, so
-a line that a third of all documents share gives one row for each of them.
+A document is its sequence of lines, blank ones aside, ends trimmed of spaces.
+
+1. *Select*: in every window of ``RUN`` consecutive lines the line of the smallest hash
+   (the first 60 bits of its md5; the rightmost of equal ones) is a fingerprint, and a
+   shorter document is one window. Two equal windows select the same line, so no common
+   run of RUN lines is without a common fingerprint. A line of ``LONG`` characters or more
+   is a fingerprint, too. Only the selected positions go on, about half of all.
+2. *Join positions*: a fingerprint is known by itself and the line after it, and by itself
+   and the line before; a long one also by itself alone. Under each of these names every
+   later position meets the first one (by doc_id, then line), so a line that a third of
+   all documents share gives one row for each of them, and no pairs.
+3. *Extend*: from such a pair of positions the match grows both ways, line by line, as far
+   as the two documents agree.
+4. *Delete*: a matched run of RUN lines or more, or one that holds a long line, goes from
+   the later document whole. The first copy of a line never goes, as what goes has an
+   equal line before it.
+
+What stays: repeats shorter than RUN lines without a long line, and a repeated run all
+of whose fingerprints, under either name, first stood in other surroundings that do
+not go on for RUN lines (figures: README).
 
 Only DataFrame functions are used. Defined cases: a null text stays null with 0
 lines, an empty text is empty; blank lines stay where they are and take no part;
@@ -33,6 +40,10 @@ RUN = 3
 LONG = 40
 
 
+def _hash(line: Column) -> Column:
+    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -44,43 +55,70 @@ def _marked(docs: DataFrame) -> DataFrame:
             .select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), lines.alias("lines"))
             .select("doc_id", "text_key", F.transform(
                 F.filter("lines", lambda x: x["line"] != ""),
-                lambda x: F.struct(x["place"].alias("place"), F.xxhash64(x["line"]).alias("hash"),
+                lambda x: F.struct(x["place"].alias("place"), _hash(x["line"]).alias("hash"),
                                    (F.char_length(x["line"]) >= LONG).alias("long"))).alias("lines"))
             .where(F.size("lines") > 0))
 
 
-def _windows(marked: DataFrame) -> DataFrame:
-    """One row for each window and each long line: fingerprint, content, first line, number of lines."""
-    hashes = F.transform("lines", lambda x: x["hash"])
-    rows = marked.select("doc_id", "text_key", "lines", hashes.alias("h"))
-    whole = F.when(F.size("h") >= RUN, F.transform(F.sequence(F.lit(0), F.size("h") - RUN), lambda i: F.struct(
-        F.array_min(F.slice(F.col("h"), i + 1, F.lit(RUN))).alias("fingerprint"),
-        F.xxhash64(*[F.get(F.col("h"), i + k) for k in range(RUN)]).alias("content"),
-        i.alias("first"), F.lit(RUN).alias("n_lines"))))
-    alone = F.filter(F.transform("lines", lambda x, i: F.struct(
-        x["hash"].alias("fingerprint"), F.xxhash64(x["hash"]).alias("content"), i.alias("first"),
-        F.when(x["long"], 1).otherwise(0).alias("n_lines"))), lambda x: x["n_lines"] == 1)
-    none = F.array().cast("array<struct<fingerprint: bigint, content: bigint, first: int, n_lines: int>>")
-    return rows.select("doc_id", "text_key", F.inline(F.concat(F.coalesce(whole, none), alone)))
+def _selected(hashes: Column) -> Column:
+    """Places of the window minima of an array of line hashes."""
+    last = F.greatest(F.lit(0), F.size(hashes) - RUN)
+
+    def least(start: Column) -> Column:
+        window = F.reverse(F.slice(hashes, start + 1, F.lit(RUN)))  # the first of equal ones is the rightmost
+        return (start + F.size(window) - F.array_position(window, F.array_min(window))).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), last), least)
+
+
+def _fingerprints(marked: DataFrame) -> DataFrame:
+    """(name, doc_id, text_key, at): the names of every selected position."""
+    rows = marked.select("doc_id", "text_key", "lines", F.transform("lines", lambda x: x["hash"]).alias("h"))
+    long_ones = F.filter(F.transform("lines", lambda x, i: F.when(x["long"], i)), lambda i: i.isNotNull())
+    rows = rows.select("doc_id", "text_key", "lines", "h", F.explode(F.array_distinct(F.concat(_selected(F.col("h")), long_ones))).alias("at"))
+    own, before, after = F.get("h", F.col("at")), F.when(F.col("at") > 0, F.get("h", F.col("at") - 1)), F.get("h", F.col("at") + 1)
+    names = F.array(F.when(after.isNotNull(), F.xxhash64(F.lit(1), own, after)), F.when(before.isNotNull(), F.xxhash64(F.lit(2), before, own)),
+                    F.when(F.get("lines", F.col("at"))["long"], F.xxhash64(F.lit(3), own)))
+    return (rows.select("doc_id", "text_key", "at", F.explode(names).alias("name")).where(F.col("name").isNotNull()))
+
+
+def _matches(marked: DataFrame) -> DataFrame:
+    """(doc_id, text_key, o_id, o_key, shift, seeds): places of a document that meet the first ones of their names,
+    ``shift`` lines further on than those."""
+    found = _fingerprints(marked)
+    at = F.struct("doc_id", "text_key", "at")
+    first = found.groupBy("name").agg(F.min(at).alias("origin"), F.max(at).alias("last")).where("origin != last").drop("last")
+    return (found.join(first, "name").where(at > F.col("origin"))
+            .groupBy("doc_id", "text_key", F.col("origin.doc_id").alias("o_id"), F.col("origin.text_key").alias("o_key"),
+                     (F.col("at") - F.col("origin.at")).alias("shift"))
+            .agg(F.collect_set("at").alias("seeds")))
+
+
+def _runs(shift: Column, lines: Column, others: Column, seeds: Column) -> Column:
+    """Places of the lines of every matched run that holds a seed and is long enough."""
+    low = F.greatest(F.lit(0), shift)
+    high = F.least(F.size(lines), F.size(others) + shift) - 1
+    differ = F.filter(F.sequence(low, high), lambda i: F.get(lines, i)["hash"] != F.get(others, i - shift)["hash"])
+    ends = F.concat(F.array(low - 1), differ, F.array(high + 1))
+    runs = F.transform(F.sequence(F.lit(0), F.size(ends) - 2), lambda k: F.struct(
+        (F.get(ends, k) + 1).alias("first"), (F.get(ends, k + 1) - F.get(ends, k) - 1).alias("n")))
+    long_enough = lambda r: (r["n"] >= RUN) | F.exists(F.slice(lines, r["first"] + 1, r["n"]), lambda x: x["long"])
+    seeded = lambda r: F.exists(seeds, lambda p: (p >= r["first"]) & (p < r["first"] + r["n"]))
+    kept = F.filter(F.filter(runs, lambda r: r["n"] > 0), lambda r: long_enough(r) & seeded(r))
+    return F.flatten(F.transform(kept, lambda r: F.transform(F.slice(lines, r["first"] + 1, r["n"]), lambda x: x["place"])))
 
 
 def deleted_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, gone): places of the lines of each text that are deleted."""
-    marked = cut(_marked(docs), "lines")
-    windows = _windows(marked)
-    repeated = windows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    at = F.struct("doc_id", "text_key", "first")
-    first = (windows.groupBy("fingerprint", "content", "n_lines")
-             .agg(F.min(at).alias("origin"), F.max(at).alias("last")).where("origin != last")
-             .join(repeated, "fingerprint", "left_semi").drop("last"))
-    runs = (windows.join(first, ["fingerprint", "content", "n_lines"])
-            .where(F.struct("doc_id", "text_key", "first") > F.col("origin"))
-            .groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "n_lines")).alias("runs")))
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key"))
-    places = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.slice(
-        F.transform("lines", lambda x: x["place"]), r["first"] + 1, r["n_lines"]))))
-    return (marked.dropDuplicates(["doc_id", "text_key"]).alias("a").join(runs.alias("b"), same)
-            .select("a.doc_id", "a.text_key", places.alias("gone")))
+    marked = cut(_marked(docs).dropDuplicates(["doc_id", "text_key"]), "lines")
+    matches = cut(_matches(marked), "matches")
+    own = marked.select(F.col("doc_id").alias("l_id"), F.col("text_key").alias("l_key"), "lines")
+    origins = marked.select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"), F.col("lines").alias("others"))
+    met = (matches.join(own, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("text_key") == F.col("l_key")))
+           .join(origins, F.col("o_id").eqNullSafe(F.col("r_id")) & (F.col("o_key") == F.col("r_key"))))
+    runs = met.select("doc_id", "text_key", _runs(F.col("shift"), F.col("lines"), F.col("others"), F.col("seeds")).alias("gone"))
+    return (runs.where(F.size("gone") > 0).groupBy("doc_id", "text_key")
+            .agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -112,22 +150,35 @@ WITH split AS (
 ), lines AS (
   SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS place FROM split
 ), seq AS (
-  SELECT doc_id, place, trim(line, ' ') AS line,
-    row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n
-  FROM lines WHERE trim(line, ' ') <> ''
-), windows AS (
-  SELECT doc_id, n, {RUN} AS size,
-    line || chr(10) || {' || chr(10) || '.join(f'lead(line, {k}) OVER w' for k in range(1, RUN))} AS content
-  FROM seq WINDOW w AS (PARTITION BY doc_id ORDER BY n)
-  UNION ALL
-  SELECT doc_id, n, 1, line FROM seq WHERE length(line) >= {LONG}
-), later AS (
-  SELECT doc_id, n, size FROM (
-    SELECT *, row_number() OVER (PARTITION BY size, content ORDER BY doc_id, n) AS nth FROM windows WHERE content IS NOT NULL)
-  WHERE nth > 1
+  SELECT doc_id, place, trim(line, ' ') AS line, substr(md5(trim(line, ' ')), 1, 15) AS h, length(trim(line, ' ')) >= {LONG} AS is_long,
+    row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY doc_id) AS m,
+    lag(substr(md5(trim(line, ' ')), 1, 15)) OVER w AS h_before, lead(substr(md5(trim(line, ' ')), 1, 15)) OVER w AS h_after
+  FROM lines WHERE trim(line, ' ') <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY place)
+), minima AS (
+  SELECT s.doc_id, p.n FROM seq s JOIN seq p ON p.doc_id = s.doc_id AND p.n >= s.n AND p.n < s.n + {RUN}
+  WHERE s.n <= greatest(s.m - {RUN}, 0)
+  QUALIFY row_number() OVER (PARTITION BY s.doc_id, s.n ORDER BY p.h, p.n DESC) = 1
+), selected AS (
+  SELECT * FROM seq WHERE is_long OR (doc_id, n) IN (SELECT doc_id, n FROM minima)
+), named AS (
+  SELECT doc_id, n, 'after' AS kind, h AS a, h_after AS b FROM selected WHERE h_after IS NOT NULL
+  UNION ALL SELECT doc_id, n, 'before', h, h_before FROM selected WHERE h_before IS NOT NULL
+  UNION ALL SELECT doc_id, n, 'alone', h, '' FROM selected WHERE is_long
+), seeds AS (
+  SELECT DISTINCT doc_id, n, o.doc_id AS o_id, n - o.n AS shift FROM (
+    SELECT doc_id, n, first_value({{'doc_id': doc_id, 'n': n}}) OVER (PARTITION BY kind, a, b ORDER BY doc_id, n) AS o FROM named)
+  WHERE o.doc_id <> doc_id OR o.n <> n
+), diagonals AS (
+  SELECT DISTINCT doc_id, o_id, shift FROM seeds
+), matched AS (
+  SELECT d.*, a.n, a.place, a.is_long, a.n - row_number() OVER (PARTITION BY d.doc_id, d.o_id, d.shift ORDER BY a.n) AS run
+  FROM diagonals d JOIN seq a ON a.doc_id = d.doc_id JOIN seq b ON b.doc_id = d.o_id AND b.n = a.n - d.shift AND b.h = a.h
+), runs AS (
+  SELECT m.doc_id, m.o_id, m.shift, run FROM matched m LEFT JOIN seeds s ON s.doc_id = m.doc_id AND s.o_id = m.o_id AND s.shift = m.shift AND s.n = m.n
+  GROUP BY ALL HAVING count(s.n) > 0 AND (count(DISTINCT m.n) >= {RUN} OR bool_or(is_long))
 ), gone AS (
-  SELECT DISTINCT s.doc_id, s.place FROM seq s JOIN later l
-  ON s.doc_id = l.doc_id AND s.n >= l.n AND s.n < l.n + l.size
+  SELECT DISTINCT m.doc_id, m.place FROM matched m JOIN runs r
+  ON r.doc_id = m.doc_id AND r.o_id = m.o_id AND r.shift = m.shift AND r.run = m.run
 ), kept AS (
   SELECT l.doc_id, count(*) FILTER (g.place IS NOT NULL) AS n_deleted,
     coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (g.place IS NULL), '') AS text

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -8,20 +9,36 @@ from .corpora import frame, odd_rows, sentence, with_clashes
 
 
 def plain(rows):
-    """Lines that go, by looking at all earlier windows; repeated rows count as one document."""
+    """Lines that go, by winnowing document by document; repeated rows count as one document."""
     docs = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
-    seen, gone = set(), {}
-    for doc_id, text in docs:
-        lines = [(i, line.strip(" ")) for i, line in enumerate(text.split("\n")) if line.strip(" ")]
+    first, gone, read = {}, {}, {}
+    for d, (doc_id, text) in enumerate(docs):
+        places, lines = [], []
+        for i, line in enumerate(text.split("\n")):
+            if line.strip(" "):
+                places.append(i)
+                lines.append(line.strip(" "))
+        read[d] = lines
+        h = [hashlib.md5(x.encode()).hexdigest()[:15] for x in lines]
+        selected = {k for k, x in enumerate(lines) if len(x) >= LONG}
+        for s in range(max(0, len(lines) - RUN) + 1 if lines else 0):
+            selected.add(min(range(s, min(s + RUN, len(lines))), key=lambda k: (h[k], -k)))
         out = set()
-        for k in range(len(lines)):
-            for size in (RUN, 1):
-                window = tuple(line for _, line in lines[k:k + size])
-                if len(window) < size or (size == 1 and len(window[0]) < LONG):
+        for p in sorted(selected):
+            names = [(1, *lines[p:p + 2])] if p + 1 < len(lines) else []
+            names += [(2, *lines[p - 1:p + 1])] if p else []
+            names += [(3, lines[p])] if len(lines[p]) >= LONG else []
+            for name in names:
+                o, q = first.setdefault(name, (d, p))
+                if (o, q) == (d, p):
                     continue
-                if (size, window) in seen:
-                    out |= {i for i, _ in lines[k:k + size]}
-                seen.add((size, window))
+                begin, end = p, p
+                while begin > 0 and begin - 1 - p + q >= 0 and lines[begin - 1] == read[o][begin - 1 - p + q]:
+                    begin -= 1
+                while end + 1 < len(lines) and end + 1 - p + q < len(read[o]) and lines[end + 1] == read[o][end + 1 - p + q]:
+                    end += 1
+                if end - begin + 1 >= RUN or any(len(x) >= LONG for x in lines[begin:end + 1]):
+                    out |= {places[k] for k in range(begin, end + 1)}
         gone[(doc_id, text)] = out
     result = []
     for r in rows:
@@ -66,6 +83,23 @@ def test_runs_inside_one_document_and_overlapping_runs(spark):
     assert got(dedup_lines(frame(spark, rows))) == sorted(plain(rows), key=key)
 
 
+def test_a_run_goes_whole_from_any_fingerprint(spark):
+    r = random.Random(11)
+    run = [sentence(r, 2) for _ in range(9)]
+    rows = [(k, "\n".join([f"own {k}", *run[:9 - k], f"end {k}"])) for k in range(6)]
+    assert [x[3] for x in got(dedup_lines(frame(spark, rows)))] == [rows[0][1]] + [f"own {k}\nend {k}" for k in range(1, 6)]
+
+
+def test_first_copies_stay(spark):
+    """Of every line that stood anywhere, one copy is still there."""
+    r = random.Random(3)
+    pool = [sentence(r, r.choice((1, 2, 12))) for _ in range(12)]
+    rows = [(k, "\n".join(r.choice(pool) for _ in range(r.randint(0, 12)))) for k in range(50)]
+    after = got(dedup_lines(frame(spark, rows)))
+    assert {x for _, t in rows for x in t.split("\n")} - {""} == {x for row in after for x in row[3].split("\n")} - {""}
+    assert sum(x[2] for x in after) > 100
+
+
 def test_long_repeated_passage_goes_once(spark):
     passage = sentence(random.Random(4), 60)
     rows = [(i, f"own {i}\n{passage}\nend {i}") for i in range(5)]
