@@ -145,31 +145,27 @@ def _strip_fraction_zeros(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
 
 
+# How numbers are shown (fixed values): from this size on, divided by that, with this suffix and so many decimals.
+NUMBER_FORMS = (
+    (1e3, 1e3, "K", 2), (1e4, 1e3, "K", 1), (1e5, 1e3, "K", 0),
+    (1e6, 1e6, "M", 2), (1e7, 1e6, "M", 1), (1e8, 1e6, "M", 0),
+    (1e9, 1e9, "B", 2), (1e10, 1e9, "B", 1), (1e11, 1e9, "B", 0),
+)
+
+
 def human_number(value: Column) -> Column:
     """compact number with K/M/B (never T); NULL/NaN -> empty string.
 
-    Below 1,000: integer form for whole numbers, else two decimals. Scaled
-    values keep 0 decimals from 100, one from 10, else two, with trailing
-    zeros dropped.
+    Smaller numbers are whole or have two decimals; the forms of
+    ``NUMBER_FORMS`` drop trailing zeros of their decimals.
     """
     x = value.cast("double")
-    a = F.abs(x)
-    scaled = (
-        F.when(a >= 1e9, x / 1e9).when(a >= 1e6, x / 1e6).when(a >= 1e3, x / 1e3)
-    )
-    suffix = F.when(a >= 1e9, F.lit("B")).when(a >= 1e6, F.lit("M")).otherwise(F.lit("K"))
-    sa = F.abs(scaled)
-    scaled_text = (
-        F.when(sa >= 100, F.format_number(scaled, 0))
-        .when(sa >= 10, _strip_fraction_zeros(F.format_number(scaled, 1)))
-        .otherwise(_strip_fraction_zeros(F.format_number(scaled, 2)))
-    )
-    small = F.when(x == F.floor(x), F.format_number(x, 0)).otherwise(F.format_number(x, 2))
-    return (
-        F.when(x.isNull() | F.isnan(x), F.lit(""))
-        .when(a >= 1e3, F.concat(scaled_text, suffix))
-        .otherwise(small)
-    )
+    out = F.format_number(x, 2)
+    out = F.when(x == F.floor(x), F.format_number(x, 0)).otherwise(out)
+    for least, divisor, suffix, decimals in NUMBER_FORMS:
+        text = F.format_number(x / divisor, decimals)
+        out = F.when(F.abs(x) >= least, F.concat(_strip_fraction_zeros(text) if decimals else text, F.lit(suffix))).otherwise(out)
+    return F.when(x.isNull() | F.isnan(x), F.lit("")).otherwise(out)
 
 
 def bucket_display_label(size_bucket_col: Column) -> Column:
