@@ -73,10 +73,10 @@ def place(rows: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: in
 
 
 def write_shards(rows: DataFrame, key: str, path: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> None:
-    """Write the whole rows, one folder a shard. Rows are dealt by (shard, slot) and Spark sizes the tasks by
-    bytes, so a shard is as many files as it needs."""
+    """Write the whole rows, one folder a shard. Rows are dealt by shard and Spark sizes the tasks by bytes: a
+    large shard is split over many tasks and files, and a task writes to few folders."""
     placed = place(rows, key, shards, slots)
-    placed.hint("rebalance", F.col("shard"), F.col("slot")).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    placed.hint("rebalance", F.col("shard")).write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

@@ -8,8 +8,8 @@ time and any id range can be read alone). Files are written and read by Spark's
 Parquet reader and writer, which commits whole tasks and reaches any store.
 
 Documents stand in ascending id order over all files: they are range partitioned
-by id (duplicate ids by text), encoded after that shuffle, and ``start`` is a
-the writing task's running sum plus the totals of the
+by id (duplicate ids by text), encoded after that shuffle, and ``start`` is the
+running sum of the writing task plus the totals of the
 files before.
 
 Defined cases: a null text is empty; an empty text is the end id alone; a null
