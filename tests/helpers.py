@@ -36,11 +36,11 @@ def config(decimals=6, transfer_filter="all", symbol="TOK", address="0x" + TOKEN
     return {"settings": {"verify_decimals": False}, "tokens": {symbol: entry}}
 
 
-def derived(spark, t: ChainTables, cfg: dict):
+def derived(spark, t: ChainTables, cfg: dict, **how):
     reg = registry_frame(spark, cfg)
     slices = checks.resolve_slices(reg, t.tokens)
     filters = {e.get("transfer_filter", "all") for e in cfg["tokens"].values()}
-    sliced = derive.filtered_slices(t.transfers, t.addresses, slices, filters)
+    sliced = derive.filtered_slices(t.transfers, t.addresses, slices, filters, **how)
     enriched = derive.enriched(sliced, t.blocks, slices)
     return slices, enriched, derive.address_month(enriched)
 

@@ -74,7 +74,7 @@ def test_hot_receiver_is_really_hot(spark, hot):
 
 
 def test_eoa_filter_splits_hot_sender(spark, duck):
-    """Wallet-to-wallet semi joins as shuffle joins: AQE splits the hot sender's partition."""
+    """Wallet-to-wallet semi joins as shuffle joins, beyond the bound of the bitmaps: AQE splits the hot sender's partition."""
     t = fixture_tables(spark, SF01)
     b = F.col("block_number")
     transfers = (t.transfers
@@ -91,7 +91,7 @@ def test_eoa_filter_splits_hot_sender(spark, duck):
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        slices, enriched, _ = derived(spark, tables, fixture_registry_config("eoa_eoa"))
+        slices, enriched, _ = derived(spark, tables, fixture_registry_config("eoa_eoa"), most_bitmaps=0)
         df = A.attach_keys(enriched.drop("decimals"), slices).select(
             "symbol", "transfer_filter", "block_number", "tx_index", "log_index", "from_id", "to_id", "amount")
         qe = df._jdf.queryExecution()
