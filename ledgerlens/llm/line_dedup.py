@@ -2,25 +2,25 @@
 
 A document is its sequence of lines, blank ones aside, ends trimmed of spaces.
 
+A line goes exactly if it lies in a *run* that stood earlier (by doc_id, then line): RUN
+consecutive lines, or fewer of which one has ``LONG`` characters or more.
+
 1. *Select*: in every window of ``RUN`` consecutive lines the line of the smallest hash
-   (the first 60 bits of its md5; the rightmost of equal ones) is a fingerprint, and a
-   shorter document is one window. Two equal windows select the same line, so no common
-   run of RUN lines is without a common fingerprint. A line of ``LONG`` characters or more
-   is a fingerprint, too. Only the selected positions go on, about half of all.
-2. *Join positions*: a fingerprint is known by itself and the line after it, and by itself
-   and the line before; a long one also by itself alone. Under each of these names every
-   later position meets the first one (by doc_id, then line), so a line that a third of
-   all documents share gives one row for each of them, and no pairs.
+   (the first 60 bits of its md5; the rightmost of equal ones) is the fingerprint. Two
+   equal windows select the same line. Windows of fewer lines with a long one have it as
+   theirs. A window that shorter ones with long lines cover is left out: both of them go
+   where it goes, so a text of long lines has one name a line.
+2. *Join positions*: a fingerprint's position has the windows that selected it as its
+   names. Under each name every later position meets the first one (by doc_id, then
+   line), so a line that a third of all documents share gives one row for each of them,
+   and no pairs. A window that stood earlier anywhere meets its own first copy, whatever
+   surrounds other copies of its fingerprint.
 3. *Extend*: from such a pair of positions the match grows both ways, line by line, as far
    as the two documents agree.
 4. *Delete*: a matched run of RUN lines or more, or one that holds a long line, goes from
    the later document whole. The first copy of a line never goes, as what goes has an
    equal line before it.
 
-What stays: repeats shorter than RUN lines without a long line, and a repeated run all
-of whose fingerprints, under either name, first stood in other surroundings that do
-not go on for RUN lines (figures: README).
-
 Only DataFrame functions are used. Defined cases: a null text stays null with 0
 lines, an empty text is empty; blank lines stay where they are and take no part;
 repeated rows (equal id and text) are one document and give equal results;
@@ -31,6 +31,8 @@ are ignored by the query.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,26 +62,27 @@ def _marked(docs: DataFrame) -> DataFrame:
             .where(F.size("lines") > 0))
 
 
-def _selected(hashes: Column) -> Column:
-    """Places of the window minima of an array of line hashes."""
-    last = F.greatest(F.lit(0), F.size(hashes) - RUN)
-
-    def least(start: Column) -> Column:
-        window = F.reverse(F.slice(hashes, start + 1, F.lit(RUN)))  # the first of equal ones is the rightmost
-        return (start + F.size(window) - F.array_position(window, F.array_min(window))).cast("int")
-
-    return F.transform(F.sequence(F.lit(0), last), least)
+def _any(flags: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, flags, F.lit(False))
 
 
 def _fingerprints(marked: DataFrame) -> DataFrame:
-    """(name, doc_id, text_key, at): the names of every selected position."""
-    rows = marked.select("doc_id", "text_key", "lines", F.transform("lines", lambda x: x["hash"]).alias("h"))
-    long_ones = F.filter(F.transform("lines", lambda x, i: F.when(x["long"], i)), lambda i: i.isNotNull())
-    rows = rows.select("doc_id", "text_key", "lines", "h", F.explode(F.array_distinct(F.concat(_selected(F.col("h")), long_ones))).alias("at"))
-    own, before, after = F.get("h", F.col("at")), F.when(F.col("at") > 0, F.get("h", F.col("at") - 1)), F.get("h", F.col("at") + 1)
-    names = F.array(F.when(after.isNotNull(), F.xxhash64(F.lit(1), own, after)), F.when(before.isNotNull(), F.xxhash64(F.lit(2), before, own)),
-                    F.when(F.get("lines", F.col("at"))["long"], F.xxhash64(F.lit(3), own)))
-    return (rows.select("doc_id", "text_key", "at", F.explode(names).alias("name")).where(F.col("name").isNotNull()))
+    """(name, doc_id, text_key, at): every selected position under the name of each window that selected it."""
+    line = [f"line{k}" for k in range(RUN)]
+    rows = marked.select("doc_id", "text_key", *[F.slice("lines", k + 1, F.size("lines")).alias(n) for k, n in enumerate(line)])
+    rows = rows.select("doc_id", "text_key", F.posexplode(F.arrays_zip(*line)).alias("first", "w"))
+    lines = [F.col(f"w.{n}") for n in line]  # NULL beyond the end
+    hashes, long = [x["hash"] for x in lines], [F.coalesce(x["long"], F.lit(False)) for x in lines]
+    windows = []
+    for n in range(1, RUN + 1):
+        named = lines[n - 1].isNotNull() & ~(_any(long[:n - 1]) & _any(long[1:n]))
+        if n < RUN:
+            named, selected = named & _any(long[:n]), F.coalesce(*[F.when(long[k], k) for k in range(n)])
+        else:  # the rightmost of equal ones
+            selected = -F.least(*[F.struct(h.alias("hash"), F.lit(-k).alias("back")) for k, h in enumerate(hashes)])["back"]
+        windows.append(F.when(named, F.struct(F.xxhash64(F.lit(n), *hashes[:n]).alias("name"), (F.col("first") + selected).alias("at"))))
+    return (rows.select("doc_id", "text_key", F.explode(F.array(*windows)).alias("found")).where(F.col("found").isNotNull())
+            .select("found.name", "doc_id", "text_key", "found.at"))
 
 
 def _matches(marked: DataFrame) -> DataFrame:
@@ -150,35 +153,18 @@ WITH split AS (
 ), lines AS (
   SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS place FROM split
 ), seq AS (
-  SELECT doc_id, place, trim(line, ' ') AS line, substr(md5(trim(line, ' ')), 1, 15) AS h, length(trim(line, ' ')) >= {LONG} AS is_long,
-    row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY doc_id) AS m,
-    lag(substr(md5(trim(line, ' ')), 1, 15)) OVER w AS h_before, lead(substr(md5(trim(line, ' ')), 1, 15)) OVER w AS h_after
-  FROM lines WHERE trim(line, ' ') <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY place)
-), minima AS (
-  SELECT s.doc_id, p.n FROM seq s JOIN seq p ON p.doc_id = s.doc_id AND p.n >= s.n AND p.n < s.n + {RUN}
-  WHERE s.n <= greatest(s.m - {RUN}, 0)
-  QUALIFY row_number() OVER (PARTITION BY s.doc_id, s.n ORDER BY p.h, p.n DESC) = 1
-), selected AS (
-  SELECT * FROM seq WHERE is_long OR (doc_id, n) IN (SELECT doc_id, n FROM minima)
-), named AS (
-  SELECT doc_id, n, 'after' AS kind, h AS a, h_after AS b FROM selected WHERE h_after IS NOT NULL
-  UNION ALL SELECT doc_id, n, 'before', h, h_before FROM selected WHERE h_before IS NOT NULL
-  UNION ALL SELECT doc_id, n, 'alone', h, '' FROM selected WHERE is_long
-), seeds AS (
-  SELECT DISTINCT doc_id, n, o.doc_id AS o_id, n - o.n AS shift FROM (
-    SELECT doc_id, n, first_value({{'doc_id': doc_id, 'n': n}}) OVER (PARTITION BY kind, a, b ORDER BY doc_id, n) AS o FROM named)
-  WHERE o.doc_id <> doc_id OR o.n <> n
-), diagonals AS (
-  SELECT DISTINCT doc_id, o_id, shift FROM seeds
-), matched AS (
-  SELECT d.*, a.n, a.place, a.is_long, a.n - row_number() OVER (PARTITION BY d.doc_id, d.o_id, d.shift ORDER BY a.n) AS run
-  FROM diagonals d JOIN seq a ON a.doc_id = d.doc_id JOIN seq b ON b.doc_id = d.o_id AND b.n = a.n - d.shift AND b.h = a.h
-), runs AS (
-  SELECT m.doc_id, m.o_id, m.shift, run FROM matched m LEFT JOIN seeds s ON s.doc_id = m.doc_id AND s.o_id = m.o_id AND s.shift = m.shift AND s.n = m.n
-  GROUP BY ALL HAVING count(s.n) > 0 AND (count(DISTINCT m.n) >= {RUN} OR bool_or(is_long))
+  SELECT doc_id, place, trim(line, ' ') AS line, length(trim(line, ' ')) >= {LONG} AS is_long,
+    row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n
+  FROM lines WHERE trim(line, ' ') <> ''
+), windows AS (
+  SELECT s.doc_id, s.n, size, string_agg(p.line, chr(10) ORDER BY p.n) AS content
+  FROM seq s, range(1, {RUN} + 1) AS sizes(size) JOIN seq p ON p.doc_id = s.doc_id AND p.n >= s.n AND p.n < s.n + size
+  GROUP BY s.doc_id, s.n, size HAVING count(*) = size AND (size = {RUN} OR bool_or(p.is_long))
+), later AS (
+  SELECT doc_id, n, size FROM windows QUALIFY row_number() OVER (PARTITION BY size, content ORDER BY doc_id, n) > 1
 ), gone AS (
-  SELECT DISTINCT m.doc_id, m.place FROM matched m JOIN runs r
-  ON r.doc_id = m.doc_id AND r.o_id = m.o_id AND r.shift = m.shift AND r.run = m.run
+  SELECT DISTINCT s.doc_id, s.place FROM seq s JOIN later l
+  ON s.doc_id = l.doc_id AND s.n >= l.n AND s.n < l.n + l.size
 ), kept AS (
   SELECT l.doc_id, count(*) FILTER (g.place IS NOT NULL) AS n_deleted,
     coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (g.place IS NULL), '') AS text

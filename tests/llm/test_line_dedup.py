@@ -1,4 +1,3 @@
-import hashlib
 import random
 
 import pytest
@@ -9,36 +8,19 @@ from .corpora import frame, odd_rows, sentence, with_clashes
 
 
 def plain(rows):
-    """Lines that go, by winnowing document by document; repeated rows count as one document."""
+    """Lines that go, by every run of every document; repeated rows count as one document."""
     docs = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
-    first, gone, read = {}, {}, {}
-    for d, (doc_id, text) in enumerate(docs):
-        places, lines = [], []
-        for i, line in enumerate(text.split("\n")):
-            if line.strip(" "):
-                places.append(i)
-                lines.append(line.strip(" "))
-        read[d] = lines
-        h = [hashlib.md5(x.encode()).hexdigest()[:15] for x in lines]
-        selected = {k for k, x in enumerate(lines) if len(x) >= LONG}
-        for s in range(max(0, len(lines) - RUN) + 1 if lines else 0):
-            selected.add(min(range(s, min(s + RUN, len(lines))), key=lambda k: (h[k], -k)))
+    seen, gone = set(), {}
+    for doc_id, text in docs:
+        lines = [(i, x.strip(" ")) for i, x in enumerate(text.split("\n")) if x.strip(" ")]
         out = set()
-        for p in sorted(selected):
-            names = [(1, *lines[p:p + 2])] if p + 1 < len(lines) else []
-            names += [(2, *lines[p - 1:p + 1])] if p else []
-            names += [(3, lines[p])] if len(lines[p]) >= LONG else []
-            for name in names:
-                o, q = first.setdefault(name, (d, p))
-                if (o, q) == (d, p):
-                    continue
-                begin, end = p, p
-                while begin > 0 and begin - 1 - p + q >= 0 and lines[begin - 1] == read[o][begin - 1 - p + q]:
-                    begin -= 1
-                while end + 1 < len(lines) and end + 1 - p + q < len(read[o]) and lines[end + 1] == read[o][end + 1 - p + q]:
-                    end += 1
-                if end - begin + 1 >= RUN or any(len(x) >= LONG for x in lines[begin:end + 1]):
-                    out |= {places[k] for k in range(begin, end + 1)}
+        for begin in range(len(lines)):
+            for n in range(1, min(RUN, len(lines) - begin) + 1):
+                run = tuple(x for _, x in lines[begin:begin + n])
+                if n == RUN or any(len(x) >= LONG for x in run):
+                    if run in seen:
+                        out |= {i for i, _ in lines[begin:begin + n]}
+                    seen.add(run)
         gone[(doc_id, text)] = out
     result = []
     for r in rows:
@@ -90,6 +72,21 @@ def test_a_run_goes_whole_from_any_fingerprint(spark):
     assert [x[3] for x in got(dedup_lines(frame(spark, rows)))] == [rows[0][1]] + [f"own {k}\nend {k}" for k in range(1, 6)]
 
 
+def test_a_run_goes_whose_fingerprints_first_stood_in_other_surroundings(spark):
+    """Every pair of neighbours of the run stood earlier, each in a document of its own; the run goes all the same."""
+    run = ["a", "b", "c"]
+    pairs = [(k, f"x{k}\n{p}\n{q}\ny{k}") for k, (p, q) in enumerate(zip(run, run[1:]))]
+    later = [(k, "\n".join([f"own {k}", *run, f"end {k}"])) for k in (7, 8, 9)]
+    after = {r[0]: r[3] for r in got(dedup_lines(frame(spark, pairs + later)))}
+    assert after == dict(pairs + later[:1]) | {8: "own 8\nend 8", 9: "own 9\nend 9"}
+
+
+def test_short_neighbours_go_with_a_long_line(spark):
+    long = sentence(random.Random(6), 20)
+    rows = [(1, f"p\n{long}\nq"), (2, f"r\n{long}\nq\ns"), (3, f"r\n{long}\nz"), (4, f"p\n{long}\nz")]
+    assert [x[3] for x in got(dedup_lines(frame(spark, rows)))] == [rows[0][1], "r\ns", "z", ""]
+
+
 def test_first_copies_stay(spark):
     """Of every line that stood anywhere, one copy is still there."""
     r = random.Random(3)
