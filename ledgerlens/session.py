@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # Settings every session of the job needs. Month truncation is done in UTC,
-# and AQE re-plans joins and partition counts from runtime sizes.
+# and AQE re-plans joins and partition counts from runtime sizes. A task reads
+# about 16 MB of shuffled rows: it sorts them for two joins and the transactions
+# and counts them by address in memory all at once, some 15 times those bytes.
 JOB_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",

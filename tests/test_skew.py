@@ -107,3 +107,21 @@ def test_eoa_filter_splits_hot_sender(spark, duck):
     res = duck.execute(hot_sql(ORACLE["eoa_slice"]))
     exact, _, msg = compare_rows(df.columns, rows, [c[0] for c in res.description], res.fetchall())
     assert exact, msg
+
+
+def test_a_task_reads_few_shuffled_bytes(spark):
+    """The job's settings size tasks by bytes; with Spark's 64 MB these rows would be two tasks' work at most."""
+    from ledgerlens.session import apply_job_conf
+
+    own = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        apply_job_conf(spark)
+        dealt = spark.range(8_000_000).select(F.xxhash64("id").alias("x")).repartition("x")
+        tasks = dealt.select(F.spark_partition_id().alias("task")).distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks >= 4
