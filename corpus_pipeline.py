@@ -37,9 +37,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
+#: Chunks and words a tokenizing worker keeps: it shares its executor with a heap that earlier stages have filled.
+TOKEN_CACHE = (100_000, 200_000)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, described by document."""
-    return token_output(spark, docs)
+    return token_output(spark, docs, cache=TOKEN_CACHE)
 
 
 STAGES = [

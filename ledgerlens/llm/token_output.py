@@ -96,9 +96,10 @@ class ChunkEncoder:
     any other chunk takes the whole way through the tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: tuple[int, int] | None = None):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.cache = cache
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         to_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
@@ -171,9 +172,10 @@ class ChunkEncoder:
     @no_collection()
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and the number of ids of each."""
-        if len(self.places) > CACHE_WORDS:
+        most_chunks, most_words = self.cache or (CACHE_CHUNKS, CACHE_WORDS)
+        if len(self.places) > most_words:
             self.forget()
-        elif len(self.known) > CACHE_CHUNKS:
+        elif len(self.known) > most_chunks:
             self.forget_chunks()
         chunks = [t.split() for t in texts]
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
@@ -189,8 +191,8 @@ class ChunkEncoder:
         return out, per_doc + 1
 
 
-def _encoder(path: str) -> ChunkEncoder:
-    return held(("encoder", path), lambda: ChunkEncoder(path))
+def _encoder(path: str, cache: tuple[int, int] | None) -> ChunkEncoder:
+    return held(("encoder", path, cache), lambda: ChunkEncoder(path, cache))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[list, list[bytes]]]:
@@ -207,7 +209,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator
             yield doc_ids[begin:], texts[begin:]
 
 
-def _blocks(tokenizer_path: str, bits: int, block_ids: int):
+def _blocks(tokenizer_path: str, bits: int, block_ids: int, cache: tuple[int, int] | None):
     schema = pa.schema([
         ("file", pa.int32()), ("block", pa.int32()), ("in_file", pa.int64()), ("bits", pa.int32()), ("n_ids", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("payload", pa.binary()),
@@ -216,7 +218,7 @@ def _blocks(tokenizer_path: str, bits: int, block_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, file, block = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, file, block = _encoder(tokenizer_path, cache), TaskContext.get().partitionId(), 0
         doc_ids: list = []
         ids: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -246,8 +248,11 @@ def _blocks(tokenizer_path: str, bits: int, block_ids: int):
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int,
-                 block_ids: int = BLOCK_IDS) -> None:
-    """Encode ``docs`` (doc_id, text) and write their ids to ``path`` in ascending doc_id order."""
+                 block_ids: int = BLOCK_IDS, cache: tuple[int, int] | None = None) -> None:
+    """Encode ``docs`` (doc_id, text) and write their ids to ``path`` in ascending doc_id order.
+
+    ``cache``: chunks and words that a worker keeps (speed and memory only), if not the module's numbers.
+    """
     importable(docs.sparkSession)
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -255,7 +260,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: in
         .repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     )
-    (ordered.mapInArrow(_blocks(tokenizer_path, bits_for(vocabulary), block_ids), BLOCK_SCHEMA)
+    (ordered.mapInArrow(_blocks(tokenizer_path, bits_for(vocabulary), block_ids, cache), BLOCK_SCHEMA)
      .write.option("compression", "none").parquet(path))
 
 
@@ -305,11 +310,12 @@ def word_bpe() -> tuple[str, int]:
     return path, Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
-def token_output(spark: SparkSession, docs: DataFrame, tokenizer: tuple[str, int] | None = None) -> DataFrame:
+def token_output(spark: SparkSession, docs: DataFrame, tokenizer: tuple[str, int] | None = None,
+                 cache: tuple[int, int] | None = None) -> DataFrame:
     """Write ``docs`` to new files under the shared folder and describe what the files hold."""
     path, vocabulary = tokenizer or word_bpe()
     folder = new_folder(spark, "tokens")
-    write_tokens(docs, folder, path, vocabulary)
+    write_tokens(docs, folder, path, vocabulary, cache=cache)
     return read_tokens(spark, folder)
 
 

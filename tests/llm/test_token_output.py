@@ -69,3 +69,13 @@ def test_files_hold_every_document_in_order(spark, monkeypatch, block_ids):
 
 def test_empty_table(spark):
     assert t.token_output(spark, frame(spark, [])).collect() == []
+
+
+def test_an_encoder_keeps_no_more_than_it_is_told():
+    path, _ = t.word_bpe()
+    whole, encoder, r = Tokenizer.from_file(path), t.ChunkEncoder(path, cache=(300, 500)), random.Random(8)
+    for _ in range(40):
+        texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(100)) for _ in range(2)]
+        flat, n = encoder.encode([x.encode() for x in texts])
+        assert flat.tolist() == [i for x in texts for i in [*whole.encode(x, add_special_tokens=False).ids, t.END_ID]]
+        assert len(encoder.known) <= 300 + 200 and len(encoder.places) <= 500 + 200 + 1
