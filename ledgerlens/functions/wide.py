@@ -35,10 +35,11 @@ def uint256_text(amount: Column) -> Column:
     amount is ever left out of a sum.
     """
     raw = F.trim(amount.cast("string"))
-    digits = F.regexp_replace(raw, "^0+(?=.)", "")
+    digits = F.ltrim(raw, F.lit("0"))
+    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
     fits = (F.length(digits) < len(MAX_UINT256)) | ((F.length(digits) == len(MAX_UINT256)) & (digits <= MAX_UINT256))
     return (F.when(raw.isNull(), F.lit(None).cast("string"))
-            .when(raw.rlike("^[0-9]+$") & fits, digits)
+            .when((raw != "") & (F.translate(raw, "0123456789", "") == "") & fits, digits)
             .otherwise(F.raise_error(F.concat(F.lit("amount is not a uint256: "), raw)).cast("string")))
 
 
@@ -84,11 +85,9 @@ def with_limbs(df: DataFrame, column: str = "amount") -> DataFrame:
 
 def _decimal_limbs(amount: Column) -> Column:
     """DECIMAL(38,0) as limbs; a negative amount raises, as no uint256 is."""
-    base = F.lit(Decimal(10) ** LIMB_DIGITS)
-    low = amount % base
-    high = ((amount - low) / base).cast("decimal(38,0)")
-    parts = [F.lit(0).cast("decimal(38,0)"), high, low.cast("decimal(38,0)")]
-    return (F.when(amount >= 0, F.struct(*[c.alias(n) for c, n in zip(parts, LIMB_NAMES)]))
+    high, low = _split(amount)
+    zero, base = F.lit(0), F.lit(Decimal(10) ** LIMB_DIGITS)
+    return (F.when((amount >= 0) & (amount < base), _limbs(zero, zero, amount)).when(amount >= 0, _limbs(zero, high, low))
             .when(amount < 0, F.raise_error(F.concat(F.lit("amount is not a uint256: "), amount.cast("string"))).cast(LIMBS_TYPE)))
 
 
@@ -165,12 +164,20 @@ def _split(total: Column) -> tuple[Column, Column]:
     return carry, low
 
 
+def _limbs(*parts: Column) -> Column:
+    return F.struct(*[c.cast("decimal(38,0)").alias(n) for c, n in zip(parts, LIMB_NAMES)])
+
+
 def carried(s0: Column, s1: Column, s2: Column) -> Column:
-    """Limb sums as limbs: carries propagated, all but the first below 10^26; NULL where all are."""
+    """Limb sums as limbs: carries propagated, all but the first below 10^26; NULL where all are.
+
+    Where there is nothing to carry, as for most addresses, nothing is divided.
+    """
+    base = F.lit(Decimal(10) ** LIMB_DIGITS)
     carry2, d2 = _split(s2)
     carry1, d1 = _split(s1 + carry2)
-    parts = [c.cast("decimal(38,0)").alias(n) for c, n in zip((s0 + carry1, d1, d2), LIMB_NAMES)]
-    return F.when(s0.isNotNull() | s1.isNotNull() | s2.isNotNull(), F.struct(*parts))
+    known = s0.isNotNull() | s1.isNotNull() | s2.isNotNull()
+    return F.when((s1 < base) & (s2 < base), _limbs(s0, s1, s2)).when(known, _limbs(s0 + carry1, d1, d2))
 
 
 def to_text(limbs: Column) -> Column:

@@ -76,7 +76,8 @@ def fixture_transfers(spark: SparkSession, sf_dir: str, orders: DataFrame | None
 def wide_amounts(transfers: DataFrame) -> DataFrame:
     """The same transfers with amounts of up to 60 digits, as text."""
     low = F.lpad((F.col("block_number") * 100 + F.col("log_index")).cast("string"), WIDE_DIGITS, "0")
-    return transfers.withColumn("amount", wide.uint256_text(F.concat(F.col("amount").cast("string"), low)))
+    # a column of its own, so that the digits are put together once
+    return transfers.withColumn("amount", F.concat(F.col("amount").cast("string"), low)).withColumn("amount", wide.uint256_text(F.col("amount")))
 
 
 def fixture_tokens(spark: SparkSession) -> DataFrame:

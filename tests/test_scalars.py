@@ -193,3 +193,25 @@ def test_scale_exact_matches_python_decimal(spark):
         ctx.prec = 80  # the default 28 digits would round the expected values
         bad = [(r, d, g) for (r, d), g in zip(rows, got) if g != Decimal(r).scaleb(-d)]
     assert not bad, bad[:5]
+
+
+def test_uint256_text_is_digits_alone(spark):
+    from ledgerlens.functions import wide
+
+    df = spark.createDataFrame([("000",), (" 0012 ",), ("0",), (str(2**256 - 1),), (None,)], "a string")
+    assert [r[0] for r in df.select(wide.uint256_text(F.col("a"))).collect()] == ["0", "12", "0", str(2**256 - 1), None]
+    for bad in ("", "12\n", "-1", "1e3", str(2**256)):
+        with pytest.raises(Exception, match="not a uint256"):
+            spark.createDataFrame([(bad,)], "a string").select(wide.uint256_text(F.col("a"))).collect()
+
+
+def test_limb_sums_carry_only_where_they_must_and_exactly(spark):
+    from ledgerlens.functions import wide
+
+    base = 10**26
+    groups = {1: [0], 2: [base - 1], 3: [base - 1, 1], 4: [base**2 - 1, 1], 5: [base**2 - 1, base, 5], 6: [2**256 - 1, 2**256 - 1], 7: [None], 8: [None, 3]}
+    df = wide.with_limbs(spark.createDataFrame([(g, None if v is None else str(v)) for g, vs in groups.items() for v in vs], "g int, amount string"))
+    got = {r["g"]: r["t"] for r in df.groupBy("g").agg(wide.to_text(wide.total(df, "amount")).alias("t")).collect()}
+    assert got == {g: None if vs == [None] else str(sum(v or 0 for v in vs)) for g, vs in groups.items()}
+    small = wide.with_limbs(spark.createDataFrame([(Decimal(v),) for v in (base - 1, base, 10**38 - 1)], "amount decimal(38,0)"))
+    assert {r[0] for r in small.select(wide.to_text(F.col("amount"))).collect()} == {str(base - 1), str(base), str(10**38 - 1)}
