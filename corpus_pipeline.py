@@ -37,13 +37,14 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
-#: Chunks and words a tokenizing worker keeps: it shares its executor with a heap that earlier stages have filled.
-TOKEN_CACHE = (100_000, 200_000)
+#: Chunks and words a tokenizing worker keeps, and bytes it encodes at once: it shares its executor with
+#: a heap that earlier stages have filled.
+TOKEN_CACHE, TOKEN_PIECE = (30_000, 60_000), 1 << 18
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, described by document."""
-    return token_output(spark, docs, cache=TOKEN_CACHE)
+    return token_output(spark, docs, cache=TOKEN_CACHE, piece_bytes=TOKEN_PIECE)
 
 
 STAGES = [

@@ -36,6 +36,8 @@ from .runtime import Places, held, importable, new_folder, no_collection, table
 BLOCK_IDS = 1 << 20
 #: Distinct chunks and words kept in a worker's encoding cache; beyond it the cache starts anew.
 CACHE_CHUNKS, CACHE_WORDS = 600_000, 1_200_000
+#: Bytes of text encoded at once (whole documents): their chunks and arrays stand in memory meanwhile.
+PIECE_BYTES = 2 << 20
 END_ID = 1
 
 STOPS = b".,"
@@ -195,7 +197,7 @@ def _encoder(path: str, cache: tuple[int, int] | None) -> ChunkEncoder:
     return held(("encoder", path, cache), lambda: ChunkEncoder(path, cache))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def _pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[bytes]]]:
     """Rows in pieces of about ``limit`` bytes of text."""
     for batch in batches:
         doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -209,7 +211,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator
             yield doc_ids[begin:], texts[begin:]
 
 
-def _blocks(tokenizer_path: str, bits: int, block_ids: int, cache: tuple[int, int] | None):
+def _blocks(tokenizer_path: str, bits: int, block_ids: int, cache: tuple[int, int] | None, piece_bytes: int):
     schema = pa.schema([
         ("file", pa.int32()), ("block", pa.int32()), ("in_file", pa.int64()), ("bits", pa.int32()), ("n_ids", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("payload", pa.binary()),
@@ -232,7 +234,7 @@ def _blocks(tokenizer_path: str, bits: int, block_ids: int, cache: tuple[int, in
             }
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        for some_ids, texts in _pieces(batches):
+        for some_ids, texts in _pieces(batches, piece_bytes):
             flat, n = encoder.encode(texts)
             doc_ids, held = doc_ids + some_ids, held + len(flat)
             ids.append(flat)
@@ -248,10 +250,11 @@ def _blocks(tokenizer_path: str, bits: int, block_ids: int, cache: tuple[int, in
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int,
-                 block_ids: int = BLOCK_IDS, cache: tuple[int, int] | None = None) -> None:
+                 block_ids: int = BLOCK_IDS, cache: tuple[int, int] | None = None, piece_bytes: int = PIECE_BYTES) -> None:
     """Encode ``docs`` (doc_id, text) and write their ids to ``path`` in ascending doc_id order.
 
-    ``cache``: chunks and words that a worker keeps (speed and memory only), if not the module's numbers.
+    ``cache``: chunks and words that a worker keeps, if not the module's numbers; ``piece_bytes``:
+    text that it encodes at once (both speed and memory only).
     """
     importable(docs.sparkSession)
     ordered = (
@@ -260,7 +263,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: in
         .repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     )
-    (ordered.mapInArrow(_blocks(tokenizer_path, bits_for(vocabulary), block_ids, cache), BLOCK_SCHEMA)
+    (ordered.mapInArrow(_blocks(tokenizer_path, bits_for(vocabulary), block_ids, cache, piece_bytes), BLOCK_SCHEMA)
      .write.option("compression", "none").parquet(path))
 
 
@@ -311,11 +314,11 @@ def word_bpe() -> tuple[str, int]:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, tokenizer: tuple[str, int] | None = None,
-                 cache: tuple[int, int] | None = None) -> DataFrame:
+                 cache: tuple[int, int] | None = None, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Write ``docs`` to new files under the shared folder and describe what the files hold."""
     path, vocabulary = tokenizer or word_bpe()
     folder = new_folder(spark, "tokens")
-    write_tokens(docs, folder, path, vocabulary, cache=cache)
+    write_tokens(docs, folder, path, vocabulary, cache=cache, piece_bytes=piece_bytes)
     return read_tokens(spark, folder)
 
 

@@ -1,8 +1,15 @@
 """The whole pipeline against plain versions of its stages, each on its own input."""
 
+import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
+
+import pyarrow as pa
+from pyspark import TaskContext
 
 import corpus_pipeline
+from ledgerlens.llm import token_output
 from ledgerlens.llm.runtime import cut
 from tests.conftest import SF001
 
@@ -60,3 +67,22 @@ def test_repeated_rows_and_extra_columns(spark):
         assert docs.columns == columns
     ids = Counter(r.doc_id for r in docs.collect())
     assert max(ids.values()) <= 2
+
+
+def test_a_tokenizing_worker_stays_small(spark, monkeypatch):
+    called = {}
+    monkeypatch.setattr(corpus_pipeline, "token_output", lambda spark, docs, **kw: called.update(kw))
+    corpus_pipeline.tokens(spark, None, SF001)
+    path, vocabulary = token_output.word_bpe()
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    r = random.Random(12)
+    texts = [" ".join("".join(r.choice("abcdefghijkl") for _ in range(5)) for _ in range(500)).encode() for _ in range(1500)]
+    batches = [pa.record_batch([pa.array(range(500)), pa.array(texts[i:i + 500], pa.binary())], names=["doc_id", "text"])
+               for i in range(0, 1500, 500)]
+    write = token_output._blocks(path, token_output.bits_for(vocabulary), token_output.BLOCK_IDS,
+                                 called["cache"], called.get("piece_bytes", 2 << 20))
+    tracemalloc.start()
+    n_ids = sum(block["n_ids"][0].as_py() for block in write(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n_ids > 750_000 and peak < 64e6
