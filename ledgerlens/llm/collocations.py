@@ -16,7 +16,8 @@ from all chunks merge in one task, as sorted lists, and the phrases that reach
 ``MIN_COUNT`` there get ids; each chunk is told those that it holds and goes on to n + 1 words
 with them. Ranges are numbered by how many phrases there can be, about ``RANGE_KEYS`` each;
 a frequent phrase is one entry a chunk, so no range grows with one phrase. A chunk that
-holds no frequent phrase any more drops out.
+holds no frequent phrase any more drops out. Chunks and their streams are stored in buckets and
+never shuffled: only filters and what chunks are told move.
 
 Scores: a phrase of a occurrences, cut after its first k words into parts of l and r
 occurrences, scores floor(1000 a n / (l r)) with n words in all of its language, in whole
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .quotient_filter import counted, decode, encode, permute, restore
-from .runtime import Places, cut, drop, importable, table
+from .runtime import Places, cut, cut_by, dealt_by, drop, importable, table
 
 MIN_COUNT = 100
 LONGEST = 5
@@ -136,7 +137,7 @@ def _chunks(size: int):
 def chunked(docs: DataFrame) -> DataFrame:
     """Texts as chunks of local word numbers."""
     rows = docs.where("text != ''").select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return cut(rows.mapInArrow(_chunks(CHUNK_BYTES), CHUNK), "chunks")
+    return cut_by(rows.mapInArrow(_chunks(CHUNK_BYTES), CHUNK), "chunk", "chunks")
 
 
 def _dealt(parts: int):
@@ -241,7 +242,7 @@ def _state(chunk: int, at: np.ndarray, ids: np.ndarray, lasts: np.ndarray, packi
     next_to = np.flatnonzero(np.diff(at) == 1)
     keys, counts, _ = counted(packing.keys(ids[next_to], lasts[next_to + 1]))
     bounds = np.searchsorted(keys >> np.uint64(packing.own_bits), np.arange((1 << packing.range_bits) + 1)) if packing.range_bits else [0, len(keys)]
-    filters = [{"part": part, "filter": encode(packing.own(keys[a:b]), counts[a:b], packing.own_bits)}
+    filters = [{"part": part, "filter": _pack(encode(packing.own(keys[a:b]), counts[a:b], packing.own_bits))}
                for part, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
     # a phrase with no frequent one beside it is in no longer one
     beside = np.zeros(len(at), bool)
@@ -251,7 +252,7 @@ def _state(chunk: int, at: np.ndarray, ids: np.ndarray, lasts: np.ndarray, packi
     one = np.zeros(len(distinct), np.int64)
     one[grams] = lasts
     kind = pa.list_(pa.struct([("part", pa.int32()), ("filter", pa.binary())]))
-    blobs = (np.diff(at, prepend=0).astype(np.uint32), grams.astype(np.uint32), distinct, one.astype(np.uint64))
+    blobs = (np.diff(at, prepend=0).astype(np.uint32), grams.astype(np.uint32), np.diff(distinct, prepend=np.uint64(0)), one.astype(np.uint64))
     return _table([(chunk, *map(_pack, blobs), filters)], ["chunk", "steps", "grams", "ids", "lasts", "filters"],
                   [pa.int64(), *[pa.binary()] * 4, kind])
 
@@ -282,7 +283,8 @@ def _next_state(packing: Packing, index_bits: int, following: Packing):
             for chunk, steps, grams, ids, lasts, told in zip(*(b.column(c) for c in ("chunk", "steps", "grams", "ids", "lasts", "told"))):
                 at = np.cumsum(_unpack(steps.as_py(), np.uint32), dtype=np.int64)
                 grams = _unpack(grams.as_py(), np.uint32)
-                ids, lasts = (_unpack(x.as_py(), np.uint64)[grams] for x in (ids, lasts))
+                ids = np.cumsum(_unpack(ids.as_py(), np.uint64))[grams]
+                lasts = _unpack(lasts.as_py(), np.uint64)[grams]
                 known, numbers = _told(told.as_py(), packing, index_bits)
                 next_to = np.flatnonzero(np.diff(at) == 1)
                 keys = packing.keys(ids[next_to], lasts[next_to + 1])
@@ -298,7 +300,8 @@ def _told(told: list[dict], packing: Packing, index_bits: int) -> tuple[np.ndarr
     """The frequent phrases of a chunk in order of their keys, and their ids."""
     keys, ids = [], []
     for x in sorted(told, key=lambda x: x["part"]):
-        own, places = decode(x["filter"], packing.own_bits)
+        own, steps = decode(_unpack(x["filter"]), packing.own_bits)
+        places = np.cumsum(steps)
         keys.append(packing.whole(x["part"], own))
         ids.append(_id(x["part"], places, index_bits))
     return np.concatenate(keys), np.concatenate(ids)
@@ -310,22 +313,23 @@ def _id(part: int, places: np.ndarray, index_bits: int) -> np.ndarray:
 
 def _merge(packing: Packing, least: int):
     """A task: the filters of one range from all chunks to one of its frequent phrases (a row without
-    chunk), and for each chunk those that it holds, with their places in that."""
+    chunk), and for each chunk those that it holds, with the steps between their places in that."""
 
     def run(group: pa.Table) -> pa.Table:
         part = group["part"][0].as_py()
         chunks = group["chunk"].to_pylist()
-        held = [decode(x.as_py(), packing.own_bits) for x in group["filter"]]
+        held = [decode(_unpack(x.as_py()), packing.own_bits) for x in group["filter"]]
         keys, sums, places = counted(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
         frequent = sums >= least
         number = np.cumsum(frequent) - 1
-        out = [(part, None, int(frequent.sum()), encode(keys[frequent], sums[frequent], packing.own_bits))]
+        out = [(part, None, int(frequent.sum()), _pack(encode(keys[frequent], sums[frequent], packing.own_bits)))]
         ends = np.cumsum([len(k) for k, _ in held])
         for chunk, (own, _), end in zip(chunks, held, ends):
             at = places[end - len(own):end]
             stay = frequent[at]
             if stay.any():
-                out.append((part, chunk, int(stay.sum()), encode(own[stay], number[at[stay]], packing.own_bits)))
+                steps = np.diff(number[at[stay]], prepend=0)
+                out.append((part, chunk, int(stay.sum()), _pack(encode(own[stay], steps, packing.own_bits))))
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "chunk", "n", "filter"])
 
@@ -338,7 +342,7 @@ def _phrases(packing: Packing, index_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, data in zip(b.column(0).to_pylist(), b.column(1)):
-                keys, counts = decode(data.as_py(), packing.own_bits)
+                keys, counts = decode(_unpack(data.as_py()), packing.own_bits)
                 first, last = packing.parts(packing.whole(part, keys))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (
                     _id(part, np.arange(len(keys)), index_bits), first, last, counts)], names=["id", "first", "last", "f"])
@@ -346,6 +350,13 @@ def _phrases(packing: Packing, index_bits: int):
     return run
 
 
+def _with_told(rows: DataFrame, merged: DataFrame, *columns: str) -> DataFrame:
+    """Bucketed rows of chunks with what the parts tell of each: only that is shuffled, the rows stay in their buckets."""
+    told = (dealt_by(merged.where("chunk IS NOT NULL").select("chunk", "part", *columns), "chunk")
+            .groupBy("chunk").agg(F.collect_list(F.struct("part", *columns)).alias("told")))
+    return rows.join(told.hint("shuffle_hash"), "chunk")
+
+
 def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to LONGEST words seen MIN_COUNT times or more (lang, phrase, size, f), and the
     words of each language (lang, n)."""
@@ -366,9 +377,8 @@ def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return found[0].drop("id"), totals
 
     packing = Packing(most_word, most_word, seen[1])
-    told = (merged.where("chunk IS NOT NULL").groupBy("chunk")
-            .agg(F.collect_list(F.struct("part", "numbers", "places")).alias("told")))
-    state = cut(chunks.select("chunk", "tokens").join(told, "chunk").mapInArrow(_first_state(packing, index_bits), STATE), "words")
+    state = cut_by(_with_told(chunks.select("chunk", "tokens"), merged, "numbers", "places")
+                   .mapInArrow(_first_state(packing, index_bits), STATE), "chunk", "words")
     drop(chunks)
     drop(merged)
     for size in range(2, LONGEST + 1):
@@ -385,10 +395,9 @@ def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not seen[0]:
             break
         if size < LONGEST:
-            told = merged.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("part", "filter")).alias("told"))
             following = Packing(seen[0], most_word, seen[1])
-            before, state = state, cut(state.drop("filters").join(told, "chunk")
-                                       .mapInArrow(_next_state(packing, index_bits, following), STATE), "grams")
+            before, state = state, cut_by(_with_told(state.drop("filters"), merged, "filter")
+                                          .mapInArrow(_next_state(packing, index_bits, following), STATE), "chunk", "grams")
             packing = following
             drop(before)
         drop(merged)

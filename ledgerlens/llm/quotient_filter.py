@@ -4,7 +4,7 @@ A key of ``bits`` bits goes through a permutation of all numbers of that many bi
 can be undone, so equal spread costs nothing and loses nothing. The leading bits of the
 permuted key are its quotient, all others its remainder; a filter holds, in order of the
 permuted keys, how many keys each quotient has (in unary), the full remainders in whole
-bytes, and a counter for each key: a byte, or an entry of a list where it is 255 or more.
+bytes (all first bytes, then all second ones, so that half-empty ones pack well), and a counter for each key: a byte, or an entry of a list where it is 255 or more.
 So a filter is a compact lossless table of (key, count), and filters merge as sorted lists.
 """
 
@@ -62,7 +62,7 @@ def encode(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     quotients = keys >> np.uint64(rest) if rest < 64 else np.zeros(n, np.uint64)
     unary = np.zeros(n + (1 << quotient_bits), np.uint8)
     unary[np.arange(n) + quotients.astype(np.int64)] = 1
-    remainders = (keys & _mask(rest)).astype("<u8").view(np.uint8).reshape(n, 8)[:, :-(-rest // 8)]
+    remainders = (keys & _mask(rest)).astype("<u8").view(np.uint8).reshape(n, 8)[:, :-(-rest // 8)].T
     large = counts[counts >= 255]
     return b"".join((np.array([n, quotient_bits, len(large)], "<u8").tobytes(), np.packbits(unary).tobytes(), remainders.tobytes(),
                      np.minimum(counts, 255).astype(np.uint8).tobytes(), large.astype("<u8").tobytes()))
@@ -76,7 +76,7 @@ def decode(data: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     unary = np.unpackbits(np.frombuffer(data, np.uint8, -(-slots // 8), at), count=slots)
     at += -(-slots // 8)
     keys = np.zeros((n, 8), np.uint8)
-    keys[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
+    keys[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
     keys = keys.view("<u8").reshape(n)
     at += n * width
     quotients = np.flatnonzero(unary) - np.arange(n)

@@ -63,9 +63,31 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def cut_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``cut`` in buckets of ``key``, as many as shuffle partitions: ``dealt_by`` rows join it and it stays where it is."""
+    session, path = df.sparkSession, new_folder(df.sparkSession, name)
+    bucketed = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    (df.write.format("parquet").option("compression", "zstd").option("path", path)
+     .bucketBy(_partitions(session), key).saveAsTable(bucketed))
+    out = session.table(bucketed)
+    out.cut_folder, out.cut_table = path, bucketed
+    return out
+
+
+def dealt_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` shuffled as the buckets of ``cut_by`` are."""
+    return df.repartition(_partitions(df.sparkSession), key)
+
+
+def _partitions(session: SparkSession) -> int:
+    return int(session.conf.get("spark.sql.shuffle.partitions"))
+
+
 def drop(table: DataFrame) -> None:
-    """Delete the files of a table that ``cut`` returned, once nothing reads them any more."""
+    """Delete the files of a table that ``cut`` or ``cut_by`` returned, once nothing reads them any more."""
     session = table.sparkSession
+    if hasattr(table, "cut_table"):
+        session.sql(f"DROP TABLE {table.cut_table}")
     path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(table.cut_folder)
     path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import collocations as op
@@ -105,3 +106,22 @@ def test_filters_lose_nothing(bits, n):
 def test_packing_that_cannot_fit_raises():
     with pytest.raises(OverflowError):
         op.Packing(1 << 40, 1 << 30, 10)
+
+
+def test_chunks_stay_in_their_buckets_and_are_told_little(spark, monkeypatch):
+    monkeypatch.setattr(op, "CHUNK_BYTES", 500)
+    chunks = op.chunked(frame(spark, prose(random.Random(5), 120)))
+    merged = frame(spark, [(1, "x")]).selectExpr("1 AS part", "doc_id AS chunk", "CAST(text AS binary) AS filter")
+    plan = op._with_told(chunks, merged, "filter")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1
+
+
+def test_what_a_chunk_is_told_takes_few_bytes():
+    packing = op.Packing(1 << 20, 1 << 16, 1 << 20)
+    keys = np.unique(np.random.RandomState(3).randint(0, 1 << 36, 50_000).astype(np.uint64))
+    group = pa.table({"part": pa.array([0], pa.int32()), "chunk": pa.array([7], pa.int64()),
+                      "filter": [op._pack(qf.encode(keys, np.full(len(keys), 100), packing.own_bits))]})
+    own, told = op._merge(packing, 100)(group).to_pylist()
+    assert own["chunk"] is None and told["chunk"] == 7 and len(told["filter"]) < 6 * len(keys)
+    found, ids = op._told([told], packing, 20)
+    assert found.tolist() == keys.tolist() and ids.tolist() == list(range(1, len(keys) + 1))
