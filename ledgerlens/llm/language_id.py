@@ -40,6 +40,8 @@ UNKNOWN = "und"
 ALPHA = 0.5
 #: Distinct chunks kept in a worker's cache; beyond it the cache starts anew.
 CACHE_CHUNKS = 250_000
+#: Bytes of text predicted at once (whole documents): their chunks and arrays stand in memory meanwhile.
+PIECE_BYTES = 4 << 20
 
 LETTERS = re.compile(r"[^\W\d_]+")
 OUT_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -102,8 +104,8 @@ class Scorer:
     """Sums of a text's word scores, through the distinct chunks between ASCII white space
     (a run of letters never crosses one, so the sums are those of the whole text)."""
 
-    def __init__(self, model: dict):
-        self.langs, self.logs = model["langs"], model["logs"]
+    def __init__(self, model: dict, cache_chunks: int | None = None):
+        self.langs, self.logs, self.cache_chunks = model["langs"], model["logs"], cache_chunks
         self.index = {key: row for row, key in enumerate(zip(model["sizes"].tolist(), model["units"].to_pylist()))}
         self.reset()
 
@@ -147,7 +149,7 @@ class Scorer:
 
     @no_collection()
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
-        if len(self.known) > CACHE_CHUNKS:
+        if len(self.known) > (self.cache_chunks or CACHE_CHUNKS):
             self.reset()
         chunks = [t.split() if t else [] for t in texts]
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
@@ -198,7 +200,7 @@ class _Model:
         return self.broadcast.value
 
 
-def _spans(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _spans(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes."""
     sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4))
     begin = held = 0
@@ -226,6 +228,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A document stays if some language has at least this share.
 SURE = 0.5
+#: Chunks that a filtering worker keeps, and bytes it predicts at once: it shares its executor with a heap
+#: that other steps have filled.
+FILTER_CACHE, FILTER_PIECE = 60_000, 1 << 18
 
 
 def keep_known_language(docs: DataFrame) -> DataFrame:
@@ -237,10 +242,10 @@ def keep_known_language(docs: DataFrame) -> DataFrame:
 
 def _filter(model, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = held(("scorer", model.id), lambda: Scorer(model.value))
+        scorer = held(("small scorer", model.id), lambda: Scorer(model.value, FILTER_CACHE))
         for batch in batches:
             texts = batch.column(text_at).cast(pa.binary())
-            for begin, end in _spans(texts):
+            for begin, end in _spans(texts, FILTER_PIECE):
                 langs, score = scorer.predict(texts.slice(begin, end - begin).to_pylist())
                 keep = [lang != UNKNOWN and s >= SURE for lang, s in zip(langs, score)]
                 yield batch.slice(begin, end - begin).filter(pa.array(keep, pa.bool_()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -141,6 +142,8 @@ def no_collection():
 
 
 _HELD: dict = {}
+#: Returns freed memory to the system, which glibc else keeps for this process; absent from other C libraries.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def held(key, make):
@@ -156,3 +159,5 @@ def release() -> None:
     """Give back what earlier tasks of this worker hold."""
     _HELD.clear()
     pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)

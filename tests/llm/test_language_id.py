@@ -1,11 +1,17 @@
 import math
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import language_id as g
+from ledgerlens.llm.runtime import release
 from tests.conftest import SF001, SF01
 
 from .corpora import frame, odd_rows, with_clashes
@@ -113,3 +119,21 @@ def test_sample_is_bounded(spark):
     rows = [(i, "w" + str(i), "en", "s") for i in range(4000)]
     n = g._sample(frame(spark, rows), 300).count()
     assert 200 < n < 400
+
+
+def test_a_filtering_worker_stays_small():
+    letters = "abcdefghijkl"
+    model = SimpleNamespace(id="test", value={
+        "langs": ["a", "b"], "sizes": np.full(len(letters), 1), "units": pa.array(list(letters)),
+        "logs": np.array([[-1.0, -2.0]] * len(letters))})
+    r = random.Random(12)
+    texts = [" ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(500)) for _ in range(1500)]
+    texts[7], texts[1400] = "12 34", None
+    batch = pa.record_batch([pa.array(range(1500)), pa.array(texts)], names=["doc_id", "text"])
+    release()
+    tracemalloc.start()
+    kept = [i for out in g._filter(model, 1)(iter([batch, batch])) for i in out.column(0).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    release()
+    assert kept == 2 * [i for i in range(1500) if i not in (7, 1400)] and peak < 64e6, peak
