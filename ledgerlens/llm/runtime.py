@@ -118,8 +118,8 @@ def in_map(keys: DataFrame, doc_id: Column, text_key: Column) -> Column:
 class Places(dict):
     """Numbers keys in the order they come; ``new`` lists those not yet worked on."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, known=()):
+        super().__init__(known)
         self.new: list = []
 
     def __missing__(self, key) -> int:

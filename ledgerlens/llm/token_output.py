@@ -34,14 +34,16 @@ from .runtime import Places, held, importable, new_folder, no_collection, table
 
 #: Ids gathered before a block is closed (whole documents, so a block may exceed it).
 BLOCK_IDS = 1 << 20
-#: Distinct chunks and words kept in a worker's encoding cache; beyond it the cache starts anew.
-CACHE_CHUNKS, CACHE_WORDS = 600_000, 1_200_000
+#: Distinct chunks, and runs of stops, kept in a worker's encoding cache; beyond it the frequent chunks stay.
+CACHE_CHUNKS, CACHE_WORDS = 300_000, 10_000
 #: Bytes of text encoded at once (whole documents): their chunks and arrays stand in memory meanwhile.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+#: Chunks that take the whole way through the tokenizer at once: each stands in memory with much besides its ids.
+AT_ONCE = 2000
 END_ID = 1
 
-STOPS = b".,"
-LATIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+").fullmatch
+#: A word of Latin letters, and stops after it.
+LATIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,]*)").fullmatch
 
 BLOCK_SCHEMA = (
     "file int, block int, in_file long, bits int, n_ids long, doc_ids array<bigint>, starts array<bigint>, payload binary"
@@ -92,10 +94,11 @@ class ChunkEncoder:
     Valid for tokenizers that treat ASCII white space as a boundary, drop it and
     lower the case (``word_bpe_49k``): the ids of a text are then the ids of its
     chunks in order. A new chunk is cut once more, where the pre-tokenizer cuts
-    it too: stops and commas after a letter stand alone, so each word is encoded
-    once. Words of Latin letters go to the tokenizer's model directly, in lower
-    case and with bytes in its alphabet (nothing else in them is normalised);
-    any other chunk takes the whole way through the tokenizer.
+    it too: stops and commas after a word of Latin letters stand alone. Such a word
+    goes to the tokenizer's model directly, in lower case and with bytes in its
+    alphabet (nothing else in it is normalised); any other chunk takes the whole
+    way through the tokenizer. A full cache keeps the chunks that were met most
+    often: most of a text is frequent words, and most of a cache are words met once.
     """
 
     def __init__(self, path: str, cache: tuple[int, int] | None = None):
@@ -110,83 +113,77 @@ class ChunkEncoder:
         for i in range(0x80, 0xC0):
             both = to_letters(chr(i + 0x40))[0][0]
             self.letters |= {0xC3: both[0], i: both[1]}
-        self.forget()
-
-    def forget(self) -> None:
-        self.places: dict[str, int] = {"": 0}
-        self.ids = np.zeros(0, np.uint32)
-        self.begin = np.zeros(1, np.int64)
-        self.length = np.zeros(1, np.int64)
-        self.forget_chunks()
-
-    def forget_chunks(self) -> None:
         self.known = Places()
-        self.parts = np.zeros((0, 2), np.int64)
+        self.met = np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
+        self.begin = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int64)
+        self.forget_stops()
+
+    def forget_stops(self) -> None:
+        self.places: dict[str, list[int]] = {"": []}
+
+    def forget(self, most: int) -> None:
+        """Keep at most ``most`` chunks, those met most often (more than once)."""
+        kept = np.argsort(-self.met, kind="stable")[:most]
+        kept = np.sort(kept[self.met[kept] > 1])
+        chunks = list(self.known)
+        self.known = Places((chunks[i], k) for k, i in enumerate(kept.tolist()))
+        self.met = self.met[kept] // 2
+        begin, self.length = self.begin[kept], self.length[kept]
+        self.begin = np.cumsum(self.length) - self.length
+        self.ids = self.ids[np.repeat(begin - self.begin, self.length) + np.arange(int(self.length.sum()))]
 
     def _learn(self) -> None:
-        if not self.known.new:
+        new = self.known.new
+        if not new:
             return
-        places, letters = self.places, self.letters
-        words: list[str | None] = []
+        places, letters, tokenize = self.places, self.letters, self.model.tokenize
+        found: list[list[int]] = []
         rest: list[tuple[int, str]] = []
-        cuts: list[int] = []
-        known = len(places)
-        for chunk in self.known.new:
-            word, tail = chunk.decode("utf-8", "replace"), ""
-            if chunk[-1] in STOPS:
-                text = word
-                word = text.rstrip(".,")
-                if word and word[-1].lower().isalpha():
-                    tail = text[len(word):]
-                else:
-                    word = text
-            ascii_word = word.isascii()
-            plain = word.isalpha() if ascii_word else LATIN(word)
-            if plain:
-                word = word.lower()
-            if (place := places.get(word)) is None:
-                place = places[word] = len(places)
-                if plain:
-                    words.append(word if ascii_word else word.encode().decode("latin-1").translate(letters))
-                else:
-                    rest.append((len(words), word))
-                    words.append(None)
-            cuts.append(place)
-            if tail and tail not in places:
-                places[tail] = len(places)
-                rest.append((len(words), tail))
-                words.append(None)
-            cuts.append(places[tail])
-        tokenize = self.model.tokenize
-        found = [[t.id for t in tokenize(w)] if w is not None else None for w in words]
-        encoded = self.tokenizer.encode_batch([text for _, text in rest], add_special_tokens=False)
-        for (at, _), e in zip(rest, encoded):
-            found[at] = e.ids
+        for text in b"\n".join(new).decode("utf-8", "replace").split("\n"):
+            if not (cut := LATIN(text)):
+                rest.append((len(found), text))
+                found.append([])
+                continue
+            word, stops = cut.groups()
+            word = word.lower()
+            ids = [t.id for t in tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(letters))]
+            if stops:
+                if stops not in places:
+                    places[stops] = self.tokenizer.encode(stops, add_special_tokens=False).ids
+                ids += places[stops]
+            found.append(ids)
+        for begin in range(0, len(rest), AT_ONCE):
+            some = rest[begin:begin + AT_ONCE]
+            for (at, _), e in zip(some, self.tokenizer.encode_batch([text for _, text in some], add_special_tokens=False)):
+                found[at] = e.ids
         length = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
         self.ids = np.concatenate([self.ids, ids])
-        assert len(self.length) == len(places) and known + len(found) == len(places)
-        self.parts = np.concatenate([self.parts, np.array(cuts, np.int64).reshape(-1, 2)])
-        self.known.new.clear()
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
+        new.clear()
+        assert len(self.length) == len(self.known)
 
     @no_collection()
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and the number of ids of each."""
-        most_chunks, most_words = self.cache or (CACHE_CHUNKS, CACHE_WORDS)
-        if len(self.places) > most_words:
-            self.forget()
-        elif len(self.known) > most_chunks:
-            self.forget_chunks()
+        most_chunks, most_stops = self.cache or (CACHE_CHUNKS, CACHE_WORDS)
+        if len(self.known) > most_chunks:
+            self.forget(most_chunks // 2)
+        if len(self.places) > most_stops:
+            self.forget_stops()
         chunks = [t.split() for t in texts]
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int32, int(sizes.sum()))
+        del chunks
         self._learn()
-        places = self.parts[at].reshape(-1)
-        length, begin = self.length[places], self.begin[places]
+        self.met += np.bincount(at, minlength=len(self.met)).astype(np.int32)
+        length, begin = self.length[at], self.begin[at]
         ends = np.cumsum(length)
-        per_doc = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(2 * sizes)])])
+        per_doc = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])])
         flat = self.ids[np.repeat(begin - (ends - length), length) + np.arange(int(length.sum()))]
         out = np.full(len(flat) + len(texts), END_ID, np.uint32)
         out[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), per_doc)] = flat
@@ -253,7 +250,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: in
                  block_ids: int = BLOCK_IDS, cache: tuple[int, int] | None = None, piece_bytes: int = PIECE_BYTES) -> None:
     """Encode ``docs`` (doc_id, text) and write their ids to ``path`` in ascending doc_id order.
 
-    ``cache``: chunks and words that a worker keeps, if not the module's numbers; ``piece_bytes``:
+    ``cache``: chunks and runs of stops that a worker keeps, if not the module's numbers; ``piece_bytes``:
     text that it encodes at once (both speed and memory only).
     """
     importable(docs.sparkSession)

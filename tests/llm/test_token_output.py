@@ -79,3 +79,22 @@ def test_an_encoder_keeps_no_more_than_it_is_told():
         flat, n = encoder.encode([x.encode() for x in texts])
         assert flat.tolist() == [i for x in texts for i in [*whole.encode(x, add_special_tokens=False).ids, t.END_ID]]
         assert len(encoder.known) <= 300 + 200 and len(encoder.places) <= 500 + 200 + 1
+
+
+def test_a_full_encoder_keeps_the_frequent_chunks():
+    path, _ = t.word_bpe()
+    whole, r, learned = Tokenizer.from_file(path), random.Random(9), []
+
+    class Told(t.ChunkEncoder):
+        def _learn(self):
+            learned.extend(self.known.new)
+            super()._learn()
+
+    encoder = Told(path, cache=(300, 500))
+    often = ["".join(r.choice("ghijkl") for _ in range(5)) + stop for stop in ("", ",", "..") for _ in range(20)]
+    for _ in range(30):
+        texts = [" ".join([*often, *("".join(r.choice("abcdef") for _ in range(6)) for _ in range(100))]) for _ in range(2)]
+        flat, n = encoder.encode([x.encode() for x in texts])
+        assert flat.tolist() == [i for x in texts for i in [*whole.encode(x, add_special_tokens=False).ids, t.END_ID]]
+    assert len(learned) > 10 * 300
+    assert all(learned.count(x.encode()) == 1 for x in often)
