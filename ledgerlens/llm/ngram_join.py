@@ -470,9 +470,10 @@ def set_components(docs: DataFrame, described: DataFrame, percent: int = PERCENT
     drop(shared)
     named = described.groupBy("set_id", "n").agg(F.min("doc_id").alias("doc_id"))
     wanted = named.join(entries.select("set_id").distinct(), "set_id", "left_semi").select(_place(F.col("doc_id")).alias("place"))
+    # at most MAP_BITS in all, fetched by one job: an iterator would run one for each partition
     maps = {r["bucket"]: bytes(r["map"]) for r in wanted
             .groupBy((F.floor(F.col("place") / BUCKET_BITS)).alias("bucket"))
-            .agg(F.expr(f"bitmap_construct_agg(place % {BUCKET_BITS})").alias("map")).toLocalIterator()}
+            .agg(F.expr(f"bitmap_construct_agg(place % {BUCKET_BITS})").alias("map")).collect()}
     if not maps:
         return None
     sets = cut(_texts(docs, _place(F.col("doc_id").cast("long")).alias("place")).mapInArrow(_whole_sets(maps), SET_SCHEMA), "whole_sets")

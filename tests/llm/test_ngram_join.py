@@ -158,3 +158,23 @@ def test_connected_components(spark):
             group[u] = group[v] = m
     loops = {u for u, v in links if u == v} - {x for u, v in links if u != v for x in (u, v)}
     assert found == {n: g for n, g in group.items() if n not in loops}
+
+
+def test_jobs_do_not_grow_with_the_partitions(spark):
+    keys = {"spark.sql.shuffle.partitions": None, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    docs = frame(spark, near_copies(5, n_groups=2))
+    jobs, seen = [], set()
+    try:
+        for partitions in (3, 30):
+            for k, v in keys.items():
+                spark.conf.set(k, v or partitions)
+            spark.sparkContext.setJobGroup(f"partitions-{partitions}", "near duplicates")
+            seen.add(frozenset(rows_of(ngram_join.near_duplicates(docs)).items()))
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"partitions-{partitions}")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(seen) == 1
+    assert jobs[1] <= jobs[0] + 10
