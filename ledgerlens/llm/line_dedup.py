@@ -15,8 +15,12 @@ consecutive lines, or fewer of which one has ``LONG`` characters or more.
    line), so a line that a third of all documents share gives one row for each of them,
    and no pairs. A window that stood earlier anywhere meets its own first copy, whatever
    surrounds other copies of its fingerprint.
-3. *Extend*: from such a pair of positions the match grows both ways, line by line, as far
-   as the two documents agree.
+3. *Extend*: from such a pair of positions the match grows both ways, line by line, as long
+   as the two documents agree, through the lines that windows around the position reach
+   (RUN - 1 either way). A run that goes on has a fingerprint in every further window, which
+   stood earlier as well and grows from there, so a run of any length is grown whole. Positions
+   have the lines around them with them: no document is fetched for a pair, and a document of n
+   repeated lines is n pieces of fixed size, not n comparisons of all its lines.
 4. *Delete*: a matched run of RUN lines or more, or one that holds a long line, goes from
    the later document whole. The first copy of a line never goes, as what goes has an
    equal line before it.
@@ -31,6 +35,7 @@ are ignored by the query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +45,8 @@ from .runtime import cut, table
 
 RUN = 3
 LONG = 40
+#: Lines either way of a position that the windows which hold it can reach.
+REACH = RUN - 1
 
 
 def _hash(line: Column) -> Column:
@@ -50,16 +57,16 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _is_long(mark: Column) -> Column:
+    return F.coalesce(mark.bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+
+
 def _marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, lines: place in the text, hash, whether it is long), blank lines left out."""
-    lines = F.transform(_lines(F.col("text")), lambda line, i: F.struct(i.alias("place"), F.trim(line).alias("line")))
+    """(doc_id, text_key, marks: twice the hash of a line, plus 1 for a long one), blank lines left out."""
+    lines = F.filter(F.transform(_lines(F.col("text")), lambda line: F.trim(line)), lambda line: line != "")
+    marks = F.transform(lines, lambda line: _hash(line) * 2 + (F.char_length(line) >= LONG).cast("long"))
     return (docs.where(F.col("text").isNotNull())
-            .select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), lines.alias("lines"))
-            .select("doc_id", "text_key", F.transform(
-                F.filter("lines", lambda x: x["line"] != ""),
-                lambda x: F.struct(x["place"].alias("place"), _hash(x["line"]).alias("hash"),
-                                   (F.char_length(x["line"]) >= LONG).alias("long"))).alias("lines"))
-            .where(F.size("lines") > 0))
+            .select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), marks.alias("marks")))
 
 
 def _any(flags: list[Column]) -> Column:
@@ -67,80 +74,82 @@ def _any(flags: list[Column]) -> Column:
 
 
 def _fingerprints(marked: DataFrame) -> DataFrame:
-    """(name, doc_id, text_key, at): every selected position under the name of each window that selected it."""
-    line = [f"line{k}" for k in range(RUN)]
-    rows = marked.select("doc_id", "text_key", *[F.slice("lines", k + 1, F.size("lines")).alias(n) for k, n in enumerate(line)])
-    rows = rows.select("doc_id", "text_key", F.posexplode(F.arrays_zip(*line)).alias("first", "w"))
-    lines = [F.col(f"w.{n}") for n in line]  # NULL beyond the end
-    hashes, long = [x["hash"] for x in lines], [F.coalesce(x["long"], F.lit(False)) for x in lines]
+    """(name, doc_id, text_key, at, near): every selected position under the name of each window that selected it, with
+    the marks of the line there and of REACH lines either way (NULL beyond the ends)."""
+    rows = marked.select("doc_id", "text_key", "marks", F.posexplode("marks").alias("first", "mark"))
+    lines = [F.get("marks", F.col("first") + k) for k in range(RUN)]  # NULL beyond the end
+    long = [_is_long(x) for x in lines]
     windows = []
     for n in range(1, RUN + 1):
         named = lines[n - 1].isNotNull() & ~(_any(long[:n - 1]) & _any(long[1:n]))
         if n < RUN:
             named, selected = named & _any(long[:n]), F.coalesce(*[F.when(long[k], k) for k in range(n)])
         else:  # the rightmost of equal ones
-            selected = -F.least(*[F.struct(h.alias("hash"), F.lit(-k).alias("back")) for k, h in enumerate(hashes)])["back"]
-        windows.append(F.when(named, F.struct(F.xxhash64(F.lit(n), *hashes[:n]).alias("name"), (F.col("first") + selected).alias("at"))))
-    return (rows.select("doc_id", "text_key", F.explode(F.array(*windows)).alias("found")).where(F.col("found").isNotNull())
-            .select("found.name", "doc_id", "text_key", "found.at"))
+            selected = -F.least(*[F.struct(x.alias("mark"), F.lit(-k).alias("back")) for k, x in enumerate(lines)])["back"]
+        windows.append(F.when(named, F.struct(F.xxhash64(F.lit(n), *lines[:n]).alias("name"), (F.col("first") + selected).alias("at"))))
+    near = F.struct(*[F.get("marks", F.col("found.at") + k).alias(f"line{k + REACH}") for k in range(-REACH, REACH + 1)])
+    return (rows.select("doc_id", "text_key", "marks", F.explode(F.array(*windows)).alias("found")).where(F.col("found").isNotNull())
+            .select("found.name", "doc_id", "text_key", "found.at", near.alias("near")))
 
 
 def _matches(marked: DataFrame) -> DataFrame:
-    """(doc_id, text_key, o_id, o_key, shift, seeds): places of a document that meet the first ones of their names,
-    ``shift`` lines further on than those."""
+    """(doc_id, text_key, at, near, others): places that meet the first ones of their names, and the lines around both."""
     found = _fingerprints(marked)
     at = F.struct("doc_id", "text_key", "at")
-    first = found.groupBy("name").agg(F.min(at).alias("origin"), F.max(at).alias("last")).where("origin != last").drop("last")
-    return (found.join(first, "name").where(at > F.col("origin"))
-            .groupBy("doc_id", "text_key", F.col("origin.doc_id").alias("o_id"), F.col("origin.text_key").alias("o_key"),
-                     (F.col("at") - F.col("origin.at")).alias("shift"))
-            .agg(F.collect_set("at").alias("seeds")))
-
-
-def _runs(shift: Column, lines: Column, others: Column, seeds: Column) -> Column:
-    """Places of the lines of every matched run that holds a seed and is long enough."""
-    low = F.greatest(F.lit(0), shift)
-    high = F.least(F.size(lines), F.size(others) + shift) - 1
-    differ = F.filter(F.sequence(low, high), lambda i: F.get(lines, i)["hash"] != F.get(others, i - shift)["hash"])
-    ends = F.concat(F.array(low - 1), differ, F.array(high + 1))
-    runs = F.transform(F.sequence(F.lit(0), F.size(ends) - 2), lambda k: F.struct(
-        (F.get(ends, k) + 1).alias("first"), (F.get(ends, k + 1) - F.get(ends, k) - 1).alias("n")))
-    long_enough = lambda r: (r["n"] >= RUN) | F.exists(F.slice(lines, r["first"] + 1, r["n"]), lambda x: x["long"])
-    seeded = lambda r: F.exists(seeds, lambda p: (p >= r["first"]) & (p < r["first"] + r["n"]))
-    kept = F.filter(F.filter(runs, lambda r: r["n"] > 0), lambda r: long_enough(r) & seeded(r))
-    return F.flatten(F.transform(kept, lambda r: F.transform(F.slice(lines, r["first"] + 1, r["n"]), lambda x: x["place"])))
+    first = (found.groupBy("name").agg(F.min(F.struct("doc_id", "text_key", "at", "near")).alias("origin"), F.count(F.lit(1)).alias("n"))
+             .where("n > 1").drop("n"))
+    return (found.join(cut(first, "first"), "name").where(at > F.struct("origin.doc_id", "origin.text_key", "origin.at"))
+            .select("doc_id", "text_key", "at", "near", F.col("origin.near").alias("others")))
+
+
+def _runs(matches: DataFrame) -> DataFrame:
+    """(doc_id, text_key, first, n): every match grown both ways from its fingerprint, those that are long enough."""
+    mark = [F.col(f"near.line{k}") for k in range(2 * REACH + 1)]
+    same = [F.coalesce(x == F.col(f"others.line{k}"), F.lit(False)) for k, x in enumerate(mark)]
+    part = [same[REACH]] * len(same)  # whether a line is of the run
+    for k in range(1, REACH + 1):
+        part[REACH - k] = part[REACH - k + 1] & same[REACH - k]
+        part[REACH + k] = part[REACH + k - 1] & same[REACH + k]
+    count = lambda flags: reduce(lambda a, b: a + b, [x.cast("int") for x in flags])
+    return (matches.select("doc_id", "text_key", (F.col("at") - count(part[:REACH])).alias("first"), count(part).alias("n"),
+                           _any([p & _is_long(x) for p, x in zip(part, mark)]).alias("long"))
+            .where((F.col("n") >= RUN) | F.col("long")).drop("long"))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value being made once, however often ``use`` or a lambda in it looks into it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """The text of ``lines`` without those that ``gone`` counts, blank ones left out, in order."""
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    full = F.filter(every, lambda i: F.trim(F.get(lines, i)) != "")
+    places = _with(full, lambda full: F.transform(gone, lambda k: F.get(full, k)))
+    return F.array_join(F.transform(F.array_except(every, places), lambda i: F.get(lines, i)), "\n")
 
 
 def deleted_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, gone): places of the lines of each text that are deleted."""
+    """(doc_id, text_key, gone): which lines of each text are deleted, counted without blank ones, in order."""
     marked = cut(_marked(docs).dropDuplicates(["doc_id", "text_key"]), "lines")
-    matches = cut(_matches(marked), "matches")
-    own = marked.select(F.col("doc_id").alias("l_id"), F.col("text_key").alias("l_key"), "lines")
-    origins = marked.select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"), F.col("lines").alias("others"))
-    met = (matches.join(own, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("text_key") == F.col("l_key")))
-           .join(origins, F.col("o_id").eqNullSafe(F.col("r_id")) & (F.col("o_key") == F.col("r_key"))))
-    runs = met.select("doc_id", "text_key", _runs(F.col("shift"), F.col("lines"), F.col("others"), F.col("seeds")).alias("gone"))
-    return (runs.where(F.size("gone") > 0).groupBy("doc_id", "text_key")
-            .agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+    most = 2 * REACH + 1
+    return (_runs(_matches(marked)).groupBy("doc_id", "text_key")
+            .agg(F.collect_set(F.col("first").cast("long") * most + F.col("n") - 1).alias("runs"))
+            .select("doc_id", "text_key", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(
+                F.floor(r / most).cast("int"), (F.floor(r / most) + F.pmod(r, F.lit(most))).cast("int")))))).alias("gone")))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_deleted, text) of every row, its repeated lines deleted."""
-    gone = deleted_lines(docs)
+    gone = cut(deleted_lines(docs), "gone")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key"))
     joined = rows.alias("a").join(gone.alias("b"), same, "left").select("a.doc_id", "a.text", "b.gone")
-    # a deleted place sorts just before its line, so one look back tells which lines stay
-    both = F.array_sort(F.concat(
-        F.transform("gone", lambda i: F.struct(i.alias("place"), F.lit(0).alias("kind"), F.lit("").alias("line"))),
-        F.transform(_lines(F.col("text")), lambda line, i: F.struct(i.alias("place"), F.lit(1).alias("kind"), line.alias("line")))))
-    merged = joined.select("doc_id", "text", "gone", F.when(F.col("gone").isNotNull(), both).alias("both"))
-    kept = F.filter("both", lambda x, k: (x["kind"] == 1) & ((k == 0) | (F.get(F.col("both"), k - 1)["place"] != x["place"])))
-    return merged.select(
+    return joined.select(
         "doc_id", F.coalesce(F.size(F.when(F.col("text").isNotNull(), _lines(F.col("text")))), F.lit(0)).alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_deleted"),
-        F.when(F.col("gone").isNull(), F.col("text"))
-        .otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).alias("text"))
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(_with(_lines(F.col("text")), lambda lines: _without(lines, F.col("gone"))))
+        .alias("text"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import threading
 
 import pytest
 
@@ -103,5 +104,27 @@ def test_long_repeated_passage_goes_once(spark):
     assert [x[3] for x in got(dedup_lines(frame(spark, rows)))] == [rows[0][1]] + [f"own {i}\nend {i}" for i in range(1, 5)]
 
 
+def test_long_documents_of_repeated_lines_end_soon(spark):
+    """Every line meets a first copy at another distance: work in proportion to the lines, not to pairs of them."""
+    r = random.Random(7)
+    pool = [sentence(r, n) for n in (1, 2, 3, 14, 15, 16, 17)] + [""]
+    rows = [(k, "\n".join([f"own {k}", *[r.choice(pool) for _ in range(1500)]])) for k in range(2)]
+    late = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        assert got(dedup_lines(frame(spark, rows))) == sorted(plain(rows), key=key)
+    finally:
+        late.cancel()
+
+
+def test_a_piece_grows_no_further_than_both_agree(spark):
+    """Lines beyond a difference stay where they did not stand earlier with their neighbours."""
+    r = random.Random(8)
+    long = sentence(r, 20)
+    rows = [(1, f"a\nb\n{long}\nc\nd"), (2, f"b\nx\n{long}\nc\ny\nd"), (3, f" \na\n\nb\n{long}\nz\n  c\nd"), (4, f"{long}\n{long}")]
+    assert [x[3] for x in got(dedup_lines(frame(spark, rows)))] == [rows[0][1], "b\nx\ny\nd", " \n\nz\n  c\nd", ""]
+    assert got(dedup_lines(frame(spark, rows))) == sorted(plain(rows), key=key)
+
+
 def test_empty_table(spark):
     assert got(dedup_lines(frame(spark, []))) == []
